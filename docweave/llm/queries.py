@@ -3,15 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweave.llm import packing, quality, sharding
-from docweave.llm.shared import table
+from docweave.llm import bpe, language_id, ngram_join, packing, quality, sharding
+from docweave.llm.shared import table, train_fold
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = train_fold(F.col("doc_id"), 5) == 0
+    model = language_id.fit(docs.filter(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "_language.*")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return bpe.decode_documents(encoded, vocabulary).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
@@ -21,7 +47,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
+    "op4_bpe": op4_bpe,
+    "op7_ngram_join": op7_ngram_join,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }

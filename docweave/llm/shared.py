@@ -14,9 +14,16 @@ WORD_RX = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Few rows in each Arrow batch: documents are long, and a Python worker holds whole batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set (local tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
