@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, language_id, line_dedup, ngram_join, packing, quality, sharding
+from docweave.llm import ann, bpe, language_id, line_dedup, ngram_join, packing, quality, sharding
 from docweave.llm.shared import table, train_fold
 
 
@@ -42,6 +42,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op7_ngram_join": op7_ngram_join,
+    "op8_nearest": op8_nearest,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
