@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import ann, bpe, language_id, line_dedup, ngram_join, packing, quality, sharding
+from docweave.llm import ann, bpe, language_id, line_dedup, lm_scoring, ngram_join, packing, quality, sharding
 from docweave.llm.shared import table, train_fold
 
 
@@ -38,6 +38,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("line_id", "class_id")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = train_fold(F.col("doc_id"), 7) == 2
+    scores = lm_scoring.lm_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.withColumn("held_out", ~F.col("learn")).drop("learn")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_ngram_join": op7_ngram_join,
     "op8_nearest": op8_nearest,
     "op9_sharding": op9_sharding,
