@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import ann, bpe, language_id, line_dedup, lm_scoring, ngram_join, packing, quality, sharding
+from docweave.llm import ann, bpe, language_id, line_dedup, lm_scoring, ngram_join, packing, quality, sharding, toxicity
 from docweave.llm.shared import table, train_fold
 
 
@@ -17,6 +17,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "_language.*")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("spam"), F.col("toxic").alias("toxic"))
+    chain = toxicity.fit(docs.join(labels, "doc_id"), ["spam", "toxic"])
+    return toxicity.predict(docs, chain).select("doc_id", "_toxicity.*")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -62,6 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
