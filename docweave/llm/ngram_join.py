@@ -7,12 +7,14 @@ space is cut into more than K ranges, and a linked pair must agree on one whole
 documents of a band that agree on one range. As K + 1 + E ranges are cut, a pair agrees on more than E, so a
 document with at most E empty ranges needs no tile for its empty ones.
 
-1. Exact copies are joined by digest; only one of each copies takes part below.
+1. Exact copies are joined by digest; below, all copies of a text stand for the smallest id among them.
 2. In a tile every document is paired with the smallest one (first in the map task, then over all), which costs
    one row for each member. For every document the partner with most common tiles is compared exactly.
-3. Tiles whose members are not yet in one component are searched for more links: bitmaps of hashed n-grams
-   bound every remaining pair's overlap from above by bit counts, in blocks of ``BLOCK`` members, and what the
-   bound leaves is intersected exactly. No tile is skipped or sampled, so no component is missed.
+3. Tiles whose members are not yet in one component are searched for more links. Those with the same smallest
+   member form one group, into which each member is sent once, in blocks of ``BLOCK`` members: bitmaps of
+   hashed n-grams bound every remaining pair's overlap from above by bit counts, and what the bound leaves is
+   intersected as sorted arrays. A group returns no more links than connect its members. No tile is skipped or
+   sampled, so no component is missed.
 
 Defined results: a null text or one without words has an empty set and links with nothing, not even with its
 copies; a text of fewer than n words is one gram; a repeated row is returned as often as it is given; rows whose
@@ -39,7 +41,7 @@ BAND_RATIO = 1.5
 BLOCK = 1024
 KEYS_PER_TASK = 400_000
 REMEMBERED = 500_000
-MIN_BITS = 64
+BROADCAST_IDS = 1_000_000  # 8 MB of ids
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -134,24 +136,15 @@ class Rule:
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def bitmap(g: np.ndarray) -> bytes:
-    """One bit for each hash prefix; about eight bits for each element."""
-    bits = max(MIN_BITS, 1 << max(0, 8 * len(g) - 1).bit_length())
-    flags = np.zeros(bits, bool)
-    flags[(g >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)] = True
-    return np.packbits(flags).tobytes()
-
-
-def stacked(maps: list[bytes]) -> np.ndarray:
-    """The bitmaps as rows of 64-bit words; larger ones are folded to the size of the smallest."""
-    least = min(map(len, maps))
-    rows = []
-    for m in maps:
-        b = np.frombuffer(m, np.uint8)
-        if len(b) > least:
-            b = np.packbits(np.unpackbits(b).reshape(least * 8, -1).any(axis=1))
-        rows.append(b)
-    return np.stack(rows).view(np.uint64)
+def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """One row of 64-bit words for each set: one bit for each hash prefix, about 32 bits for each element of the
+    largest set. ``width`` is the number of bits of the hashes."""
+    bits = max(6, (32 * max(map(len, sets)) - 1).bit_length())
+    out = np.zeros((len(sets), 1 << (bits - 6)), np.uint64)
+    for row, g in zip(out, sets, strict=True):
+        at = g >> g.dtype.type(width - bits) if bits < width else g
+        np.bitwise_or.at(row, (at >> g.dtype.type(6)).astype(np.int64), np.uint64(1) << (at & g.dtype.type(63)).astype(np.uint64))
+    return out
 
 
 def bound(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -170,21 +163,22 @@ def _paired(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, first, np.repeat(d[at], np.diff(np.append(at, len(k)))) if len(k) else d
 
 
-TILE = "kind int, key long, leader long, doc long, n int, bits binary"
+TILE = "kind int, key long, leader long, doc long, n int"
 SET, MEMBER, PAIR = 0, 1, 2
 
 
-def _rows(kind: int, key: np.ndarray, leader: np.ndarray, doc: np.ndarray, n: np.ndarray | int = 0, bits: object = None) -> pd.DataFrame:
-    return pd.DataFrame({"kind": np.int32(kind), "key": key.astype(np.int64), "leader": leader, "doc": doc, "n": np.int32(n) if np.isscalar(n) else n.astype(np.int32), "bits": bits})
+def _rows(kind: int, key: np.ndarray, leader: np.ndarray, doc: np.ndarray, n: np.ndarray | int = 0) -> pd.DataFrame:
+    return pd.DataFrame({"kind": np.int32(kind), "key": key.astype(np.int64), "leader": leader, "doc": doc, "n": np.int32(n) if np.isscalar(n) else n.astype(np.int32)})
 
 
 def _spread_out(rule: Rule):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
+            batch = batch.sort_values("doc").drop_duplicates("text")  # copies are joined by their digest
             sets = [grams(hashes.of(t), rule.n) for t in batch["text"]]
             ids, sizes = batch["doc"].to_numpy(np.int64), np.array([len(g) for g in sets], np.int64)
-            yield _rows(SET, ids, ids, ids, sizes, [bitmap(g) if len(g) else b"" for g in sets])
+            yield _rows(SET, ids, ids, ids, sizes)
             keys = [rule.keys(g) for g in sets]
             key = np.concatenate(keys or [np.zeros(0, np.uint64)]).astype(np.int64)
             doc = np.repeat(ids, [len(k) for k in keys])
@@ -223,34 +217,81 @@ def _exact(rule: Rule):
     return run
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts (doc, text) of a checkpointed table of ids (doc); the table is broadcast if it is small."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return texts.join(few, "doc", "left_semi").dropDuplicates(["doc"])
+
+
 def exact_links(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, linked) for distinct pairs of ids of ``texts`` (doc, text)."""
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    few = cut(texts.join(wanted, "doc", "left_semi"))
+    """(a, b, linked) for a checkpointed table of distinct pairs of ids of ``texts`` (doc, text)."""
+    wanted = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
+    few = cut(_texts_of(texts, wanted))
     with_a = pairs.join(few.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
     with_both = with_a.join(few.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
     return cut(with_both.select("a", "b", "text_a", "text_b").mapInPandas(_exact(rule), "a long, b long, linked boolean"))
 
 
-def _cross_pairs(rule: Rule):
-    """Pairs of one tile's blocks in different components that the bit counts do not rule out."""
-
-    def run(_: tuple, tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values("doc")
-        own = tile["block"].to_numpy()
-        i, j = int(tile["i"].iloc[0]), int(tile["j"].iloc[0])
-        doc, label, size = (tile[c].to_numpy(np.int64) for c in ("doc", "label", "n"))
-        bits = stacked(tile["bits"].tolist())
-        right = np.flatnonzero(own == j)
-        out = []
-        for x in np.flatnonzero(own == i):
-            others = right[right > x] if i == j else right
-            others = others[label[others] != label[x]]
-            if len(others):
-                most = bound(bits[x], size[x], bits[others], size[others])
-                others = others[rule.den * most >= rule.num * (size[x] + size[others] - most)]
-                out += [(min(doc[x], d), max(doc[x], d)) for d in doc[others]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+def _hashed_sets(rule: Rule, width: int):
+    """Sorted hashes of ``width`` bits; narrow hashes can only make an overlap look larger."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = (grams(hashes.of(t), rule.n) for t in batch["text"])
+            packed = [(g if width == 64 else (g >> np.uint64(32)).astype(np.uint32)).tobytes() for g in sets]
+            yield pd.DataFrame({"doc": batch["doc"], "grams": packed})
+
+    return run
+
+
+def links_in_group(rule: Rule, doc: list[int], label: list[int], block: list[int], sets: list[np.ndarray], one_block: bool, width: int) -> list[tuple[int, int]]:
+    """Links between the group's components, enough to connect what the group connects. Members of one block are
+    compared with each other if the group has one block here, else with those of the other block."""
+    root = {x: x for x in label}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out, size = [], np.array([len(g) for g in sets], np.int64)
+    bits = bitmaps(sets, width) if len(sets) > 8 else None
+    for x in range(len(sets)):
+        if bits is None:
+            near = range(x + 1, len(sets))
+        else:
+            most = bound(bits[x], size[x], bits[x + 1 :], size[x + 1 :])
+            near = (x + 1 + np.flatnonzero(rule.den * most >= rule.num * (size[x] + size[x + 1 :] - most))).tolist()
+        for y in near:
+            if (one_block or block[x] != block[y]) and (p := find(label[x])) != (q := find(label[y])) and rule.links(overlap(sets[x], sets[y]), len(sets[x]), len(sets[y])):
+                root[max(p, q)] = min(p, q)
+                out.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+    return out
+
+
+def _group_links(rule: Rule, width: int):
+    """Rows sorted by group and blocks (home, i, j): links of each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, rows = None, []
+
+        def closed() -> list[tuple[int, int, int]]:
+            doc, label, block, packed = zip(*rows, strict=True)
+            sets = [np.frombuffer(g, np.uint64 if width == 64 else np.uint32) for g in packed]
+            return [(at[0], a, b) for a, b in links_in_group(rule, doc, label, block, sets, at[1] == at[2], width)]
+
+        for batch in batches:
+            done = []
+            for home, i, j, *row in zip(*(batch[c].tolist() for c in ("home", "i", "j", "doc", "label", "block", "grams")), strict=True):
+                if (home, i, j) != at:
+                    if len(rows) > 1:
+                        done += closed()
+                    at, rows = (home, i, j), []
+                rows.append(row)
+            yield pd.DataFrame(done, columns=["home", "a", "b"], dtype=np.int64)
+        if len(rows) > 1:
+            yield pd.DataFrame(closed(), columns=["home", "a", "b"], dtype=np.int64)
 
     return run
 
@@ -259,50 +300,72 @@ def _labelled(nodes: DataFrame, labels: DataFrame, node: str, out: str) -> DataF
     return nodes.join(labels.select(F.col("node").alias(node), F.col("label").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
 
 
+def _search_groups(members: DataFrame, texts: DataFrame, rule: Rule, width: int) -> DataFrame:
+    """(home, a, b) from members (home, doc, label) of groups that hold several components."""
+    sets = _texts_of(texts, cut(members.select("doc").distinct())).mapInPandas(_hashed_sets(rule, width), "doc long, grams binary")
+    blocks = members.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")).cast("int"))
+    facing = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = facing.select("home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "label")
+    groups = placed.join(sets, "doc").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "doc")
+    return cut(groups.select("home", "i", "j", "doc", "label", "block", "grams").mapInPandas(_group_links(rule, width), "home long, a long, b long"))
+
+
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the smallest id that links reach, itself included."""
     rule = Rule(n, num, den)
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = named.filter("doc IS NOT NULL")
     digests = cut(named.select("doc", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("bytes")))
-    first = cut(digests.filter("doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("bytes").alias("bytes")))
-    volume = first.agg(F.sum("bytes")).first()[0] or 0
-    texts = named.join(first.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    first = digests.filter("doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"))
+    copies = cut(digests.join(first, "digest", "left").select("doc", "rep", "bytes"))
+    rep_of = copies.filter("doc IS NOT NULL").select("doc", "rep").dropDuplicates(["doc"])
 
     # about one word for five bytes, and one key for each element that may differ
+    volume = copies.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(volume / 5 * 1.7 * 2 * (den - num) / (den + num) / KEYS_PER_TASK))
     spread = texts.mapInPandas(_spread_out(rule), TILE).repartition(tasks, "key")
     tiles = cut(spread.mapInPandas(_gather_tiles, TILE))
-    sets = tiles.filter(F.col("kind") == SET).select("doc", "n", "bits").dropDuplicates(["doc"])
-    stars = tiles.filter((F.col("kind") == PAIR) & (F.col("leader") != F.col("doc"))).select("key", "leader", "doc")
+    sets = tiles.filter(F.col("kind") == SET).select("doc", "n").join(rep_of, "doc").select("rep", "n").dropDuplicates(["rep"])
+    starred = (
+        tiles.filter(F.col("kind") == PAIR)
+        .select("key", "leader", "doc")
+        .join(rep_of, "doc")
+        .select("key", F.col("rep").alias("b"), F.col("leader").alias("doc"))
+        .join(rep_of, "doc")
+        .select("key", F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+    )
+    stars = cut(starred.filter("a <> b"))
 
-    shared = stars.groupBy("leader", "doc").agg(F.count("*").alias("k"))
-    best = shared.groupBy(F.col("doc").alias("b")).agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("a"))
-    tried = exact_links(best.select("a", "b"), texts, rule)
+    shared = stars.groupBy("a", "b").agg(F.count("*").alias("k"))
+    best = cut(shared.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b"))
+    tried = exact_links(best, texts, rule)
     links = tried.filter("linked").select("a", "b")
     labels = connected_components(links)
 
-    # tiles that still hold several components
-    seen = _labelled(_labelled(stars, labels, "leader", "at"), labels, "doc", "label")
+    # tiles that still hold several components, those with the same smallest member together
+    seen = _labelled(_labelled(stars, labels, "a", "at"), labels, "b", "label")
     open_keys = seen.filter("at <> label").select("key").distinct()
     inside = stars.join(open_keys, "key", "left_semi")
-    members = cut(inside.select("key", "doc").union(inside.select("key", F.col("leader").alias("doc"))).distinct())
-    sums = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(2))).alias("y"))
-    alike = cut(sums.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    full = _labelled(members.join(alike, "key"), labels, "doc", "label").join(sets, "doc")
-    dealt = full.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")).cast("int"))
-    facing = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "label", "n", "bits"
-    )
-    more = facing.groupBy("key", "i", "j").applyInPandas(_cross_pairs(rule), "a long, b long").distinct()
-    untried = cut(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    again = exact_links(untried, texts, rule).filter("linked").select("a", "b")
-    if not again.isEmpty():
-        labels = connected_components(links.union(again))
-
-    found = digests.join(first.select("digest", "rep"), "digest", "left").join(sets.select(F.col("doc").alias("rep"), "n"), "rep", "left")
-    found = _labelled(found, labels, "rep", "label")
-    return found.select(
+    members = cut(inside.select("key", F.col("b").alias("doc")).union(inside.select("key", F.col("a").alias("doc"))).distinct())
+    homes = members.groupBy("key").agg(F.min("doc").alias("home"))
+    groups = members.join(homes, "key").select("home", "doc").distinct()
+    full = cut(_labelled(groups, labels, "doc", "label"))
+    found = _search_groups(full, texts, rule, 32)
+    checked = exact_links(cut(found.select("a", "b").distinct()), texts, rule)
+    more = checked.filter("linked").select("a", "b")
+    # an overlap that only narrow hashes made large enough: search that group again with whole ones
+    wrong = cut(found.join(checked.filter("NOT linked").select("a", "b"), ["a", "b"]).select("home").distinct())
+    if not wrong.isEmpty():
+        again = _search_groups(cut(full.join(wrong, "home", "left_semi")), texts, rule, 64)
+        more = more.union(again.select("a", "b"))
+    if not more.isEmpty():
+        labels = connected_components(links.union(more))
+
+    named_sets = _labelled(copies.join(sets, "rep", "left"), labels, "rep", "label")
+    size = F.coalesce("n", F.lit(0)).cast("long")
+    return named_sets.select(
         F.col("doc").alias("doc_id"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
-        F.when((F.coalesce("n", F.lit(0)) > 0) & F.col("doc").isNotNull(), F.col("label")).otherwise(F.col("doc")).alias("component_id"),
+        size.alias("n_shingles"),
+        F.when((size > 0) & F.col("doc").isNotNull(), F.col("label")).otherwise(F.col("doc")).alias("component_id"),
     )
