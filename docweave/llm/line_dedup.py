@@ -2,8 +2,8 @@
 
 Lines within ``threshold`` edits (characters inserted, deleted or replaced) of each other fall into one class,
 transitively. A line is cut into threshold + 1 segments, of which a line within the threshold must keep at least
-one; lines are found by their own segments and by those substrings of their text that could be a segment of a
-shorter or equally long line, at the positions that the edits allow. In every bucket of equal segments all lines
+one; lines are found by their own segments and by those substrings of their text that could be a segment of
+another line of about the same length, at the positions that the edits allow. In every bucket of equal segments all lines
 are compared with the smallest line first, one row for each member; buckets that still hold several classes are
 then searched for the remaining pairs, which a parity signature of the characters thins out. Comparisons use a
 banded bit-parallel edit distance over 2 * threshold + 1 diagonals.
@@ -19,6 +19,10 @@ rows whose id is null come first in the order; other columns are ignored (``line
 
 from __future__ import annotations
 
+from functools import reduce
+from math import log
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,35 +31,44 @@ from docweave.llm.shared import SPACES, WORD_RX, cut
 
 THRESHOLD = 2
 MIN_CHARS = 24
+CLASS_RATIO = 1.2
+BROADCAST_IDS = 1_000_000  # 8 MB of ids
+
+
+def _trimmed(raw: Column) -> Column:
+    outer = [f for c in SPACES for f in (raw.startswith(c), raw.endswith(c))]
+    return F.when(reduce(or_, outer), F.btrim(raw, F.lit(SPACES))).otherwise(raw)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "raw"))
-    trimmed = split.select("doc_id", "line_no", F.btrim("raw", F.lit(SPACES)).alias("line")).filter("line <> ''")
+    trimmed = split.select("doc_id", "line_no", _trimmed(F.col("raw")).alias("line")).filter("line <> ''")
     return trimmed.select("*", F.xxhash64("line").alias("id"), F.char_length("line").alias("n_chars"))
 
 
-def segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i of t + 1 even segments, the longer ones last."""
-    base = F.floor(length / (t + 1)).cast("int")
-    longer = length - base * (t + 1)
-    return i * base + F.greatest(F.lit(0), longer + i - (t + 1)), base + F.when(longer + i >= t + 1, 1).otherwise(0)
+def segment_keys(lines: DataFrame, t: int, least: int) -> DataFrame:
+    """(id, key, own): the segments of every line, and its substrings that may be segments of another line.
 
+    Lines of similar length form a class (ratio ``CLASS_RATIO``) whose t + 1 segments have one size, a share of the
+    class's least length, so that they are disjoint in every line of it. The first half of them is placed from the
+    line's start and the rest from its end. With i segments between it and that end, a segment is shifted by i
+    characters at most, or there would be a better one. A line also stands in the class of lines t shorter."""
+    places = [(i, True, i, d) for i in range(t // 2 + 1) for d in range(-i, i + 1)]
+    places += [(i, False, t - i, d) for i in range(t // 2 + 1, t + 1) for d in range(i - t, t - i + 1)]
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(left).alias("left"), F.lit(n).alias("n"), F.lit(d).alias("d"), F.lit(low).alias("low")) for low in (False, True) for i, left, n, d in places])
 
-def segment_keys(t: int, least: int) -> Column:
-    """Array of (key, own): a line's own segments, and its substrings that may be segments of lines up to t shorter."""
-    entries = []
-    for shorter in range(t + 1):
-        length = F.col("n_chars") - shorter
-        for i in range(t + 1):
-            start, size = segment(length, i, t)
-            left, right = max(-i, shorter - (t - i)), min(i, shorter + (t - i))
-            for shift in range(left, right + 1):
-                at = start + shift
-                fits = (length >= least) & (at >= 0) & (at + size <= F.col("n_chars"))
-                key = F.xxhash64(length, F.lit(i), F.substring("line", at + 1, size))
-                entries.append(F.struct(F.when(fits, key).alias("key"), F.lit(shorter == 0 and shift == 0).alias("own")))
-    return F.array(*entries)
+    def length_class(n: Column) -> Column:
+        return F.floor(F.log(n / least) / log(CLASS_RATIO)).cast("int")
+
+    classed = lines.filter(F.col("n_chars") >= least).select(
+        "id", "line", "n_chars", length_class(F.col("n_chars")).alias("high"), length_class(F.greatest(F.lit(least), F.col("n_chars") - t)).alias("low")
+    )
+    placed = classed.select("*", F.explode(entries).alias("e")).filter("NOT e.low OR high <> low")
+    sized = placed.withColumn("class", F.when(F.col("e.low"), F.col("low")).otherwise(F.col("high")))
+    sized = sized.withColumn("size", F.floor(F.floor(least * F.pow(F.lit(CLASS_RATIO), F.col("class"))) / (t + 1)).cast("int"))
+    start = F.when(F.col("e.left"), F.col("e.n") * F.col("size")).otherwise(F.col("n_chars") - (F.col("e.n") + 1) * F.col("size")) + F.col("e.d")
+    at = sized.withColumn("start", start).filter("start >= 0 AND start + size <= n_chars")
+    return at.select("id", F.xxhash64("class", "e.i", F.substring("line", F.col("start") + 1, F.col("size"))).alias("key"), (~F.col("e.low") & (F.col("e.d") == 0)).alias("own"))
 
 
 def parity_signature(line: Column) -> Column:
@@ -143,7 +156,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     t, least = threshold, max(min_chars, 2 * (threshold + 1))
     lines = _lines(docs, id_col, text_col)
     occurrences = cut(lines.select("doc_id", "line_no", "n_chars", "id"))
-    keys = lines.filter(F.col("n_chars") >= least).select("id", F.inline(segment_keys(t, least))).filter("key IS NOT NULL")
+    keys = segment_keys(lines, t, least)
 
     # buckets with two lines, one of them by its own segment
     buckets = cut(
@@ -153,10 +166,10 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
         .select("key", "leader")
     )
     members = cut(keys.join(buckets, "key").groupBy("key", "leader", "id").agg(F.max("own").alias("own")))
-    wanted = members.select("id").distinct()
+    wanted = cut(members.select("id").distinct())
     texts = cut(
         lines.filter(F.col("n_chars") >= least)
-        .join(wanted, "id", "left_semi")
+        .join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
         .select("id", "line", "n_chars")
         .dropDuplicates(["id"])
         .withColumn("signature", parity_signature(F.col("line")))
