@@ -33,7 +33,7 @@ from docweave.llm.shared import cut
 
 TABLES, FUNCTIONS, WIDTH = 6, 8, 2.0
 SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 512, 0.95
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 65_536
 PAIRS_AT_ONCE = 100_000
 
 
