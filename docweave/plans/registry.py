@@ -21,9 +21,5 @@ def query(oracle: str | None = None, name: str | None = None):
     return register
 
 
-for module in ("sources", "tokens", "lines", "layout", "headings", "entries", "fields", "records", "alignment", "metrics", "streams"):
-    try:
-        importlib.import_module(f"docweave.plans.{module}_queries")
-    except ModuleNotFoundError as missing:
-        if missing.name != f"docweave.plans.{module}_queries":
-            raise
+for module in ("sources", "tokens", "lines", "layout", "headings", "entries", "fields", "records", "alignment", "metrics", "streams", "projects"):
+    importlib.import_module(f"docweave.plans.{module}_queries")
