@@ -81,6 +81,15 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+s AS (SELECT doc_id, unnest(g) AS s FROM g), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE 100 * c >= 90 * (len(x.g) + len(y.g) - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, label) AS (SELECT doc_id, doc_id FROM g UNION SELECT e.a, r.label FROM r JOIN e ON e.b = r.node)
+SELECT g.doc_id, CAST(any_value(len(g.g)) AS BIGINT) AS n_shingles, min(r.label) AS component_id FROM g JOIN r ON r.node = g.doc_id GROUP BY g.doc_id
+""",
     "op5_line_dedup": r"""
 WITH RECURSIVE s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
 l AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM s),
