@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.operators import fields as fd
 from docweave.operators.layout import line_vector
 from docweave.plans.entries_queries import ENTRIES, LK, entries, known_lines
+from docweave.plans.layout_queries import LINE_VECTORS
 from docweave.plans.lines_queries import SHIFTED, lines, shifted
 from docweave.plans.registry import query
 from docweave.plans.twins import on_documents, on_resumes
@@ -74,9 +75,11 @@ def merge_date_blocks(spark, sf_dir):
 
 WEIGHTS = [[0.5, -1.0, 0.25, 0.1, 2.0, 1.5, 1.0, -2.0, 0.5, 0.1], [0.1, 0.4, -0.5, 0.2, 0.3, -1.0, 0.2, 2.0, 0.1, 0.7], [-0.3, 0.2, 0.1, 0.9, -0.8, 0.3, 0.4, 0.5, 1.0, -0.6]]
 LABELS = ["HEADING", "BODY", "OTHER"]
+DOTS = ", ".join(f"list_inner_product(v, {w}::DOUBLE[])" for w in WEIGHTS)
 
 
-@query()
+@query(on_resumes(LINE_VECTORS + f""", sc AS (SELECT *, [{DOTS}] AS s FROM lv), ex AS (SELECT *, list_transform(s, lambda x: exp(x - list_max(s))) AS e FROM sc), pb AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS p FROM ex)
+SELECT doc_id, page, line_index, {LABELS}[list_position(p, list_max(p))] AS label, round(list_max(p), 4) AS confidence FROM pb"""))
 def score_segments(spark, sf_dir):
     """The built-in linear scorer over line vectors."""
     return fd.score_segments(line_vector(lines(spark, sf_dir)), F.col("v"), WEIGHTS, LABELS).select("doc_id", "page", "line_index", "label", "confidence")

@@ -62,9 +62,12 @@ def scaled(c):
     return f"CASE WHEN max({c}) OVER d > min({c}) OVER d THEN least(1.0, greatest(0.0, ({c} - min({c}) OVER d) / (max({c}) OVER d - min({c}) OVER d))) ELSE 0.0 END"
 
 
-@query(on_resumes(L + f""", f AS (SELECT doc_id, page, line_index, [{', '.join(scaled(c) for c in ('x0', 'y0', 'x1', 'y1', 'font_median'))}, CAST(CAST(is_bold AS INT) AS DOUBLE), CAST(CAST(is_caps AS INT) AS DOUBLE), least(1.0, n_tokens / 20.0), CAST(CAST(ends_with(text, ':') AS INT) AS DOUBLE),
- (row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index) - 1) / greatest(1, count(*) OVER d - 1)] AS v FROM l WINDOW d AS (PARTITION BY doc_id))
-SELECT doc_id, page, line_index, list_transform(v, lambda x: round(CAST(x AS DOUBLE), 6)) AS v FROM f"""))
+LINE_VECTORS = L + f""", f AS (SELECT doc_id, page, line_index, [{', '.join(scaled(c) for c in ('x0', 'y0', 'x1', 'y1', 'font_median'))}, CAST(CAST(is_bold AS INT) AS DOUBLE), CAST(CAST(is_caps AS INT) AS DOUBLE), least(1.0, n_tokens / 20.0), CAST(CAST(ends_with(text, ':') AS INT) AS DOUBLE),
+ (row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index) - 1) / greatest(1, count(*) OVER d - 1)] AS v FROM l WINDOW d AS (PARTITION BY doc_id)),
+lv AS (SELECT doc_id, page, line_index, list_transform(v, lambda x: round(CAST(x AS DOUBLE), 6)) AS v FROM f)"""
+
+
+@query(on_resumes(LINE_VECTORS + " SELECT * FROM lv"))
 def line_vector10(spark, sf_dir):
     return lo.line_vector(lines(spark, sf_dir))
 
