@@ -149,5 +149,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, with their failing lines removed; the columns of ``docs``."""
-    kept = _measured(docs, text_col).filter("kept")
+    # A filter may not pass the column that is not deterministic: moved below the steps above, it would repeat them
+    # inside each other.
+    kept = _measured(docs, text_col).withColumn("_here", F.spark_partition_id()).filter("kept AND _here >= 0")
     return kept.select(*[(F.col("_clean") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
