@@ -100,16 +100,23 @@ class Rows:
         at = np.repeat(self.start[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return self.flat[at], np.repeat(np.arange(len(rows)), size)
 
+    def parts(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Some rows at a time, with their features as ``take`` gives them."""
+        for i in range(0, len(rows), 500):
+            some = rows[i : i + 500]
+            yield some, *self.take(some)
+
     def logits(self, m: Linear, earlier: np.ndarray) -> np.ndarray:
-        features, row = self.take(np.arange(len(self.start) - 1))
-        return np.bincount(row, m.weights[features], len(self.start) - 1) + earlier @ m.earlier + m.bias
+        sums = [np.bincount(row, m.weights[features], len(some)) for some, features, row in self.parts(np.arange(len(self.start) - 1))]
+        return np.concatenate(sums) + earlier @ m.earlier + m.bias
 
 
 def select(x: Rows, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The features whose share of the category is furthest from the category's own share, in standard deviations."""
-    features, row = x.take(rows)
-    docs = np.bincount(features, minlength=1 << DIM_BITS)
-    hits = np.bincount(features, y[rows][row], 1 << DIM_BITS)
+    docs, hits = np.zeros(1 << DIM_BITS), np.zeros(1 << DIM_BITS)
+    for some, features, row in x.parts(rows):
+        docs += np.bincount(features, minlength=1 << DIM_BITS)
+        hits += np.bincount(features, y[some][row], 1 << DIM_BITS)
     share = y[rows].mean()
     z = np.abs(hits - docs * share) / np.sqrt(np.maximum(1, docs) * share * (1 - share) + 1e-12)
     order = np.argsort(-z, kind="stable")[:SELECTED]
@@ -125,9 +132,12 @@ def fit_linear(x: Rows, rows: np.ndarray, y: np.ndarray, earlier: np.ndarray, se
     chosen = select(x, rows, y)
     place = np.full(1 << DIM_BITS, -1)
     place[chosen] = np.arange(len(chosen))
-    features, row = x.take(rows)
-    keep = place[features] >= 0
-    small = Rows(place[features[keep]], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(rows)))]))
+    flat, sizes = [], []
+    for some, features, row in x.parts(rows):
+        keep = place[features] >= 0
+        flat.append(place[features[keep]].astype(np.int32))
+        sizes.append(np.bincount(row[keep], minlength=len(some)))
+    small = Rows(np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
     w, seen, seen_earlier, seen_bias = np.zeros(len(chosen)), np.full(len(chosen), 1e-6), np.full(earlier.shape[1], 1e-6), 1e-6
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
@@ -180,11 +190,12 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
         return Chain(tuple(categories), [], [])
     size = np.array([len(r.features) // 4 for r in got], np.int64)
     x = Rows(np.frombuffer(b"".join(r.features for r in got), np.int32), np.concatenate([[0], np.cumsum(size)]))
-    everyone, fold = np.arange(len(got)), np.arange(len(got)) % FOLDS
-    earlier, models, thresholds = np.zeros((len(got), 0)), [], []
-    for i in range(len(categories)):
-        y = np.array([r[f"y{i}"] for r in got])
-        outside = np.zeros(len(got))
+    n, truth = len(got), [np.array([r[f"y{i}"] for r in got]) for i in range(len(categories))]
+    del got
+    everyone, fold = np.arange(n), np.arange(n) % FOLDS
+    earlier, models, thresholds = np.zeros((n, 0)), [], []
+    for y in truth:
+        outside = np.zeros(n)
         for f in range(FOLDS):
             m = fit_linear(x, everyone[fold != f], y, earlier)
             outside[fold == f] = _sigmoid(x.logits(m, earlier))[fold == f]
