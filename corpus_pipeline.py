@@ -10,9 +10,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docweave.llm import language_id, line_dedup, ngram_join, packing, quality
-from docweave.llm.shared import bounded_batches, ensure_checkpoint_dir, table
+from docweave.llm.shared import bounded_batches, cut, ensure_checkpoint_dir, one_of_each, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +34,18 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id, a null id being smaller still.
+
+    Rows are told apart by id and text; of rows that agree in both one stays."""
     bounded_batches(spark)
-    groups = ngram_join.ngram_components(docs, n=5, num=8, den=10)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    docs = one_of_each(docs, "doc_id", "text")
+    row = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
+    groups = cut(ngram_join.ngram_components(docs.select(row.alias("doc_id"), "text"), n=5, num=8, den=10).select(F.col("doc_id").alias("_row"), "component_id"))
+    several = groups.filter("component_id <> _row").select("component_id").distinct()
+    members = groups.join(several, "component_id", "left_semi").join(docs.select(row.alias("_row"), F.col("doc_id").alias("id")), "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", "_row")).alias("first"))
+    gone = members.join(first, "component_id").filter("_row <> first._row").select("_row").distinct()
+    return docs.join(gone, row == gone["_row"], "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ Lines are trimmed of white space. Lines under ``min_chars`` characters match onl
 The first line of a class, by document and line number, stays.
 
 Defined results: null, empty and blank texts have no lines; lines are known by a 64-bit hash of their text; an
-empty table gives an empty result; rows that repeat an id are treated as further lines of that document, and
-rows whose id is null come first in the order; other columns are ignored (``line_classes``) or kept
-(``dedup_lines``).
+empty table gives an empty result; rows that repeat an id are treated as further lines of that document
+(``line_classes``) or as documents of their own (``dedup_lines``), and rows whose id is null come first in the
+order; other columns are ignored (``line_classes``) or kept (``dedup_lines``).
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.components import connected_components
-from docweave.llm.shared import SPACES, WORD_RX, cut
+from docweave.llm.shared import SPACES, WORD_RX, cut, one_of_each, text_key
 
 THRESHOLD = 2
 MIN_CHARS = 24
@@ -210,16 +210,22 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without their repeated lines; documents of which no line with a word is left go."""
+    """``docs`` without their repeated lines; documents of which no line with a word is left go.
+
+    Rows are told apart by id and text, so that rows with a null id or one id keep their own lines; of rows that
+    agree in both one stays."""
+    docs = one_of_each(docs, id_col, text_col)
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key")).alias("doc_id"), F.col(text_col).alias("text"))
     gone = (
-        line_classes(docs, threshold, min_chars, id_col, text_col)
+        line_classes(keyed, threshold, min_chars)
         .filter("NOT keep")
-        .groupBy(F.col("doc_id").alias("_id"))
+        .groupBy("doc_id")
         .agg(F.collect_set("line_no").alias("_gone"))
+        .select(F.col("doc_id.id").alias("_id"), F.col("doc_id.text_key").alias("_text_key"), "_gone")
     )
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left")
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (text_key(docs[text_col]) == gone["_text_key"]), "left")
     cleaned = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left))
     kept = cleaned.filter(F.col("_gone").isNull() | F.col("_kept").rlike(WORD_RX))
     return kept.select(*[(F.col("_kept") if c == text_col else docs[c]).alias(c) for c in docs.columns])

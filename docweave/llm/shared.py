@@ -41,6 +41,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each group that agrees in id (null is a value) and text; texts without a word all stay."""
+    keyed = docs.select("*", F.col(id_col).alias("_own_id"), text_key(F.col(text_col)).alias("_own_text"))
+    worded = keyed.filter(F.coalesce(F.col(text_col), F.lit("")).rlike(WORD_RX))
+    repeated = cut(worded.groupBy("_own_id", "_own_text").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_own_id").alias("_id"), F.col("_own_text").alias("_text")))
+    if repeated.isEmpty():
+        return docs
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_text") == F.col("_text"))
+    single = keyed.join(repeated, same, "left_anti")
+    return single.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["_own_id", "_own_text"])).select(*docs.columns)
+
+
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of a text, which tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

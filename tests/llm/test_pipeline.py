@@ -61,3 +61,21 @@ def test_stages_on_an_empty_table(spark):
         assert docs.count() == 0
         if "text" not in docs.columns:
             break
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    rnd = random.Random(4)
+    a, b, c, d = (prose(rnd, "aa", 90) for _ in range(4))
+    repeat = prose(rnd, "bb", 17).split("\n")[0]
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (1, repeat + "\n" + a[::-1]), (None, repeat + "\n" + b[::-1]), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in rows], SCHEMA)
+    kept = cp.line_dedup_stage(spark, docs, "").collect()
+    # the null id comes first and keeps the repeated line; no other row loses a line by it
+    expected = [(None, a), (None, b), (7, c), (7, d), (1, a[::-1]), (None, repeat + "\n" + b[::-1]), (8, None), (8, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(expected, key=str)
+
+    near = c.replace(c.split(" ")[40], "changed", 1)
+    rows = [(None, a), (None, a), (5, a), (7, c), (7, d), (7, d), (3, near), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in rows], SCHEMA)
+    kept = cp.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, a), (3, near), (7, d), (8, None), (8, None)], key=str)
