@@ -8,8 +8,8 @@ are compared with the smallest line first, one row for each member; buckets that
 then searched for the remaining pairs, which a parity signature of the characters thins out. Comparisons use a
 banded bit-parallel edit distance over 2 * threshold + 1 diagonals.
 
-Lines are trimmed of white space. Lines under ``min_chars`` characters match only exactly, and are never removed.
-The first line of a class, by document and line number, stays.
+Lines are trimmed of white space. Lines under ``min_chars`` characters match only exactly, and go only with a document
+that has no first line of a class left. The first line of a class, by document and line number, stays.
 
 Defined results: null, empty and blank texts have no lines; lines are known by a 64-bit hash of their text; an
 empty table gives an empty result; rows that repeat an id are treated as further lines of that document
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.components import connected_components
-from docweave.llm.shared import SPACES, WORD_RX, cut, one_of_each, text_key
+from docweave.llm.shared import SPACES, cut, one_of_each, text_key
 
 THRESHOLD = 2
 MIN_CHARS = 24
@@ -210,22 +210,23 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without their repeated lines; documents of which no line with a word is left go.
+    """``docs`` without their repeated lines; documents all of whose lines repeat earlier ones go, short lines included.
 
-    Rows are told apart by id and text, so that rows with a null id or one id keep their own lines; of rows that
-    agree in both one stays."""
+    Short lines stay in a document of which some line is the first of its class. Rows are told apart by id and
+    text, so that rows with a null id or one id keep their own lines; of rows that agree in both one stays."""
     docs = one_of_each(docs, id_col, text_col)
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key")).alias("doc_id"), F.col(text_col).alias("text"))
+    own = F.struct("doc_id", "line_no").eqNullSafe(F.struct("first_doc_id", "first_line_no"))
     gone = (
         line_classes(keyed, threshold, min_chars)
-        .filter("NOT keep")
         .groupBy("doc_id")
-        .agg(F.collect_set("line_no").alias("_gone"))
-        .select(F.col("doc_id.id").alias("_id"), F.col("doc_id.text_key").alias("_text_key"), "_gone")
+        .agg(F.collect_set(F.when(~F.col("keep"), F.col("line_no"))).alias("_gone"), F.max(own).alias("_own"))
+        .filter("NOT _own OR size(_gone) > 0")
+        .select(F.col("doc_id.id").alias("_id"), F.col("doc_id.text_key").alias("_text_key"), "_gone", "_own")
     )
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (text_key(docs[text_col]) == gone["_text_key"]), "left")
     cleaned = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left))
-    kept = cleaned.filter(F.col("_gone").isNull() | F.col("_kept").rlike(WORD_RX))
+    kept = cleaned.filter(F.col("_gone").isNull() | F.col("_own"))
     return kept.select(*[(F.col("_kept") if c == text_col else docs[c]).alias(c) for c in docs.columns])

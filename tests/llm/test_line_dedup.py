@@ -83,6 +83,14 @@ def test_dedup_lines(spark):
     assert ld.line_classes(docs.limit(0)).count() == 0
 
 
+def test_documents_of_which_only_short_repeats_are_left_go(spark):
+    line = "This is a line that is long enough to be compared."
+    rows = [(1, line + "\nshort"), (2, line + "\nshort"), (3, "short\n" + line + "\nnew"), (4, "short"), (None, "short\nfirst")]
+    docs = spark.createDataFrame([(i, t, 7, 8, "k", 9) for i, t in rows], SCHEMA)
+    kept = {r.doc_id: r.text for r in ld.dedup_lines(docs).collect()}
+    assert kept == {1: line + "\nshort", 3: "short\nnew", None: "short\nfirst"}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(2, 40)] + [(500, 400), (400, 300), (7, 7)]
     found = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
