@@ -3,7 +3,8 @@
 Equal texts form one group. Groups are ordered by the md5 of their text and cut into 65,536 atoms by its first
 four hex digits, so equal texts always fall into one atom and the list of atom sizes has a fixed bound. The
 smallest feasible shard capacity over that ordered list is found by binary search with a greedy check, and the
-list is cut there. Only the atom totals (at most 65,536 rows) reach the driver.
+list is cut there; around an atom of that size the search is repeated with the shards left, so that all shards
+are used. Only the atom totals (at most 65,536 rows) reach the driver.
 
 Defined results: a null text counts as empty (size 1, crc32 0); an empty table gives an empty result; rows that
 repeat a doc_id keep one slot each; other columns of the input, whatever their names, are ignored.
@@ -11,7 +12,7 @@ repeat a doc_id keep one slot each; other columns of the input, whatever their n
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,18 +36,77 @@ def greedy_cuts(prefix: list[int], capacity: int, limit: int) -> list[int] | Non
 
 
 def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
-    """The smallest capacity with which ``shards`` contiguous runs hold all atoms, and where the runs start."""
+    """The smallest capacity with which ``shards`` contiguous runs hold all atoms, and where the runs start.
+
+    As many runs as there are shards or atoms are used. An atom as large as the capacity gets a run of its own
+    where the others fit into the runs left, and the search goes on over the stretches between such atoms."""
     if not sizes:
         return 0, []
-    prefix = [0, *accumulate(sizes)]
-    low, high = max(max(sizes), -(-prefix[-1] // shards)), prefix[-1]
+    stretches, alone = [(0, len(sizes))], []
+    capacity = bound = _least_capacity(sizes, stretches, shards)
+    while (split := _without_heaviest(sizes, stretches, shards - len(alone), bound)) is not None:
+        at, stretches, bound = split
+        alone.append(at)
+    return capacity, sorted([*alone, *_even_cuts(sizes, stretches, shards - len(alone), bound)])
+
+
+def _least_capacity(sizes: list[int], stretches: list[tuple[int, int]], shards: int) -> int:
+    """The smallest capacity with which ``shards`` runs, none across a stretch's end, hold all stretches; 0 without any."""
+    prefixes = [[0, *accumulate(sizes[a:b])] for a, b in stretches]
+    total = sum(p[-1] for p in prefixes)
+    low, high = max((max(sizes[a:b]) for a, b in stretches), default=0), total
+    low = max(low, -(-total // max(1, shards)))
     while low < high:
-        middle = (low + high) // 2
-        if greedy_cuts(prefix, middle, shards) is None:
+        middle, left = (low + high) // 2, shards
+        for p in prefixes:
+            left -= len(greedy_cuts(p, middle, max(left, 0)) or range(left + 1))
+        if left < 0:
             low = middle + 1
         else:
             high = middle
-    return low, greedy_cuts(prefix, low, shards)
+    return low
+
+
+def _without_heaviest(sizes: list[int], stretches: list[tuple[int, int]], shards: int, capacity: int) -> tuple[int, list[tuple[int, int]], int] | None:
+    """An atom of the capacity's size, the stretches without it and their capacity, if one run less holds them within ``capacity``."""
+    for k, (a, b) in enumerate(stretches):
+        for at in range(a, b):
+            if sizes[at] == capacity:
+                parts = [(x, y) for x, y in ((a, at), (at + 1, b)) if x < y]
+                rest = [*stretches[:k], *parts, *stretches[k + 1 :]]
+                if len(rest) < shards and (least := _least_capacity(sizes, rest, shards - 1)) <= capacity:
+                    return at, rest, least
+    return None
+
+
+def _even_cuts(sizes: list[int], stretches: list[tuple[int, int]], shards: int, capacity: int) -> list[int]:
+    """Starts of runs within ``capacity``: first as many as each stretch needs, then one more where runs are largest."""
+    prefixes = [[0, *accumulate(sizes[a:b])] for a, b in stretches]
+    runs = [len(greedy_cuts(p, capacity, len(p))) for p in prefixes]
+    for _ in range(shards - sum(runs)):
+        wide = [k for k, p in enumerate(prefixes) if runs[k] < len(p) - 1]
+        if wide:
+            runs[max(wide, key=lambda k: prefixes[k][-1] / runs[k])] += 1
+    return [a + i for (a, _), p, n in zip(stretches, prefixes, runs, strict=True) for i in _even_runs(p, n, capacity)]
+
+
+def _even_runs(prefix: list[int], runs: int, capacity: int) -> list[int]:
+    """Starts of exactly ``runs`` runs within ``capacity``, each cut as near as can be to the average of what is left."""
+    n = len(prefix) - 1
+    latest = [n]  # latest[k]: the first place from which k runs reach the end
+    for _ in range(runs):
+        latest.append(bisect_left(prefix, prefix[latest[-1]] - capacity))
+    starts, at = [], 0
+    for left in range(runs, 0, -1):
+        starts.append(at)
+        low = max(at + 1, latest[left - 1])
+        high = min(bisect_right(prefix, prefix[at] + capacity) - 1, n - left + 1)
+        goal = prefix[at] + (prefix[-1] - prefix[at]) / left
+        end = bisect_left(prefix, goal)
+        if end > 0 and goal - prefix[end - 1] < prefix[min(end, n)] - goal:
+            end -= 1
+        at = min(max(end, low), high)
+    return starts
 
 
 def _shard_of(atom: Column, first_atoms: list[int]) -> Column:

@@ -42,6 +42,26 @@ def test_minimax_capacity_equals_brute_force():
     assert sharding.minimax_cuts([], 4) == (0, [])
 
 
+def test_a_hot_atom_leaves_the_other_shards_even():
+    rnd = random.Random(9)
+    for share in (3, 8):
+        sizes = [rnd.randint(1, 200) for _ in range(3000)]
+        hot = sum(sizes) // (share - 1)
+        sizes.insert(900, hot)
+        capacity, starts = sharding.minimax_cuts(sizes, 16)
+        at = [*starts, len(sizes)]
+        loads = sorted(sum(sizes[a:b]) for a, b in zip(at, at[1:], strict=False))
+        assert len(loads) == 16 and loads[-1] == capacity == hot
+        assert loads[-2] < 1.15 * sum(loads[:-1]) / 15
+    for _ in range(300):  # within the capacity, and as many runs as there are shards or atoms
+        sizes = [rnd.choice([1, 2, 3, 30, 60]) for _ in range(rnd.randint(1, 12))]
+        k = rnd.randint(1, 6)
+        capacity, starts = sharding.minimax_cuts(sizes, k)
+        at = [*starts, len(sizes)]
+        assert len(starts) == min(k, len(sizes)) and starts == sorted(set(starts)) and starts[0] == 0
+        assert max(sum(sizes[a:b]) for a, b in zip(at, at[1:], strict=False)) == capacity == brute_capacity(sizes, k)
+
+
 def test_sharding_contract(spark):
     rnd = random.Random(1)
     texts = ODD + ["hot copy"] * 3000 + ["".join(rnd.choice("abc é") for _ in range(rnd.randint(1, 90))) for _ in range(2000)]
