@@ -1,72 +1,116 @@
 """Operator 5: line deduplication by a segment-partition edit join, with DataFrame functions only.
 
-Lines within ``threshold`` edits (characters inserted, deleted or replaced) of each other fall into one class,
-transitively. A line is cut into threshold + 1 segments, of which a line within the threshold must keep at least
-one; lines are found by their own segments and by those substrings of their text that could be a segment of
-another line of about the same length, at the positions that the edits allow. In every bucket of equal segments all lines
-are compared with the smallest line first, one row for each member; buckets that still hold several classes are
-then searched for the remaining pairs, which a parity signature of the characters thins out. Comparisons use a
-banded bit-parallel edit distance over 2 * threshold + 1 diagonals.
-
-Lines are trimmed of white space. Lines under ``min_chars`` characters match only exactly, and go only with a document
-that has no first line of a class left. The first line of a class, by document and line number, stays.
+Two lines are alike if they lie within a threshold of edits (characters inserted, deleted or replaced) that the
+length of the shorter one sets (``THRESHOLDS``): none under 24 characters, 2 from 24, 4 from 160. Alike lines fall
+into one class, transitively. A line is cut into threshold + 1 segments, of which a line within the threshold must
+keep at least one; lines are found by their own segments and by those substrings of their text that could be a
+segment of another line of about the same length, at the positions that the edits allow. In every bucket of equal
+segments all lines are compared with the smallest line first, one row for each member; buckets that still hold
+several classes are then searched for the remaining pairs, by length and in blocks of ``BLOCK`` lines, which a
+parity signature of the characters thins out. Comparisons use a banded bit-parallel edit distance over
+2 * threshold + 1 diagonals.
+
+Lines are trimmed of white space. The first line of a class, by document and line number, stays.
 
 Defined results: null, empty and blank texts have no lines; lines are known by a 64-bit hash of their text; an
-empty table gives an empty result; rows that repeat an id are treated as further lines of that document
-(``line_classes``) or as documents of their own (``dedup_lines``), and rows whose id is null come first in the
-order; other columns are ignored (``line_classes``) or kept (``dedup_lines``).
+empty table gives an empty result; rows are told apart by id and text, so that rows of one id or without id are
+documents of their own, those without id first in the order, and rows that agree in both count as one document
+(``line_classes`` returns their lines as often as they are given, ``dedup_lines`` keeps one); other columns are
+ignored (``line_classes``) or kept (``dedup_lines``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import log
+from math import floor
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.components import connected_components
-from docweave.llm.shared import SPACES, cut, one_of_each, text_key
+from docweave.llm.shared import SPACES, cut, hot_keys, join_hot, one_of_each, row_named, text_key
 
-THRESHOLD = 2
-MIN_CHARS = 24
+#: The least length from which lines may differ, and by how many edits.
+THRESHOLDS = ((24, 2), (160, 4))
 CLASS_RATIO = 1.2
+LONGEST = 1 << 31
+BLOCK = 1024
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 
 
+def length_classes(thresholds: tuple[tuple[int, int], ...]) -> list[tuple[int, int]]:
+    """(least length, threshold) of every class of lengths; a class never spans a change of the threshold."""
+    out = []
+    for (low, t), (end, _) in zip(thresholds, [*thresholds[1:], (LONGEST, 0)], strict=True):
+        if low < 2 * (t + 1):
+            raise ValueError("a line must hold two characters for each segment")
+        while low < end:
+            out.append((low, t))
+            low = max(low + 1, floor(low * CLASS_RATIO))
+    return out
+
+
+def threshold_of(n_chars: Column, thresholds: tuple[tuple[int, int], ...]) -> Column:
+    t = F.lit(0)
+    for low, edits in thresholds:
+        t = F.when(n_chars >= low, F.lit(edits)).otherwise(t)
+    return t
+
+
 def _trimmed(raw: Column) -> Column:
     outer = [f for c in SPACES for f in (raw.startswith(c), raw.endswith(c))]
     return F.when(reduce(or_, outer), F.btrim(raw, F.lit(SPACES))).otherwise(raw)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "raw"))
-    trimmed = split.select("doc_id", "line_no", _trimmed(F.col("raw")).alias("line")).filter("line <> ''")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    split = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
+    trimmed = split.select("doc_id", "text_key", "line_no", _trimmed(F.col("raw")).alias("line")).filter("line <> ''")
     return trimmed.select("*", F.xxhash64("line").alias("id"), F.char_length("line").alias("n_chars"))
 
 
-def segment_keys(lines: DataFrame, t: int, least: int) -> DataFrame:
-    """(id, key, own): the segments of every line, and its substrings that may be segments of another line.
+def _places(t: int) -> list[tuple[int, bool, int, int]]:
+    """(segment, counted from the line's start, place from that end, shift) of the substrings that stand for segments.
 
-    Lines of similar length form a class (ratio ``CLASS_RATIO``) whose t + 1 segments have one size, a share of the
-    class's least length, so that they are disjoint in every line of it. The first half of them is placed from the
-    line's start and the rest from its end. With i segments between it and that end, a segment is shifted by i
-    characters at most, or there would be a better one. A line also stands in the class of lines t shorter."""
+    With i segments between it and that end, a segment is shifted by i characters at most, or there would be a
+    better one."""
     places = [(i, True, i, d) for i in range(t // 2 + 1) for d in range(-i, i + 1)]
-    places += [(i, False, t - i, d) for i in range(t // 2 + 1, t + 1) for d in range(i - t, t - i + 1)]
-    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(left).alias("left"), F.lit(n).alias("n"), F.lit(d).alias("d"), F.lit(low).alias("low")) for low in (False, True) for i, left, n, d in places])
+    return places + [(i, False, t - i, d) for i in range(t // 2 + 1, t + 1) for d in range(i - t, t - i + 1)]
 
-    def length_class(n: Column) -> Column:
-        return F.floor(F.log(n / least) / log(CLASS_RATIO)).cast("int")
 
-    classed = lines.filter(F.col("n_chars") >= least).select(
-        "id", "line", "n_chars", length_class(F.col("n_chars")).alias("high"), length_class(F.greatest(F.lit(least), F.col("n_chars") - t)).alias("low")
-    )
-    placed = classed.select("*", F.explode(entries).alias("e")).filter("NOT e.low OR high <> low")
-    sized = placed.withColumn("class", F.when(F.col("e.low"), F.col("low")).otherwise(F.col("high")))
-    sized = sized.withColumn("size", F.floor(F.floor(least * F.pow(F.lit(CLASS_RATIO), F.col("class"))) / (t + 1)).cast("int"))
-    start = F.when(F.col("e.left"), F.col("e.n") * F.col("size")).otherwise(F.col("n_chars") - (F.col("e.n") + 1) * F.col("size")) + F.col("e.d")
+def segment_keys(lines: DataFrame, thresholds: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(id, key, own): the segments of every line, and its substrings that may be segments of another line.
+
+    Lines of similar length form a class (ratio ``CLASS_RATIO``) whose t + 1 segments have one size, a share of the
+    class's least length, so that they are disjoint in every line of it. The first half of them is placed from the
+    line's start and the rest from its end. A line also stands in the class of lines t shorter."""
+    classes = length_classes(thresholds)
+    lows = F.array(*[F.lit(low) for low, _ in classes])
+    struct = F.struct
+
+    def placed(t: int, low: bool) -> Column:
+        return F.array(*[struct(F.lit(i).alias("i"), F.lit(left).alias("left"), F.lit(n).alias("n"), F.lit(d).alias("d"), F.lit(low).alias("low")) for i, left, n, d in _places(t)])
+
+    def class_of(n: Column) -> Column:
+        return F.size(F.filter(lows, lambda x: x <= n)) - 1
+
+    n = F.col("n_chars")
+    nearest = F.greatest(F.lit(classes[0][0]), n - threshold_of(n, thresholds))
+    classed = lines.filter(n >= classes[0][0]).select("id", "line", "n_chars", class_of(n).alias("high"), class_of(nearest).alias("low"))
+    sizes = F.array(*[F.lit(low // (t + 1)) for low, t in classes])
+    tiers = sorted({t for _, t in classes})
+    limits = F.array(*[F.lit(t) for _, t in classes])
+
+    def entries(at: str, low: bool) -> Column:
+        out = placed(tiers[0], low)
+        for t in tiers[1:]:
+            out = F.when(F.get(limits, F.col(at)) == t, placed(t, low)).otherwise(out)
+        return out
+
+    both = F.when(F.col("high") == F.col("low"), entries("high", False)).otherwise(F.concat(entries("high", False), entries("low", True)))
+    sized = classed.select("*", F.explode(both).alias("e")).withColumn("class", F.when(F.col("e.low"), F.col("low")).otherwise(F.col("high"))).withColumn("size", F.get(sizes, F.col("class")))
+    start = F.when(F.col("e.left"), F.col("e.n") * F.col("size")).otherwise(n - (F.col("e.n") + 1) * F.col("size")) + F.col("e.d")
     at = sized.withColumn("start", start).filter("start >= 0 AND start + size <= n_chars")
     return at.select("id", F.xxhash64("class", "e.i", F.substring("line", F.col("start") + 1, F.col("size"))).alias("key"), (~F.col("e.low") & (F.col("e.d") == 0)).alias("own"))
 
@@ -138,12 +182,22 @@ def edit_distance(a: str, b: str, t: int) -> Column:
     return F.when((m - n > t) | (n <= t), F.lit(t + 1)).otherwise(_let(chars, compare))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
-    """The pairs (a, b) of line ids within ``t`` edits."""
+def _close(n_a: Column, n_b: Column, sig_a: Column, sig_b: Column, thresholds: tuple[tuple[int, int], ...]) -> Column:
+    """Whether lengths and signatures allow two lines to be alike."""
+    t = threshold_of(F.least(n_a, n_b), thresholds)
+    return (F.abs(n_a - n_b) <= t) & (F.bit_count(sig_a.bitwiseXOR(sig_b)) <= 2 * t)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, thresholds: tuple[tuple[int, int], ...]) -> DataFrame:
+    """The pairs (a, b) of line ids that are alike."""
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("signature").alias("sig_a")), "a")
     with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("signature").alias("sig_b")), "b")
-    near = with_both.filter(F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 2 * t)
-    return cut(near.filter(edit_distance("line_a", "line_b", t) <= t).select("a", "b"))
+    n_a, n_b = F.char_length("line_a"), F.char_length("line_b")
+    near = with_both.filter(_close(n_a, n_b, F.col("sig_a"), F.col("sig_b"), thresholds))
+    tier, alike = threshold_of(F.least(n_a, n_b), thresholds), F.lit(False)
+    for t in sorted({t for _, t in thresholds}):
+        alike = F.when(tier == t, edit_distance("line_a", "line_b", t) <= t).otherwise(alike)
+    return cut(near.filter(alike).select("a", "b"))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, id_col: str, out: str) -> DataFrame:
@@ -151,12 +205,29 @@ def _labelled(rows: DataFrame, labels: DataFrame, id_col: str, out: str) -> Data
     return joined.withColumn(out, F.coalesce(out, id_col))
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no, n_chars, line_id, class_id, first_doc_id, first_line_no, keep for every line with a word."""
-    t, least = threshold, max(min_chars, 2 * (threshold + 1))
+def _facing(rest: DataFrame, widest: int, thresholds: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(a, b): lines of one bucket and different labels that lengths and signatures allow to be alike. Lines meet by
+    length; many lines of one bucket and length are dealt into blocks, so that no key holds more than BLOCK of each side."""
+    x = rest.filter("own").withColumn("n", F.col("n_chars"))
+    y = rest.withColumn("n", F.explode(F.sequence(F.col("n_chars") - widest, F.col("n_chars") + widest)))
+    blocks = (
+        x.groupBy("key", "n").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
+        .join(y.groupBy("key", "n").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("columns")), ["key", "n"])
+    )
+    mine = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20))
+    x = x.join(blocks, ["key", "n"]).withColumn("i", F.pmod(mine, F.col("rows"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).alias("x")
+    y = y.join(blocks, ["key", "n"]).withColumn("j", F.pmod(mine, F.col("columns"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("y")
+    same_place = (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    other = (F.col("x.label") != F.col("y.label")) & (~F.col("y.own") | (F.col("x.id") < F.col("y.id")))
+    close = _close(F.col("x.n_chars"), F.col("y.n_chars"), F.col("x.signature"), F.col("y.signature"), thresholds)
+    return x.join(y, same_place & other & close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def line_classes(docs: DataFrame, thresholds: tuple[tuple[int, int], ...] = THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, line_no, n_chars, line_id, class_id, first_doc_id, first_text_key, first_line_no, keep for every line with a word."""
     lines = _lines(docs, id_col, text_col)
-    occurrences = cut(lines.select("doc_id", "line_no", "n_chars", "id"))
-    keys = segment_keys(lines, t, least)
+    occurrences = cut(lines.select("doc_id", "text_key", "line_no", "n_chars", "id"))
+    keys = segment_keys(lines, thresholds)
 
     # buckets with two lines, one of them by its own segment
     buckets = cut(
@@ -168,65 +239,58 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     members = cut(keys.join(buckets, "key").groupBy("key", "leader", "id").agg(F.max("own").alias("own")))
     wanted = cut(members.select("id").distinct())
     texts = cut(
-        lines.filter(F.col("n_chars") >= least)
-        .join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
+        lines.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
         .select("id", "line", "n_chars")
         .dropDuplicates(["id"])
         .withColumn("signature", parity_signature(F.col("line")))
     )
 
     stars = members.filter("leader <> id").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-    links = _verified(stars, texts, t)
+    links = _verified(stars, texts, thresholds)
     labels = connected_components(links)
 
     seen = _labelled(_labelled(members.select("key", "leader", "id", "own"), labels, "leader", "at"), labels, "id", "label")
     open_keys = seen.filter("at <> label").select("key").distinct()
     rest = cut(seen.join(open_keys, "key", "left_semi").join(texts.select("id", "n_chars", "signature"), "id").select("key", "id", "own", "label", "n_chars", "signature"))
-    x, y = rest.filter("own").alias("x"), rest.alias("y")
-    facing = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (~F.col("y.own") | (F.col("x.id") < F.col("y.id")))
-        & (F.abs(F.col("x.n_chars") - F.col("y.n_chars")) <= t)
-        & (F.bit_count(F.col("x.signature").bitwiseXOR(F.col("y.signature"))) <= 2 * t)
-    )
-    cross = x.join(y, facing).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = _verified(cross.join(stars, ["a", "b"], "left_anti"), texts, t)
+    cross = _facing(rest, max(t for _, t in thresholds), thresholds)
+    more = _verified(cross.join(stars, ["a", "b"], "left_anti"), texts, thresholds)
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 
-    classed = _labelled(occurrences, labels, "id", "class_id")
-    first = classed.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return classed.join(first, "class_id").select(
+    # the first place of each line, then of each class, then back to the lines
+    place = F.struct("doc_id", "text_key", "line_no")
+    classed = cut(_labelled(occurrences.groupBy("id").agg(F.min(place).alias("own_first")), labels, "id", "class_id"))
+    first = classed.groupBy("class_id").agg(F.min("own_first").alias("first"))
+    told = cut(join_hot(classed, first, "class_id", hot_keys(classed, "class_id")).select("id", "class_id", "first"))
+    return join_hot(occurrences, told, "id", hot_keys(occurrences, "id")).select(
         "doc_id",
+        "text_key",
         "line_no",
         "n_chars",
         F.col("id").alias("line_id"),
         "class_id",
         F.col("first.doc_id").alias("first_doc_id"),
+        F.col("first.text_key").alias("first_text_key"),
         F.col("first.line_no").alias("first_line_no"),
-        (F.struct("doc_id", "line_no").eqNullSafe(F.col("first")) | (F.col("n_chars") < min_chars)).alias("keep"),
+        place.eqNullSafe(F.col("first")).alias("keep"),
     )
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without their repeated lines; documents all of whose lines repeat earlier ones go, short lines included.
-
-    Short lines stay in a document of which some line is the first of its class. Rows are told apart by id and
-    text, so that rows with a null id or one id keep their own lines; of rows that agree in both one stays."""
+def dedup_lines(docs: DataFrame, thresholds: tuple[tuple[int, int], ...] = THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without their repeated lines; documents all of whose lines repeat earlier ones go."""
     docs = one_of_each(docs, id_col, text_col)
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key")).alias("doc_id"), F.col(text_col).alias("text"))
-    own = F.struct("doc_id", "line_no").eqNullSafe(F.struct("first_doc_id", "first_line_no"))
     gone = (
-        line_classes(keyed, threshold, min_chars)
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.when(~F.col("keep"), F.col("line_no"))).alias("_gone"), F.max(own).alias("_own"))
-        .filter("NOT _own OR size(_gone) > 0")
-        .select(F.col("doc_id.id").alias("_id"), F.col("doc_id.text_key").alias("_text_key"), "_gone", "_own")
+        line_classes(docs, thresholds, id_col, text_col)
+        .groupBy(F.col("doc_id").alias("id"), "text_key")
+        .agg(F.collect_set(F.when(~F.col("keep"), F.col("line_no"))).alias("gone"), F.max("keep").alias("some"))
+        .filter("size(gone) > 0")
+        .withColumnRenamed("text_key", "key")
     )
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (text_key(docs[text_col]) == gone["_text_key"]), "left")
-    cleaned = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left))
-    kept = cleaned.filter(F.col("_gone").isNull() | F.col("_own"))
-    return kept.select(*[(F.col("_kept") if c == text_col else docs[c]).alias(c) for c in docs.columns])
+    text = F.col(f"row.`{text_col}`")
+    rows = row_named(docs, "row").withColumn("text_key", text_key(text))
+    joined = rows.join(gone, F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left").filter("gone IS NULL OR some")
+    lines = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(left)
+    return joined.select(*[(cleaned if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

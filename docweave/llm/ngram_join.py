@@ -7,18 +7,21 @@ space is cut into more than K ranges, and a linked pair must agree on one whole
 documents of a band that agree on one range. As K + 1 + E ranges are cut, a pair agrees on more than E, so a
 document with at most E empty ranges needs no tile for its empty ones.
 
-1. Exact copies are joined by digest; below, all copies of a text stand for the smallest id among them.
-2. In a tile every document is paired with the smallest one (first in the map task, then over all), which costs
-   one row for each member. For every document the partner with most common tiles is compared exactly.
+1. All rows of one text are one node, named by a 64-bit hash of the text's digest; digests that would share a hash
+   get other names. So ids may repeat, with equal or with different texts.
+2. In a tile every node is paired with the smallest one (first in the map task, then over all), which costs
+   one row for each member. For every node the partner with most common tiles is compared exactly.
 3. Tiles whose members are not yet in one component are searched for more links. Those with the same smallest
-   member form one group, into which each member is sent once, in blocks of ``BLOCK`` members: bitmaps of
-   hashed n-grams bound every remaining pair's overlap from above by bit counts, and what the bound leaves is
-   intersected as sorted arrays. A group returns no more links than connect its members. No tile is skipped or
-   sampled, so no component is missed.
+   member form one group. Bitmaps of hashed n-grams bound every remaining pair's overlap from above by bit counts,
+   and what the bound leaves is intersected as sorted arrays. A group of up to ``BLOCK`` members is searched in one
+   place; a larger one is dealt into blocks of that size by size band and component, and two blocks meet if their
+   bands touch and they are not of one component. A member is sent once for each block that it meets. No tile is
+   skipped or sampled, so no component is missed.
 
 Defined results: a null text or one without words has an empty set and links with nothing, not even with its
-copies; a text of fewer than n words is one gram; a repeated row is returned as often as it is given; rows whose
-id is null keep a null component; an empty table gives an empty result; other columns are ignored.
+copies; a text of fewer than n words is one gram; every row is judged by its own text, whatever rows share its id, and
+is returned as often as it is given; rows whose id is null link like others, but only ids that are not null name a
+component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,22 +29,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from math import ceil, exp, sqrt
+from hashlib import md5
+from math import ceil, exp, log, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.components import connected_components
-from docweave.llm.shared import cut
+from docweave.llm.shared import cut, hot_keys, join_hot
 
 BAND_RATIO = 1.5
 BLOCK = 1024
 KEYS_PER_TASK = 400_000
 REMEMBERED = 500_000
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
+HOT_LISTS = 10_000  # lists of the blocks of one band of a large group
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -173,9 +178,10 @@ def _rows(kind: int, key: np.ndarray, leader: np.ndarray, doc: np.ndarray, n: np
 
 def _spread_out(rule: Rule):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
-            batch = batch.sort_values("doc").drop_duplicates("text")  # copies are joined by their digest
+            batch = batch[np.fromiter((d not in seen for d in batch["doc"]), bool, len(batch))].drop_duplicates("doc")  # copies are one node
+            seen.update(batch["doc"])  # as many as a task has rows
             sets = [grams(hashes.of(t), rule.n) for t in batch["text"]]
             ids, sizes = batch["doc"].to_numpy(np.int64), np.array([len(g) for g in sets], np.int64)
             yield _rows(SET, ids, ids, ids, sizes)
@@ -203,7 +209,8 @@ def _gather_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, doc = np.concatenate(keys), np.concatenate(docs)
         order, first, leader = _paired(key, doc)
         key, doc = key[order], doc[order]
-        yield _rows(PAIR, key[~first], leader[~first], doc[~first])
+        other = leader != doc
+        yield _rows(PAIR, key[other], leader[other], doc[other])
 
 
 def _exact(rule: Rule):
@@ -300,42 +307,88 @@ def _labelled(nodes: DataFrame, labels: DataFrame, node: str, out: str) -> DataF
     return nodes.join(labels.select(F.col("node").alias(node), F.col("label").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
 
 
+def _dealt(members: DataFrame, rule: Rule) -> DataFrame:
+    """home, i, j, block, doc, label: members (home, doc, label, n) at the places where their blocks meet others."""
+    sizes = cut(members.groupBy("home").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK).select("home"))
+    if sizes.isEmpty():
+        return _dealt_small(members)
+    wide = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
+    small = _dealt_small(members.join(wide, "home", "left_anti"))
+    band = F.floor(F.log("n") / (log(rule.den / rule.num) + 1e-9)).cast("int")
+    large = members.join(wide, "home", "left_semi").withColumn("band", band)
+    # members of a component of more than a block stand in blocks of their own, which need not meet each other
+    own = large.groupBy("home", "band", "label").agg(F.count("*").alias("k")).filter(F.col("k") > BLOCK).select("home", "band", "label", F.lit(True).alias("own"))
+    grouped = cut(large.join(own, ["home", "band", "label"], "left").withColumn("lab", F.when(F.col("own"), F.col("label"))).drop("own"))
+    blocks = grouped.groupBy("home", "band", "lab").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = blocks.select(F.col("home").alias("home_"), F.col("band").alias("band_"), F.col("lab").alias("lab_"), "blocks")
+    same = (F.col("home") == F.col("home_")) & (F.col("band") == F.col("band_")) & F.col("lab").eqNullSafe(F.col("lab_"))
+    placed = grouped.join(sized, same).select("home", "band", "lab", "doc", "label", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")).cast("int").alias("at"))
+    listed = blocks.select("home", F.col("band").alias("to"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("lab").alias("lab"), b.alias("at")))).alias("o"))
+    lists = cut(listed.groupBy("home", "to").agg(F.collect_list("o").alias("others")))  # one entry for BLOCK members
+    facing = placed.select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("to"))
+    met = facing.join(F.broadcast(lists) if lists.count() <= HOT_LISTS else lists, ["home", "to"]).select("*", F.explode("others").alias("o"))
+    met = met.filter(~F.coalesce(F.col("lab") == F.col("o.lab"), F.lit(False)))
+    mine, other = F.struct("band", "lab", "at"), F.struct(F.col("to").alias("band"), F.col("o.lab").alias("lab"), F.col("o.at").alias("at"))
+    i, j = F.xxhash64(F.least(mine, other)), F.xxhash64(F.greatest(mine, other))
+    return small.unionByName(met.select("home", i.alias("i"), j.alias("j"), F.xxhash64(mine).alias("block"), "doc", "label"))
+
+
+def _dealt_small(members: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return members.select("home", zero.alias("i"), zero.alias("j"), zero.alias("block"), "doc", "label")
+
+
 def _search_groups(members: DataFrame, texts: DataFrame, rule: Rule, width: int) -> DataFrame:
-    """(home, a, b) from members (home, doc, label) of groups that hold several components."""
+    """(home, a, b) from members (home, doc, label, n) of groups that hold several components."""
     sets = _texts_of(texts, cut(members.select("doc").distinct())).mapInPandas(_hashed_sets(rule, width), "doc long, grams binary")
-    blocks = members.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")).cast("int"))
-    facing = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = facing.select("home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "label")
-    groups = placed.join(sets, "doc").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "doc")
+    groups = _dealt(members, rule).join(sets, "doc").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "doc")
     return cut(groups.select("home", "i", "j", "doc", "label", "block", "grams").mapInPandas(_group_links(rule, width), "home long, a long, b long"))
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: the smallest id that links reach, itself included."""
+def _name(digest: Column) -> Column:
+    return F.xxhash64(digest)
+
+
+def _renamed(digests: DataFrame) -> dict[str, int]:
+    """Other names for the digests whose name another one has: of n texts about n * n / 2 ** 65, none as a rule."""
+    renamed: dict[str, int] = {}
+    while True:
+        named = digests.select("digest", _node(F.col("digest"), renamed).alias("node"))
+        shared = named.groupBy("node").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").collect()
+        if not shared:
+            return renamed
+        for r in shared:
+            renamed[r.high] = int.from_bytes(md5(f"{len(renamed)} {r.high}".encode()).digest()[:8], "little", signed=True)
+
+
+def _node(digest: Column, renamed: dict[str, int]) -> Column:
+    if not renamed:
+        return _name(digest)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in renamed.items() for x in item]), digest), _name(digest))
+
+
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def ngram_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two checkpointed tables: doc_id, digest of every row; and for every text digest, first_doc (its smallest id),
+    n_shingles, component (a number for each group of linked texts) and component_id (the component's smallest id)."""
     rule = Rule(n, num, den)
-    named = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = named.filter("doc IS NOT NULL")
-    digests = cut(named.select("doc", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("bytes")))
-    first = digests.filter("doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"))
-    copies = cut(digests.join(first, "digest", "left").select("doc", "rep", "bytes"))
-    rep_of = copies.filter("doc IS NOT NULL").select("doc", "rep").dropDuplicates(["doc"])
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", text_digest(F.col("text")))
+    digests = cut(named.select("doc_id", "digest", F.octet_length("text").alias("bytes")))
+    renamed = _renamed(digests)
+    node = _node(F.col("digest"), renamed)
+    classes = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("first_doc")).withColumn("node", node))
+    texts = named.select(node.alias("doc"), "text")
 
     # about one word for five bytes, and one key for each element that may differ
-    volume = copies.agg(F.sum("bytes")).first()[0] or 0
+    volume = digests.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(volume / 5 * 1.7 * 2 * (den - num) / (den + num) / KEYS_PER_TASK))
     spread = texts.mapInPandas(_spread_out(rule), TILE).repartition(tasks, "key")
     tiles = cut(spread.mapInPandas(_gather_tiles, TILE))
-    sets = tiles.filter(F.col("kind") == SET).select("doc", "n").join(rep_of, "doc").select("rep", "n").dropDuplicates(["rep"])
-    starred = (
-        tiles.filter(F.col("kind") == PAIR)
-        .select("key", "leader", "doc")
-        .join(rep_of, "doc")
-        .select("key", F.col("rep").alias("b"), F.col("leader").alias("doc"))
-        .join(rep_of, "doc")
-        .select("key", F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
-    )
-    stars = cut(starred.filter("a <> b"))
+    sets = cut(tiles.filter(F.col("kind") == SET).groupBy("doc").agg(F.max("n").alias("n")))
+    stars = tiles.filter(F.col("kind") == PAIR).select("key", F.col("leader").alias("a"), F.col("doc").alias("b")).filter("a <> b")
 
     shared = stars.groupBy("a", "b").agg(F.count("*").alias("k"))
     best = cut(shared.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b"))
@@ -350,7 +403,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, i
     members = cut(inside.select("key", F.col("b").alias("doc")).union(inside.select("key", F.col("a").alias("doc"))).distinct())
     homes = members.groupBy("key").agg(F.min("doc").alias("home"))
     groups = members.join(homes, "key").select("home", "doc").distinct()
-    full = cut(_labelled(groups, labels, "doc", "label"))
+    full = cut(_labelled(groups, labels, "doc", "label").join(sets, "doc"))
     found = _search_groups(full, texts, rule, 32)
     checked = exact_links(cut(found.select("a", "b").distinct()), texts, rule)
     more = checked.filter("linked").select("a", "b")
@@ -362,10 +415,23 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, i
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 
-    named_sets = _labelled(copies.join(sets, "rep", "left"), labels, "rep", "label")
-    size = F.coalesce("n", F.lit(0)).cast("long")
-    return named_sets.select(
-        F.col("doc").alias("doc_id"),
-        size.alias("n_shingles"),
-        F.when((size > 0) & F.col("doc").isNotNull(), F.col("label")).otherwise(F.col("doc")).alias("component_id"),
+    linked = cut(labels.join(classes, "node").select("node", "label", "first_doc"))
+    smallest = linked.groupBy("label").agg(F.min("first_doc").alias("component_id"))
+    joined = join_hot(linked, smallest, "label", hot_keys(linked, "label")).select("node", F.col("label").alias("component"), "component_id", F.lit(True).alias("linked"))
+    known = classes.join(sets.select(F.col("doc").alias("node"), "n"), "node", "left").join(joined, "node", "left")
+    told = known.select(
+        "digest",
+        "first_doc",
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
+        F.coalesce("component", "node").alias("component"),
+        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_doc")).alias("component_id"),
     )
+    return digests.select("doc_id", "digest"), cut(told)
+
+
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: the smallest id that links reach, itself included."""
+    rows, classes = ngram_classes(docs, n, num, den, id_col, text_col)
+    told = join_hot(rows, classes, "digest", hot_keys(rows, "digest"))
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return told.select("doc_id", "n_shingles", own.alias("component_id"))

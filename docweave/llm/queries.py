@@ -42,7 +42,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("line_id", "class_id")
+    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("line_id", "class_id", "text_key", "first_text_key")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +95,13 @@ WITH RECURSIVE s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(
 l AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM s),
 o AS (SELECT *, CAST(length(line) AS INT) AS n_chars FROM l WHERE line <> ''),
 u AS (SELECT line, n_chars, row_number() OVER (ORDER BY min((doc_id, line_no))) AS id FROM o GROUP BY ALL),
-e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON b.n_chars BETWEEN a.n_chars - 2 AND a.n_chars + 2 AND a.id <> b.id
-      WHERE a.n_chars >= 24 AND b.n_chars >= 24 AND levenshtein(a.line, b.line) <= 2),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON b.n_chars BETWEEN a.n_chars - 4 AND a.n_chars + 4 AND a.id <> b.id
+      WHERE a.n_chars >= 24 AND b.n_chars >= 24 AND levenshtein(a.line, b.line) <= CASE WHEN least(a.n_chars, b.n_chars) >= 160 THEN 4 ELSE 2 END),
 r(node, label) AS (SELECT id, id FROM u UNION SELECT e.a, r.label FROM r JOIN e ON e.b = r.node),
 c AS (SELECT node, min(label) AS label FROM r GROUP BY node),
 k AS (SELECT o.doc_id, o.line_no, o.n_chars, c.label FROM o JOIN u USING (line) JOIN c ON c.node = u.id),
 f AS (SELECT *, min((doc_id, line_no)) OVER (PARTITION BY label) AS f FROM k)
-SELECT doc_id, line_no, n_chars, f[1] AS first_doc_id, f[2] AS first_line_no, (doc_id, line_no) = f OR n_chars < 24 AS keep FROM f
+SELECT doc_id, line_no, n_chars, f[1] AS first_doc_id, f[2] AS first_line_no, (doc_id, line_no) = f AS keep FROM f
 """,
     "op10_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

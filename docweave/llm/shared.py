@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +26,13 @@ def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set (local tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder where none is set and the master is local. On a
+    cluster executors would not see such a folder, so that a missing setting is an error there."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if where is None and sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[[^,]*])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="docweave-"))
     elif where is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
@@ -41,16 +45,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_named(docs: DataFrame, name: str) -> DataFrame:
+    """Only one struct column ``name`` with the whole row, so that added columns clash with none of it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it while the table has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with one row of each group that agrees in id (null is a value) and text; texts without a word all stay."""
-    keyed = docs.select("*", F.col(id_col).alias("_own_id"), text_key(F.col(text_col)).alias("_own_text"))
-    worded = keyed.filter(F.coalesce(F.col(text_col), F.lit("")).rlike(WORD_RX))
-    repeated = cut(worded.groupBy("_own_id", "_own_text").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_own_id").alias("_id"), F.col("_own_text").alias("_text")))
+    keyed = row_named(docs, "row").select("row", F.col(f"row.`{id_col}`").alias("own_id"), text_key(F.col(f"row.`{text_col}`")).alias("own_text"))
+    worded = keyed.filter(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).rlike(WORD_RX))
+    repeated = cut(worded.groupBy("own_id", "own_text").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("own_id").alias("id"), F.col("own_text").alias("text")))
     if repeated.isEmpty():
         return docs
-    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_text") == F.col("_text"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_text") == F.col("text"))
     single = keyed.join(repeated, same, "left_anti")
-    return single.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["_own_id", "_own_text"])).select(*docs.columns)
+    return single.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["own_id", "own_text"])).select("row.*")
+
+
+#: A key is hot beyond so many rows, and beyond this share of all rows, so that at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys of ``rows`` (checkpointed) that too many rows share for one task: at most ``HOT_KEYS``; None without any."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    limit = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = cut(counts.filter(F.col("n") > limit).select(key))
+    return None if hot.isEmpty() else hot
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows.join(table, key, how)`` for a table with one row for each key: the hot keys' rows stay where they are and
+    meet a broadcast of at most ``HOT_KEYS`` rows, all others are joined by a shuffle."""
+    if hot is None:
+        return rows.join(table, key, how)
+    few = F.broadcast(hot)
+    here = rows.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key, how)
+    return here.unionByName(rows.join(few, key, "left_anti").join(table, key, how))
 
 
 def text_key(text: Column) -> Column:

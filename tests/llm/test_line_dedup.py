@@ -45,10 +45,10 @@ def test_edit_distance_equals_brute_force(spark):
 
 def test_classes_equal_brute_force(spark):
     rnd = random.Random(2)
-    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.choice([10, 24, 26, 40, 41, 90]))) for _ in range(40)]
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.choice([10, 24, 26, 40, 41, 90, 158, 160, 200]))) for _ in range(40)]
     texts = []
     for _ in range(90):
-        lines = [edited(rnd, rnd.choice(base), rnd.choice([0, 0, 1, 2, 3])) for _ in range(rnd.randint(0, 4))]
+        lines = [edited(rnd, rnd.choice(base), rnd.choice([0, 0, 1, 2, 3, 4, 5])) for _ in range(rnd.randint(0, 4))]
         texts.append("\n".join(f" {x}\t" if rnd.random() < 0.2 else x for x in lines))
     texts += [None, "", " \n\t\n", "x" * 50_000, "x" * 50_001]
     docs = spark.createDataFrame([(i, t, 0, 0, "", 0) for i, t in enumerate(texts)], SCHEMA)
@@ -63,12 +63,13 @@ def test_classes_equal_brute_force(spark):
 
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if min(len(a), len(b)) >= 24 and abs(len(a) - len(b)) <= 2 and (len(a) > 1000 or distance(a, b) <= 2):
+            t = 4 if min(len(a), len(b)) >= 160 else 2
+            if min(len(a), len(b)) >= 24 and abs(len(a) - len(b)) <= t and (len(a) > 1000 or distance(a, b) <= t):
                 root[find(a)] = find(b)
     first = {}
     for i, n, x in lines:
         first.setdefault(find(x), (i, n))
-    expected = {(i, n): (*first[find(x)], first[find(x)] == (i, n) or len(x) < 24) for i, n, x in lines}
+    expected = {(i, n): (*first[find(x)], first[find(x)] == (i, n)) for i, n, x in lines}
     found = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.keep) for r in ld.line_classes(docs).collect()}
     assert found == expected
 
@@ -78,17 +79,46 @@ def test_dedup_lines(spark):
     rows = [(1, line + "\nshort"), (2, line.replace("long", "lung") + "\nshort\nAnother line that only this document has, so far."), (3, line), (4, None)]
     docs = spark.createDataFrame([(i, t, 7, 8, "k", 9) for i, t in rows], SCHEMA)
     kept = {r.doc_id: r.text for r in ld.dedup_lines(docs).collect()}
-    assert kept == {1: line + "\nshort", 2: "short\nAnother line that only this document has, so far.", 4: None}
+    assert kept == {1: line + "\nshort", 2: "Another line that only this document has, so far.", 4: None}
     assert ld.dedup_lines(docs).columns == docs.columns
     assert ld.line_classes(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    rows = [(1, "X\nA"), (1, "B\nX"), (2, "X\nC"), (2, "X\nC"), (None, "A\nD"), (None, "E\nD")]
+    docs = spark.createDataFrame([(i, t, 7, 8, "k", 9) for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in ld.dedup_lines(docs).collect()]
+    lines = [x for _, t in kept for x in t.split("\n")]
+    assert sorted(lines) == list("ABCDEX") and sorted(i or 0 for i, _ in kept) == [0, 0, 1, 1, 2]
+
+
+def test_large_buckets_are_searched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ld, "BLOCK", 4)
+    rnd = random.Random(5)
+    texts = ["This form is the same for all: " + "".join(rnd.choice("ab") for _ in range(7)) for _ in range(60)]
+    texts += ["This form is the same for all: " + "".join(rnd.choice("xyzuvw") for _ in range(9)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, 0, 0, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if distance(texts[i], texts[j]) <= 2:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert {r.doc_id: r.first_doc_id for r in ld.line_classes(docs).collect()} == {i: find(i) for i in range(len(texts))}
+
+
 def test_documents_of_which_only_short_repeats_are_left_go(spark):
     line = "This is a line that is long enough to be compared."
     rows = [(1, line + "\nshort"), (2, line + "\nshort"), (3, "short\n" + line + "\nnew"), (4, "short"), (None, "short\nfirst")]
     docs = spark.createDataFrame([(i, t, 7, 8, "k", 9) for i, t in rows], SCHEMA)
     kept = {r.doc_id: r.text for r in ld.dedup_lines(docs).collect()}
-    assert kept == {1: line + "\nshort", 3: "short\nnew", None: "short\nfirst"}
+    assert kept == {1: line, 3: "new", None: "short\nfirst"}
 
 
 def test_components_of_chains_and_stars(spark):

@@ -61,4 +61,34 @@ def test_empty_nulls_and_repeated_rows(spark):
     assert nj.ngram_components(spark.createDataFrame([], SCHEMA), 3, 90, 100).count() == 0
     docs = spark.createDataFrame([(1, "a b c d", "", 0, 0), (1, "a b c d", "", 0, 0), (None, "a b c d", "", 0, 0), (2, "A b c d", "", 0, 0)], SCHEMA)
     found = sorted((r.doc_id or -1, r.component_id or -1) for r in nj.ngram_components(docs, 3, 90, 100).collect())
-    assert found == [(-1, -1), (1, 1), (1, 1), (2, 1)]
+    assert found == [(-1, 1), (1, 1), (1, 1), (2, 1)]
+
+
+def brute_rows(rows, n, num, den):
+    """(doc_id, n_shingles, component_id) of every row, ids repeating or not."""
+    by_row = brute(list(enumerate(t for _, t in rows)), n, num, den)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[by_row[k][1]] = min(least.get(by_row[k][1], i), i)
+    return sorted((i, by_row[k][0], least[by_row[k][1]]) for k, (i, _) in enumerate(rows))
+
+
+def test_repeated_ids_with_other_texts(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK", 8)
+    rows = [(1, "a b c d"), (1, "x y z w v"), (2, "x y z w v"), (3, "a b c d")]
+    docs = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], SCHEMA)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.ngram_components(docs, 3, 90, 100).collect()) == [(1, 2, 1), (1, 3, 1), (2, 3, 1), (3, 2, 1)]
+    rnd = random.Random(8)
+    rows = [(i if rnd.random() < 0.8 else rnd.randrange(200) * 3, t) for i, t in corpus(9, 200)]
+    docs = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], SCHEMA).repartition(3)
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.ngram_components(docs, 3, 90, 100).collect())
+    assert found == brute_rows(rows, 3, 90, 100)
+
+
+def test_texts_whose_names_collide_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(nj, "_name", lambda digest: F.pmod(F.xxhash64(digest), F.lit(3)))
+    rows = corpus(4, 30)
+    docs = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], SCHEMA)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in nj.ngram_components(docs, 3, 90, 100).collect()} == brute(rows, 3, 90, 100)
