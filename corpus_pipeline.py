@@ -13,43 +13,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import language_id, line_dedup, ngram_join, packing, quality
-from docweave.llm.shared import bounded_batches, cut, ensure_checkpoint_dir, one_of_each, table
+from docweave.llm.shared import bounded_batches, cut, ensure_checkpoint_dir, hot_keys, join_hot, one_of_each, row_named, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents that fail go."""
+    """Failing lines go; documents that fail go. Null, empty and blank texts fail; rows that repeat are judged one by
+    one; an empty table gives an empty result."""
     return quality.clean_documents(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a clear language go. Learns from the labelled documents that came this far."""
+    """Documents without a clear language go. Learns from the labelled documents that came this far.
+
+    Null texts and those without a letter go; without any labelled text every document goes; rows that repeat get
+    equal answers; an empty table gives an empty result."""
     bounded_batches(spark)
     model = language_id.fit(docs)
     return language_id.identify(docs, model).filter("_language.accepted").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat, but for a few characters, an earlier line go; documents of which nothing is left go."""
+    """Lines that repeat, but for a few characters, an earlier line go; documents of which nothing is left go.
+
+    Null, empty and blank texts have no lines and stay; rows are told apart by id and text, and of rows that agree in
+    both one stays; an empty table gives an empty result."""
     return line_dedup.dedup_lines(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id, a null id being smaller still.
+    """One document of each group of near duplicates stays: the one with the smallest id, a row without id only where
+    no row of the group has one. Rows are told apart by id and text; of rows that agree in both one stays.
 
-    Rows are told apart by id and text; of rows that agree in both one stays."""
+    Null, empty and blank texts are near duplicates of nothing and all stay; an empty table gives an empty result."""
     bounded_batches(spark)
     docs = one_of_each(docs, "doc_id", "text")
-    row = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
-    groups = cut(ngram_join.ngram_components(docs.select(row.alias("doc_id"), "text"), n=5, num=8, den=10).select(F.col("doc_id").alias("_row"), "component_id"))
-    several = groups.filter("component_id <> _row").select("component_id").distinct()
-    members = groups.join(several, "component_id", "left_semi").join(docs.select(row.alias("_row"), F.col("doc_id").alias("id")), "_row")
-    first = members.groupBy("component_id").agg(F.min(F.struct("id", "_row")).alias("first"))
-    gone = members.join(first, "component_id").filter("_row <> first._row").select("_row").distinct()
-    return docs.join(gone, row == gone["_row"], "left_anti").select(*docs.columns)
+    rows, classes = ngram_join.ngram_classes(docs, n=5, num=8, den=10)
+    worded = classes.filter("n_shingles > 0")
+    stays = worded.groupBy("component").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "digest")).alias("first"))
+    known = cut(worded.join(stays, "component").select("digest", F.col("first.first_doc").alias("first_doc"), (F.col("digest") == F.col("first.digest")).alias("stays")))
+    placed = join_hot(rows, known, "digest", hot_keys(rows, "digest"))
+    gone = placed.filter(~F.col("stays") | ~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select(F.col("doc_id").alias("id"), F.col("digest").alias("gone")).distinct()
+    keyed = row_named(docs, "row").select("row", ngram_join.text_digest(F.col("row.text")).alias("digest"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("gone"))
+    return keyed.join(gone, same, "left_anti").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and token-budget batches of what is left."""
+    """Length buckets and token-budget batches of what is left. A null or empty text is a piece without words; rows
+    that repeat are packed one by one; an empty table gives an empty result."""
     return packing.pack(docs)
 
 
