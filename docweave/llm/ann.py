@@ -8,12 +8,14 @@ bounds. How many it visits in each table is fitted on a bounded hash sample (``S
 which the sample's nearest neighbours, as many as keep the density of the whole table, are found ``TARGET`` of
 the time. Every row is indexed, and candidates of all tables are reranked by their exact inner product.
 
-Equal vectors are indexed once and expanded again afterwards. Buckets are dealt into blocks of bounded size (a
-large bucket into several), and the queries of a block stream past it. A query that finds fewer than ``k``
-candidates is compared with every vector.
-
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components
-take no part, nor do rows without id; an id that repeats counts once; an empty table gives an empty result.
+Equal vectors are indexed once and expanded again afterwards. Buckets are dealt into blocks of about ``BLOCK_BYTES``
+(a large bucket into several), each block into a task of its own, and the queries of a block stream past it. A query
+that finds fewer than ``k`` candidates is compared with every vector.
+
+Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without
+id; shorter vectors count as filled up with zeros, which leaves their inner products as they are; rows that share an
+id but not the vector are rows of their own, as queries and as candidates, and rows equal in both count once; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import cut
+from docweave.llm.shared import cut, hot_keys, join_hot
 
 TABLES, FUNCTIONS, WIDTH = 6, 8, 2.0
 SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 512, 0.95
-BLOCK_ROWS = 65_536
+BLOCK_BYTES = 8 << 20
+LARGE_BUCKETS = 100_000  # more than so many buckets are never split: their names are broadcast
 PAIRS_AT_ONCE = 100_000
 
 
@@ -43,7 +46,7 @@ class Index:
     scale: float  # the largest norm
     probes: int = 1
     blocks: int = 1
-    large: tuple[tuple[int, int], ...] = ()  # buckets that are split, and into how many parts
+    large: tuple[tuple[int, int], ...] = ()  # buckets that are split, and into how many parts; LARGE_BUCKETS at most
     seed: int = 8
 
     @cached_property
@@ -243,7 +246,7 @@ def _ranked(index: Index, k: int):
 
 def _search(members: DataFrame, queries: DataFrame, index: Index, k: int, everything: bool = False) -> DataFrame:
     rows = members.unionByName(queries.mapInPandas(_asked(index, everything), ROW))
-    dealt = rows.repartition(index.blocks, "block").sortWithinPartitions("block", "kind")
+    dealt = rows.repartitionById(index.blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind")
     found = dealt.mapInPandas(_ranked(index, k), "q long, c long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     return found.dropDuplicates(["q", "c"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
@@ -256,38 +259,43 @@ def _usable(v: Column) -> Column:
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "g": batch["g"], "vector": [np.asarray(v, np.float64).tobytes() for v in batch["v"]]})
+        yield pd.DataFrame({"id": batch["id"], "vector": [np.asarray(v, np.float64).tobytes() for v in batch["v"]]})
+
+
+def _index(single: DataFrame, dim: int, scale: float, total: int, k: int) -> Index:
+    """The index of the distinct vectors (id, vector): probes fitted on the sample, blocks, and buckets that are split."""
+    index = Index(dim, scale)
+    sample = [r.vector for r in single.orderBy(F.xxhash64("id", F.lit(4)), "id").limit(SAMPLE).collect()]
+    probes = fit_probes(index, np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim), total, k)
+    block_rows = max(1024, BLOCK_BYTES // (8 * dim))
+    part = max(block_rows // 4, ceil(TABLES * total / LARGE_BUCKETS))
+    large = single.mapInPandas(_hashed(index), "bucket long").groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > part).collect()
+    return Index(dim, scale, probes, max(1, ceil(TABLES * total / block_rows)), tuple((r.bucket, ceil(r.n / part)) for r in large))
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row for which ``queries`` holds, itself excluded."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asked")).filter(F.col("id").isNotNull() & _usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if sizes is None:
-        return empty
-    rows = cut(rows.filter(F.size("v") == sizes.d).dropDuplicates(["id"]).select("id", "asked", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")))
-
-    # equal vectors: the smallest id stands for all, and k + 1 of them can be among the nearest
-    classes = rows.groupBy("h", "g").agg(F.min("id").alias("rep"))
-    named = cut(rows.select("id", "asked", "h", "g").join(classes, ["h", "g"]).select("id", "asked", "rep"))
+    dim = rows.agg(F.max(F.size("v"))).first()[0]
+    if dim is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    filled = F.concat("v", F.array_repeat(F.lit(0.0), dim - F.size("v")))
+    named = rows.select("id", "asked", filled.alias("v")).withColumn("digest", F.concat(F.hex(F.xxhash64("v")), F.lit(" "), F.hex(F.xxhash64(F.lit(1), "v"))))
+    rows = cut(named.dropDuplicates(["id", "digest"]))
+
+    # equal vectors: one number stands for all, in the order of their smallest ids, and k + 1 of them can be among the nearest
+    classes = cut(rows.groupBy("digest").agg(F.min("id").alias("first")).orderBy("first", "digest").withColumn("rep", F.monotonically_increasing_id()))
+    numbered = cut(join_hot(rows.select("id", "asked", "digest"), classes, "digest", hot_keys(rows, "digest")).select("id", "asked", "first", "digest", "rep"))
     in_class = Window.partitionBy("rep").orderBy("id")
-    copies = named.withColumn("place", F.row_number().over(in_class)).filter(F.col("place") <= k + 1).select(F.col("rep").alias("c"), "id")
-    single = cut(rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").mapInPandas(_packed, "id long, h long, g long, vector binary").select("id", "vector"))
-    asked_reps = named.filter("asked").select(F.col("rep").alias("id")).distinct()
-    asked = cut(single.join(asked_reps, "id", "left_semi"))
+    copies = numbered.withColumn("place", F.row_number().over(in_class)).filter(F.col("place") <= k + 1).select(F.col("rep").alias("c"), "id")
+    firsts = classes.select(F.col("first").alias("id"), "digest", "rep")
+    single = cut(rows.join(firsts, ["id", "digest"]).select(F.col("rep").alias("id"), "v").mapInPandas(_packed, "id long, vector binary"))
+    asked = cut(single.join(numbered.filter("asked").select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
-    norms = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("m")).first()
+    scale = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
     total = single.count()
-    index = Index(sizes.d, norms.m)
-    sample = [r.vector for r in single.orderBy(F.xxhash64("id", F.lit(4)), "id").limit(SAMPLE).collect()]
-    probes = fit_probes(index, np.frombuffer(b"".join(sample), np.float64).reshape(-1, sizes.d), total, k)
-    blocks = max(1, ceil(TABLES * total / BLOCK_ROWS))
-    # at most TABLES * total / (BLOCK_ROWS / 4) buckets are that large
-    large = single.mapInPandas(_hashed(index), "bucket long").groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_ROWS // 4).collect()
-    index = Index(sizes.d, norms.m, probes, blocks, tuple((r.bucket, ceil(r.n / (BLOCK_ROWS // 4))) for r in large))
-
+    index = _index(single, dim, scale, total, k)
     members = single.mapInPandas(_members(index), ROW)
     found = cut(_search(members, asked, index, k + 1))
     enough = found.groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k + 1, total)).select(F.col("q").alias("id"))
@@ -297,14 +305,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         found = found.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(rest)
 
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    listed = found.join(copies, "c").withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k + 1).select("q", "id", "score")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        named.filter("asked")
-        .select(F.col("id").alias("query_id"), F.col("rep").alias("q"))
-        .join(listed.withColumnRenamed("id", "vec_id"), "q")
-        .filter("query_id <> vec_id")
-        .withColumn("rank", F.row_number().over(final))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    listed = found.join(copies, "c").withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k + 1)
+    lists = cut(listed.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id", "c", "score"))).alias("near")))  # k + 1 entries
+    wanted = cut(numbered.filter("asked").select(F.col("id").alias("query_id"), F.col("rep").alias("q")))
+    others = F.filter("near", lambda x: ~((x["id"] == F.col("query_id")) & (x["c"] == F.col("q"))))
+    ranked = join_hot(wanted, lists, "q", hot_keys(wanted, "q")).select("query_id", F.posexplode(F.slice(others, 1, k)).alias("place", "x"))
+    return ranked.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.shared import fresh
+
 #: Fixed value: how byte-level vocabularies split a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pre-tokens that a worker remembers; beyond that it forgets all and starts again.
@@ -213,7 +215,8 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
 
 
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of the text as little-endian unsigned 32-bit integers in a binary column."""
+    """``docs`` with the token ids of the text as little-endian unsigned 32-bit integers in a binary column, the last
+    one; while the table has a column of the name ``out``, the name gets an underscore before it."""
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -221,15 +224,15 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "t
         for texts in batches:
             yield pd.Series([i.astype("<u4").tobytes() for i in encoder.encode(texts.tolist())], dtype=object)
 
-    return docs.withColumn(out, encode.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn(fresh(docs, out), encode.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with the text that its token ids spell."""
+    """``encoded`` with the text that its token ids spell, in a last column that is named as above."""
 
     @F.pandas_udf("string")
     def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
             yield pd.Series([decode(np.frombuffer(i, "<u4"), vocabulary) for i in ids], dtype=object)
 
-    return encoded.withColumn(out, spell.asNondeterministic()(F.col(ids_col)))
+    return encoded.withColumn(fresh(encoded, out), spell.asNondeterministic()(F.col(ids_col)))

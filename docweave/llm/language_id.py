@@ -7,7 +7,9 @@ narrow the text is encoded again at a stronger level, equal totals go to the lan
 and a lead that is still under ``min_margin`` is rejected.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and is rejected; without training
-rows every text is ``und``; repeated rows get equal answers; other columns are kept.
+rows every text is ``und``; of equal totals the more common language wins, so that its lead is 0 and it is rejected;
+repeated rows get equal answers and are learned from once; rows without id are learned from like others; other
+columns are kept, and one that is named like the result lets the result's name begin with underscores.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.llm.shared import fresh
+
 BLOCK = 4096
 QUICK_LEVEL, STRONG_LEVEL = 5, 12
 #: Leads under this share of the second size are measured again at the stronger level.
@@ -51,19 +55,19 @@ def fit(
 ) -> LanguageModel:
     """Learn from the rows whose text and language are not null."""
     rows = labelled.select(
-        F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.lit(1)).alias("h"), F.col(text_col).alias("text")
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(1)).alias("h"), F.col(text_col).alias("text")
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
     shares = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = rows.select("lang", "id", "h").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= docs_per_language)
-    # docs_per_language rows for each language: small enough to broadcast
-    picked = rows.join(F.broadcast(chosen), ["lang", "id", "h"]).select("lang", "rank", letters(F.col("text")).alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = rows.select("lang", "h").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= docs_per_language).groupBy("lang", "h").agg(F.min("rank").alias("rank"))
+    # docs_per_language rows for each language: small enough to broadcast, and to collect dict_bytes characters of each
+    picked = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "rank", F.substring(letters(F.col("text")), 1, dict_bytes).alias("text")).dropDuplicates(["lang", "rank"])
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in picked.collect():
         texts.setdefault(r.lang, []).append((r.rank, r.text))
     ranked = sorted(texts, key=lambda k: (-shares[k], k))
     joined = ((k, b" ".join(t.encode() for _, t in sorted(texts[k]))[:dict_bytes]) for k in ranked)
-    return LanguageModel(tuple((k, d) for k, d in joined if len(d) >= 8), min_margin)
+    return LanguageModel(tuple((k, d.ljust(8)) for k, d in joined), min_margin)  # a dictionary has 8 bytes at least
 
 
 def _encoders(model: LanguageModel, level: int) -> list[zstandard.ZstdCompressor]:
@@ -100,7 +104,7 @@ def classify(data: bytes, model: LanguageModel, quick: list, strong: list) -> tu
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "_language") -> DataFrame:
-    """``docs`` with a struct column ``out``: lang_pred, score, margin, accepted."""
+    """``docs`` with a struct column ``out``, the last one: lang_pred, score, margin, accepted."""
 
     @F.pandas_udf(RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -110,4 +114,4 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "margin", "accepted"])
 
     # marked so that a filter on the result does not encode every text twice
-    return docs.withColumn(out, predict.asNondeterministic()(F.coalesce(letters(F.col(text_col)), F.lit(""))))
+    return docs.withColumn(fresh(docs, out), predict.asNondeterministic()(F.coalesce(letters(F.col(text_col)), F.lit(""))))

@@ -6,8 +6,8 @@ into one class, transitively. A line is cut into threshold + 1 segments, of whic
 keep at least one; lines are found by their own segments and by those substrings of their text that could be a
 segment of another line of about the same length, at the positions that the edits allow. In every bucket of equal
 segments all lines are compared with the smallest line first, one row for each member; buckets that still hold
-several classes are then searched for the remaining pairs, by length and in blocks of ``BLOCK`` lines, which a
-parity signature of the characters thins out. Comparisons use a banded bit-parallel edit distance over
+several classes are then searched for the remaining pairs, by length and in blocks of ``BLOCK`` lines. Parity
+signatures of the characters and of their pairs thin out what is compared. Comparisons use a banded bit-parallel edit distance over
 2 * threshold + 1 diagonals.
 
 Lines are trimmed of white space. The first line of a class, by document and line number, stays.
@@ -115,14 +115,17 @@ def segment_keys(lines: DataFrame, thresholds: tuple[tuple[int, int], ...]) -> D
     return at.select("id", F.xxhash64("class", "e.i", F.substring("line", F.col("start") + 1, F.col("size"))).alias("key"), (~F.col("e.low") & (F.col("e.d") == 0)).alias("own"))
 
 
-def parity_signature(line: Column) -> Column:
-    """One bit for each character code modulo 64: whether it occurs an odd number of times. An edit flips two bits at most."""
-    none = F.lit(0).cast("long")
+def parity_signatures(line: Column) -> tuple[Column, Column]:
+    """One bit for each character code, and for each pair of neighbouring ones, modulo 64: whether it occurs an odd
+    number of times. An edit flips two bits of the first at most, and four of the second."""
+    none, chars = F.lit(0).cast("long"), F.split(line, "(?!^)", -1)
 
-    def flipped(bits: Column, c: Column) -> Column:
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)).cast("int")))
+    def flipped(bits: Column, code: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(code, F.lit(64)).cast("int")))
 
-    return F.aggregate(F.split(line, "(?!^)", -1), none, flipped)
+    codes = F.transform(chars, lambda c: F.ascii(c))
+    pairs = F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: a * 131 + F.coalesce(b, F.lit(0)))
+    return F.aggregate(codes, none, flipped), F.aggregate(pairs, none, flipped)
 
 
 def _let(value: Column, body) -> Column:
@@ -182,22 +185,31 @@ def edit_distance(a: str, b: str, t: int) -> Column:
     return F.when((m - n > t) | (n <= t), F.lit(t + 1)).otherwise(_let(chars, compare))
 
 
-def _close(n_a: Column, n_b: Column, sig_a: Column, sig_b: Column, thresholds: tuple[tuple[int, int], ...]) -> Column:
-    """Whether lengths and signatures allow two lines to be alike."""
+def _close(a: str, b: str, thresholds: tuple[tuple[int, int], ...]) -> Column:
+    """Whether lengths and signatures allow two lines, whose columns have these prefixes, to be alike."""
+    n_a, n_b = F.col(f"{a}n_chars"), F.col(f"{b}n_chars")
     t = threshold_of(F.least(n_a, n_b), thresholds)
-    return (F.abs(n_a - n_b) <= t) & (F.bit_count(sig_a.bitwiseXOR(sig_b)) <= 2 * t)
+
+    def flips(c: str) -> Column:
+        return F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
+
+    return (F.abs(n_a - n_b) <= t) & (flips("sig") <= 2 * t) & (flips("sig2") <= 4 * t)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, thresholds: tuple[tuple[int, int], ...]) -> DataFrame:
     """The pairs (a, b) of line ids that are alike."""
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("signature").alias("sig_a")), "a")
-    with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("signature").alias("sig_b")), "b")
+    few = ["n_chars", "sig", "sig2"]
+
+    def side(c: str, columns: list[str]) -> DataFrame:
+        return texts.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in columns])
+
+    near = pairs.join(side("a", few), "a").join(side("b", few), "b").filter(_close("a_", "b_", thresholds)).select("a", "b")
+    with_both = near.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     n_a, n_b = F.char_length("line_a"), F.char_length("line_b")
-    near = with_both.filter(_close(n_a, n_b, F.col("sig_a"), F.col("sig_b"), thresholds))
     tier, alike = threshold_of(F.least(n_a, n_b), thresholds), F.lit(False)
     for t in sorted({t for _, t in thresholds}):
         alike = F.when(tier == t, edit_distance("line_a", "line_b", t) <= t).otherwise(alike)
-    return cut(near.filter(alike).select("a", "b"))
+    return cut(with_both.filter(alike).select("a", "b"))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, id_col: str, out: str) -> DataFrame:
@@ -219,7 +231,7 @@ def _facing(rest: DataFrame, widest: int, thresholds: tuple[tuple[int, int], ...
     y = y.join(blocks, ["key", "n"]).withColumn("j", F.pmod(mine, F.col("columns"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("y")
     same_place = (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     other = (F.col("x.label") != F.col("y.label")) & (~F.col("y.own") | (F.col("x.id") < F.col("y.id")))
-    close = _close(F.col("x.n_chars"), F.col("y.n_chars"), F.col("x.signature"), F.col("y.signature"), thresholds)
+    close = _close("x.", "y.", thresholds)
     return x.join(y, same_place & other & close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -242,7 +254,7 @@ def line_classes(docs: DataFrame, thresholds: tuple[tuple[int, int], ...] = THRE
         lines.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
         .select("id", "line", "n_chars")
         .dropDuplicates(["id"])
-        .withColumn("signature", parity_signature(F.col("line")))
+        .select("*", *[s.alias(c) for c, s in zip(("sig", "sig2"), parity_signatures(F.col("line")), strict=True)])
     )
 
     stars = members.filter("leader <> id").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
@@ -251,7 +263,7 @@ def line_classes(docs: DataFrame, thresholds: tuple[tuple[int, int], ...] = THRE
 
     seen = _labelled(_labelled(members.select("key", "leader", "id", "own"), labels, "leader", "at"), labels, "id", "label")
     open_keys = seen.filter("at <> label").select("key").distinct()
-    rest = cut(seen.join(open_keys, "key", "left_semi").join(texts.select("id", "n_chars", "signature"), "id").select("key", "id", "own", "label", "n_chars", "signature"))
+    rest = cut(seen.join(open_keys, "key", "left_semi").join(texts.select("id", "n_chars", "sig", "sig2"), "id").select("key", "id", "own", "label", "n_chars", "sig", "sig2"))
     cross = _facing(rest, max(t for _, t in thresholds), thresholds)
     more = _verified(cross.join(stars, ["a", "b"], "left_anti"), texts, thresholds)
     if not more.isEmpty():

@@ -1,10 +1,15 @@
 """Operator 10: line-first quality rules, with DataFrame functions only.
 
-Every line is judged on its own: a *symbol* line has more than 3 marks of ``#*$%&|<>`` in 10 words or no letter
-or digit at all, a *navigation* line is a run of short items between separators, a *boilerplate* line holds a
-fixed phrase of web furniture. Failing lines go; a document goes if it fails the base rules (under 10 words, or
-more than a fifth of its words inside five-word windows that occur twice) or if less than half of its
-characters that are not white space remain.
+Every line with a word is judged on its own, by rules for
+
+* punctuation: more than 3 marks of ``#*$%&|<>``, or of ``!?``, in 10 words; no letter or digit at all; no letter and
+  at most 3 words (page numbers); a teaser of at most 12 words that ends in an ellipsis;
+* navigation: a run of short items between separators; a bullet with at most 3 words and no full stop; a counter of
+  likes, comments, shares or views; a line that is only a link to more;
+* boilerplate: a line of at most 200 characters with a fixed phrase of web furniture, in four languages.
+
+Failing lines go; a document goes if it fails the base rules (under 10 words, or more than a fifth of its words inside
+five-word windows that occur twice) or if less than half of its characters that are not white space remain.
 
 Defined results: a null, empty or blank text has 0 words and is rejected; an empty table gives an empty result;
 repeated rows are judged one by one; the input's other columns are kept as they are (``clean_documents``) or
@@ -19,23 +24,24 @@ from pyspark.sql import functions as F
 from docweave.llm.shared import SPACE_RX, SPACES, WORD_RX
 
 SYMBOL_RX = r"[#*$%&|<>]"
-#: Separators of navigation bars, and phrases of web furniture (lower case).
-SEPARATOR_RX = r"(?<![^\x20\x09-\x0D])[|>»•·/](?![^\x20\x09-\x0D])"
+#: Separators of navigation bars, bullets, counted things, and phrases of web furniture (lower case).
+SEPARATORS = "[|>»•·/]"
+SEPARATOR_RX = rf"(?<![^\x20\x09-\x0D]){SEPARATORS}(?![^\x20\x09-\x0D])"
+BULLET_RX = r"^[\x20\x09-\x0D]*[-*•·–][\x20\x09-\x0D]"
+COUNTER_RX = r"^[\x20\x09-\x0D]*[0-9][0-9.,]*[km]? (?:likes?|comments?|shares?|views?|replies|kommentare?|antworten|aufrufe|commentaires?|partages?|vues|comentarios?|respuestas|visitas)[\x20\x09-\x0D]*$"
+MORE_RX = r"^[\x20\x09-\x0D]*(?:read more|more|next|previous|back to top|weiterlesen|mehr|weiter|zurück|nach oben|lire la suite|suite|suivant|précédent|leer más|más|siguiente|anterior|volver arriba)[\x20\x09-\x0D.…»>]*$"
 BOILERPLATE = [
-    "all rights reserved",
-    "cookie policy",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "enable javascript",
-    "javascript is disabled",
-    "lorem ipsum",
-    "skip to content",
-    "skip to main content",
-    "sign up for our newsletter",
-    "subscribe to our newsletter",
-    "click here to",
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "javascript is disabled",
+    "lorem ipsum", "skip to content", "skip to main content", "sign up for our newsletter", "subscribe to our newsletter", "click here to",
+    "alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "javascript aktivieren", "zum inhalt springen",
+    "newsletter abonnieren", "klicken sie hier", "impressum",
+    "tous droits réservés", "politique de cookies", "politique de confidentialité", "conditions d'utilisation", "activer javascript", "aller au contenu",
+    "inscrivez-vous à notre newsletter", "abonnez-vous à notre", "cliquez ici", "mentions légales",
+    "todos los derechos reservados", "política de cookies", "política de privacidad", "términos de uso", "condiciones de uso", "habilite javascript",
+    "saltar al contenido", "suscríbete a nuestro", "haga clic aquí", "aviso legal",
 ]
+BOILERPLATE_RX = rf"(?<!\p{{L}})(?:{'|'.join(BOILERPLATE)})"
+BOILERPLATE_CHARS = 200
 MIN_WORDS = 10
 WINDOW = 5
 
@@ -45,12 +51,18 @@ def _count(text: Column, rx: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks the punctuation, navigation or boilerplate rule."""
+    """Whether a line with a word breaks a rule for punctuation, navigation or boilerplate. What is dear to tell stands
+    behind a condition that few lines meet."""
     words = _count(line, WORD_RX)
-    symbols = (F.lit(10) * _count(line, SYMBOL_RX) > 3 * words) | ~line.rlike(r"[\p{L}\p{N}]")
-    navigation = (_count(line, SEPARATOR_RX) >= 2) & (4 * _count(line, SEPARATOR_RX) >= words)
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    return (words > 0) & (symbols | navigation | boilerplate)
+    short = F.char_length(line) <= BOILERPLATE_CHARS
+    marked = line.rlike(SYMBOL_RX) & (F.lit(10) * _count(line, SYMBOL_RX) > 3 * words)
+    shouted = line.rlike("[!?]") & (F.lit(10) * _count(line, "[!?]") > 3 * words) & (_count(line, "[!?]") >= 3)
+    wordless = ~line.rlike(r"\p{L}") & (~line.rlike(r"\p{N}") | (words <= 3))
+    teaser = short & line.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*$") & (words <= 12)
+    bar = line.rlike(SEPARATORS) & (_count(line, SEPARATOR_RX) >= 2) & (4 * _count(line, SEPARATOR_RX) >= words)
+    item = short & line.rlike(BULLET_RX) & (words <= 4) & ~line.rlike(r"[.!?][\x20\x09-\x0D]*$")
+    furniture = short & F.lower(line).rlike(f"{COUNTER_RX}|{MORE_RX}|{BOILERPLATE_RX}")
+    return line.rlike(WORD_RX) & (marked | shouted | wordless | teaser | bar | item | furniture)
 
 
 def _solid(text: Column) -> Column:

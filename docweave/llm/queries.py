@@ -116,15 +116,21 @@ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d),
 lm AS (SELECT doc_id, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS nw,
        len(regexp_extract_all(x, '[#*$%&|<>]')) AS ns,
        len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y IN ('|', '>', '»', '•', '·', '/'))) AS sep,
-       length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS solid FROM l),
-lk AS (SELECT doc_id, sum(CASE WHEN nw > 0 AND (10 * ns > 3 * nw OR NOT regexp_matches(x, '[\p{L}\p{N}]')
+       len(regexp_extract_all(x, '[!?]')) AS nx, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS solid FROM l),
+lk AS (SELECT doc_id, sum(CASE WHEN nw > 0 AND (10 * ns > 3 * nw OR (nx >= 3 AND 10 * nx > 3 * nw)
+       OR (NOT regexp_matches(x, '\p{L}') AND (nw <= 3 OR NOT regexp_matches(x, '\p{N}')))
        OR (sep >= 2 AND 4 * sep >= nw)
-       OR regexp_matches(lower(x), '__BOILERPLATE__')) THEN 0 ELSE solid END) AS kept_chars FROM lm GROUP BY doc_id),
+       OR (length(x) <= 200 AND ((nw <= 12 AND regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*$'))
+         OR (nw <= 4 AND regexp_matches(x, '__BULLET__') AND NOT regexp_matches(x, '[.!?][\x20\x09-\x0D]*$'))
+         OR regexp_matches(lower(x), '__COUNTER__') OR regexp_matches(lower(x), '__MORE__') OR regexp_matches(lower(x), '(?:^|[^\p{L}])(?:__BOILERPLATE__)')))) THEN 0 ELSE solid END) AS kept_chars FROM lm GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
       len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
       CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(lk.kept_chars AS BIGINT) AS kept_chars
       FROM w LEFT JOIN c USING (doc_id) LEFT JOIN lk USING (doc_id))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * kept_chars >= word_chars AS kept FROM b
-""".replace("__BOILERPLATE__", "|".join(quality.BOILERPLATE)),
+""".replace("__BOILERPLATE__", "|".join(quality.BOILERPLATE).replace("'", "''"))
+    .replace("__BULLET__", quality.BULLET_RX)
+    .replace("__COUNTER__", quality.COUNTER_RX)
+    .replace("__MORE__", quality.MORE_RX),
 }

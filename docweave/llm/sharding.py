@@ -1,13 +1,16 @@
 """Operator 9: minimax contiguous partition of atomic groups into shards.
 
-Equal texts form one group. Groups are ordered by the md5 of their text and cut into 65,536 atoms by its first
-four hex digits, so equal texts always fall into one atom and the list of atom sizes has a fixed bound. The
-smallest feasible shard capacity over that ordered list is found by binary search with a greedy check, and the
-list is cut there; around an atom of that size the search is repeated with the shards left, so that all shards
-are used. Only the atom totals (at most 65,536 rows) reach the driver.
+Equal texts form one group, ordered by the md5 of their text. The smallest feasible shard capacity over that ordered
+list of group sizes is found by binary search with a greedy check, and the list is cut there; around an item of that
+size the search is repeated with the shards left, so that all shards are used.
+
+The list itself stays in Spark. The driver first sees the sums of the ranges of four hex digits (at most 65,536) and
+searches as if a range of several groups could be cut anywhere, which gives a lower bound. The ranges where a cut
+falls, at most one fewer than shards, and some beside them (``REFINED_GROUPS`` groups in all) are then fetched by
+four digits more, and the search is repeated. Once every cut falls between groups the bound is the true capacity.
 
 Defined results: a null text counts as empty (size 1, crc32 0); an empty table gives an empty result; rows that
-repeat a doc_id keep one slot each; other columns of the input, whatever their names, are ignored.
+repeat a doc_id or have none keep one slot each; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 
 from docweave.llm.shared import cut
 
-ATOM_HEX = 4  # 16 ** 4 = 65,536 atoms
+ATOM_HEX = 4  # 16 ** 4 = 65,536 ranges
+REFINED_GROUPS = 20_000  # ranges beside a cut are fetched as well while they hold so few groups
 
 
 def greedy_cuts(prefix: list[int], capacity: int, limit: int) -> list[int] | None:
@@ -109,12 +113,73 @@ def _even_runs(prefix: list[int], runs: int, capacity: int) -> list[int]:
     return starts
 
 
-def _shard_of(atom: Column, first_atoms: list[int]) -> Column:
-    """Number of the last run that starts at or before the atom."""
+def open_cuts(prefix: list[int], divisible: list[bool], capacity: int, limit: int) -> list[int] | None:
+    """Items in whose inside a shard of ``capacity`` ends, if they could be cut anywhere; None if ``limit`` shards do not do."""
+    at, inside = 0, []
+    for _ in range(limit):
+        end = at + capacity
+        if end >= prefix[-1]:
+            return inside
+        item = bisect_right(prefix, end) - 1
+        if prefix[item] != end:
+            if divisible[item]:
+                inside.append(item)
+            else:
+                end = prefix[item]
+        if end <= at:
+            return None
+        at = end
+    return None if at < prefix[-1] else inside
+
+
+def _bound(sizes: list[int], divisible: list[bool], shards: int) -> list[int]:
+    """Items that the cuts of the smallest capacity fall into."""
+    prefix = [0, *accumulate(sizes)]
+    low = max([-(-prefix[-1] // shards), *(s for s, d in zip(sizes, divisible, strict=True) if not d)])
+    high = prefix[-1]
+    while low < high:
+        middle = (low + high) // 2
+        if open_cuts(prefix, divisible, middle, shards) is None:
+            low = middle + 1
+        else:
+            high = middle
+    return open_cuts(prefix, divisible, low, shards) or []
+
+
+def _summed(groups: DataFrame, digits: int) -> list[tuple[str, int, int]]:
+    """(range, bytes, groups) of the ranges of the first ``digits`` hex digits."""
+    by = groups.groupBy(F.substring("digest", 1, digits).alias("range")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    return [(r.range, r.bytes, r.n) for r in by.collect()]
+
+
+def cut_points(groups: DataFrame, shards: int) -> list[str]:
+    """First digests of the shards' runs, from checkpointed groups (digest, bytes)."""
+    items = sorted(_summed(groups, ATOM_HEX))
+    if not items:
+        return []
+    while inside := _bound([b for _, b, _ in items], [n > 1 for *_, n in items], shards):
+        wanted, spare = dict.fromkeys(inside), REFINED_GROUPS
+        for step in range(1, len(items)):
+            beside = [k for i in inside for k in (i - step, i + step) if 0 <= k < len(items) and k not in wanted and items[k][2] > 1]
+            spare -= sum(items[k][2] for k in beside)
+            if spare < 0 or step > 64:
+                break
+            wanted |= dict.fromkeys(beside)
+        by_length: dict[int, list[str]] = {}
+        for k in wanted:
+            by_length.setdefault(len(items[k][0]), []).append(items[k][0])
+        finer = [x for n, some in by_length.items() for x in _summed(groups.filter(F.substring("digest", 1, n).isin(some)), n + ATOM_HEX)]
+        items = sorted([x for k, x in enumerate(items) if k not in wanted] + finer)
+    _, starts = minimax_cuts([b for _, b, _ in items], shards)
+    return [items[i][0] for i in starts]
+
+
+def _shard_of(digest: Column, firsts: list[str]) -> Column:
+    """Number of the last run that starts at or before the digest."""
     shard = F.lit(0)
-    for i, first in enumerate(first_atoms):
+    for i, first in enumerate(firsts):
         if i:
-            shard = F.when(atom >= first, F.lit(i)).otherwise(shard)
+            shard = F.when(digest >= first, F.lit(i)).otherwise(shard)
     return shard.cast("int")
 
 
@@ -126,33 +191,31 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.conv(F.substring(F.md5(text.cast("binary")), 1, ATOM_HEX), 16, 10).cast("int").alias("atom"),
+            F.md5(text.cast("binary")).alias("digest"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
-    atoms = cut(rows.groupBy("atom").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
-    listed = sorted((r.atom, r.bytes, r.n) for r in atoms.collect())  # at most 16 ** ATOM_HEX rows
-    _, starts = minimax_cuts([b for _, b, _ in listed], shards)
-    first_atoms = [listed[i][0] for i in starts]
-
-    # Slots: every atom is dealt into sub-chunks of bounded row count, so that a hot group of equal texts is
-    # numbered by many tasks. The chunk table has at most 16 ** ATOM_HEX * 5 / 4 rows.
-    per_chunk = max(1024, -(-4 * sum(n for *_, n in listed) // 16**ATOM_HEX))
-    placed = atoms.select(
-        "atom",
-        _shard_of(F.col("atom"), first_atoms).alias("shard"),
-        F.ceil(F.col("n") / per_chunk).cast("long").alias("n_sub"),
-    )
-    dealt = rows.join(F.broadcast(placed), "atom").withColumn("sub", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("n_sub")))
+    groups = cut(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    firsts = cut_points(groups, shards)
+    placed = rows.withColumn("atom", F.substring("digest", 1, ATOM_HEX)).withColumn("shard", _shard_of(F.col("digest"), firsts))
+
+    # Slots: every range is dealt into sub-chunks of bounded row count, so that a hot group of equal texts is
+    # numbered by many tasks. The chunk table has at most 16 ** ATOM_HEX * 5 / 4 rows, and one more for each shard.
+    atoms = groups.groupBy(F.substring("digest", 1, ATOM_HEX).alias("atom")).agg(F.sum("n").alias("n"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    per_chunk = max(1024, -(-4 * total // 16**ATOM_HEX))
+    subs = atoms.select("atom", F.ceil(F.col("n") / per_chunk).cast("long").alias("n_sub"))
+    dealt = placed.join(F.broadcast(subs), "atom").withColumn("sub", F.pmod(F.xxhash64("row", F.lit(9)), F.col("n_sub")))
     in_shard = Window.partitionBy("shard").orderBy("atom", "sub").rowsBetween(Window.unboundedPreceding, -1)
     chunks = (
         dealt.groupBy("shard", "atom", "sub")
         .agg(F.count("*").alias("k"))
-        .select("atom", "sub", F.coalesce(F.sum("k").over(in_shard), F.lit(0)).alias("before"))
+        .select("shard", "atom", "sub", F.coalesce(F.sum("k").over(in_shard), F.lit(0)).alias("before"))
     )
-    in_chunk = Window.partitionBy("atom", "sub").orderBy("doc_id", "size", "text_crc32")
+    in_chunk = Window.partitionBy("shard", "atom", "sub").orderBy("doc_id", "size", "text_crc32", "row")
     return (
         dealt.withColumn("rank", F.row_number().over(in_chunk))
-        .join(F.broadcast(chunks), ["atom", "sub"])
+        .join(F.broadcast(chunks), ["shard", "atom", "sub"])
         .select(
             "doc_id",
             "size",

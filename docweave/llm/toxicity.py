@@ -8,7 +8,8 @@ at most) and applied to whole texts.
 
 Defined results: a null or empty text has no words and gets the models' probabilities for that; a category
 without both classes in the sample always has its share as probability; without labelled rows all probabilities
-are 0; repeated rows get equal answers; rows whose labels are null are not learned from; other columns are kept.
+are 0; repeated rows get equal answers; rows whose labels are null are not learned from; other columns are kept, and
+one that is named like the result lets the result's name begin with underscores.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.shared import fresh
+
 SAMPLE = 16_000
 SELECTED, LEAST_Z = 4096, 4.0  # features kept for a category, and how far their share must be from chance
 FOLDS = 3
@@ -206,7 +209,7 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
 
 
 def predict(docs: DataFrame, chain: Chain, text_col: str = "text", out: str = "_toxicity") -> DataFrame:
-    """``docs`` with a struct column ``out``: p_<category> and is_<category> of each category."""
+    """``docs`` with a struct column ``out``, the last one: p_<category> and is_<category> of each category."""
     fields = [f"p_{c} double, is_{c} boolean" for c in chain.categories]
     weights = [m.weights.astype(np.float32) for m in chain.models]
 
@@ -221,4 +224,4 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", out: str = "_
                     p[r, c] = _sigmoid(weights[c][x].sum(dtype=np.float64) + p[r, :c] @ m.earlier + m.bias)
             yield pd.DataFrame({k: v for c, name in enumerate(chain.categories) for k, v in ((f"p_{name}", p[:, c]), (f"is_{name}", p[:, c] >= (chain.thresholds or [2.0] * len(p[0]))[c]))})
 
-    return docs.withColumn(out, score.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn(fresh(docs, out), score.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))

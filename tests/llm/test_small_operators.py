@@ -79,7 +79,41 @@ def test_sharding_contract(spark):
     assert sharding.assign_shards(frame(spark, []), 16).count() == 0
 
 
+def test_capacity_is_the_least_over_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ATOM_HEX", 1)
+    monkeypatch.setattr(sharding, "REFINED_GROUPS", 20)
+    rnd = random.Random(12)
+    for hot in (1, 400):
+        texts = ["x" * rnd.randint(0, 300) + str(i) for i in range(700)] + ["hot text " * 9] * hot
+        rows = sharding.assign_shards(frame(spark, texts), 16).collect()
+        groups = {}
+        for t in texts:
+            groups[t] = groups.get(t, 0) + len(t.encode()) + 1
+        sizes = [groups[t] for t in sorted(groups, key=lambda t: hashlib.md5(t.encode()).hexdigest())]
+        load = {}
+        for r in rows:
+            load[r.shard] = load.get(r.shard, 0) + r["size"]
+        assert max(load.values()) == sharding.minimax_cuts(sizes, 16)[0] and len(load) == 16
+        order = sorted((hashlib.md5(texts[r.doc_id].encode()).hexdigest(), r.shard) for r in rows)
+        assert [s for _, s in order] == sorted(s for _, s in order)
+
+
+def test_sharding_of_repeated_and_missing_ids(spark):
+    docs = spark.createDataFrame([(None if i % 3 else 7, "same" if i % 2 else f"t{i % 5}", "en", 1, 1, 1, "x") for i in range(5000)], SCHEMA)
+    rows = sharding.assign_shards(docs, 4).collect()
+    assert len(rows) == 5000
+    for s in range(4):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 # packing
+def test_packing_of_repeated_and_missing_ids(spark):
+    docs = spark.createDataFrame([(None if i % 3 else 7, "a b " * (i % 4), "en", 1, 1, 1, "x") for i in range(300)], SCHEMA)
+    rows = packing.pack(docs, max_tokens=4, budget=16, buckets=3).collect()
+    assert sum(r.n_tokens for r in rows) == sum(2 * (i % 4) for i in range(300))
+    assert len({(r.bucket, r.batch, r.row_in_batch) for r in rows}) == len(rows)
+
+
 def test_boundaries_equal_brute_force():
     rnd = random.Random(2)
     for _ in range(60):
@@ -151,11 +185,16 @@ def test_quality_lines(spark):
         "Home | News | Sport | Travel | Food | Culture | Weather | Video | Shop | Jobs | More": (False, None),
         prose + "\nWe use cookies, see our Cookie Policy for more.": (True, prose),
         "short text": (False, None),
+        prose + "\n12 comments\n- Home page\n7\n1,204 likes\nLire la suite »\nThe story so far ...": (True, prose),
+        prose + "\nWOW!! NOW!! BUY!!\nWeitere Angaben stehen in der Datenschutzerklärung.": (True, prose),
+        prose + "\n- A point that is made in a sentence, and so stays.\nHe said no ...": (True, prose + "\n- A point that is made in a sentence, and so stays."),
+        "The " + "long line about what a privacy policy of a firm may say, " * 5 + "stays.": (False, None),
+        "A line says " + " ".join(f"w{i}" for i in range(60)) + " about what a privacy policy of a firm may say and stays.": (True, None),
     }
     docs = frame(spark, list(cases))
     kept = {r.doc_id: r.text for r in quality.clean_documents(docs).collect()}
     assert quality.clean_documents(docs).columns == docs.columns
-    assert kept == {i: clean for i, (ok, clean) in enumerate(cases.values()) if ok}
+    assert kept == {i: clean or t for i, (t, (ok, clean)) in enumerate(cases.items()) if ok}
 
 
 # language identification
@@ -173,7 +212,46 @@ def test_language_id(spark):
     assert {r._language.lang_pred for r in language_id.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_id_equals_loops(spark):
+    import re
+    import zstandard
+
+    rnd = random.Random(10)
+    stems = {"xx": ["lor", "mag", "dun"], "yy": ["lor", "oué", "ani"], "zz": ["pi"]}
+    rows = [(i, " ".join("".join(rnd.choice(stems[k]) for _ in range(3)) for _ in range(rnd.choice([1, 5, 3000]))), k) for i in range(90) for k in [rnd.choice(["xx", "xx", "yy"])]]
+    rows += [(i, "lor LOR. 12 lor", "yy") for i in (200, 200)] + [(None, "pi pi", "zz"), (None, "ani ani, ani", "yy"), (300, "a", None), (301, "Q", None), (302, "lor" * 60_000, None)]
+    schema = "doc_id long, text string, lang string, _language string, h long, rank int"
+    docs = spark.createDataFrame([(i, t, k, "mine", 5, 6) for i, t, k in rows], schema)
+    model = language_id.fit(docs, dict_bytes=3000)
+    names = [k for k, _ in model.dictionaries]
+    assert names == ["xx", "yy", "zz"] and all(len(d) <= 3000 for _, d in model.dictionaries) and dict(model.dictionaries)["zz"] == b"pi pi   "
+    identified = language_id.identify(docs, model)
+    assert identified.columns == [*docs.columns, "__language"]
+    for r in identified.collect():
+        data = re.sub(r"[^\w]|[\d_]", " ", r.text.lower())
+        data = " ".join(data.split()).encode()
+        sizes = {}
+        for level in (language_id.QUICK_LEVEL, language_id.STRONG_LEVEL):
+            for k, d in model.dictionaries:
+                zd = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                c = zstandard.ZstdCompressor(level=level, dict_data=zd, write_content_size=False, write_checksum=False, write_dict_id=False)
+                sizes[k] = sum(len(c.compress(data[i : i + language_id.BLOCK])) for i in range(0, len(data), language_id.BLOCK))
+            best, second = sorted(sizes.values())[:2]
+            if (second - best) / second >= language_id.NARROW:
+                break
+        found = r["__language"]
+        assert found.lang_pred == min(names, key=lambda k: sizes[k]) and r["_language"] == "mine"
+        assert found.accepted == ((second - best) / second >= model.min_margin)
+
+
 # byte pair encoding
+def test_bpe_keeps_columns_of_the_same_name(spark):
+    v = bpe.Vocabulary.load(PATH)
+    docs = spark.createDataFrame([(1, "hello", "mine", 4)], "doc_id long, text string, ids string, decoded int")
+    r = bpe.decode_documents(bpe.encode_documents(docs, v), v, ids_col="_ids").collect()[0]
+    assert (r.ids, r.decoded, r._decoded) == ("mine", 4, "hello")
+
+
 def test_bpe_equals_the_library(spark):
     rnd = random.Random(7)
     alphabet = [*"aaabcde 'stre\n\t\r\x1c\x85 é日😀１²_-.,!", "<|endoftext|>", "'ll", "   ", "zq", "　", "\x00"]
