@@ -29,7 +29,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     equal answers; an empty table gives an empty result."""
     bounded_batches(spark)
     model = language_id.fit(docs)
-    return language_id.identify(docs, model).filter("_language.accepted").select(*docs.columns)
+    identified = language_id.identify(docs, model)
+    return identified.filter(F.col(identified.columns[-1]).getField("accepted")).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
