@@ -1,8 +1,8 @@
 """Operator 5: line deduplication by a segment-partition edit join, with DataFrame functions only.
 
 Two lines are alike if they lie within a threshold of edits (characters inserted, deleted or replaced) that the
-length of the shorter one sets (``THRESHOLDS``): none under 24 characters, 2 from 24, 4 from 160. Alike lines fall
-into one class, transitively. A line is cut into threshold + 1 segments, of which a line within the threshold must
+length of the shorter one sets (``THRESHOLDS``): none under 24 characters and 2 from there, unless the caller lets
+longer lines differ more. Alike lines fall into one class, transitively. A line is cut into threshold + 1 segments, of which a line within the threshold must
 keep at least one; lines are found by their own segments and by those substrings of their text that could be a
 segment of another line of about the same length, at the positions that the edits allow. In every bucket of equal
 segments all lines are compared with the smallest line first, one row for each member; buckets that still hold
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from docweave.llm.components import connected_components
 from docweave.llm.shared import SPACES, cut, hot_keys, join_hot, one_of_each, row_named, text_key
 
-#: The least length from which lines may differ, and by how many edits.
-THRESHOLDS = ((24, 2), (160, 4))
+#: The least length from which lines may differ, and by how many edits; further pairs let longer lines differ more.
+THRESHOLDS = ((24, 2),)
 CLASS_RATIO = 1.2
 LONGEST = 1 << 31
 BLOCK = 1024
