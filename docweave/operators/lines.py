@@ -15,14 +15,16 @@ def is_caps(text: Column) -> Column:
     return (text == F.upper(text)) & (text != F.lower(text))
 
 
-def build_lines(tokens: DataFrame) -> DataFrame:
-    """One row per line: text in x order, box, median font, whether its first token is bold, whether it is in capitals."""
+def build_lines(tokens: DataFrame, *kept: str) -> DataFrame:
+    """One row per line: text in x order, box, median font, whether its first token is bold, whether it is in capitals;
+    ``kept``: columns that are the same on all tokens of a line."""
     lines = tokens.groupBy(*LINE_KEY).agg(
         ordered_text(order=("x0", "token_index")).alias("text"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         F.expr("percentile(font_size, 0.5)").alias("font_median"),
         F.min_by("is_bold", F.struct("x0", "token_index")).alias("is_bold"),
         F.count("*").cast("int").alias("n_tokens"),
+        *[F.min(c).alias(c) for c in kept],
     )
     return lines.withColumn("is_caps", is_caps(F.col("text")))
 
@@ -43,13 +45,12 @@ def dominant_style(tokens: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Da
 
 def style_tiers(lines: DataFrame, most: int = 3) -> DataFrame:
     """Lines with the rank of their style among the document's prominent ones (bold, capitals or over the median size)."""
-    median = lines.groupBy("doc_id").agg(upper_median("font_median").alias("doc_font"))
-    known = lines.join(median, "doc_id")
+    doc = Window.partitionBy("doc_id")
+    known = lines.withColumn("doc_font", upper_median("font_median").over(doc))
     prominent = F.col("is_bold") | F.col("is_caps") | (F.col("font_median") > F.col("doc_font"))
-    styles = known.filter(prominent).select("doc_id", "font_median", "is_bold", "is_caps").distinct()
-    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("font_median"), F.desc("is_bold"), F.desc("is_caps")))
-    tiers = styles.withColumn("tier", rank).filter(F.col("tier") <= most)
-    return lines.join(tiers, ["doc_id", "font_median", "is_bold", "is_caps"], "left")
+    # prominent lines come first, so that only their styles are counted before them
+    rank = F.dense_rank().over(doc.orderBy(F.desc(prominent), F.desc("font_median"), F.desc("is_bold"), F.desc("is_caps")))
+    return known.withColumn("tier", F.when(prominent & (rank <= most), rank)).drop("doc_font")
 
 
 def split_horizontal(tokens: DataFrame, gap: float = 35.0) -> DataFrame:

@@ -79,7 +79,7 @@ def split_comma(tokens: DataFrame) -> DataFrame:
     words = F.sum((F.col("token") != ",").cast("int")).over(running(w))
     entity = F.regexp_replace("bio_label", "^[BI]-", "")
     label = (
-        F.when(F.col("token") == ",", F.when(F.size(F.array("part")) > 0, F.lit("O")))
+        F.when(F.col("token") == ",", F.lit("O"))
         .when((words > 1) & (F.col("bio_label") != "O"), F.concat(F.lit("I-"), entity))
         .otherwise(F.col("bio_label"))
     )

@@ -23,9 +23,8 @@ def quoted(rx: str) -> str:
 
 
 def known_lines(spark, sf_dir):
-    t = resume_tokens(spark, sf_dir)
-    more = t.select(*K, "section", "kind").distinct()
-    return build_lines(t).join(more, list(K)).withColumn("is_head", F.col("kind").isin("job", "school", "project"))
+    """Lines with section and kind, which all tokens of a line share, and whether the truth has an entry head on them."""
+    return build_lines(resume_tokens(spark, sf_dir), "section", "kind").withColumn("is_head", F.col("kind").isin("job", "school", "project"))
 
 
 @query(on_resumes(L + f" SELECT doc_id, page, line_index, regexp_matches(text, '{quoted(en.DATE_RX)}') AS has_date, CAST(CASE WHEN regexp_matches(text, '(?:19|20)[0-9]{{2}}') THEN length(regexp_extract(text, '^(.*?)(?:19|20)[0-9]{{2}}', 1)) + 1 END AS INT) AS first_year FROM l"))

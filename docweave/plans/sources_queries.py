@@ -49,12 +49,12 @@ def src_exclude(spark, sf_dir):
 
 
 @query(on_resumes("""
-, c AS (SELECT *, max(CASE WHEN regexp_matches(token, '[A-Za-z0-9]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line_index) AS alnum FROM t WHERE doc_id % 5 <> 0),
+, c AS (SELECT *, max(CASE WHEN regexp_matches(token, '[A-Za-z0-9]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line_index) AS alnum FROM t),
 k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM c WHERE alnum = 1 AND token <> 'cid')
-SELECT doc_id, page, line_index, token_index, token, CASE WHEN bio_label LIKE '%HEADING' THEN 'O' ELSE bio_label END AS bio_label FROM k WHERE n >= 3"""))
+SELECT doc_id, page, line_index, token_index, token, CASE WHEN bio_label LIKE '%HEADING' THEN 'O' ELSE bio_label END AS bio_label, CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM k WHERE n >= 3"""))
 def src_clean_labelled(spark, sf_dir):
-    """Labelled tokens of the training split: lines with text only, headings unlabelled, documents of three tokens or more."""
-    return clean_labelled(resume_tokens(spark, sf_dir).filter("doc_id % 5 <> 0"))
+    """Labelled tokens of all documents: lines with text only, headings unlabelled, documents of three tokens or more; ``split`` tells every fifth document as validation."""
+    return clean_labelled(resume_tokens(spark, sf_dir)).withColumn("split", F.when(F.col("doc_id") % 5 == 0, "validation").otherwise("train"))
 
 
 def clean_labelled(tokens):

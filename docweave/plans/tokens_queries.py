@@ -112,15 +112,15 @@ def strip_cid(spark, sf_dir):
     return tk.strip_cid(resume_tokens(spark, sf_dir).withColumn("token", marked)).select(*KEY, "token")
 
 
-GLYPHS = """, g0 AS (SELECT doc_id, page, CAST(line_index AS INT) AS true_line, token_index, y0 AS top, x0, font_size AS size, token, is_bold, unnest(range(length(token) + 1)) AS i FROM t WHERE doc_id % 4 = 0),
+GLYPHS = """, g0 AS (SELECT doc_id, page, CAST(line_index AS INT) AS true_line, token_index, y0 AS top, x0, font_size AS size, token, is_bold, unnest(range(length(token) + 1)) AS i FROM t),
 g AS (SELECT doc_id, page, CAST(true_line * 100000 + token_index * 500 + i AS BIGINT) AS seq, CASE WHEN i = length(token) THEN ' ' ELSE substr(token, CAST(i + 1 AS INT), 1) END AS text, x0 + 6.0 * i AS x0, x0 + 6.0 * i + 6 AS x1, top + (i % 2) AS top, size,
   CASE WHEN is_bold AND i % 3 <> 0 THEN 'Arial-BoldMT' ELSE 'ArialMT' END AS fontname FROM g0),
 gl AS (SELECT *, sum(CASE WHEN abs(top - p) > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY top, seq) AS line_index FROM (SELECT *, lag(top) OVER (PARTITION BY doc_id, page ORDER BY top, seq) AS p FROM g))"""
 
 
 def glyphs(spark, sf_dir):
-    """Glyph rows of every fourth résumé: one for each character and one for the space after a token."""
-    t = resume_tokens(spark, sf_dir).filter("doc_id % 4 = 0")
+    """Glyph rows of all résumés: one for each character and one for the space after a token."""
+    t = resume_tokens(spark, sf_dir)
     rows = t.select("*", F.explode(F.sequence(F.lit(0), F.char_length("token"))).alias("i"))
     return rows.select(
         "doc_id", "page", (F.col("line_index").cast("long") * 100000 + F.col("token_index") * 500 + F.col("i")).alias("seq"),

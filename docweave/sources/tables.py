@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,29 +65,30 @@ def html_links(pages: DataFrame) -> DataFrame:
     return linked.select("page_id", "link_index", "z.uri", "z.anchor")
 
 
-#: Résumé-shaped lines rendered from relational rows; the same text runs on other SQL engines.
+#: Résumé-shaped lines rendered from relational rows, every order a job and every line item a bullet; ordered by block
+#: (a), order (k) and item (b). The same text runs on other SQL engines.
 RESUME_LINES = """
-WITH o3 AS (SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM {orders}),
-jobs AS (SELECT * FROM o3 WHERE k <= 3),
+WITH jobs AS (SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k,
+       count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}),
 li AS (SELECT j.o_custkey, j.k, l.l_partkey, row_number() OVER (PARTITION BY j.o_orderkey ORDER BY l.l_linenumber, l.l_partkey) AS b
        FROM jobs j JOIN {lineitem} l ON l.l_orderkey = j.o_orderkey),
-pp AS (SELECT li.o_custkey, li.k, li.b, p.p_name, p.p_partkey, p.p_size FROM li JOIN {part} p ON p.p_partkey = li.l_partkey WHERE li.b <= 2),
+pp AS (SELECT li.o_custkey, li.k, li.b, p.p_name, p.p_partkey, p.p_size FROM li JOIN {part} p ON p.p_partkey = li.l_partkey),
 raw AS (
-  SELECT c_custkey AS doc_id, 0 AS ord, c_name AS txt, 'PERSONAL' AS section, 'name' AS kind FROM {customer}
-  UNION ALL SELECT c_custkey, 1, concat('+91-', lpad(CAST(c_custkey * 7919 % 10000000 AS STRING), 10, '9'), ' | c', CAST(c_custkey AS STRING), '@example.org | github.com/c', CAST(c_custkey AS STRING)), 'PERSONAL', 'contact' FROM {customer}
-  UNION ALL SELECT DISTINCT o_custkey, 2, CASE WHEN o_custkey % 3 = 0 THEN 'W O R K  E X P E R I E N C E' WHEN o_custkey % 3 = 1 THEN 'WORK EXPERIENCE' ELSE '## Work Experience:' END, 'EXPERIENCE', 'heading' FROM jobs
-  UNION ALL SELECT o_custkey, 100 * k, concat('Engineer ', CAST(o_orderkey AS STRING), ' ( ', CASE WHEN month(o_orderdate) <= 6 THEN 'Jan' ELSE 'July' END, ' ', CAST(year(o_orderdate) AS STRING), ' - ', CASE WHEN k = 3 THEN 'Present' ELSE CAST(year(o_orderdate) + 1 AS STRING) END, ' )'), 'EXPERIENCE', 'job' FROM jobs
-  UNION ALL SELECT o_custkey, 100 * k + b, concat('• Shipped ', p_name, ' units, size ', CAST(p_size AS STRING)), 'EXPERIENCE', 'bullet' FROM pp
-  UNION ALL SELECT c_custkey, 500, 'EDUCATION', 'EDUCATION', 'heading' FROM {customer} WHERE c_custkey % 2 = 0
-  UNION ALL SELECT c_custkey, 501, concat('University of ', n_name), 'EDUCATION', 'school' FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0
-  UNION ALL SELECT c_custkey, 502, concat('Bachelor of Science 2010-', CAST(2012 + c_custkey % 4 AS STRING)), 'EDUCATION', 'degree' FROM {customer} WHERE c_custkey % 2 = 0
-  UNION ALL SELECT DISTINCT o_custkey, 600, 'PROJECTS', 'PROJECT', 'heading' FROM pp
-  UNION ALL SELECT o_custkey, 600 + 10 * k, concat(p_name, ' Portal | Python,SQL'), 'PROJECT', 'project' FROM pp WHERE b = 1
-  UNION ALL SELECT o_custkey, 601 + 10 * k, concat('• Built item', CAST(p_partkey AS STRING), '(v', CAST(p_size AS STRING), ') for: everyone'), 'PROJECT', 'bullet' FROM pp WHERE b = 1
-  UNION ALL SELECT DISTINCT o_custkey, 900, 'SKILLS', 'SKILLS', 'heading' FROM pp
-  UNION ALL SELECT o_custkey, 900 + 10 * k + b, concat('Languages: ', p_name, ', SQL , Git|Docker'), 'SKILLS', 'skill' FROM pp
+  SELECT c_custkey AS doc_id, 0 AS a, 0 AS k, 0 AS b, c_name AS txt, 'PERSONAL' AS section, 'name' AS kind FROM {customer}
+  UNION ALL SELECT c_custkey, 1, 0, 0, concat('+91-', lpad(CAST(c_custkey * 7919 % 10000000 AS STRING), 10, '9'), ' | c', CAST(c_custkey AS STRING), '@example.org | github.com/c', CAST(c_custkey AS STRING)), 'PERSONAL', 'contact' FROM {customer}
+  UNION ALL SELECT DISTINCT o_custkey, 2, 0, 0, CASE WHEN o_custkey % 3 = 0 THEN 'W O R K  E X P E R I E N C E' WHEN o_custkey % 3 = 1 THEN 'WORK EXPERIENCE' ELSE '## Work Experience:' END, 'EXPERIENCE', 'heading' FROM jobs
+  UNION ALL SELECT o_custkey, 3, k, 0, concat('Engineer ', CAST(o_orderkey AS STRING), ' ( ', CASE WHEN month(o_orderdate) <= 6 THEN 'Jan' ELSE 'July' END, ' ', CAST(year(o_orderdate) AS STRING), ' - ', CASE WHEN k = n THEN 'Present' ELSE CAST(year(o_orderdate) + 1 AS STRING) END, ' )'), 'EXPERIENCE', 'job' FROM jobs
+  UNION ALL SELECT o_custkey, 3, k, b, concat('• Shipped ', p_name, ' units, size ', CAST(p_size AS STRING)), 'EXPERIENCE', 'bullet' FROM pp
+  UNION ALL SELECT c_custkey, 4, 0, 0, 'EDUCATION', 'EDUCATION', 'heading' FROM {customer} WHERE c_custkey % 2 = 0
+  UNION ALL SELECT c_custkey, 5, 0, 0, concat('University of ', n_name), 'EDUCATION', 'school' FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0
+  UNION ALL SELECT c_custkey, 6, 0, 0, concat('Bachelor of Science 2010-', CAST(2012 + c_custkey % 4 AS STRING)), 'EDUCATION', 'degree' FROM {customer} WHERE c_custkey % 2 = 0
+  UNION ALL SELECT DISTINCT o_custkey, 7, 0, 0, 'PROJECTS', 'PROJECT', 'heading' FROM pp
+  UNION ALL SELECT o_custkey, 8, k, 0, concat(p_name, ' Portal | Python,SQL'), 'PROJECT', 'project' FROM pp WHERE b = 1
+  UNION ALL SELECT o_custkey, 8, k, 1, concat('• Built item', CAST(p_partkey AS STRING), '(v', CAST(p_size AS STRING), ') for: everyone'), 'PROJECT', 'bullet' FROM pp WHERE b = 1
+  UNION ALL SELECT DISTINCT o_custkey, 9, 0, 0, 'SKILLS', 'SKILLS', 'heading' FROM pp
+  UNION ALL SELECT o_custkey, 10, k, b, concat('Languages: ', p_name, ', SQL , Git|Docker'), 'SKILLS', 'skill' FROM pp
 )
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INT) AS line_no, txt, section, kind FROM raw
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, k, b) - 1 AS INT) AS line_no, txt, section, kind FROM raw
 """
 
 #: Tokens of those lines with a layout: 20 lines to a page, sizes and bold from the kind of line.
@@ -108,11 +114,42 @@ WHERE token <> ''
 """
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where none is set and the
+    master is local, an error where it is not."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if not re.match(r"local(\[[^,]*])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="docweave-"))
+    return where
+
+
+_LOCAL: dict[str, str] = {}
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, rows: Callable[[], DataFrame], key: str = "doc_id") -> DataFrame:
+    """A table that several operators of a plan start from, written once in a session to the shared folder, in buckets
+    of ``key`` that are in order: windows and groups of a document need no shuffle of it."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _STAGED:
+        table = f"docweave_{name}_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ready = rows().repartition(buckets, key)
+        ready.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_folder(spark)}/{table}").format("parquet").saveAsTable(table)
+        _STAGED[at] = table
+    return spark.table(_STAGED[at])
+
+
 def resume_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "part", "nation")}
-    return spark.sql(RESUME_LINES, **tables)
+    return staged(spark, sf_dir, "resume_lines", lambda: spark.sql(RESUME_LINES, **tables))
 
 
 def resume_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = resume_lines(spark, sf_dir).select("*", F.posexplode(F.split("txt", " ", -1)).alias("token_index", "token"))
-    return spark.sql(RESUME_TOKENS.replace("split_lines", "{split_lines}"), split_lines=split)
+    def rows() -> DataFrame:
+        split = resume_lines(spark, sf_dir).select("*", F.posexplode(F.split("txt", " ", -1)).alias("token_index", "token"))
+        return spark.sql(RESUME_TOKENS.replace("split_lines", "{split_lines}"), split_lines=split)
+
+    return staged(spark, sf_dir, "resume_tokens", rows)
