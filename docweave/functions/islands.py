@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -61,3 +61,20 @@ def ordered_text(column: str = "token", sep: str = " ", order: Sequence[str] = O
     """Aggregate: the group's values in reading order, joined."""
     rows = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(column).alias("_v"))))
     return F.array_join(F.transform(rows, lambda r: r["_v"]), sep)
+
+
+def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column, state: str, step: Callable[[Column, Column], Column], out: str, kind: str) -> DataFrame:
+    """Rows of each group, in order, with ``out``, a field of the running state: ``step`` makes the next state (a struct
+    of type ``state``) from the last one and the row. For rules that look at their own earlier decisions; the groups are
+    lines, pages or entries, and the fold stays in the JVM."""
+    columns = [c for c in df.columns if c not in keys and c not in order]
+    rows = F.array_sort(F.collect_list(F.struct(*order, *columns)))
+
+    def grown(a: Column, row: Column) -> Column:
+        new = step(a["s"], row).cast(state)
+        return F.struct(new.alias("s"), F.concat(a["o"], F.array(new[out].cast(kind))).alias("o"))
+
+    first = F.struct(start.cast(state).alias("s"), F.array().cast(f"array<{kind}>").alias("o"))
+    grouped = df.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_out", F.aggregate("_rows", first, grown, lambda a: a["o"]))
+    each = grouped.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_out").alias("o"))).alias("z"))
+    return each.select(*keys, *[F.col(f"z.r.{c}").alias(c) for c in [*order, *columns]], F.col("z.o").alias(out))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.islands import carry_last, ordered, running
+from docweave.functions.islands import folded, ordered, running
 from docweave.operators.tokenise import MONTHS, OPEN_END
 from docweave.schema import LINE_KEY
 
@@ -14,8 +13,6 @@ DATE_RX = rf"(?:^|[^A-Za-z])(?:{MONTHS})[’'.,]? ?[’']?[0-9]{{2,4}}|(?:^|[^0-
 BULLET_RX = "^[•◦●▪*–-] "
 VERBS_RX = "^(?:• )?(?:Built|Shipped|Designed|Led|Developed|Managed|Created)(?:[^A-Za-z]|$)"
 ROLE_RX = "^(?:Senior |Junior )?(?:Engineer|Developer|Manager|Analyst|Intern)(?:[^A-Za-z]|$)"
-INSTITUTION_RX = "University|College|Institute|School"
-DEGREE_RX = "Bachelor|Master|B[.]?Tech|M[.]?Sc|PhD|Diploma"
 
 
 def date_anchor(lines: DataFrame) -> DataFrame:
@@ -23,11 +20,12 @@ def date_anchor(lines: DataFrame) -> DataFrame:
     return lines.select(*LINE_KEY, F.col("text").rlike(DATE_RX).alias("has_date"), F.nullif(F.regexp_instr("text", F.lit("(?:19|20)[0-9]{2}")), F.lit(0)).alias("first_year"))
 
 
-def exp_line_rules(lines: DataFrame) -> DataFrame:
-    """Named predicates of an experience line."""
+def exp_line_rules(lines: DataFrame, *kept: str) -> DataFrame:
+    """Named predicates of an experience line; ``kept``: columns to keep."""
     text = F.col("text")
     return lines.select(
         *LINE_KEY,
+        *kept,
         text.rlike(BULLET_RX).alias("is_bullet"),
         text.rlike(VERBS_RX).alias("is_description"),
         text.rlike("(?:^|[^A-Za-z])[Ii]nternship(?:[^A-Za-z]|$)").alias("is_internship"),
@@ -37,31 +35,6 @@ def exp_line_rules(lines: DataFrame) -> DataFrame:
     )
 
 
-def edu_line_rules(lines: DataFrame) -> DataFrame:
-    text = F.col("text")
-    return lines.select(
-        *LINE_KEY,
-        text.rlike(INSTITUTION_RX).alias("is_institution"),
-        text.rlike(DEGREE_RX).alias("is_degree"),
-        text.rlike("(?:CGPA|GPA|%|Percentage)").alias("is_marks"),
-        text.rlike("^(?:Year|Degree|Institute|Board)(?: |$)").alias("is_table_header"),
-        text.rlike("(?:Class|Grade) (?:X|XII|10|12)").alias("is_exam"),
-        (text.rlike(DATE_RX) & ~text.rlike(INSTITUTION_RX)).alias("is_dated_detail"),
-    )
-
-
-def proj_line_rules(lines: DataFrame) -> DataFrame:
-    text = F.col("text")
-    return lines.select(
-        *LINE_KEY,
-        text.rlike("^(?:Tech|Tools|Stack|Technologies)[^:]*:").alias("is_metadata"),
-        text.rlike("^[0-9]+[.)] ").alias("is_numbered"),
-        (text.rlike(r"https?:|github|[|]") & ~text.rlike(BULLET_RX)).alias("is_link_title"),
-        text.rlike("(?:Portal|Platform|System|App)(?:[^A-Za-z]|$)").alias("is_noun_title"),
-        (text.rlike("^[a-z]") & ~text.rlike(BULLET_RX)).alias("is_continuation"),
-    )
-
-
 def heads(lines: DataFrame, is_head: Column, section: str) -> DataFrame:
     """Head lines of a section, in order."""
     return lines.filter(is_head & (F.col("section") == section)).select(*LINE_KEY).distinct()
@@ -80,21 +53,19 @@ def exp_style_heads(lines: DataFrame) -> DataFrame:
 
 def exp_boundary_fix(lines: DataFrame, distance: int = 5) -> DataFrame:
     """Suppresses heads on bullets and open ends, promotes dated role lines, and allows no promotion within some lines
-    of the last head, its own promotions included: a fold over one document's section."""
+    of the last head, its own promotions included. A head that stays sets the distance anew whatever came before, so that
+    the fold runs from one such head to the next."""
+    w = ordered(("doc_id",), ("page", "line_index"))
+    sure = F.col("is_head") & ~F.col("is_bullet") & ~F.col("is_open_end")
+    placed = lines.select(*LINE_KEY, "is_role_with_date", sure.alias("sure")).withColumn("pos", F.row_number().over(w)).withColumn("entry", F.sum(F.col("sure").cast("int")).over(running(w)))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "line_index"])
-        last, out = -(10**9), []
-        for pos, (head, bullet, role, open_end) in enumerate(zip(pdf["is_head"], pdf["is_bullet"], pdf["is_role_with_date"], pdf["is_open_end"], strict=True)):
-            now = bool(head) and not bullet and not open_end
-            if not now and role and pos - last > distance:
-                now = True
-            if now:
-                last = pos
-            out.append(now)
-        return pdf[["doc_id", "page", "line_index"]].assign(is_head=out)
+    def step(s: Column, row: Column) -> Column:
+        now = row["sure"] | (row["is_role_with_date"] & (row["pos"] - s["last"] > distance))
+        return F.struct(F.when(now, row["pos"]).otherwise(s["last"]).alias("last"), now.alias("is_head"))
 
-    return lines.groupBy("doc_id").applyInPandas(fold, "doc_id long, page int, line_index int, is_head boolean")
+    start = F.struct(F.lit(-(10**9)).alias("last"), F.lit(False).alias("is_head"))
+    out = folded(placed, ("doc_id", "entry"), ("page", "line_index"), start, "struct<last:int,is_head:boolean>", step, "is_head", "boolean")
+    return out.select(*LINE_KEY, "is_head")
 
 
 def demote_dates(tokens: DataFrame) -> DataFrame:
@@ -145,11 +116,13 @@ def shift_heads(lines: DataFrame, structural: Column, candidate: Column) -> Data
     return lines.withColumn("_to", F.when(F.col("is_head"), moved)).filter("_to IS NOT NULL").select("doc_id", F.col("_to.page").alias("page"), F.col("_to.line_index").alias("line_index")).distinct()
 
 
-def label_segments(lines: DataFrame) -> DataFrame:
-    """Truth labels of segments: the first of a head line is B-, the rest of it and what follows I-, before any head O."""
-    w = ordered(("doc_id",), ("page", "line_index"))
-    begun = F.max(F.col("is_head").cast("int")).over(running(w))
-    return lines.withColumn("label", F.when(F.col("is_head"), "B-ENTRY").when(begun == 1, "I-ENTRY").otherwise("O"))
+def label_segments(segments: DataFrame, head_lines: DataFrame) -> DataFrame:
+    """Truth labels of segments (seg_index, line_run): the first segment of a head line is B-ENTRY and the rest of that
+    line I-ENTRY, all others O. A head line is claimed once, by the first run of segments on it."""
+    marked = segments.join(head_lines.select(*LINE_KEY, F.lit(True).alias("_head")).distinct(), list(LINE_KEY), "left")
+    claims = F.col("_head").isNotNull() & (F.col("line_run") == F.min("line_run").over(Window.partitionBy(*LINE_KEY)))
+    first = F.row_number().over(ordered(("doc_id", "line_run"), ("seg_index",))) == 1
+    return marked.withColumn("label", F.when(claims & first, "B-ENTRY").when(claims, "I-ENTRY").otherwise("O")).drop("_head")
 
 
 def scope_heads(head_lines: DataFrame, section_lines: DataFrame) -> DataFrame:
@@ -170,11 +143,3 @@ def date_roles(tokens: DataFrame) -> DataFrame:
     dated = tokens.filter(F.col("token").rlike(rf"^[(]?(?:19|20)[0-9]{{2}}[)]?$|^(?:{OPEN_END})$"))
     nth = F.row_number().over(w)
     return dated.withColumn("date_role", F.when(F.col("token").rlike(f"^(?:{OPEN_END})$") | (nth % 2 == 0), "EDATE").otherwise("SDATE"))
-
-
-def last_head_distance(lines: DataFrame) -> DataFrame:
-    w = ordered(("doc_id",), ("page", "line_index"))
-    placed = lines.withColumn("pos", F.row_number().over(w))
-    return placed.withColumn("since_head", F.col("pos") - carry_last(F.when(F.col("is_head"), F.col("pos")), w))
-
-

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.islands import after, before, carry_last, first_seen_mode, island, ordered, ordered_text, running, upper_median
+from docweave.functions.islands import after, before, carry_last, first_seen_mode, folded, island, ordered, ordered_text, running, upper_median
 from docweave.schema import LINE_KEY
 
 SEPARATORS = ["|", "•", "·", ",", "/", "-", "–", "(", ")"]
@@ -221,27 +220,21 @@ def align_continuation(tokens: DataFrame) -> DataFrame:
 
 
 def decode_constrained(scores: DataFrame, labels: list[str]) -> DataFrame:
-    """Greedy labels in token order; an I-X is only allowed after B-X or I-X of its line. A fold over a document's scores."""
+    """Greedy labels in token order; an I-X is only allowed after B-X or I-X of its line: a fold over each line."""
+    inner = F.array(*[F.lit(x.startswith("I-")) for x in labels])
+    own = F.array(*[F.lit(x[2:]) for x in labels])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "line_index", "token_index"])
-        out, last, line = [], "O", None
-        for page, index, row in zip(pdf["page"], pdf["line_index"], pdf["scores"], strict=True):
-            if (page, index) != line:
-                last, line = "O", (page, index)
-            allowed = [s if not name.startswith("I-") or (last != "O" and last[2:] == name[2:]) else s - 10000 for name, s in zip(labels, row, strict=True)]
-            last = labels[max(range(len(labels)), key=lambda i: (allowed[i], -i))]
-            out.append(last)
-        return pdf[["doc_id", "page", "line_index", "token_index"]].assign(label=out)
+    def step(s: Column, row: Column) -> Column:
+        allowed = F.transform(row["scores"], lambda x, i: F.when(F.get(inner, i) & (F.get(own, i) != s["entity"]), x - 10000).otherwise(x))
+        best = (F.array_position(allowed, F.array_max(allowed)) - 1).cast("int")
+        return F.struct(F.get(own, best).alias("entity"), F.get(F.array(*[F.lit(x) for x in labels]), best).alias("label"))
 
-    return scores.groupBy("doc_id").applyInPandas(fold, "doc_id long, page int, line_index int, token_index int, label string")
+    start = F.struct(F.lit("").alias("entity"), F.lit("O").alias("label"))
+    rows = scores.select(*LINE_KEY, "token_index", "scores")
+    return folded(rows, LINE_KEY, ("token_index",), start, "struct<entity:string,label:string>", step, "label", "string").select(*LINE_KEY, "token_index", "label")
 
 
 def top_segments(tokens: DataFrame, most: int) -> DataFrame:
     """The first ``most`` lines of a document, as the models take them."""
     n = F.dense_rank().over(ordered(("doc_id",), ("page", "line_index")))
     return tokens.withColumn("nth", n).filter(F.col("nth") <= most)
-
-
-def running_any(flag: Column, w) -> Column:
-    return F.max(flag.cast("int")).over(running(w)) == 1

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.islands import carry_last, next_known, ordered, ordered_text, running
+from docweave.functions.islands import carry_last, folded, next_known, ordered, ordered_text, running
 from docweave.operators.fields import entity
 from docweave.schema import LINE_KEY
 
@@ -80,39 +81,42 @@ def proj_style_heads(lines: DataFrame) -> DataFrame:
 
 
 def proj_boundary_fix(lines: DataFrame) -> DataFrame:
-    """A start inside a block whose title was two lines ago or less goes; a link title after a block of three lines or
-    more opens one. A fold over a document's section: it looks at its own earlier decisions."""
+    """A start within two lines of the last one goes; a link title three lines or more after it opens a block. The rule
+    looks at its own earlier decisions, but a candidate with no other one in the two lines before it opens a block
+    whatever came before, so that the fold runs over runs of close candidates only."""
+    w = ordered(("doc_id",), ("page", "line_index"))
+    placed = lines.select(*LINE_KEY, "is_head", F.col("is_link_title").alias("title")).withColumn("pos", F.row_number().over(w))
+    candidate = F.when(F.col("is_head") | F.col("title"), F.col("pos"))
+    alone = candidate.isNotNull() & F.coalesce(F.col("pos") - F.max(candidate).over(w.rowsBetween(Window.unboundedPreceding, -1)) > 2, F.lit(True))
+    runs = placed.withColumn("run", F.sum(alone.cast("int")).over(running(w)))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "line_index"])
-        last, out = None, []
-        for pos, (head, title) in enumerate(zip(pdf["is_head"], pdf["is_link_title"], strict=True)):
-            since = 10**9 if last is None else pos - last
-            now = (bool(head) and since > 2) or (bool(title) and since >= 3)
-            if now:
-                last = pos
-            out.append(now)
-        return pdf[["doc_id", "page", "line_index"]].assign(is_head=out)
+    def step(s: Column, row: Column) -> Column:
+        since = row["pos"] - s["last"]
+        now = (row["is_head"] & (since > 2)) | (row["title"] & (since >= 3))
+        return F.struct(F.when(now, row["pos"]).otherwise(s["last"]).alias("last"), now.alias("opens"))
 
-    return lines.groupBy("doc_id").applyInPandas(fold, "doc_id long, page int, line_index int, is_head boolean")
+    start = F.struct(F.lit(-(10**9)).alias("last"), F.lit(False).alias("opens"))
+    out = folded(runs, ("doc_id", "run"), ("page", "line_index"), start, "struct<last:int,opens:boolean>", step, "opens", "boolean")
+    return out.select(*LINE_KEY, F.col("opens").alias("is_head"))
 
 
 def cluster_rows(tokens: DataFrame) -> DataFrame:
-    """Rows of a page: a token joins while it lies within max(4, 0.4 mean heights) of the row's running mean. A fold,
-    as the mean moves with each token."""
+    """Rows of a page: a token joins while it lies within max(4, 0.4 mean heights) of the row's running mean. A fold over
+    the page, as the mean moves with each token."""
+    reach = F.greatest(F.lit(4.0), 0.4 * F.avg(F.col("y1") - F.col("y0")).over(Window.partitionBy("doc_id", "page")))
+    rows = tokens.select(*LINE_KEY, "token_index", "y0", "x0", reach.alias("reach"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "token_index"])
-        reach, rows, row, mean, n = max(4.0, 0.4 * float((pdf["y1"] - pdf["y0"]).mean())), [], -1, 0.0, 0
-        for y in pdf["y0"]:
-            if n and abs(y - mean) < reach:
-                mean, n = (mean * n + y) / (n + 1), n + 1
-            else:
-                row, mean, n = row + 1, float(y), 1
-            rows.append(row)
-        return pdf[["doc_id", "page", "line_index", "token_index"]].assign(row=rows)
+    def step(s: Column, row: Column) -> Column:
+        joins = (s["n"] > 0) & (F.abs(row["y0"] - s["mean"]) < row["reach"])
+        return F.struct(
+            F.when(joins, (s["mean"] * s["n"] + row["y0"]) / (s["n"] + 1)).otherwise(row["y0"]).alias("mean"),
+            F.when(joins, s["n"] + 1).otherwise(1).alias("n"),
+            F.when(joins, s["row"]).otherwise(s["row"] + 1).alias("row"),
+        )
 
-    return tokens.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page int, line_index int, token_index int, row int")
+    start = F.struct(F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.lit(-1).alias("row"))
+    out = folded(rows, ("doc_id", "page"), ("y0", "x0", "line_index", "token_index"), start, "struct<mean:double,n:int,row:int>", step, "row", "int")
+    return out.select(*LINE_KEY, "token_index", "row")
 
 
 def edu_boundary_pipeline(model: DataFrame, style: DataFrame) -> DataFrame:
@@ -189,19 +193,18 @@ def personal_by_text(text: Column, scored: Column) -> Column:
     return F.when(text.rlike("@"), "EMAIL").when(text.rlike(r"^\+?[0-9][0-9 -]{7,}$"), "PHONE").when(text.rlike("github"), "GITHUB").when(text.rlike("linkedin"), "LINKEDIN").otherwise(scored)
 
 
-def score_sequential(lines: DataFrame, labels: list[str]) -> DataFrame:
-    """Each line's label depends on the one before it: a fold with the previous label as an input of the score."""
+def score_sequential(lines: DataFrame, labels: list[str], score: Callable[[Column, Column], list[Column]]) -> DataFrame:
+    """The best label of each line in order; ``score`` gives one score for each label from the line and the number of the
+    label before it (as many as there are labels at the start). A fold over the document, as each label feeds the next."""
+    names = F.array(*[F.lit(x) for x in labels])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "line_index"])
-        last, out = len(labels), []
-        for n, bold in zip(pdf["n_tokens"], pdf["is_bold"], strict=True):
-            scores = [(n % (k + 2)) + (2 if bold and k == 0 else 0) + (0.5 if k == last else 0) for k in range(len(labels))]
-            last = max(range(len(labels)), key=lambda k: (scores[k], -k))
-            out.append(labels[last])
-        return pdf[["doc_id", "page", "line_index"]].assign(label=out)
+    def step(s: Column, row: Column) -> Column:
+        scores = F.array(*[x.cast("double") for x in score(row, s["last"])])
+        best = (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+        return F.struct(best.alias("last"), F.get(names, best).alias("label"))
 
-    return lines.groupBy("doc_id").applyInPandas(fold, "doc_id long, page int, line_index int, label string")
+    start = F.struct(F.lit(len(labels)).alias("last"), F.lit("").alias("label"))
+    return folded(lines, ("doc_id",), ("page", "line_index"), start, "struct<last:int,label:string>", step, "label", "string").select(*LINE_KEY, "label")
 
 
 def write_stage(df: DataFrame, folder: str, run_id: str, stage: str) -> None:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from docweave.operators import entries as en
 from docweave.operators.lines import build_lines
-from docweave.plans.lines_queries import L
+from docweave.operators.lines import group_by_line_run as group_runs
+from docweave.plans.lines_queries import SEGMENTS, L, segments
 from docweave.plans.registry import query
 from docweave.plans.twins import on_resumes
 from docweave.sources.tables import resume_tokens
@@ -45,18 +46,6 @@ def exp_line_rules(spark, sf_dir):
     return en.exp_line_rules(build_lines(resume_tokens(spark, sf_dir)))
 
 
-@query(on_resumes(L + f""" SELECT doc_id, page, line_index, {m(en.INSTITUTION_RX)} AS is_institution, {m(en.DEGREE_RX)} AS is_degree, {m('(?:CGPA|GPA|%|Percentage)')} AS is_marks, {m('^(?:Year|Degree|Institute|Board)(?: |$)')} AS is_table_header,
- {m('(?:Class|Grade) (?:X|XII|10|12)')} AS is_exam, {m(en.DATE_RX)} AND NOT {m(en.INSTITUTION_RX)} AS is_dated_detail FROM l"""))
-def edu_line_rules(spark, sf_dir):
-    return en.edu_line_rules(build_lines(resume_tokens(spark, sf_dir)))
-
-
-@query(on_resumes(L + f""" SELECT doc_id, page, line_index, {m('^(?:Tech|Tools|Stack|Technologies)[^:]*:')} AS is_metadata, {m('^[0-9]+[.)] ')} AS is_numbered, {m('https?:|github|[|]')} AND NOT {m(en.BULLET_RX)} AS is_link_title,
- {m('(?:Portal|Platform|System|App)(?:[^A-Za-z]|$)')} AS is_noun_title, {m('^[a-z]')} AND NOT {m(en.BULLET_RX)} AS is_continuation FROM l"""))
-def proj_line_rules(spark, sf_dir):
-    return en.proj_line_rules(build_lines(resume_tokens(spark, sf_dir)))
-
-
 def _heads(section):
     def run(spark, sf_dir):
         return en.heads(known_lines(spark, sf_dir), F.col("is_head"), section)
@@ -75,11 +64,15 @@ def exp_style_heads(spark, sf_dir):
     return en.exp_style_heads(known_lines(spark, sf_dir).filter("section = 'EXPERIENCE'")).select(*K, "is_head")
 
 
-@query()
+@query(on_resumes(LK + f""", kx AS (SELECT doc_id, page, line_index, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index) AS pos, is_head AND line_index % 2 = 0 AND NOT {m(en.BULLET_RX)} AND NOT {m(rf'^[(]? ?(?:{en.OPEN_END}) ?[)]?$')} AS sure,
+ {m(en.ROLE_RX)} AND {m(en.DATE_RX)} AS role FROM lk WHERE section = 'EXPERIENCE'),
+fo AS (SELECT doc_id, page, line_index, pos, sure OR role AS is_head, CASE WHEN sure OR role THEN pos ELSE -1000000000 END AS last FROM kx WHERE pos = 1
+  UNION ALL SELECT k.doc_id, k.page, k.line_index, k.pos, k.sure OR (k.role AND k.pos - f.last > 5), CASE WHEN k.sure OR (k.role AND k.pos - f.last > 5) THEN k.pos ELSE f.last END FROM fo f JOIN kx k ON k.doc_id = f.doc_id AND k.pos = f.pos + 1)
+SELECT doc_id, page, line_index, is_head FROM fo"""))
 def exp_boundary_fix(spark, sf_dir):
     """Heads known of every second job only; the fold finds the others."""
-    k = known_lines(spark, sf_dir).filter("section = 'EXPERIENCE'").select(*K, "text", (F.col("is_head") & (F.col("line_index") % 2 == 0)).alias("is_head"))
-    return en.exp_boundary_fix(k.join(en.exp_line_rules(k), list(K)))
+    k = known_lines(spark, sf_dir).filter("section = 'EXPERIENCE'").withColumn("is_head", F.col("is_head") & (F.col("line_index") % 2 == 0))
+    return en.exp_boundary_fix(en.exp_line_rules(k, "is_head"))
 
 
 SPAN = LK + """, hd AS (SELECT doc_id, page, line_index FROM lk WHERE is_head AND section = 'EXPERIENCE'),
@@ -141,9 +134,13 @@ def shift_heads(spark, sf_dir):
     return en.shift_heads(k, F.col("kind") == "heading", F.col("cand"))
 
 
-@query(on_resumes(LK + " SELECT doc_id, page, line_index, CASE WHEN is_head THEN 'B-ENTRY' WHEN max(CAST(is_head AS INT)) OVER (PARTITION BY doc_id ORDER BY page, line_index) = 1 THEN 'I-ENTRY' ELSE 'O' END AS label FROM lk"))
+@query(on_resumes(SEGMENTS + """, lk AS (SELECT DISTINCT doc_id, page, line_index FROM t WHERE kind IN ('job', 'school', 'project')),
+c AS (SELECT *, coalesce(page <> lag(page) OVER v OR line_index <> lag(line_index) OVER v, true) AS ch FROM si WINDOW v AS (PARTITION BY doc_id ORDER BY seg_index)),
+r AS (SELECT *, sum(CASE WHEN ch THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seg_index) AS run FROM c)
+SELECT doc_id, seg_index, text, CASE WHEN (doc_id, page, line_index) NOT IN (SELECT doc_id, page, line_index FROM lk) OR run > min(run) OVER (PARTITION BY doc_id, page, line_index) THEN 'O' WHEN seg_index = min(seg_index) OVER (PARTITION BY doc_id, run) THEN 'B-ENTRY' ELSE 'I-ENTRY' END AS label FROM r"""))
 def label_segments(spark, sf_dir):
-    return en.label_segments(known_lines(spark, sf_dir)).select(*K, "label")
+    runs = group_runs(segments(spark, sf_dir))
+    return en.label_segments(runs, known_lines(spark, sf_dir).filter("is_head").select(*K)).select("doc_id", "seg_index", "text", "label")
 
 
 @query(on_resumes(LK + " SELECT doc_id, page, line_index, section = 'EXPERIENCE' AS in_section FROM lk WHERE is_head"))

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from docweave.operators import entries as en
+from docweave.operators import linerules as lr
 from docweave.operators import projects as pj
-from docweave.operators.lines import build_lines
+from docweave.operators.lines import build_lines, group_by_line_run
 from docweave.plans.entries_queries import LK, known_lines
 from docweave.plans.fields_queries import BLOCKS, DOC, ENT, LINE, NOISY, blocks, noisy
-from docweave.plans.lines_queries import L
+from docweave.plans.linerules_queries import PROJ
+from docweave.plans.lines_queries import SEGMENTS, L, segments
 from docweave.plans.registry import query
 from docweave.plans.streams_queries import shared
 from docweave.plans.twins import on_resumes
@@ -79,24 +81,30 @@ def proj_style_heads(spark, sf_dir):
     return pj.proj_style_heads(k).select(*K, "is_head")
 
 
-@query()
+@query(on_resumes(LK + PROJ + """, kp AS (SELECT doc_id, page, line_index, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index) AS pos, is_head AS h, is_link_title AS x FROM lk JOIN pr3 USING (doc_id, page, line_index) WHERE section = 'PROJECT'),
+fo AS (SELECT doc_id, page, line_index, pos, h OR x AS is_head, CASE WHEN h OR x THEN pos ELSE -1000000000 END AS last FROM kp WHERE pos = 1
+  UNION ALL SELECT k.doc_id, k.page, k.line_index, k.pos, (k.h AND k.pos - f.last > 2) OR (k.x AND k.pos - f.last >= 3), CASE WHEN (k.h AND k.pos - f.last > 2) OR (k.x AND k.pos - f.last >= 3) THEN k.pos ELSE f.last END FROM fo f JOIN kp k ON k.doc_id = f.doc_id AND k.pos = f.pos + 1)
+SELECT doc_id, page, line_index, is_head FROM fo"""))
 def proj_boundary_fix(spark, sf_dir):
-    k = known_lines(spark, sf_dir).filter("section = 'PROJECT'").select(*K, "text", "is_head")
-    return pj.proj_boundary_fix(k.join(en.proj_line_rules(k), list(K)))
+    k = known_lines(spark, sf_dir).filter("section = 'PROJECT'")
+    return pj.proj_boundary_fix(lr.proj_line_rules(k, "is_head"))
 
 
-@query(on_resumes(LK + " SELECT doc_id, page, line_index FROM lk WHERE is_head AND NOT regexp_matches(text, '^(?:Tech|Tools|Stack|Technologies)[^:]*:') AND NOT regexp_matches(text, 'University')"))
+@query(on_resumes(LK + PROJ + " SELECT lk.doc_id, lk.page, lk.line_index FROM lk JOIN pr3 USING (doc_id, page, line_index) WHERE is_head AND NOT is_metadata AND NOT regexp_matches(pr3.tx, '^[•*▪◦■–—·✓✔●❖‣⁃╋▸-]')"))
 def proj_metadata_prune(spark, sf_dir):
-    """Starts that do not stand on a metadata line."""
-    k = known_lines(spark, sf_dir).filter("is_head")
-    return k.join(en.proj_line_rules(k).filter("is_metadata").select(*K), list(K), "left_anti").filter("NOT text RLIKE 'University'").select(*K)
+    """Starts that stand neither on a metadata line nor on a bullet."""
+    k = lr.proj_line_rules(known_lines(spark, sf_dir).filter("is_head"))
+    return k.filter(~F.col("is_metadata") & ~F.col("text").rlike(f"^{lr.BULLET}")).select(*K)
 
 
-@query(on_resumes(LK + " SELECT doc_id, page, min(line_index) AS line_index FROM lk WHERE section = 'EXPERIENCE' AND kind <> 'heading' GROUP BY ALL"))
+@query(on_resumes(SEGMENTS + """, c AS (SELECT si.*, k.section = 'EXPERIENCE' AND k.kind <> 'heading' AS inside, coalesce(si.page <> lag(si.page) OVER v OR si.line_index <> lag(si.line_index) OVER v, true) AS ch
+  FROM si JOIN (SELECT DISTINCT doc_id, page, line_index, section, kind FROM t) k USING (doc_id, page, line_index) WINDOW v AS (PARTITION BY si.doc_id ORDER BY seg_index)),
+r AS (SELECT *, sum(CASE WHEN ch THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seg_index) AS line_run FROM c)
+SELECT doc_id, CAST(line_run AS BIGINT) AS line_run, min(seg_index) AS seg_index FROM r WHERE inside GROUP BY ALL"""))
 def collapse_anchor(spark, sf_dir):
-    k = known_lines(spark, sf_dir).withColumn("in_section", (F.col("section") == "EXPERIENCE") & (F.col("kind") != "heading"))
-    grouped = k.select("doc_id", F.col("page").alias("line_run"), F.col("line_index").alias("seg_index"), "in_section")
-    return en.collapse_anchor(grouped).select("doc_id", F.col("line_run").alias("page"), F.col("seg_index").alias("line_index"))
+    """The anchor segment of each physical line of the section."""
+    known = known_lines(spark, sf_dir).select(*K, ((F.col("section") == "EXPERIENCE") & (F.col("kind") != "heading")).alias("in_section"))
+    return en.collapse_anchor(group_by_line_run(segments(spark, sf_dir)).join(known, list(K)))
 
 
 @query(on_resumes(LK + ", mo AS (SELECT doc_id, page, line_index FROM lk WHERE kind = 'school' AND doc_id % 4 = 0), sy AS (SELECT doc_id, page, line_index FROM lk WHERE section = 'EDUCATION' AND is_bold AND kind <> 'heading') SELECT * FROM mo UNION ALL SELECT * FROM sy WHERE doc_id NOT IN (SELECT doc_id FROM mo)"))
@@ -189,14 +197,29 @@ def personal_text_rules(spark, sf_dir):
     return resume_tokens(spark, sf_dir).select(*TK, pj.personal_by_text(F.col("token"), F.col("bio_label")).alias("label"))
 
 
-@query()
+@query(on_resumes(""", kr AS (SELECT doc_id, page, line_index, token_index, y0, greatest(4.0, 0.4 * avg(y1 - y0) OVER (PARTITION BY doc_id, page)) AS reach, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_index, token_index) AS pos FROM t),
+fo AS (SELECT doc_id, page, line_index, token_index, pos, y0 AS mean, 1 AS n, 0 AS row FROM kr WHERE pos = 1
+  UNION ALL SELECT k.doc_id, k.page, k.line_index, k.token_index, k.pos, CASE WHEN abs(k.y0 - f.mean) < k.reach THEN (f.mean * f.n + k.y0) / (f.n + 1) ELSE k.y0 END, CASE WHEN abs(k.y0 - f.mean) < k.reach THEN f.n + 1 ELSE 1 END, CASE WHEN abs(k.y0 - f.mean) < k.reach THEN f.row ELSE f.row + 1 END
+  FROM fo f JOIN kr k ON k.doc_id = f.doc_id AND k.page = f.page AND k.pos = f.pos + 1)
+SELECT doc_id, page, line_index, token_index, row FROM fo"""))
 def cluster_rows(spark, sf_dir):
     return pj.cluster_rows(resume_tokens(spark, sf_dir))
 
 
-@query()
+@query(on_resumes(L + """, ks AS (SELECT doc_id, page, line_index, CAST(is_bold AS INT) AS b, CAST(is_caps AS INT) AS c, n_tokens AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index) AS pos FROM l),
+fo AS (SELECT doc_id, page, line_index, pos, [20 * b + 15 * c - 3 * n, 2 * n, 5] AS s FROM ks WHERE pos = 1
+  UNION ALL SELECT k.doc_id, k.page, k.line_index, k.pos, [20 * b + 15 * c - 3 * n + CASE WHEN list_position(f.s, list_max(f.s)) = 1 THEN 5 ELSE 0 END, 2 * n + CASE WHEN list_position(f.s, list_max(f.s)) = 2 THEN 4 ELSE 0 END, 5 + CASE WHEN list_position(f.s, list_max(f.s)) = 3 THEN 3 ELSE 0 END]
+  FROM fo f JOIN ks k ON k.doc_id = f.doc_id AND k.pos = f.pos + 1)
+SELECT doc_id, page, line_index, ['HEADING', 'BODY', 'OTHER'][list_position(s, list_max(s))] AS label FROM fo"""))
 def score_sequential(spark, sf_dir):
-    return pj.score_sequential(build_lines(resume_tokens(spark, sf_dir)), ["HEADING", "BODY", "OTHER"])
+    """A linear scorer of a line's look and of the label before it; any other can be handed over."""
+
+    def score(row, last):
+        again = lambda k, w: F.when(last == k, w).otherwise(0)
+        return [20 * row["is_bold"].cast("int") + 15 * row["is_caps"].cast("int") - 3 * row["n_tokens"] + again(0, 5), 2 * row["n_tokens"] + again(1, 4), 5 + again(2, 3)]
+
+    lines = build_lines(resume_tokens(spark, sf_dir)).select(*K, "is_bold", "is_caps", "n_tokens")
+    return pj.score_sequential(lines, ["HEADING", "BODY", "OTHER"], score)
 
 
 @query(on_resumes(" SELECT doc_id, page, line_index, token_index, token, bio_label FROM t"))

@@ -23,6 +23,6 @@ def on_documents(sql: str) -> str:
 def on_resumes(sql: str) -> str:
     """``sql`` over t: the tokens of the rendered résumés, and rl: their lines. Starts with a query or more named ones after a comma."""
     tokens = RESUME_TOKENS.strip()
-    return f"""WITH rl AS MATERIALIZED ({LINES}),
+    return f"""WITH RECURSIVE rl AS MATERIALIZED ({LINES}),
 split_lines AS (SELECT *, unnest(range(len(string_split(txt, ' ')))) AS token_index, unnest(string_split(txt, ' ')) AS token FROM rl),
 t AS MATERIALIZED ({tokens}) {sql}"""
