@@ -24,33 +24,6 @@ def likeness(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HARD_NEGATIVE), 0.0).otherwise(F.round(F.least(F.lit(1.0), total), 6))
 
 
-def segment_vector(segments: DataFrame) -> DataFrame:
-    """Place on the page, style, and steps from the previous segment (page of 612 by 792 points)."""
-    w = ordered(("doc_id",), ("page", "line_index"))
-    dx, dy = F.coalesce(F.col("x0") - F.lag("x0").over(w), F.lit(0.0)), F.coalesce(F.col("y0") - F.lag("y0").over(w), F.lit(0.0))
-    parts = [F.col("x0") / 612, F.col("y0") / 792, F.col("x1") / 612, F.col("y1") / 792, F.col("font_median") / 24, F.col("is_bold").cast("double"), F.col("is_caps").cast("double"), dx / 612, dy / 792, F.col("n_tokens") / 50.0]
-    return segments.select(*LINE_KEY, F.transform(F.array(*parts), lambda x: F.round(x, 6)).alias("v"))
-
-
-def token_vector(tokens: DataFrame) -> DataFrame:
-    """Boxes scaled to the page's own extent, and steps from the previous token."""
-    page = Window.partitionBy("doc_id", "page")
-    w = ordered(("doc_id", "page"), ("line_index", "token_index"))
-
-    def scaled(c: str, low: str, high: str) -> Column:
-        a, b = F.min(low).over(page), F.max(high).over(page)
-        return F.when(b > a, (F.col(c) - a) / (b - a)).otherwise(0.0)
-
-    parts = [scaled("x0", "x0", "x1"), scaled("x1", "x0", "x1"), scaled("y0", "y0", "y1"), scaled("y1", "y0", "y1"), F.coalesce(F.col("x0") - F.lag("x1").over(w), F.lit(0.0)) / 612, F.coalesce(F.col("y0") - F.lag("y0").over(w), F.lit(0.0)) / 792]
-    return tokens.select(*LINE_KEY, "token_index", F.transform(F.array(*parts), lambda x: F.round(x, 6)).alias("v"))
-
-
-def pooled_vector(vectors: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
-    """Mean of token vectors (column v) in each group."""
-    each = vectors.select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.round(F.avg("x"), digits).alias("x"))
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("v"))
-
-
 def block_context(lines: DataFrame, head: Column) -> DataFrame:
     """Rank in the block, lines since the last head, and the score blended with the neighbours'."""
     w = ordered(("doc_id", "section"), ("page", "line_index"))

@@ -34,29 +34,6 @@ def institution_degree_likeness(spark, sf_dir):
     return build_lines(resume_tokens(spark, sf_dir)).select(*K, *[pj.likeness(F.col("text"), k).alias(k) for k in ("institution", "degree")])
 
 
-@query(on_resumes(L + """ SELECT doc_id, page, line_index, list_transform([x0 / 612, y0 / 792, x1 / 612, y1 / 792, font_median / 24, CAST(CAST(is_bold AS INT) AS DOUBLE), CAST(CAST(is_caps AS INT) AS DOUBLE), coalesce(x0 - lag(x0) OVER v, 0.0) / 612, coalesce(y0 - lag(y0) OVER v, 0.0) / 792, n_tokens / 50.0], lambda x: round(CAST(x AS DOUBLE), 6)) AS v FROM l WINDOW v AS (PARTITION BY doc_id ORDER BY page, line_index)"""))
-def segment_vector16(spark, sf_dir):
-    return pj.segment_vector(build_lines(resume_tokens(spark, sf_dir)))
-
-
-def scaled(c, low, high):
-    return f"CASE WHEN max({high}) OVER g > min({low}) OVER g THEN ({c} - min({low}) OVER g) / (max({high}) OVER g - min({low}) OVER g) ELSE 0.0 END"
-
-
-VECTORS = f""", tv AS (SELECT doc_id, page, line_index, token_index, list_transform([{scaled('x0', 'x0', 'x1')}, {scaled('x1', 'x0', 'x1')}, {scaled('y0', 'y0', 'y1')}, {scaled('y1', 'y0', 'y1')}, coalesce(x0 - lag(x1) OVER v, 0.0) / 612, coalesce(y0 - lag(y0) OVER v, 0.0) / 792], lambda x: round(CAST(x AS DOUBLE), 6)) AS v
-  FROM t WINDOW g AS (PARTITION BY doc_id, page), v AS (PARTITION BY doc_id, page ORDER BY line_index, token_index))"""
-
-
-@query(on_resumes(VECTORS + " SELECT * FROM tv"))
-def token_vector20(spark, sf_dir):
-    return pj.token_vector(resume_tokens(spark, sf_dir))
-
-
-@query(on_resumes(VECTORS + ", x AS (SELECT doc_id, page, line_index, unnest(range(6)) AS i, unnest(v) AS x FROM tv), a AS (SELECT doc_id, page, line_index, i, round(avg(x), 3) AS x FROM x GROUP BY ALL) SELECT doc_id, page, line_index, list(x ORDER BY i) AS v FROM a GROUP BY ALL"))
-def pooled_vector24(spark, sf_dir):
-    return pj.pooled_vector(pj.token_vector(resume_tokens(spark, sf_dir)), list(K), 3)
-
-
 @query(on_resumes(LK + f""", s AS (SELECT *, {like('institution')} AS score, row_number() OVER w AS rank FROM lk WINDOW w AS (PARTITION BY doc_id, section ORDER BY page, line_index))
 SELECT doc_id, page, line_index, CAST(rank AS INT) AS rank, CAST(rank - max(CASE WHEN is_head THEN rank END) OVER w AS INT) AS since_head, round(0.6 * score + 0.2 * coalesce(lag(score) OVER w, 0.0) + 0.2 * coalesce(lead(score) OVER w, 0.0), 6) AS blended FROM s WINDOW w AS (PARTITION BY doc_id, section ORDER BY page, line_index)"""))
 def block_context(spark, sf_dir):

@@ -21,5 +21,5 @@ def query(oracle: str | None = None, name: str | None = None):
     return register
 
 
-for module in ("sources", "tokens", "lines", "layout", "headings", "entries", "linerules", "fields", "records", "alignment", "metrics", "streams", "projects"):
+for module in ("sources", "tokens", "lines", "layout", "headings", "entries", "linerules", "fields", "records", "alignment", "metrics", "streams", "projects", "rulepacks"):
     importlib.import_module(f"docweave.plans.{module}_queries")

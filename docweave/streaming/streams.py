@@ -73,22 +73,26 @@ def stuck_runs(events: DataFrame, late: str = "30 minutes") -> DataFrame:
     return events.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(StuckRuns(), "run_id long, last_event timestamp", "Append", "EventTime")
 
 
-def ingest(stream: DataFrame, structure: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Structures every micro-batch of new documents with a batch function and appends the result as Parquet."""
+def _batches(stream: DataFrame, structure: Callable[[DataFrame], DataFrame], out: str, mode: str = "append"):
+    """Every micro-batch in a folder of its own, which it replaces when it runs again after a restart."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        structure(df).write.mode("append").parquet(out)
+    def batch(df: DataFrame, batch_id: int) -> None:
+        structure(df).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+
+
+def ingest(stream: DataFrame, structure: Callable[[DataFrame], DataFrame], out: str):
+    """Structures every micro-batch of new documents with a batch function; the results are Parquet, by batch."""
+    return _batches(stream, structure, out)
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into Parquet files of ``folder`` and reads them. In complete mode the last
-    batch replaces the earlier ones."""
+    """Runs a stream over all that is there into Parquet files of ``folder`` and reads them: all batches in append mode,
+    the last one in complete mode."""
     spark, out = stream.sparkSession, f"{folder}/{uuid.uuid4().hex}"
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
-    else:
-        query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    query = _batches(stream, lambda df: df, out, mode)
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    progress = [p for p in query.recentProgress if p["batchId"] >= 0]
+    where = f"{out}/batch_id={progress[-1]['batchId']}" if mode == "complete" and progress else out
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(where)
