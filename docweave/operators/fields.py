@@ -97,10 +97,23 @@ def score_segments(df: DataFrame, v: Column, weights: list[list[float]], labels:
 
 
 def overlap_windows(tokens: DataFrame, size: int = 250, step: int = 150) -> DataFrame:
-    """Windows of each document: start and end positions (end exclusive)."""
-    n = tokens.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
-    starts = n.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - 1), F.lit(step))).alias("start"))
-    return starts.select("doc_id", "start", F.least(F.col("start") + size, F.col("n")).alias("end"))
+    """Each token once for each window that holds it: pos in the document, the window's start and end (exclusive). The
+    last window is the first that reaches the document's end."""
+    doc = Window.partitionBy("doc_id")
+    placed = tokens.withColumn("pos", F.row_number().over(ordered()) - 1).withColumn("_n", F.count("*").over(doc))
+    last = F.greatest(F.lit(0), F.ceil((F.col("_n") - size) / step)).cast("int")
+    from_, to = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / step).cast("int") + 1), F.least(last, F.floor(F.col("pos") / step).cast("int"))
+    inside = placed.withColumn("start", F.explode(F.transform(F.sequence(from_, to), lambda k: k * step)))
+    return inside.withColumn("end", F.least(F.col("start") + size, F.col("_n"))).drop("_n")
+
+
+def merge_windows(scored: DataFrame) -> DataFrame:
+    """One ``label`` for each token of overlapping windows: that of the last window that found one, else that of the
+    window whose middle is nearest."""
+    none = F.col("label") == "O"
+    away = F.abs(F.col("pos") - (F.col("start") + F.col("end")) / 2)
+    order = F.struct(none.cast("int"), F.when(none, away).otherwise(-F.col("start")), "start")
+    return scored.groupBy(*LINE_KEY, "token_index").agg(F.min_by("label", order).alias("label"))
 
 
 def head_tail(values: Column, half: int, pad: Column) -> Column:

@@ -98,14 +98,26 @@ def heading_distance(lines: DataFrame, heading: Column) -> DataFrame:
 
 
 def token_vector(tokens: DataFrame) -> DataFrame:
-    """Steps to the previous token in units of the document's medians, new line, capitals, bullet, and rank."""
-    m = doc_medians(tokens).select("doc_id", F.col("font").alias("mf"), F.col("height").alias("mh"))
-    w = ordered()
-    rank = F.row_number().over(w) / F.count("*").over(Window.partitionBy("doc_id"))
-    dx, dy = F.coalesce(F.col("x0") - F.lag("x1").over(w), F.lit(0.0)), F.coalesce(F.col("y0") - F.lag("y0").over(w), F.lit(0.0))
-    caps = (F.col("token") == F.upper("token")) & (F.col("token") != F.lower("token"))
-    parts = [dx / F.col("mf"), dy / F.col("mh"), (dy != 0).cast("double"), caps.cast("double"), F.col("token").isin("•", "-", "*").cast("double"), F.col("font_size") / F.col("mf"), F.col("is_bold").cast("double"), rank]
-    return tokens.join(m, "doc_id").select("doc_id", "page", "line_index", "token_index", F.transform(F.array(*parts), lambda x: F.round(x, 6)).alias("v"))
+    """Ten numbers of each token: steps from the last one on its page in units of the document's medians, style, and what
+    its line is like."""
+    m = doc_medians(tokens).select("doc_id", F.greatest(F.coalesce("gap", F.lit(1.0)), F.lit(1e-6)).alias("mg"), F.greatest("height", F.lit(1e-6)).alias("mh"))
+    w, line, page, doc = ordered(), Window.partitionBy(*LINE_KEY), Window.partitionBy("doc_id", "page"), Window.partitionBy("doc_id")
+    same = F.lag("page").over(w) == F.col("page")
+    high = F.greatest(F.max("y1").over(doc) - F.min("y0").over(doc), F.lit(1e-6))
+    dx = F.when(same, (F.col("x0") - F.lag("x1").over(w)) / F.col("mg")).otherwise(0.0)
+    dy = F.when(same, (F.col("y0") - F.lag("y1").over(w)) / F.col("mh")).otherwise(F.when(F.lag("page").over(w).isNotNull(), F.col("y0") / high).otherwise(0.0))
+    new = ~(same & (F.lag("line_index").over(w) == F.col("line_index")))
+
+    def caps(text: Column) -> Column:
+        return (text == F.upper(text)) & (text != F.lower(text)) & (F.char_length(text) > 1)
+
+    whole = F.array_join(F.collect_list("token").over(line), "")
+    bullet = F.min_by("token", F.struct("x0", "token_index")).over(line).isin("•", "*", "-", "▪", "◦", "■", "–", "—", "·", "✓", "✔")
+    parts = [
+        dx, dy, F.coalesce(new, F.lit(True)), F.col("is_bold"), caps(F.col("token")), F.col("font_size") / F.max("font_size").over(doc),
+        F.least(F.count("*").over(line), F.lit(15)) / 15, caps(whole), bullet, F.col("line_index") / F.greatest(F.max("line_index").over(page), F.lit(1)),
+    ]
+    return tokens.join(m, "doc_id").select("doc_id", "page", "line_index", "token_index", F.transform(F.array(*[p.cast("double") for p in parts]), lambda x: F.round(x, 6)).alias("v"))
 
 
 def font_stats(tokens: DataFrame) -> DataFrame:
@@ -117,5 +129,10 @@ def font_stats(tokens: DataFrame) -> DataFrame:
 TITLE_RULES = [(0.4, "Portal|Platform|System|Engine"), (0.3, r"\|"), (0.2, "^[A-Za-z]+( [A-Za-z]+){0,4}$"), (0.3, "Python|SQL|Spark")]
 
 
+#: Lines that are no title: details, links and bullets.
+NO_TITLE_RX = r"^[•◦●▪*–-] |:\s*$|https?:|@|^[a-z]|[.]$"
+
+
 def title_likeness(text: Column) -> Column:
-    return F.round(F.least(F.lit(1.0), sum((F.when(text.rlike(rx), w).otherwise(0.0) for w, rx in TITLE_RULES), F.lit(0.0))), 6)
+    """How much a line looks like a project's title, from 0 to 1; 0 for what cannot be one."""
+    return F.when(text.rlike(NO_TITLE_RX), 0.0).otherwise(F.round(F.least(F.lit(1.0), sum((F.when(text.rlike(rx), w).otherwise(0.0) for w, rx in TITLE_RULES), F.lit(0.0))), 6))

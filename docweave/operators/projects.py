@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from docweave.functions.islands import carry_last, folded, next_known, ordered, ordered_text, running
 from docweave.operators.fields import entity
+from docweave.operators.rulepacks import DEGREE_RX, HONOURS_RX, LEAD_RX, MARKS_LINE_RX, PLACE_LINE_RX, institution_score
 from docweave.schema import LINE_KEY
 
-LIKENESS = {
-    "institution": [(0.6, "University|College|Institute|School"), (0.2, "^[A-Z]"), (0.2, " of ")],
-    "degree": [(0.6, "Bachelor|Master|PhD|Diploma"), (0.3, "Science|Arts|Technology|Engineering"), (0.2, "(19|20)[0-9]{2}")],
-}
-HARD_NEGATIVE = "^[•◦●▪*–-] |[|@]"
-
 
 def likeness(text: Column, kind: str) -> Column:
-    """Sum of the weights of the patterns found, at most 1; 0 for lines that cannot be one."""
-    total = sum((F.when(text.rlike(rx), w).otherwise(0.0) for w, rx in LIKENESS[kind]), F.lit(0.0))
-    return F.when(text.rlike(HARD_NEGATIVE), 0.0).otherwise(F.round(F.least(F.lit(1.0), total), 6))
+    """How much a line looks like an institution or a degree, from 0 to 1; bulleted lines and details are neither."""
+    core = F.trim(F.regexp_replace(F.trim(text), LEAD_RX, ""))
+    low = F.lower(core)
+    if kind == "institution":
+        score = institution_score(core)
+    else:
+        score = F.when(low.rlike(DEGREE_RX), 0.5).otherwise(0.0) + F.when(low.rlike(HONOURS_RX), 0.25).otherwise(0.0) + F.when(core.contains("|") & low.rlike(DEGREE_RX), 0.15).otherwise(0.0)
+    return F.when(F.trim(text).rlike(LEAD_RX) | low.rlike(MARKS_LINE_RX) | low.rlike(PLACE_LINE_RX), 0.0).otherwise(F.round(score, 6))
 
 
 def block_context(lines: DataFrame, head: Column) -> DataFrame:
@@ -115,10 +115,12 @@ def exp_overrides(blocks: DataFrame) -> DataFrame:
 
 
 def exp_fill_company(blocks: DataFrame) -> DataFrame:
-    """In an entry without a company the description right after the role is it."""
+    """In an entry without a company the description right after the role is it, if a dash ends the role or a capital
+    begins it."""
     w = ordered(("doc_id", "entry"), ("block",))
     none = F.max((F.col("label") == "COMP").cast("int")).over(Window.partitionBy("doc_id", "entry")) == 0
-    filled = none & (F.col("label") == "DESC") & (F.lag("label").over(w) == "ROLE")
+    named = F.lag("text").over(w).rlike("[—–-] *$") | F.col("text").rlike("^[A-Z]")
+    filled = none & (F.col("label") == "DESC") & (F.lag("label").over(w) == "ROLE") & named
     return blocks.withColumn("label", F.when(F.coalesce(filled, F.lit(False)), "COMP").otherwise(F.col("label")))
 
 

@@ -37,7 +37,7 @@ def align_coord(spark, sf_dir):
     return al.align_coord(predicted(spark, sf_dir), resume_tokens(spark, sf_dir)).select(*TK, "truth")
 
 
-@query(on_resumes(L + """, q AS (SELECT doc_id, page, line_index, list_distinct(string_split_regex(lower(CASE WHEN line_index % 3 = 0 THEN text || ' more' ELSE text END), ' +')) AS w FROM l), b AS (SELECT doc_id, page, line_index, list_distinct(string_split_regex(lower(text), ' +')) AS w FROM l),
+@query(on_resumes(L + """, q AS (SELECT doc_id, page, line_index, list_distinct(string_split_regex(CASE WHEN line_index % 3 = 0 THEN text || ' more' ELSE text END, ' +')) AS w FROM l), b AS (SELECT doc_id, page, line_index, list_distinct(string_split_regex(text, ' +')) AS w FROM l),
 s AS (SELECT q.doc_id, q.page, q.line_index AS a_line, b.line_index AS b_line, len(list_intersect(q.w, b.w)) AS c, len(q.w) + len(b.w) - len(list_intersect(q.w, b.w)) AS u FROM q JOIN b ON q.doc_id = b.doc_id AND q.page = b.page)
 SELECT doc_id, page, a_line, b_line, round(c / u, 6) AS score FROM s WHERE c > 0 AND c / u >= 0.85 QUALIFY row_number() OVER (PARTITION BY doc_id, page, a_line ORDER BY c / u DESC, b_line) = 1"""))
 def align_line_jaccard(spark, sf_dir):
@@ -60,7 +60,16 @@ def align_merged(spark, sf_dir):
     return al.align_merged(predicted(spark, sf_dir), resume_tokens(spark, sf_dir))
 
 
-@query(on_resumes(COORD + ", a AS (SELECT doc_id, page, line_index, token_index, truth FROM co WHERE truth IS NOT NULL), r AS (SELECT * FROM p WHERE (doc_id, page, line_index, token_index) NOT IN (SELECT doc_id, page, line_index, token_index FROM a)), b AS (" + FUZZY.format(src="r") + "), r2 AS (SELECT * FROM r WHERE (doc_id, page, line_index, token_index) NOT IN (SELECT doc_id, page, line_index, token_index FROM b)), c AS (" + MERGED.format(src="r2") + ") SELECT *, 'coord' AS rule FROM a UNION ALL SELECT *, 'fuzzy' FROM b UNION ALL SELECT *, 'merged' FROM c"))
+BY_LINE = """pl AS (SELECT doc_id, page, line_index, list_distinct(string_split(string_agg(token, ' ' ORDER BY token_index), ' ')) AS w FROM p GROUP BY ALL), tl AS (SELECT doc_id, page, line_index, list_distinct(string_split(string_agg(token, ' ' ORDER BY token_index), ' ')) AS w FROM t GROUP BY ALL),
+ls AS (SELECT pl.doc_id, pl.page, pl.line_index, tl.line_index AS b_line, len(list_intersect(pl.w, tl.w)) AS c, len(pl.w) + len(tl.w) - len(list_intersect(pl.w, tl.w)) AS u FROM pl JOIN tl ON pl.doc_id = tl.doc_id AND pl.page = tl.page),
+lb AS (SELECT * FROM ls WHERE c > 0 AND c / u >= 0.85 QUALIFY row_number() OVER (PARTITION BY doc_id, page, line_index ORDER BY c / u DESC, b_line) = 1),
+pn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line_index ORDER BY token_index) AS nth FROM p), tn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line_index ORDER BY token_index) AS nth FROM t),
+li AS (SELECT pn.doc_id, pn.page, pn.line_index, pn.token_index, tn.bio_label AS truth FROM pn JOIN lb USING (doc_id, page, line_index) JOIN tn ON tn.doc_id = pn.doc_id AND tn.page = pn.page AND tn.line_index = lb.b_line AND tn.nth = pn.nth WHERE tn.bio_label NOT IN ('O', 'B-HEADING', 'I-HEADING'))"""
+
+
+@query(on_resumes(COORD + ", " + BY_LINE + ", fu AS (" + FUZZY.format(src="p") + "), me AS (" + MERGED.format(src="p") + """) SELECT p.doc_id, p.page, p.line_index, p.token_index, CASE WHEN co.truth IS NOT NULL THEN co.truth WHEN li.truth IS NOT NULL THEN li.truth WHEN fu.truth IS NOT NULL THEN fu.truth ELSE me.truth END AS truth,
+ CASE WHEN co.truth IS NOT NULL THEN 'coord' WHEN li.truth IS NOT NULL THEN 'line' WHEN fu.truth IS NOT NULL THEN 'fuzzy' ELSE 'merged' END AS rule
+ FROM p JOIN co USING (doc_id, page, line_index, token_index) LEFT JOIN li USING (doc_id, page, line_index, token_index) LEFT JOIN fu USING (doc_id, page, line_index, token_index) LEFT JOIN me USING (doc_id, page, line_index, token_index) WHERE coalesce(co.truth, li.truth, fu.truth, me.truth) IS NOT NULL"""))
 def align_cascade(spark, sf_dir):
     return al.align_cascade(predicted(spark, sf_dir), resume_tokens(spark, sf_dir))
 

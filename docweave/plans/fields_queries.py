@@ -86,18 +86,27 @@ def score_segments(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) >= 4),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
 e AS (SELECT vec_id, list_transform(s, lambda x: exp(x - list_max(s))) AS e FROM v), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)
 SELECT vec_id, list_position(p, list_max(p)) AS best, round(list_max(p), 4) AS confidence FROM p""")
 def softmax_conf(spark, sf_dir):
-    """Softmax of the first four components of every vector, and the confidence of the largest."""
-    v = read(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL AND size(embedding) >= 4").select("vec_id", fd.softmax(F.slice("embedding", 1, 4).cast("array<double>")).alias("p"))
+    """Softmax of the components of every vector, and the confidence of the largest."""
+    v = read(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL AND size(embedding) > 0").select("vec_id", fd.softmax(F.col("embedding").cast("array<double>")).alias("p"))
     return v.select("vec_id", F.array_position("p", F.array_max("p")).cast("int").alias("best"), F.round(F.array_max("p"), 4).alias("confidence"))
 
 
-@query(on_documents(" , n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY ALL), s AS (SELECT doc_id, n, unnest(range(0, greatest(1, n), 150)) AS start FROM n) SELECT doc_id, CAST(start AS INT) AS start, CAST(least(start + 250, n) AS INT) AS \"end\" FROM s"))
+WINDOWED = """, tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index, token_index, x0) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM t),
+wi AS (SELECT DISTINCT doc_id, n, unnest(range(0, greatest(1, CASE WHEN n <= 250 THEN 1 ELSE n - 100 END), 150)) AS start FROM tp),
+wt AS (SELECT tp.*, start, least(start + 250, tp.n) AS fin FROM tp JOIN wi ON wi.doc_id = tp.doc_id AND pos >= start AND pos < least(start + 250, tp.n)),
+ws AS (SELECT *, CASE WHEN (pos + start) % 3 = 0 THEN 'O' ELSE bio_label END AS lab, abs(pos - (start + fin) / 2) AS away FROM wt)"""
+
+
+@query(on_resumes(WINDOWED + " SELECT doc_id, page, line_index, token_index, arg_min(lab, (CAST(lab = 'O' AS INT), CASE WHEN lab = 'O' THEN away ELSE -start END, start)) AS label FROM ws GROUP BY ALL"))
 def overlap_windows(spark, sf_dir):
-    return fd.overlap_windows(text_tokens(read(spark, sf_dir, "documents")))
+    """Labels scored window by window, here with every third one of a window lost, and merged token by token."""
+    windowed = fd.overlap_windows(resume_tokens(spark, sf_dir))
+    scored = windowed.withColumn("label", F.when((F.col("pos") + F.col("start")) % 3 == 0, "O").otherwise(F.col("bio_label")))
+    return fd.merge_windows(scored).select(*TK, "label")
 
 
 @query(on_documents("""

@@ -15,9 +15,10 @@ NORM = rf"""CASE WHEN len(string_split_regex({BARE}, ' +')) > 3 AND len(list_fil
   THEN array_to_string(list_transform(string_split_regex({BARE}, ' {{2,}}'), lambda w: replace(w, ' ', '')), ' ') ELSE regexp_replace({BARE}, ' +', ' ', 'g') END"""
 NORM = f"replace(replace(replace(upper({NORM}), 'EXPERIANCE', 'EXPERIENCE'), 'EDUCTION', 'EDUCATION'), 'SKILSS', 'SKILLS')"
 KEYS = ", ".join(f"('{k}', '{v}')" for k, v in hd.HEADINGS.items())
+ALONE, NOT_AT_END = (", ".join(f"'{k}'" for k in words) for words in (hd.ALONE, hd.NOT_AT_END))
 FALSE = " OR ".join(f"regexp_matches(text, '{rx}')" for rx in hd.FALSE_HEADINGS)
 DECIDED = L + f""", n AS (SELECT *, {NORM} AS norm FROM l), hk(key, heading_section) AS (VALUES {KEYS}),
-hm AS (SELECT doc_id, page, line_index, key, heading_section FROM n JOIN hk ON (norm = key OR starts_with(norm, key || ' ') OR ends_with(norm, ' ' || key)) AND length(norm) <= length(key) + 15
+hm AS (SELECT doc_id, page, line_index, key, heading_section FROM n JOIN hk ON (norm = key OR (key NOT IN ({ALONE}) AND (starts_with(norm, key || ' ') OR (ends_with(norm, ' ' || key) AND key NOT IN ({NOT_AT_END}))))) AND length(norm) <= length(key) + 15
   QUALIFY row_number() OVER (PARTITION BY doc_id, page, line_index ORDER BY length(key) DESC, key) = 1),
 dk AS (SELECT n.*, key, heading_section FROM n LEFT JOIN hm USING (doc_id, page, line_index)),
 df AS (SELECT doc_id, quantile_disc(-font_median, 0.5) * -1 AS doc_font FROM l GROUP BY ALL),

@@ -38,10 +38,14 @@ def rebuild_line_index(spark, sf_dir):
     return lo.rebuild_line_index(resume_tokens(spark, sf_dir)).select(*TK, "new_line")
 
 
-@query(on_resumes(" SELECT doc_id, page, line_index, token_index, line_index AS restored_line FROM t"))
+@query(on_resumes(""", mv AS (SELECT * REPLACE (line_index + CASE WHEN token_index % 3 = 2 THEN 5 ELSE 0 END AS line_index, x0 + CASE WHEN token_index % 5 = 4 THEN 0.25 ELSE 0.001 END AS x0) FROM t),
+og AS (SELECT doc_id, page, CAST(round(x0 * 100) AS BIGINT) AS rx, CAST(round(y0 * 100) AS BIGINT) AS ry, arg_max(line_index, (line_index, token_index)) AS restored_line FROM t GROUP BY ALL)
+SELECT mv.doc_id, mv.page, mv.line_index, mv.token_index, restored_line FROM mv LEFT JOIN og ON og.doc_id = mv.doc_id AND og.page = mv.page AND og.rx = CAST(round(mv.x0 * 100) AS BIGINT) AND og.ry = CAST(round(mv.y0 * 100) AS BIGINT)"""))
 def restore_line_index(spark, sf_dir):
+    """Tokens whose lines were renumbered find their own by place; those that moved find none."""
     t = resume_tokens(spark, sf_dir)
-    return lo.restore_line_index(t, t).select(*TK, "restored_line")
+    moved = t.withColumn("line_index", F.col("line_index") + F.when(F.col("token_index") % 3 == 2, 5).otherwise(0)).withColumn("x0", F.col("x0") + F.when(F.col("token_index") % 5 == 4, 0.25).otherwise(0.001))
+    return lo.restore_line_index(moved, t).select(*TK, "restored_line")
 
 
 @query(on_resumes(" SELECT DISTINCT doc_id, page, line_index, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY page, line_index) - 1 AS INT) AS doc_line FROM t"))
@@ -89,8 +93,11 @@ def heading_distance(spark, sf_dir):
     return lo.heading_distance(lines(spark, sf_dir), F.col("is_caps")).select("doc_id", "page", "line_index", "heading_distance")
 
 
-@query(on_resumes(MEDIANS + """, s AS (SELECT t.*, md.font AS mf, md.height AS mh, coalesce(x0 - lag(x1) OVER v, 0.0) AS dx, coalesce(y0 - lag(y0) OVER v, 0.0) AS dy, row_number() OVER v AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM t JOIN md USING (doc_id) WINDOW v AS (PARTITION BY doc_id ORDER BY page, line_index, token_index, x0))
-SELECT doc_id, page, line_index, token_index, list_transform([dx / mf, dy / mh, CAST(CAST(dy <> 0 AS INT) AS DOUBLE), CAST(CAST(token = upper(token) AND token <> lower(token) AS INT) AS DOUBLE), CAST(CAST(token IN ('•', '-', '*') AS INT) AS DOUBLE), font_size / mf, CAST(CAST(is_bold AS INT) AS DOUBLE), rn / n], lambda x: round(x, 6)) AS v FROM s"""))
+@query(on_resumes(MEDIANS + """, lw AS (SELECT doc_id, page, line_index, string_agg(token, '' ORDER BY token_index) AS whole, least(count(*), 15) / 15 AS len, arg_min(token, (x0, token_index)) AS head FROM t GROUP BY ALL),
+s AS (SELECT t.*, greatest(coalesce(md.gap, 1.0), 0.000001) AS mg, greatest(md.height, 0.000001) AS mh, whole, len, head, lag(page) OVER v AS pp, lag(line_index) OVER v AS pl, lag(x1) OVER v AS px, lag(y1) OVER v AS py, greatest(max(y1) OVER d - min(y0) OVER d, 0.000001) AS hi, max(font_size) OVER d AS mf, max(line_index) OVER (PARTITION BY doc_id, page) AS ml
+  FROM t JOIN md USING (doc_id) JOIN lw USING (doc_id, page, line_index) WINDOW v AS (PARTITION BY doc_id ORDER BY page, line_index, token_index, x0), d AS (PARTITION BY doc_id))
+SELECT doc_id, page, line_index, token_index, list_transform([CASE WHEN pp = page THEN (x0 - px) / mg ELSE 0.0 END, CASE WHEN pp = page THEN (y0 - py) / mh WHEN pp IS NOT NULL THEN y0 / hi ELSE 0.0 END, CASE WHEN pp = page AND pl = line_index THEN 0 ELSE 1 END, CAST(is_bold AS INT),
+  CAST(token = upper(token) AND token <> lower(token) AND length(token) > 1 AS INT), font_size / mf, len, CAST(whole = upper(whole) AND whole <> lower(whole) AND length(whole) > 1 AS INT), CAST(head IN ('•', '*', '-', '▪', '◦', '■', '–', '—', '·', '✓', '✔') AS INT), line_index / greatest(ml, 1)], lambda x: round(CAST(x AS DOUBLE), 6)) AS v FROM s"""))
 def token_vector10(spark, sf_dir):
     return lo.token_vector(resume_tokens(spark, sf_dir))
 
@@ -100,6 +107,6 @@ def font_stats(spark, sf_dir):
     return lo.font_stats(resume_tokens(spark, sf_dir))
 
 
-@query(on_resumes(L + " SELECT doc_id, page, line_index, round(least(1.0, " + " + ".join(f"CASE WHEN regexp_matches(text, '{rx}') THEN {w} ELSE 0.0 END" for w, rx in lo.TITLE_RULES) + "), 6)::DOUBLE AS likeness FROM l"))
+@query(on_resumes(L + f" SELECT doc_id, page, line_index, CASE WHEN regexp_matches(text, '{lo.NO_TITLE_RX}') THEN 0.0 ELSE round(least(1.0, " + " + ".join(f"CASE WHEN regexp_matches(text, '{rx}') THEN {w} ELSE 0.0 END" for w, rx in lo.TITLE_RULES) + "), 6)::DOUBLE END AS likeness FROM l"))
 def title_likeness(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "page", "line_index", lo.title_likeness(F.col("text")).alias("likeness"))

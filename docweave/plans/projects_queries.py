@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docweave.operators import entries as en
 from docweave.operators import linerules as lr
 from docweave.operators import projects as pj
+from docweave.operators import rulepacks as rp
 from docweave.operators.lines import build_lines, group_by_line_run
 from docweave.plans.entries_queries import LK, known_lines
 from docweave.plans.fields_queries import BLOCKS, DOC, ENT, LINE, NOISY, blocks, noisy
@@ -21,12 +22,22 @@ from docweave.sources.tables import resume_tokens
 
 K = ("doc_id", "page", "line_index")
 TK = (*K, "token_index")
-HARD = f"regexp_matches(text, '{pj.HARD_NEGATIVE}')"
+CORE = f"trim(regexp_replace(trim(text), '{rp.LEAD_RX}', ''))"
+
+
+def rx_in(column, rx):
+    return f"regexp_matches({column}, '{rx}')"
 
 
 def like(kind):
-    total = " + ".join(f"CASE WHEN regexp_matches(text, '{rx}') THEN {w} ELSE 0.0 END" for w, rx in pj.LIKENESS[kind])
-    return f"CASE WHEN {HARD} THEN 0.0 ELSE round(CAST(least(1.0, {total}) AS DOUBLE), 6) END"
+    """SQL of the likeness of a line."""
+    words = f"len(string_split_regex({CORE}, '\\s+'))"
+    parts = {
+        "institution": [(0.45, rx_in(f"lower({CORE})", rp.INSTITUTION_RX)), (0.2, f"{CORE} = upper({CORE}) AND {CORE} <> lower({CORE}) AND {words} <= 8"), (0.15, rx_in(CORE, r"\b(?:of|at)\s+[A-Z]")), (0.1, f"{words} <= 6 AND NOT {rx_in(f'lower({CORE})', rp.DEGREE_RX)}")],
+        "degree": [(0.5, rx_in(f"lower({CORE})", rp.DEGREE_RX)), (0.25, rx_in(f"lower({CORE})", rp.HONOURS_RX)), (0.15, f"contains({CORE}, '|') AND {rx_in(f'lower({CORE})', rp.DEGREE_RX)}")],
+    }[kind]
+    total = " + ".join(f"CASE WHEN {CORE} <> '' AND {c} THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for w, c in parts)
+    return f"CASE WHEN {rx_in('trim(text)', rp.LEAD_RX)} OR {rx_in(f'lower({CORE})', rp.MARKS_LINE_RX)} OR {rx_in(f'lower({CORE})', rp.PLACE_LINE_RX)} THEN 0.0 ELSE round({total}, 6) END"
 
 
 @query(on_resumes(L + f" SELECT doc_id, page, line_index, {like('institution')} AS institution, {like('degree')} AS degree FROM l"))
@@ -117,7 +128,7 @@ def exp_overrides(spark, sf_dir):
     return pj.exp_overrides(role_rows(spark, sf_dir)).select("doc_id", "block", "label")
 
 
-@query(on_resumes(BLOCKS + ", b2 AS (SELECT doc_id, block, CAST(floor(block / 5) AS BIGINT) AS entry, CASE WHEN label IN ('DATE', 'INSTITUTION') THEN 'DESC' ELSE label END AS label FROM br) SELECT doc_id, block, CASE WHEN coalesce(max(CASE WHEN label = 'COMP' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, entry) = 0 AND label = 'DESC' AND lag(label) OVER (PARTITION BY doc_id, entry ORDER BY block) = 'ROLE', false) THEN 'COMP' ELSE label END AS label FROM b2"))
+@query(on_resumes(BLOCKS + ", b2 AS (SELECT doc_id, block, text, CAST(floor(block / 5) AS BIGINT) AS entry, CASE WHEN label IN ('DATE', 'INSTITUTION') THEN 'DESC' ELSE label END AS label FROM br) SELECT doc_id, block, CASE WHEN coalesce(max(CASE WHEN label = 'COMP' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, entry) = 0 AND label = 'DESC' AND lag(label) OVER (PARTITION BY doc_id, entry ORDER BY block) = 'ROLE' AND (regexp_matches(lag(text) OVER (PARTITION BY doc_id, entry ORDER BY block), '[—–-] *$') OR regexp_matches(text, '^[A-Z]')), false) THEN 'COMP' ELSE label END AS label FROM b2"))
 def exp_fill_company(spark, sf_dir):
     from docweave.operators.fields import block_rows
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docweave.operators import fields as fd
@@ -10,7 +12,7 @@ from docweave.plans.entries_queries import ENTRIES, entries
 from docweave.plans.fields_queries import CONTACT, DOC, ENT
 from docweave.plans.registry import query
 from docweave.plans.twins import on_documents, on_resumes
-from docweave.sources.tables import read, resume_lines, resume_tokens, text_tokens
+from docweave.sources.tables import read, resume_lines, resume_tokens, text_tokens, shared_folder
 
 E_ = ENT.format("bio_label")
 
@@ -86,10 +88,12 @@ def entries_array(spark, sf_dir):
 
 @query(on_resumes(JOBS + ", n AS (SELECT doc_id, entry, list({'label': label, 'value': value} ORDER BY pos) AS f FROM fl GROUP BY ALL) SELECT doc_id, CAST(count(*) AS INT) AS n_entries, CAST(sum(len(f)) AS INT) AS n_fields, min_by(f[1].value, entry) AS first_value FROM n GROUP BY ALL"))
 def sink_structured(spark, sf_dir):
-    """Nested entries written and read as JSON text keep their shape."""
-    nested = rc.entries_array(jobs(spark, sf_dir)).select("doc_id", F.to_json("entries").alias("json"))
-    back = nested.select("doc_id", F.from_json("json", "array<array<struct<label:string,value:string>>>").alias("e"))
-    return back.select("doc_id", F.size("e").alias("n_entries"), F.aggregate("e", F.lit(0), lambda a, x: a + F.size(x)).alias("n_fields"), F.col("e")[0][0]["value"].alias("first_value"))
+    """Nested entries written as JSON files and read with a declared schema keep their shape."""
+    folder = f"{shared_folder(spark)}/structured-{uuid.uuid4().hex}"
+    rc.entries_array(jobs(spark, sf_dir)).select("doc_id", "entries").write.json(folder)
+    back = spark.read.schema("doc_id long, entries array<array<struct<label:string,value:string>>>").json(folder)
+    e = F.col("entries")
+    return back.select("doc_id", F.size(e).alias("n_entries"), F.aggregate(e, F.lit(0), lambda a, x: a + F.size(x)).alias("n_fields"), e[0][0]["value"].alias("first_value"))
 
 
 @query(on_resumes(entity_sql("t") + ", s AS (SELECT doc_id, value, min(entity_id) AS f FROM en WHERE label = 'SKILL' GROUP BY ALL) SELECT doc_id, list(value ORDER BY f) AS skills FROM s GROUP BY ALL"))
