@@ -13,7 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = """build_record src_html_blocks slug_key split_comma split_date_range strip_cid glyphs_to_tokens attach_link build_lines sentence_records
 personal_segments detect_gutter line_vector10 heading_decide heading_style_propagate section_propagate group_entries shift_heads date_roles seg_gap stamp_bio
 bio_sanitise contact_classify extract_entities fold_fields skill_groups align_cascade align_line_jaccard nearest_head metric_prf section_scorecard
-stream_sessions stream_dedupe""".split()
+stream_sessions stream_dedupe stream_stuck_runs edu_line_rules proj_line_rules exp_boundary_fix proj_boundary_fix cluster_rows decode_constrained score_sequential
+label_segments personal_leak_rules seg_date_entity edu_style_rhythm edu_block_rules proj_block_rules segment_vector19 token_vector20 block_vector12 overlap_windows""".split()
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +55,13 @@ def test_query_equals_sql(spark, duck, name):
     assert ours == theirs
 
 
+def test_plans_read_the_stage_table_only(spark):
+    """Queries over the résumés start from the stage table: no plan renders it anew."""
+    for name in ("align_cascade", "section_propagate", "heading_decide", "fold_fields", "sentence_records"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan and "o_orderkey" not in plan and "docweave_resume_tokens" in plan
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).columns[0] == "doc_id"
 
