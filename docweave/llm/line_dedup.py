@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.components import connected_components
-from docweave.llm.shared import SPACES, cut, hot_keys, join_hot, one_of_each, row_named, text_key
+from docweave.llm.shared import SPACES, broadcast_if_few, cut, hot_keys, join_hot, one_of_each, row_named, text_key
 
 #: The least length from which lines may differ, and by how many edits; further pairs let longer lines differ more.
 THRESHOLDS = ((24, 2),)
@@ -291,7 +291,7 @@ def line_classes(docs: DataFrame, thresholds: tuple[tuple[int, int], ...] = THRE
 def dedup_lines(docs: DataFrame, thresholds: tuple[tuple[int, int], ...] = THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without their repeated lines; documents all of whose lines repeat earlier ones go."""
     docs = one_of_each(docs, id_col, text_col)
-    gone = (
+    gone = broadcast_if_few(
         line_classes(docs, thresholds, id_col, text_col)
         .groupBy(F.col("doc_id").alias("id"), "text_key")
         .agg(F.collect_set(F.when(~F.col("keep"), F.col("line_no"))).alias("gone"), F.max("keep").alias("some"))

@@ -70,6 +70,16 @@ def one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return single.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["own_id", "own_text"])).select("row.*")
 
 
+BROADCAST_ROWS = 200_000  # of about 100 bytes: 20 MB
+
+
+def broadcast_if_few(rows: DataFrame) -> DataFrame:
+    """``rows``, checkpointed, and marked for broadcast if there are at most ``BROADCAST_ROWS``: a join with it then leaves
+    the other side, mostly texts, where it is. More rows are joined by a shuffle."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 #: A key is hot beyond so many rows, and beyond this share of all rows, so that at most HOT_KEYS keys are.
 HOT_ROWS, HOT_KEYS = 1000, 100_000
 
