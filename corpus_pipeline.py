@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import language_id, line_dedup, ngram_join, packing, quality
-from docweave.llm.shared import bounded_batches, cut, ensure_checkpoint_dir, hot_keys, join_hot, one_of_each, row_named, table
+from docweave.llm.shared import bounded_batches, broadcast_if_few, cut, ensure_checkpoint_dir, hot_keys, join_hot, one_of_each, row_named, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays = worded.groupBy("component").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "digest")).alias("first"))
     known = cut(worded.join(stays, "component").select("digest", F.col("first.first_doc").alias("first_doc"), (F.col("digest") == F.col("first.digest")).alias("stays")))
     placed = join_hot(rows, known, "digest", hot_keys(rows, "digest"))
-    gone = placed.filter(~F.col("stays") | ~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select(F.col("doc_id").alias("id"), F.col("digest").alias("gone")).distinct()
+    gone = broadcast_if_few(placed.filter(~F.col("stays") | ~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select(F.col("doc_id").alias("id"), F.col("digest").alias("gone")).distinct())
     keyed = row_named(docs, "row").select("row", ngram_join.text_digest(F.col("row.text")).alias("digest"))
     same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("gone"))
     return keyed.join(gone, same, "left_anti").select("row.*")
