@@ -119,7 +119,7 @@ def shared_folder(spark: SparkSession) -> str:
     master is local, an error where it is not."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
-        if not re.match(r"local(\[[^,]*])?$", spark.sparkContext.master):
+        if not re.match(r"local(\[.*])?$", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="docweave-"))
     return where
