@@ -31,7 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if where is None and sc.getCheckpointDir() is None:
-        if not re.match(r"local(\[[^,]*])?$", sc.master):
+        if not re.match(r"local(\[.*])?$", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="docweave-"))
     elif where is not None and sc.getCheckpointDir() is None:
