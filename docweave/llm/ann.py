@@ -35,7 +35,7 @@ from docweave.llm.shared import cut, hot_keys, join_hot
 
 TABLES, FUNCTIONS, WIDTH = 6, 8, 2.0
 SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 512, 0.95
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 LARGE_BUCKETS = 100_000  # more than so many buckets are never split: their names are broadcast
 PAIRS_AT_ONCE = 100_000
 
