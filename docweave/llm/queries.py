@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import ann, bpe, language_id, line_dedup, lm_scoring, ngram_join, packing, quality, sharding, toxicity
+from docweave.llm import ann, bpe, hard_negatives, language_id, line_dedup, lm_scoring, ngram_join, packing, quality, sharding, toxicity
 from docweave.llm.shared import table, train_fold
 
 
@@ -67,6 +67,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -133,4 +139,16 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     .replace("__BULLET__", quality.BULLET_RX)
     .replace("__COUNTER__", quality.COUNTER_RX)
     .replace("__MORE__", quality.MORE_RX),
+    "op13_hard_negatives": r"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+       list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+       WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row AS arow, a.id AS anchor_id, a.label AS alabel, c.row, c.id, c.label,
+       CAST(list_dot_product(CAST(a.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score FROM v a JOIN v c ON a.row <> c.row WHERE a.id % 50 = 0),
+p AS (SELECT arow, anchor_id, row AS prow, id AS positive_id, score AS positive_score FROM s WHERE label = alabel
+      QUALIFY row_number() OVER (PARTITION BY arow ORDER BY score DESC, id, row) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.arow, prow ORDER BY s.score DESC, s.id, s.row) AS rank
+      FROM p JOIN s ON s.arow = p.arow AND s.label <> s.alabel AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""",
 }
