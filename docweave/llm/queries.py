@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import ann, bpe, hard_negatives, language_id, line_dedup, lm_scoring, ngram_join, packing, quality, sharding, toxicity
+from docweave.llm import ann, bpe, hard_negatives, language_id, line_dedup, lm_scoring, mil_quality, ngram_join, packing, prefix_trie, quality, sharding, toxicity
 from docweave.llm.shared import table, train_fold
 
 
@@ -67,6 +67,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = train_fold(F.col("doc_id"), 5) == 0
+    model = mil_quality.fit(docs.filter(~held_out).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    scored = mil_quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("_quality").alias("score"), (F.col("_quality") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.spliced(lists, F.col("conv_id") - F.col("conv_id") % 5, train_fold(F.col("conv_id"), 9), most=8))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
@@ -83,6 +96,8 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -139,6 +154,21 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     .replace("__BULLET__", quality.BULLET_RX)
     .replace("__COUNTER__", quality.COUNTER_RX)
     .replace("__MORE__", quality.MORE_RX),
+    "op12_prefix_trie": r"""
+WITH o AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t,
+     list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps
+     FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, t, xor(list_reduce(steps, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 9 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(list_slice(coalesce(b.t, []), 1, h.h), list_slice(h.t, h.h + 1, len(h.t))) AS t FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT conv_id, d, len(t) = d AS ends, sha256(CAST(to_json(list_slice(t, 1, d)) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN strlen(t[d].t) ELSE 0 END AS size
+     FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM r)),
+g AS (SELECT k, d, min(conv_id) AS c, count(*) AS n, any_value(size) AS size, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS e FROM m GROUP BY k, d),
+u AS (SELECT g.*, p.k AS pk FROM g LEFT JOIN m p ON p.conv_id = g.c AND p.d = g.d - 1),
+n AS (SELECT u.*, coalesce(x.n, 0) AS children FROM u LEFT JOIN (SELECT pk, count(*) AS n FROM u GROUP BY pk) x ON x.pk = u.k),
+s AS (SELECT m.k, count(*) FILTER (WHERE n.children = 0) AS leaves, sum((n.n - 1) * n.size) AS saved FROM n JOIN m ON m.conv_id = n.c AND m.d <= n.d GROUP BY m.k)
+SELECT n.c AS conv_id, CAST(n.d AS BIGINT) AS depth, p.c AS parent_conv_id, n.n AS n_convs, n.children AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.e) AS ends_sha256
+FROM n JOIN s ON s.k = n.k LEFT JOIN g p ON p.k = n.pk
+""",
     "op13_hard_negatives": r"""
 WITH v AS (SELECT row_number() OVER () AS row, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
