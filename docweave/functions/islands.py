@@ -63,18 +63,33 @@ def ordered_text(column: str = "token", sep: str = " ", order: Sequence[str] = O
     return F.array_join(F.transform(rows, lambda r: r["_v"]), sep)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Rows that a fold takes together: each step copies what its block has given so far, and no more.
+FOLD_BLOCK = 64
+
+
 def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column, state: str, step: Callable[[Column, Column], Column], out: str, kind: str) -> DataFrame:
     """Rows of each group, in order, with ``out``, a field of the running state: ``step`` makes the next state (a struct
     of type ``state``) from the last one and the row. For rules that look at their own earlier decisions; the groups are
-    lines, pages or entries, and the fold stays in the JVM."""
+    lines, pages or entries, and the fold stays in the JVM. Outputs are gathered block by block, so that long groups cost
+    little more for each row than short ones."""
     columns = [c for c in df.columns if c not in keys and c not in order]
     rows = F.array_sort(F.collect_list(F.struct(*order, *columns)))
+    nothing = F.array().cast(f"array<{kind}>")
 
     def grown(a: Column, row: Column) -> Column:
-        new = step(a["s"], row).cast(state)
-        return F.struct(new.alias("s"), F.concat(a["o"], F.array(new[out].cast(kind))).alias("o"))
+        return once(step(a["s"], row).cast(state), lambda new: F.struct(new.alias("s"), F.concat(a["o"], F.array(new[out].cast(kind))).alias("o")))
+
+    def joined(a: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(a["s"].alias("s"), nothing.alias("o")), grown)
+        return once(inner, lambda x: F.struct(x["s"].alias("s"), F.concat(a["o"], F.array(x["o"])).alias("o")))
 
-    first = F.struct(start.cast(state).alias("s"), F.array().cast(f"array<{kind}>").alias("o"))
-    grouped = df.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_out", F.aggregate("_rows", first, grown, lambda a: a["o"]))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / FOLD_BLOCK).cast("int")), lambda i: F.slice("_rows", i * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+    first = F.struct(start.cast(state).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("o"))
+    grouped = df.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_out", F.flatten(F.aggregate(blocks, first, joined, lambda a: a["o"])))
     each = grouped.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_out").alias("o"))).alias("z"))
     return each.select(*keys, *[F.col(f"z.r.{c}").alias(c) for c in [*order, *columns]], F.col("z.o").alias(out))

@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.islands import folded, ordered, running
+from docweave.operators.fields import DATED_RX, MONTH_NAMES, OPEN_ENDS
 from docweave.operators.tokenise import MONTHS, OPEN_END
 from docweave.schema import LINE_KEY
 
 DATE_RX = rf"(?:^|[^A-Za-z])(?:{MONTHS})[’'.,]? ?[’']?[0-9]{{2,4}}|(?:^|[^0-9])(?:19|20)[0-9]{{2}}(?:[^0-9]|$)|(?:^|[^A-Za-z])(?:{OPEN_END})(?:[^A-Za-z]|$)"
-BULLET_RX = "^[•◦●▪*–-] "
-VERBS_RX = "^(?:• )?(?:Built|Shipped|Designed|Led|Developed|Managed|Created)(?:[^A-Za-z]|$)"
-ROLE_RX = "^(?:Senior |Junior )?(?:Engineer|Developer|Manager|Analyst|Intern)(?:[^A-Za-z]|$)"
+#: Bullets, the verbs that begin descriptions, and words of entries inside an entry.
+BULLETS = ["•", "◦", "▪", "■", "●", "❖", "-", "–", "—", "*", "·"]
+DESCRIPTION_VERBS = (
+    "worked applied developed engineered championed implemented built participated prepared collaborated automated optimized leveraging utilizing "
+    "designed created managed led supported assisted maintained delivered analyzed conducted performed"
+).split()
+SUB_ENTRY_WORDS = ["domain", "platform", "project"]
+DATE_WORD_RX = rf"^(?:{MONTH_NAMES})[.]?$|^(?:{OPEN_ENDS})$|^(?:19|20)[0-9]{{2}}$|['‘’′] ?[0-9]{{2,4}}$"
+SKIPPED = ["", '"', "'", ",", "|"]
 
 
 def date_anchor(lines: DataFrame) -> DataFrame:
@@ -21,20 +28,34 @@ def date_anchor(lines: DataFrame) -> DataFrame:
 
 
 def exp_line_rules(lines: DataFrame, *kept: str) -> DataFrame:
-    """Named predicates of an experience line; ``kept``: columns to keep."""
-    text = F.col("text")
+    """Named predicates of an experience line; ``kept``: columns to keep. A description begins with a bullet, a bracket or
+    such a verb, or has no date and holds such a verb; a line with a bar and a date goes on with an entry, and is one
+    inside it if it names a domain, platform or project; ``has_role`` needs two words before the first date."""
+    text = F.trim("text")
+    low, words = F.lower(text), F.split(text, " +")
+    first = F.coalesce(F.get(F.filter(words, lambda w: ~w.isin(SKIPPED)), F.lit(0)), F.lit(""))
+    bare = F.transform(F.split(low, " +"), lambda w: F.regexp_replace(w, "^[.,;:]+|[.,;:]+$", ""))
+    dated = low.rlike(DATED_RX)
+    bullet = first.isin(BULLETS) | first.startswith("(") | F.lower(first).isin(DESCRIPTION_VERBS)
+    prefix = F.regexp_extract(low, rf"^(.*?)(?:{DATED_RX})", 1)
+    named = F.filter(F.transform(F.split(prefix, " +"), lambda w: F.regexp_replace(w, "^[.,;:|()—–-]+|[.,;:|()—–-]+$", "")), lambda w: (w != "") & ~w.rlike(DATE_WORD_RX))
     return lines.select(
         *LINE_KEY,
         *kept,
-        text.rlike(BULLET_RX).alias("is_bullet"),
-        text.rlike(VERBS_RX).alias("is_description"),
-        text.rlike("(?:^|[^A-Za-z])[Ii]nternship(?:[^A-Za-z]|$)").alias("is_internship"),
-        text.rlike("^(?:Pvt|Ltd|Inc|LLC)[.]?").alias("is_company_rest"),
-        (text.rlike(ROLE_RX) & text.rlike(DATE_RX)).alias("is_role_with_date"),
-        text.rlike(rf"^\(? ?(?:{OPEN_END}) ?\)?$").alias("is_open_end"),
+        F.coalesce(bullet, F.lit(False)).alias("is_bullet"),
+        F.coalesce(bullet | (~dated & F.exists(bare, lambda w: w.isin(DESCRIPTION_VERBS))), F.lit(False)).alias("is_description"),
+        F.coalesce(dated, F.lit(False)).alias("has_date"),
+        F.coalesce(low.contains("internship") & dated & ~bullet, F.lit(False)).alias("is_internship"),
+        F.coalesce(text.contains("|") & dated, F.lit(False)).alias("is_continuation"),
+        F.coalesce(text.contains("|") & dated & low.rlike("|".join(SUB_ENTRY_WORDS)), F.lit(False)).alias("is_sub_entry"),
+        F.coalesce(dated & (F.size(named) >= 2), F.lit(False)).alias("has_role"),
+        F.coalesce(text.contains("|"), F.lit(False)).alias("has_bar"),
     )
 
 
+EXP_RULES = ["is_bullet", "is_description", "has_date", "is_internship", "is_continuation", "is_sub_entry", "has_role", "has_bar"]
+
+
 def heads(lines: DataFrame, is_head: Column, section: str) -> DataFrame:
     """Head lines of a section, in order."""
     return lines.filter(is_head & (F.col("section") == section)).select(*LINE_KEY).distinct()
@@ -51,20 +72,30 @@ def exp_style_heads(lines: DataFrame) -> DataFrame:
     return joined.withColumn("is_head", F.coalesce(same, F.lit(False))).drop("best")
 
 
-def exp_boundary_fix(lines: DataFrame, distance: int = 5) -> DataFrame:
-    """Suppresses heads on bullets and open ends, promotes dated role lines, and allows no promotion within some lines
-    of the last head, its own promotions included. A head that stays sets the distance anew whatever came before, so that
-    the fold runs from one such head to the next."""
+def exp_boundary_fix(lines: DataFrame, gap: int = 5) -> DataFrame:
+    """``is_head`` of experience lines with the columns of ``exp_line_rules`` and ``begins`` (a token was scored as a start),
+    ``inside`` (one as going on) and ``hinted`` (a label says so).
+
+    A start goes on a description, on a line without a date and on one that goes on with an entry, unless it is hinted. A
+    line without a start becomes one if it is hinted and dated, an internship, an entry inside an entry, or a bullet that
+    was scored as going on; or if it was scored as going on, has a role before its date and no bar, is no description, and
+    no head stands within ``gap`` lines before it on the page. Only that last rule looks at earlier decisions: the fold
+    begins anew at each head that stands whatever came before."""
     w = ordered(("doc_id",), ("page", "line_index"))
-    sure = F.col("is_head") & ~F.col("is_bullet") & ~F.col("is_open_end")
-    placed = lines.select(*LINE_KEY, "is_role_with_date", sure.alias("sure")).withColumn("pos", F.row_number().over(w)).withColumn("entry", F.sum(F.col("sure").cast("int")).over(running(w)))
+    c = {k: F.coalesce(F.col(k), F.lit(False)) for k in ("begins", "inside", "hinted", *EXP_RULES)}
+    stays = c["begins"] & (c["hinted"] | ~(c["is_description"] | ~c["has_date"] | c["is_continuation"]))
+    shown = c["hinted"] & (c["has_date"] | c["is_internship"] | c["is_sub_entry"] | (c["is_bullet"] & c["inside"]))
+    sure = stays | (~c["begins"] & shown)
+    may = ~c["begins"] & ~c["is_description"] & c["has_date"] & c["inside"] & ~c["has_bar"] & c["has_role"]
+    placed = lines.select(*LINE_KEY, sure.alias("sure"), may.alias("may")).withColumn("entry", F.sum(F.col("sure").cast("int")).over(running(w)))
 
     def step(s: Column, row: Column) -> Column:
-        now = row["sure"] | (row["is_role_with_date"] & (row["pos"] - s["last"] > distance))
-        return F.struct(F.when(now, row["pos"]).otherwise(s["last"]).alias("last"), now.alias("is_head"))
+        recent = (row["page"] == s["page"]) & (row["line_index"] - s["line"]).between(1, gap)
+        now = row["sure"] | (row["may"] & ~F.coalesce(recent, F.lit(False)))
+        return F.struct(F.when(now, row["page"]).otherwise(s["page"]).alias("page"), F.when(now, row["line_index"]).otherwise(s["line"]).alias("line"), now.alias("is_head"))
 
-    start = F.struct(F.lit(-(10**9)).alias("last"), F.lit(False).alias("is_head"))
-    out = folded(placed, ("doc_id", "entry"), ("page", "line_index"), start, "struct<last:int,is_head:boolean>", step, "is_head", "boolean")
+    start = F.struct(F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("line"), F.lit(False).alias("is_head"))
+    out = folded(placed, ("doc_id", "entry"), ("page", "line_index"), start, "struct<page:int,line:int,is_head:boolean>", step, "is_head", "boolean")
     return out.select(*LINE_KEY, "is_head")
 
 
@@ -137,9 +168,21 @@ def collapse_anchor(segments: DataFrame) -> DataFrame:
     return segments.filter("in_section").groupBy("doc_id", "line_run").agg(F.min("seg_index").alias("seg_index"))
 
 
-def date_roles(tokens: DataFrame) -> DataFrame:
-    """Date tokens in turn start and end of a range, entry by entry; an open end always ends one."""
-    w = ordered(("doc_id", "entry_id"))
-    dated = tokens.filter(F.col("token").rlike(rf"^[(]?(?:19|20)[0-9]{{2}}[)]?$|^(?:{OPEN_END})$"))
-    nth = F.row_number().over(w)
-    return dated.withColumn("date_role", F.when(F.col("token").rlike(f"^(?:{OPEN_END})$") | (nth % 2 == 0), "EDATE").otherwise("SDATE"))
+#: What makes a date the end of an open range (lower case).
+OPEN_RANGE_RX = "(?:^|[^a-z0-9_])(?:present|date|till)(?:[^a-z0-9_]|$)"
+
+
+def date_roles(rows: DataFrame, title: Column, dated: Column, text: Column, half: Column | None = None) -> DataFrame:
+    """``date_role`` of the dated rows of each document: SDATE opens a range, EDATE closes it. The first date after a title
+    opens, the next closes, the one after that opens again; an open end closes without counting, and so does a half of a
+    split range (``half``: left or right), which is what its side says. A title begins anew. Dates that count open and
+    close in turn, so that their number since the last title tells their role: a window, no fold."""
+    half = F.lit(None).cast("string") if half is None else half
+    open_end = F.lower(text).rlike(OPEN_RANGE_RX)
+    w = ordered()
+    marked = rows.withColumn("_title", F.coalesce(title, F.lit(False)).cast("int")).withColumn("_dated", F.coalesce(dated, F.lit(False))).withColumn("_open", F.coalesce(open_end, F.lit(False))).withColumn("_half", half)
+    run = marked.withColumn("_run", F.sum("_title").over(running(w)))
+    counts = F.col("_dated") & ~F.col("_open") & F.col("_half").isNull()
+    nth = F.sum(counts.cast("int")).over(running(ordered(("doc_id", "_run"))))
+    role = F.when(F.col("_open"), "EDATE").when(F.col("_half") == "right", "EDATE").when(F.col("_half") == "left", "SDATE").when(nth % 2 == 0, "EDATE").otherwise("SDATE")
+    return run.withColumn("date_role", role).filter("_dated").drop("_title", "_dated", "_open", "_half", "_run")

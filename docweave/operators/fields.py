@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.islands import after, before, carry_last, first_seen_mode, folded, island, ordered, ordered_text, running, upper_median
@@ -70,10 +70,27 @@ def block_rows(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "block").agg(ordered_text().alias("text"), F.coalesce(label, F.lit("O")).alias("label"), F.min(F.struct("page", "line_index", "token_index")).alias("at"))
 
 
+MONTH_NAMES = "jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug|august|sep|sept|september|oct|october|nov|november|dec|december"
+#: Open ends, and words that make a dated text more than a date.
+OPEN_ENDS = "present|current|ongoing|now"
+NOT_A_DATE = ["project", "client", "developer", "engineer", "intern"]
+WORD_START, WORD_END = "(?:^|[^a-z0-9_])", "(?:[^a-z0-9_]|$)"
+#: A date in a text (lower case): a month, a year, an open end, or a year after an apostrophe.
+DATED_RX = rf"{WORD_START}(?:{MONTH_NAMES}|(?:19|20)[0-9]{{2}}|{OPEN_ENDS}){WORD_END}|{WORD_START}(?:{MONTH_NAMES})[.]? ?['‘’′]? ?(?:[0-9]{{4}}|[0-9]{{2}}){WORD_END}|['‘’′] ?(?:[0-9]{{4}}|[0-9]{{2}}){WORD_END}"
+
+
+def is_date_piece(text: Column) -> Column:
+    """Whether a block is a piece of a date range: a single bracket, marks only, or a date without words that name
+    something else; what a bullet begins is none."""
+    low = F.lower(F.trim(text))
+    other = F.arrays_overlap(F.split(low, " +"), F.array(*[F.lit(w) for w in NOT_A_DATE]))
+    return ~low.rlike("^[•◦▪∗*■●]") & (low != "") & (~low.rlike(r"[\p{L}\p{N}]") | (low.rlike(DATED_RX) & ~other))
+
+
 def merge_date_blocks(rows: DataFrame) -> DataFrame:
-    """Consecutive blocks that hold only pieces of a date become one."""
+    """Consecutive blocks that are pieces of a date become one."""
     w = ordered(("doc_id",), ("block",))
-    date = F.col("text").rlike(r"^[(]?[ ]?(?:(?:Jan|July|Present|Current|[0-9]{4}|-|–)[ ]?)+[)]?$")
+    date = is_date_piece(F.col("text"))
     runs = island(rows.withColumn("is_date", date), F.coalesce(~(date & F.lag(date).over(w)), F.lit(True)), w, "merged")
     return runs.groupBy("doc_id", "merged").agg(ordered_text("text", order=("block",)).alias("text"), F.min("is_date").alias("is_date"))
 
@@ -108,12 +125,20 @@ def overlap_windows(tokens: DataFrame, size: int = 250, step: int = 150) -> Data
 
 
 def merge_windows(scored: DataFrame) -> DataFrame:
-    """One ``label`` for each token of overlapping windows: that of the last window that found one, else that of the
-    window whose middle is nearest."""
-    none = F.col("label") == "O"
+    """One ``label`` for each token of overlapping windows, taken in the order of their starts: a window's verdict counts
+    if it found a label, or if its middle is nearer than the best so far; a label counts as 100 tokens nearer than it is,
+    so that a later O overturns it only where the label stood far from its window's middle. A token has few windows."""
     away = F.abs(F.col("pos") - (F.col("start") + F.col("end")) / 2)
-    order = F.struct(none.cast("int"), F.when(none, away).otherwise(-F.col("start")), "start")
-    return scored.groupBy(*LINE_KEY, "token_index").agg(F.min_by("label", order).alias("label"))
+    verdicts = F.array_sort(F.collect_list(F.struct("start", away.alias("away"), "label")))
+
+    def step(s: Column, v: Column) -> Column:
+        found = v["label"] != "O"
+        takes = found | (v["away"] < s["best"])
+        near = v["away"] - F.when(found, 100.0).otherwise(0.0)
+        return F.struct(F.when(takes, v["label"]).otherwise(s["label"]).alias("label"), F.when(takes, near).otherwise(s["best"]).alias("best"))
+
+    first = F.struct(F.lit("O").alias("label"), F.lit(float("inf")).alias("best"))
+    return scored.groupBy(*LINE_KEY, "token_index").agg(F.aggregate(verdicts, first, step)["label"].alias("label"))
 
 
 def head_tail(values: Column, half: int, pad: Column) -> Column:
@@ -123,14 +148,19 @@ def head_tail(values: Column, half: int, pad: Column) -> Column:
     return F.when(n > 2 * half, both).otherwise(F.concat(values, F.array_repeat(pad, F.greatest(F.lit(0), 2 * half - n))))
 
 
-def stamp_bio(blocks: DataFrame, rows: DataFrame) -> DataFrame:
-    """Block labels on tokens: B- on a block's first token unless the block before has the same label, else I-."""
-    w = ordered(("doc_id",), ("block",))
-    known = rows.withColumn("_same", F.coalesce((F.lag("label").over(w) == F.col("label")) & ~F.col("text").startswith("•"), F.lit(False))).select("doc_id", "block", "label", "_same")
-    first = F.row_number().over(ordered(("doc_id", "block"))) == 1
-    joined = blocks.withColumn("_first", first).join(known, ["doc_id", "block"])
-    stamped = F.when(F.col("label") == "O", "O").when(F.col("_first") & ~F.col("_same"), F.concat(F.lit("B-"), "label")).otherwise(F.concat(F.lit("I-"), "label"))
-    return joined.withColumn("stamped", stamped).drop("_first", "_same")
+def stamp_bio(blocks: DataFrame) -> DataFrame:
+    """Labels of phrase blocks (``split_blocks``) on their tokens: B- on a block's first token unless the block before has
+    the same label and no bullet opens this one, else I-. Windows over a block give its label and how it begins, a window
+    over the document hands the label of the block before to a block's first token: no join."""
+    block = ordered(("doc_id", "block"))
+    whole = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    opening = F.when(F.col("bio_label").startswith("B-"), entity(F.col("bio_label")))
+    labelled = blocks.withColumn("label", F.coalesce(F.first(opening, ignorenulls=True).over(whole), F.lit("O")))
+    labelled = labelled.withColumn("_first", F.row_number().over(block) == 1)
+    same = F.coalesce((F.lag("label").over(ordered()) == F.col("label")) & ~F.col("token").startswith("•"), F.lit(False))
+    begins = F.col("_first") & ~same
+    stamped = F.when(F.col("label") == "O", "O").when(begins, F.concat(F.lit("B-"), "label")).otherwise(F.concat(F.lit("I-"), "label"))
+    return labelled.withColumn("stamped", stamped).drop("_first")
 
 
 def bio_sanitise(tokens: DataFrame, label: str = "bio_label", out: str = "clean_label") -> DataFrame:
@@ -197,23 +227,95 @@ def skills_region(lines: DataFrame) -> DataFrame:
 
 
 def to_bilou(tokens: DataFrame) -> DataFrame:
-    """BIO to BILOU: the last of a run is L-, a run of one U-."""
+    """BIO to BILOU: the last of a run is L-, a run of one U-; labels without a mark stay."""
     w = ordered()
     goes_on = F.coalesce(F.lead("bio_label").over(w) == F.concat(F.lit("I-"), entity(F.col("bio_label"))), F.lit(False))
     e = entity(F.col("bio_label"))
     label = (
-        F.when(F.col("bio_label") == "O", "O").when(F.col("bio_label").startswith("B-"), F.when(goes_on, F.concat(F.lit("B-"), e)).otherwise(F.concat(F.lit("U-"), e)))
-        .otherwise(F.when(goes_on, F.concat(F.lit("I-"), e)).otherwise(F.concat(F.lit("L-"), e)))
+        F.when(F.col("bio_label").startswith("B-"), F.when(goes_on, F.concat(F.lit("B-"), e)).otherwise(F.concat(F.lit("U-"), e)))
+        .when(F.col("bio_label").startswith("I-"), F.when(goes_on, F.concat(F.lit("I-"), e)).otherwise(F.concat(F.lit("L-"), e)))
+        .otherwise(F.col("bio_label"))
     )
     return tokens.withColumn("bilou", label)
 
 
 def bridge_punct(rows: DataFrame) -> DataFrame:
-    """A block of punctuation between two of one label takes that label."""
+    """A block of punctuation whose left neighbour's label, itself perhaps taken that way, is the right neighbour's takes
+    it. A fold over each run of such blocks and the block before it."""
     w = ordered(("doc_id",), ("block",))
     mark = ~F.col("text").rlike("[A-Za-z0-9]")
-    same = F.lag("label").over(w) == F.lead("label").over(w)
-    return rows.withColumn("label", F.when(mark & F.coalesce(same, F.lit(False)), F.lag("label").over(w)).otherwise(F.col("label")))
+    placed = rows.withColumn("_mark", mark).withColumn("_next", F.lead("label").over(w)).withColumn("_run", F.sum((~mark).cast("int")).over(running(w)))
+
+    def step(s: Column, row: Column) -> Column:
+        takes = row["_mark"] & F.coalesce(s["bridged"] == row["_next"], F.lit(False))
+        return F.struct(F.when(takes, s["bridged"]).otherwise(row["label"]).alias("bridged"))
+
+    start = F.struct(F.lit(None).cast("string").alias("bridged"))
+    out = folded(placed, ("doc_id", "_run"), ("block",), start, "struct<bridged:string>", step, "bridged", "string")
+    return out.withColumn("label", F.col("bridged")).drop("bridged", "_mark", "_next", "_run")
+
+
+#: The label vocabularies of the tasks: entity, what it is mapped to; the order of the classes is their
+#: priority in a tie.
+LABEL_MAPS = {
+    "skills": {"SKILL": "SKILL", "SKILL_TYPE": "SKILL_TYPE", "SKILL_CAT": "SKILL_TYPE"},
+    "project": {"PROJ_NAME": "PROJ", "PROJ_COMPANY": "COMP", "SDATE": "SDATE", "EDATE": "EDATE", "DESC": "DESC", "URL": "O", "PROJ_TECH": "O", "LINK": "O"},
+    "education": {"DEG": "DEG", "DEGREE": "DEG", "INST": "INST", "INSTITUTION": "INST", "SDATE": "SDATE", "EDATE": "EDATE", "DESC": "DESC", "EDESC": "DESC", "GPA": "GPA", "GRADE": "GPA", "SCORE": "GPA"},
+    "experience": {"ROLE": "ROLE", "ROLEMETA": "ROLE", "COMP": "COMP", "COMP_LOC": "COMP", "SDATE": "DATE", "EDATE": "DATE", "DESC": "DESC"},
+}
+
+
+def label_vocabulary(spark: SparkSession) -> DataFrame:
+    """The dimension table of labels: task, entity, mapped, priority (of the mapped class within its task). Its size is
+    that of ``LABEL_MAPS``, which lets a join broadcast it."""
+    rows = []
+    for task, entities in LABEL_MAPS.items():
+        classes = list(dict.fromkeys(entities.values()))
+        rows += [(task, e, m, classes.index(m)) for e, m in entities.items()]
+    return spark.createDataFrame(rows, "task string, entity string, mapped string, priority int")
+
+
+def map_label(tokens: DataFrame, task: str, label: str = "bio_label", out: str = "mapped") -> DataFrame:
+    """The task's form of each label, by a join with the vocabulary. Skills: BIO or BILOU in any case, all other entities
+    O. Projects: known entities, others as they are. Education: the same, in upper case. Experience: the class without
+    prefix, null for other entities."""
+    # the label without its mark B, I, L or U and in the vocabulary's case
+    text = F.coalesce(F.col(label), F.lit("O"))
+    text = F.upper(F.trim(text)) if task == "education" else F.upper(text) if task == "skills" else text
+    prefix, bare = F.regexp_extract(text, "^([BILU])-", 1), F.regexp_replace(text, "^[BILU]-", "")
+    known = label_vocabulary(tokens.sparkSession).filter(F.col("task") == task).select(F.col("entity").alias("_entity"), F.col("mapped").alias("_to"))
+    joined = tokens.withColumn("_prefix", prefix).withColumn("_entity", bare).withColumn("_text", text).join(F.broadcast(known), "_entity", "left")
+    has = F.col("_prefix") != ""
+    begins = F.when(F.col("_prefix").isin("B", "U"), "B-").otherwise("I-")
+    if task == "skills":
+        value = F.when(has & F.col("_to").isNotNull(), F.concat(begins, "_to")).otherwise("O")
+    elif task == "experience":
+        value = F.when(F.col("_prefix").isin("B", "I"), F.col("_to"))
+    else:
+        value = F.when(F.col("_to") == "O", "O").when(F.col("_prefix").isin("B", "I") & F.col("_to").isNotNull(), F.concat(F.col("_prefix"), F.lit("-"), "_to")).otherwise(F.col("_text"))
+    return joined.withColumn(out, value).drop("_prefix", "_entity", "_text", "_to")
+
+
+def class_vote(tokens: DataFrame, keys: tuple[str, ...], task: str = "experience") -> DataFrame:
+    """The class of each group: that of its first B- token with a class, else the most frequent one, of equally frequent
+    ones that with the highest priority of the vocabulary; null where no token has a class."""
+    classed = map_label(tokens, task, out="_class").withColumn("_class", F.regexp_replace("_class", "^[BI]-", ""))
+    placed = classed.filter("_class IS NOT NULL AND _class <> 'O'").withColumn("_pos", F.row_number().over(ordered()))
+    rank = F.broadcast(label_vocabulary(tokens.sparkSession).filter(F.col("task") == task).groupBy(F.col("mapped").alias("_class")).agg(F.min("priority").alias("_rank")))
+    opens = F.col("bio_label").startswith("B-")
+    counted = placed.join(rank, "_class").groupBy(*keys, "_class", "_rank").agg(F.count("*").alias("_n"), F.min(F.when(opens, F.col("_pos"))).alias("_first"))
+    voted = counted.groupBy(*keys).agg(F.min_by("_class", "_first").alias("first"), F.max_by("_class", F.struct("_n", -F.col("_rank"))).alias("usual"))
+    return tokens.select(*keys).distinct().join(voted, list(keys), "left").select(*keys, F.coalesce("first", "usual").alias("label"))
+
+
+def segment_vote(tokens: DataFrame, keys: tuple[str, ...], classes: dict[str, str], rest: str) -> DataFrame:
+    """DATE for groups with a date label or a date in their text, else the class of most tokens (of equally many the first
+    seen); ``classes`` maps entities to classes, all others are ``rest``."""
+    own = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in classes.items() for x in kv]), entity(F.col("bio_label"))), F.lit(rest))
+    placed = tokens.withColumn("_pos", F.row_number().over(ordered())).withColumn("_class", own).withColumn("_date", entity(F.col("bio_label")).isin("SDATE", "EDATE"))
+    shown = placed.groupBy(*keys).agg(F.max("_date").alias("dated"), ordered_text().alias("text"))
+    date = F.col("dated") | F.lower("text").rlike(DATED_RX)
+    return shown.join(first_seen_mode(placed, keys, "_class", "_pos", "usual"), list(keys)).select(*keys, F.when(date, "DATE").otherwise(F.col("usual")).alias("label"))
 
 
 def label_vote(tokens: DataFrame, keys: tuple[str, ...]) -> DataFrame:

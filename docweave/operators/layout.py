@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.islands import carry_last, island, lower_median, ordered
+from docweave.functions.islands import carry_last, folded, island, lower_median, ordered, running
 from docweave.schema import LINE_KEY
 
 
@@ -13,22 +16,76 @@ def order_simple(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("read_pos", F.row_number().over(ordered(("doc_id",), ("page", "y0", "x0", "token_index"))))
 
 
-def order_reading(tokens: DataFrame) -> DataFrame:
-    """Sections of a page by their mean height, inside them by row and x."""
-    group = F.avg("y0").over(Window.partitionBy("doc_id", "page", "section"))
-    placed = tokens.withColumn("section_y", F.round(group, 6))
-    return placed.withColumn("read_pos", F.row_number().over(ordered(("doc_id",), ("page", "section_y", "section", "y0", "x0", "token_index"))))
+GROUP = ("doc_id", "page", "section")
+#: Sections read row by row, and those read line by line; all others may have two columns.
+BY_ROW = ["PERSONAL", "SUMMARY", "SKILLS"]
+BY_LINE = ["EXPERIENCE", "EDUCATION", "PROJECT"]
+
 
+def visual_rows(tokens: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
+    """``row`` of each token of a group, downwards: a token joins the last row while it lies within max(4, 0.4 of the row's
+    mean height) of the row's mean height on the page. A fold, as both means move with each token."""
 
-def detect_gutter(tokens: DataFrame, step: int = 10) -> DataFrame:
-    """The x between 5 and 55 % of the page's width that fewest tokens cover: candidates joined to token intervals."""
-    page = tokens.groupBy("doc_id", "page").agg(F.max("x1").alias("width"))
-    candidates = page.select("doc_id", "page", F.explode(F.sequence(F.ceil(F.col("width") * 0.05 / step).cast("int"), F.floor(F.col("width") * 0.55 / step).cast("int"))).alias("c"))
-    cover = tokens.select("doc_id", "page", F.explode(F.sequence(F.ceil(F.col("x0") / step).cast("int"), F.greatest(F.ceil(F.col("x0") / step), F.floor(F.col("x1") / step)).cast("int"))).alias("c"), "x0", "x1")
-    covered = cover.filter((F.col("c") * step >= F.col("x0")) & (F.col("c") * step <= F.col("x1"))).groupBy("doc_id", "page", "c").agg(F.count("*").alias("n"))
-    counted = candidates.join(covered, ["doc_id", "page", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    best = F.min_by(F.col("c"), F.struct("n", "c"))
-    return counted.groupBy("doc_id", "page").agg((best * step).cast("int").alias("gutter_x"), F.min("n").alias("overlaps"))
+    def step(s: Column, t: Column) -> Column:
+        reach = F.greatest(F.lit(4.0), 0.4 * s["tall"] / s["n"])
+        joins = (s["n"] > 0) & (F.abs(t["y0"] - s["high"] / s["n"]) < reach)
+        kept = F.when(joins, 1.0).otherwise(0.0)
+        return F.struct(
+            (s["high"] * kept + t["y0"]).alias("high"), (s["tall"] * kept + t["y1"] - t["y0"]).alias("tall"), (s["n"] * kept.cast("int") + 1).alias("n"),
+            F.when(joins, s["row"]).otherwise(s["row"] + 1).alias("row"),
+        )
+
+    start = F.struct(F.lit(0.0).alias("high"), F.lit(0.0).alias("tall"), F.lit(0).alias("n"), F.lit(-1).alias("row"))
+    return folded(tokens, keys, ("y0", "line_index", "token_index"), start, "struct<high:double,tall:double,n:int,row:int>", step, "row", "int")
+
+
+def order_reading(tokens: DataFrame) -> DataFrame:
+    """Sections of a page by their mean height (then as they first appear). Inside them: by visual rows, by lines, or, for
+    sections that may have columns, the left column before the right where a gutter is confirmed, else by lines. One
+    composite key gives ``read_pos``."""
+    group = Window.partitionBy(*GROUP)
+    placed = tokens.withColumn("_at", F.row_number().over(ordered())).withColumn("section_y", F.round(F.avg("y0").over(group), 6)).withColumn("_seen", F.min("_at").over(group))
+    rows = visual_rows(placed.filter(F.col("section").isin(BY_ROW))).withColumn("_k", F.struct(F.lit(0).alias("column"), F.col("row").cast("double").alias("down"), F.col("x0").alias("across"))).drop("row")
+    rest = placed.filter(~F.coalesce(F.col("section").isin(BY_ROW), F.lit(False)))
+    gutters = detect_gutter(rest.filter(~F.coalesce(F.col("section").isin(BY_LINE), F.lit(False)))).filter("has_gutter").select(*GROUP, "gutter_x")
+    split = _joined(rest, gutters, GROUP, "left")
+    right = ((F.col("x0") + F.col("x1")) / 2 >= F.col("gutter_x")).cast("int")
+    key = F.struct(F.coalesce(right, F.lit(0)).alias("column"), F.when(F.col("gutter_x").isNotNull(), F.col("y0")).otherwise(F.col("line_index").cast("double")).alias("down"), F.col("x0").alias("across"))
+    both = rows.unionByName(split.withColumn("_k", key).drop("gutter_x"))
+    order = ("page", "section_y", "_seen", "_k.column", "_k.down", "_k.across", "_at")
+    return both.withColumn("read_pos", F.row_number().over(ordered(("doc_id",), order))).drop("_k", "_at", "_seen")
+
+
+def detect_gutter(tokens: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
+    """For each group the first whole x between 5 and 55 % of its width that fewest tokens with a letter or digit cover, how
+    many those are, and whether it is a gutter: few cover it (three, or under 8 %), and at least two lines leave it free
+    with 10 to 150 points between the tokens beside it.
+
+    A sweep: a token covers the whole numbers between its ends, +1 where that begins and -1 after it; the running sum of
+    these steps by x is the cover, which changes only there."""
+    word = F.col("token").rlike("[A-Za-z0-9]")
+    extent = tokens.groupBy(*keys).agg(F.min("x0").alias("_low"), F.max("x1").alias("_high"), F.count("*").alias("n_tokens"))
+    width = F.col("_high") - F.col("_low")
+    scans = extent.select(*keys, (F.col("_low") + 0.05 * width).cast("int").alias("scan_start"), (F.col("_low") + 0.55 * width).cast("int").alias("scan_end"), "n_tokens").filter("scan_end > scan_start")
+    begins, ends = (F.floor("x0") + 1).cast("int"), F.ceil("x1").cast("int")
+    steps = tokens.filter(word & (begins < ends)).select(*keys, F.explode(F.array(F.struct(begins.alias("x"), F.lit(1).alias("d")), F.struct(ends.alias("x"), F.lit(-1).alias("d")))).alias("s")).select(*keys, "s.*")
+    events = steps.unionByName(scans.select(*keys, F.col("scan_start").alias("x"), F.lit(0).alias("d"))).groupBy(*keys, "x").agg(F.sum("d").alias("d"))
+    cover = events.withColumn("overlaps", F.sum("d").over(running(ordered(keys, ("x",)))))
+    inside = _joined(cover, scans, keys).filter("x BETWEEN scan_start AND scan_end")
+    best = inside.groupBy(*keys).agg(F.min_by("x", F.struct("overlaps", "x")).alias("gutter_x"), F.min("overlaps").alias("overlaps"), F.max("n_tokens").alias("n_tokens"))
+
+    beside = _joined(tokens.select(*keys, "line_index", "x0", "x1"), best, keys)
+    x = F.col("gutter_x")
+    sides = beside.groupBy(*keys, "line_index").agg(F.max((F.col("x0") < x) & (x < F.col("x1"))).alias("crossed"), F.max(F.when(F.col("x1") <= x, F.col("x1"))).alias("left"), F.min(F.when(F.col("x0") >= x, F.col("x0"))).alias("right"))
+    free = sides.filter(~F.col("crossed") & (F.col("right") - F.col("left")).between(10, 150)).groupBy(*keys).agg(F.count("*").alias("free_lines"))
+    few = (F.col("overlaps") <= 3) | (F.col("overlaps") < 0.08 * F.col("n_tokens"))
+    return _joined(best, free, keys, "left").select(*keys, "gutter_x", "overlaps", (few & (F.coalesce("free_lines", F.lit(0)) >= 2)).alias("has_gutter"))
+
+
+def _joined(a: DataFrame, b: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` on equal keys, null equal to null: a section may be unknown."""
+    other = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return a.join(other, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), how).drop(*[f"_{k}" for k in keys])
 
 
 def rebuild_line_index(tokens: DataFrame, gap: float = 30.0) -> DataFrame:
@@ -126,13 +183,35 @@ def font_stats(tokens: DataFrame) -> DataFrame:
     return sizes.groupBy("doc_id", "section").agg(F.max("font_size").alias("largest"), F.min_by("font_size", F.struct(-F.col("n"), F.col("font_size"))).alias("usual"), F.min("font_size").alias("smallest"))
 
 
-TITLE_RULES = [(0.4, "Portal|Platform|System|Engine"), (0.3, r"\|"), (0.2, "^[A-Za-z]+( [A-Za-z]+){0,4}$"), (0.3, "Python|SQL|Spark")]
+#: Fixed values of the likeness of a line to a project's title: weight, what the text shows (lower case, without bullet),
+#: and the most words that it may have.
+TITLE_RULES = [
+    (0.35, r"\| *(?:github|gitlab|demo|live|link)(?:[^a-z0-9_]|$)", None),
+    (0.45, "^code *link", None),
+    (0.35, "live *demo", None),
+    (0.4, r"\| *(?:mern|mean|jwt|react|spring|socket|redux|razorpay|cloudinary|hibernate|hadoop|kafka)", None),
+    (0.35, r"^[a-z0-9_ &()-]+\| *[a-z0-9_ ,.+()-]+", None),
+    (0.35, "^domain *:", None),
+    (0.3, r"(?:^|[^a-z0-9_])(?:limited|ltd|inc|corp|pvt|llc|technologies|solutions) *[.]* *$", 5),
+    (0.25, "(?:^|[^a-z0-9_])project(?:[^a-z0-9_]|$)", 12),
+    (0.25, "^(?:analysis|classification|detection|recognition) *,", None),
+    (0.2, "(?:^|[^a-z0-9_])api[.]? *$", None),
+    (0.2, r"^\( *\) +", None),
+    (0.2, "^[0-9]+[.] +[a-z0-9_]", None),
+    (0.15, r"(?:\|| *, *)$", None),
+]
+#: A capital, then a name of up to 80 characters before a colon; case counts, so that it stands apart.
+COLON_TITLE = (0.3, "^[A-Z][A-Za-z0-9_ &()-]{2,80} *:", 14)
 
 
-#: Lines that are no title: details, links and bullets.
-NO_TITLE_RX = r"^[•◦●▪*–-] |:\s*$|https?:|@|^[a-z]|[.]$"
+def title_likeness(text: Column) -> Column:
+    """How much a line looks like a project's title, from 0 to 1: the sum of what it shows."""
+    clean = F.trim(F.regexp_replace(F.trim(text), r"^[•*●·▪■◦✓✔ -]+", ""))
+    low, words = F.lower(clean), F.size(F.split(clean, " +"))
 
+    def shown(value: Column, weight: float, rx: str, most: int | None) -> Column:
+        seen = value.rlike(rx) if most is None else value.rlike(rx) & (words <= most)
+        return F.when(seen, weight).otherwise(0.0)
 
-def title_likeness(text: Column) -> Column:
-    """How much a line looks like a project's title, from 0 to 1; 0 for what cannot be one."""
-    return F.when(text.rlike(NO_TITLE_RX), 0.0).otherwise(F.round(F.least(F.lit(1.0), sum((F.when(text.rlike(rx), w).otherwise(0.0) for w, rx in TITLE_RULES), F.lit(0.0))), 6))
+    score = sum((shown(low, *rule) for rule in TITLE_RULES), shown(clean, *COLON_TITLE))
+    return F.when(clean == "", 0.0).otherwise(F.round(F.least(F.lit(1.0), score), 6))

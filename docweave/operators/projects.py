@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.islands import carry_last, folded, next_known, ordered, ordered_text, running
+from docweave.functions.islands import before, carry_last, folded, next_known, ordered, ordered_text, running
 from docweave.operators.fields import entity
 from docweave.operators.rulepacks import DEGREE_RX, HONOURS_RX, LEAD_RX, MARKS_LINE_RX, PLACE_LINE_RX, institution_score
 from docweave.schema import LINE_KEY
@@ -54,23 +54,28 @@ def proj_style_heads(lines: DataFrame) -> DataFrame:
 
 
 def proj_boundary_fix(lines: DataFrame) -> DataFrame:
-    """A start within two lines of the last one goes; a link title three lines or more after it opens a block. The rule
-    looks at its own earlier decisions, but a candidate with no other one in the two lines before it opens a block
-    whatever came before, so that the fold runs over runs of close candidates only."""
+    """``is_head`` of lines with the columns of ``proj_line_rules``, ``in_project``, ``begins`` (scored as a start) and
+    ``resets`` (the style tier or the gap above begins something new).
+
+    Outside projects nothing begins. A line may open something if it has a bullet or a number, resets, or has no bullet
+    after one that had. A scored start goes if a block is open and it may open nothing, if it is metadata, a description
+    or goes on with a text, or has a bullet and is no title. A title that was not scored is a start if it may open
+    something, or is numbered as a project, dated or linked, and no block is open or it stands out by bullet or form. A
+    block stays open to the end of its run of project lines, so that it is open after the first line of the run that
+    would open one: a window, no fold."""
     w = ordered(("doc_id",), ("page", "line_index"))
-    placed = lines.select(*LINE_KEY, "is_head", F.col("is_link_title").alias("title")).withColumn("pos", F.row_number().over(w))
-    candidate = F.when(F.col("is_head") | F.col("title"), F.col("pos"))
-    alone = candidate.isNotNull() & F.coalesce(F.col("pos") - F.max(candidate).over(w.rowsBetween(Window.unboundedPreceding, -1)) > 2, F.lit(True))
-    runs = placed.withColumn("run", F.sum(alone.cast("int")).over(running(w)))
-
-    def step(s: Column, row: Column) -> Column:
-        since = row["pos"] - s["last"]
-        now = (row["is_head"] & (since > 2)) | (row["title"] & (since >= 3))
-        return F.struct(F.when(now, row["pos"]).otherwise(s["last"]).alias("last"), now.alias("opens"))
-
-    start = F.struct(F.lit(-(10**9)).alias("last"), F.lit(False).alias("opens"))
-    out = folded(runs, ("doc_id", "run"), ("page", "line_index"), start, "struct<last:int,opens:boolean>", step, "opens", "boolean")
-    return out.select(*LINE_KEY, F.col("opens").alias("is_head"))
+    c = {k: F.coalesce(F.col(k), F.lit(False)) for k in ("in_project", "begins", "resets", "has_bullet", "is_counted", "suppress", "is_continuation", "is_title", "is_numbered", "is_link_title")}
+    after_bullet = F.coalesce(F.lag(c["has_bullet"]).over(w), F.lit(False)) & ~c["has_bullet"]
+    told = lines.withColumn("_turn", after_bullet).withColumn("_may", c["has_bullet"] | c["is_counted"] | c["resets"] | after_bullet)
+    told = told.withColumn("_force", c["is_numbered"] | c["is_link_title"]).withColumn("_fits", ~c["suppress"] & ~c["is_continuation"] & ~(c["has_bullet"] & ~c["is_title"]))
+    added = ~c["begins"] & c["is_title"] & (F.col("_may") | F.col("_force"))
+    opens = c["in_project"] & ((c["begins"] & F.col("_fits")) | added)
+    left = F.coalesce(F.lag(c["in_project"]).over(w) != c["in_project"], F.lit(False))
+    runs = told.withColumn("_opens", opens.cast("int")).withColumn("_run", F.sum(left.cast("int")).over(running(w)))
+    is_open = F.coalesce(F.max("_opens").over(before(ordered(("doc_id", "_run"), ("page", "line_index")))) == 1, F.lit(False))
+    stays = c["begins"] & F.col("_fits") & (~is_open | F.col("_may"))
+    stands = added & (~is_open | c["has_bullet"] | F.col("_turn") | F.col("_force"))
+    return runs.withColumn("is_head", c["in_project"] & (stays | stands)).select(*LINE_KEY, "is_head")
 
 
 def cluster_rows(tokens: DataFrame) -> DataFrame:

@@ -47,7 +47,9 @@ def align_line_jaccard(spark, sf_dir):
 
 
 FUZZY = """ SELECT {src}.doc_id, {src}.page, {src}.line_index, {src}.token_index, arg_min(t.bio_label, (abs({src}.y0 - t.y0), abs({src}.x0 - t.x0), t.y0, t.x0, t.bio_label)) AS truth FROM {src} JOIN t ON t.doc_id = {src}.doc_id AND t.page = {src}.page AND t.token = {src}.token AND abs({src}.x0 - t.x0) <= 5 AND abs({src}.y0 - t.y0) <= 80 GROUP BY ALL"""
-MERGED = """ SELECT {src}.doc_id, {src}.page, {src}.line_index, {src}.token_index, arg_min(t.bio_label, (-length(t.token), t.x0, t.bio_label)) AS truth FROM {src} JOIN t ON t.doc_id = {src}.doc_id AND t.page = {src}.page AND abs({src}.y0 - t.y0) <= 3 AND abs({src}.x0 - t.x0) <= 1 AND starts_with({src}.token, t.token) GROUP BY ALL"""
+MERGED = """ SELECT {src}.doc_id, {src}.page, {src}.line_index, {src}.token_index, arg_min(t.bio_label, (t.line_index, t.token_index, t.bio_label)) AS truth FROM {src} JOIN t ON t.doc_id = {src}.doc_id AND t.page = {src}.page AND abs({src}.y0 - t.y0) <= 3
+  AND ((abs({src}.x0 - t.x0) <= 1 AND (starts_with({src}.token, t.token) OR starts_with(t.token, {src}.token)))
+    OR (contains(t.token, {src}.token) AND NOT regexp_matches(split_part(t.token, {src}.token, 1), '[A-Za-z0-9]$') AND NOT regexp_matches(substr(t.token, instr(t.token, {src}.token) + length({src}.token)), '^[A-Za-z0-9]'))) GROUP BY ALL"""
 
 
 @query(on_resumes(P + FUZZY.format(src="p")))

@@ -37,11 +37,20 @@ def m(rx):
     return f"regexp_matches(text, '{quoted(rx)}')"
 
 
-EXP_RULES = f"""SELECT doc_id, page, line_index, {m(en.BULLET_RX)} AS is_bullet, {m(en.VERBS_RX)} AS is_description, {m('(?:^|[^A-Za-z])[Ii]nternship(?:[^A-Za-z]|$)')} AS is_internship, {m('^(?:Pvt|Ltd|Inc|LLC)[.]?')} AS is_company_rest,
- {m(en.ROLE_RX)} AND {m(en.DATE_RX)} AS is_role_with_date, {m(rf'^[(]? ?(?:{en.OPEN_END}) ?[)]?$')} AS is_open_end FROM l"""
+def sql_list(words):
+    return "[" + ", ".join("'" + quoted(w) + "'" for w in words) + "]"
 
 
-@query(on_resumes(L + " " + EXP_RULES))
+DATED = quoted(en.DATED_RX)
+EXP = f""", el AS (SELECT *, lower(trim(text)) AS low, coalesce(list_filter(string_split_regex(trim(text), ' +'), lambda w: NOT list_contains({sql_list(en.SKIPPED)}, w))[1], '') AS fst FROM lk),
+ed AS (SELECT *, regexp_matches(low, '{DATED}') AS has_date, list_contains({sql_list(en.BULLETS)}, fst) OR starts_with(fst, '(') OR list_contains({sql_list(en.DESCRIPTION_VERBS)}, lower(fst)) AS is_bullet,
+  len(list_filter(string_split_regex(low, ' +'), lambda w: list_contains({sql_list(en.DESCRIPTION_VERBS)}, regexp_replace(w, '^[.,;:]+|[.,;:]+$', '', 'g')))) > 0 AS verb,
+  len(list_filter(list_transform(string_split_regex(regexp_extract(low, '^(.*?)(?:{DATED})', 1), ' +'), lambda w: regexp_replace(w, '^[.,;:|()—–-]+|[.,;:|()—–-]+$', '', 'g')), lambda w: w <> '' AND NOT regexp_matches(w, '{quoted(en.DATE_WORD_RX)}'))) >= 2 AS two FROM el),
+er AS (SELECT *, is_bullet OR (NOT has_date AND verb) AS is_description, contains(low, 'internship') AND has_date AND NOT is_bullet AS is_internship, contains(text, '|') AND has_date AS is_continuation,
+  contains(text, '|') AND has_date AND regexp_matches(low, 'domain|platform|project') AS is_sub_entry, has_date AND two AS has_role, contains(text, '|') AS has_bar FROM ed)"""
+
+
+@query(on_resumes(LK + EXP + f" SELECT doc_id, page, line_index, {', '.join(en.EXP_RULES)} FROM er"))
 def exp_line_rules(spark, sf_dir):
     return en.exp_line_rules(build_lines(resume_tokens(spark, sf_dir)))
 
@@ -64,15 +73,18 @@ def exp_style_heads(spark, sf_dir):
     return en.exp_style_heads(known_lines(spark, sf_dir).filter("section = 'EXPERIENCE'")).select(*K, "is_head")
 
 
-@query(on_resumes(LK + f""", kx AS (SELECT doc_id, page, line_index, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index) AS pos, is_head AND line_index % 2 = 0 AND NOT {m(en.BULLET_RX)} AND NOT {m(rf'^[(]? ?(?:{en.OPEN_END}) ?[)]?$')} AS sure,
- {m(en.ROLE_RX)} AND {m(en.DATE_RX)} AS role FROM lk WHERE section = 'EXPERIENCE'),
-fo AS (SELECT doc_id, page, line_index, pos, sure OR role AS is_head, CASE WHEN sure OR role THEN pos ELSE -1000000000 END AS last FROM kx WHERE pos = 1
-  UNION ALL SELECT k.doc_id, k.page, k.line_index, k.pos, k.sure OR (k.role AND k.pos - f.last > 5), CASE WHEN k.sure OR (k.role AND k.pos - f.last > 5) THEN k.pos ELSE f.last END FROM fo f JOIN kx k ON k.doc_id = f.doc_id AND k.pos = f.pos + 1)
+@query(on_resumes(LK + EXP + """, kx AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index) AS pos, (is_head AND line_index % 2 = 0) OR (kind = 'bullet' AND line_index % 5 = 0) AS b, is_head AND line_index % 3 = 0 AS h FROM er WHERE section = 'EXPERIENCE'),
+ky AS (SELECT *, CASE WHEN b THEN h OR NOT (is_description OR NOT has_date OR is_continuation) ELSE h AND (has_date OR is_internship OR is_sub_entry OR is_bullet) END AS sure, NOT b AND NOT is_description AND has_date AND NOT has_bar AND has_role AS may FROM kx),
+fo AS (SELECT doc_id, page, line_index, pos, sure OR may AS is_head, CASE WHEN sure OR may THEN page END AS hp, CASE WHEN sure OR may THEN line_index END AS hl FROM ky WHERE pos = 1
+  UNION ALL SELECT k.doc_id, k.page, k.line_index, k.pos, k.sure OR (k.may AND NOT coalesce(k.page = f.hp AND k.line_index - f.hl BETWEEN 1 AND 5, false)),
+  CASE WHEN k.sure OR (k.may AND NOT coalesce(k.page = f.hp AND k.line_index - f.hl BETWEEN 1 AND 5, false)) THEN k.page ELSE f.hp END, CASE WHEN k.sure OR (k.may AND NOT coalesce(k.page = f.hp AND k.line_index - f.hl BETWEEN 1 AND 5, false)) THEN k.line_index ELSE f.hl END
+  FROM fo f JOIN ky k ON k.doc_id = f.doc_id AND k.pos = f.pos + 1)
 SELECT doc_id, page, line_index, is_head FROM fo"""))
 def exp_boundary_fix(spark, sf_dir):
-    """Heads known of every second job only; the fold finds the others."""
-    k = known_lines(spark, sf_dir).filter("section = 'EXPERIENCE'").withColumn("is_head", F.col("is_head") & (F.col("line_index") % 2 == 0))
-    return en.exp_boundary_fix(en.exp_line_rules(k, "is_head"))
+    """Starts scored on every second job and on some bullets, a third of the jobs hinted; the fold mends them."""
+    k = known_lines(spark, sf_dir).filter("section = 'EXPERIENCE'").withColumn("inside", F.lit(True))
+    k = k.withColumn("begins", (F.col("is_head") & (F.col("line_index") % 2 == 0)) | ((F.col("kind") == "bullet") & (F.col("line_index") % 5 == 0))).withColumn("hinted", F.col("is_head") & (F.col("line_index") % 3 == 0))
+    return en.exp_boundary_fix(en.exp_line_rules(k, "begins", "inside", "hinted"))
 
 
 SPAN = LK + """, hd AS (SELECT doc_id, page, line_index FROM lk WHERE is_head AND section = 'EXPERIENCE'),
@@ -149,7 +161,12 @@ def scope_heads(spark, sf_dir):
     return en.scope_heads(k.filter("is_head").select(*K), k.filter("section = 'EXPERIENCE'").select(*K))
 
 
-@query(on_resumes(ENTRIES + rf""", dt AS (SELECT * FROM ge WHERE regexp_matches(token, '^[(]?(?:19|20)[0-9]{{2}}[)]?$|^(?:{en.OPEN_END})$'))
-SELECT doc_id, page, line_index, token_index, entry_id, CASE WHEN regexp_matches(token, '^(?:{en.OPEN_END})$') OR row_number() OVER (PARTITION BY doc_id, entry_id ORDER BY page, line_index, token_index, x0) % 2 = 0 THEN 'EDATE' ELSE 'SDATE' END AS date_role FROM dt"""))
+@query(on_resumes(rf""", x AS (SELECT *, bio_label = 'B-ROLE' AS ti, regexp_matches(token, '^[(]?(?:19|20)[0-9]{{2}}[)]?$|^(?:{en.OPEN_END})$') AS dt, regexp_matches(lower(token), '{en.OPEN_RANGE_RX}') AS op FROM t WHERE section = 'EXPERIENCE'),
+r AS (SELECT *, sum(CASE WHEN ti THEN 1 ELSE 0 END) OVER v AS run FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY page, line_index, token_index, x0)),
+n AS (SELECT *, sum(CASE WHEN dt AND NOT op THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run ORDER BY page, line_index, token_index, x0) AS nth FROM r)
+SELECT doc_id, page, line_index, token_index, CASE WHEN op OR nth % 2 = 0 THEN 'EDATE' ELSE 'SDATE' END AS date_role FROM n WHERE dt"""))
 def date_roles(spark, sf_dir):
-    return en.date_roles(entries(spark, sf_dir)).select(*TK, "entry_id", "date_role")
+    """Years and open ends of the jobs as dates, roles as titles."""
+    t = resume_tokens(spark, sf_dir).filter("section = 'EXPERIENCE'")
+    dated = F.col("token").rlike(rf"^[(]?(?:19|20)[0-9]{{2}}[)]?$|^(?:{en.OPEN_END})$")
+    return en.date_roles(t, F.col("bio_label") == "B-ROLE", dated, F.col("token")).select(*TK, "date_role")

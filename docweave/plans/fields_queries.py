@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from docweave.operators import fields as fd
 from docweave.operators.layout import line_vector
+from docweave.operators.scoring import linear_text, score_with
 from docweave.plans.entries_queries import ENTRIES, LK, entries, known_lines
 from docweave.plans.layout_queries import LINE_VECTORS
 from docweave.plans.lines_queries import SHIFTED, lines, shifted
@@ -66,7 +69,11 @@ def split_blocks(spark, sf_dir):
     return fd.block_rows(blocks(spark, sf_dir)).drop("at")
 
 
-@query(on_resumes(BLOCKS + r""", d AS (SELECT *, regexp_matches(text, '^[(]?[ ]?(?:(?:Jan|July|Present|Current|[0-9]{4}|-|–)[ ]?)+[)]?$') AS is_date FROM br),
+DATED = fd.DATED_RX.replace("'", "''")
+PIECE = f"NOT regexp_matches(lt, '^[•◦▪∗*■●]') AND lt <> '' AND (NOT regexp_matches(lt, '[\\p{{L}}\\p{{N}}]') OR (regexp_matches(lt, '{DATED}') AND len(list_intersect(string_split_regex(lt, ' +'), {fd.NOT_A_DATE})) = 0))"
+
+
+@query(on_resumes(BLOCKS + f""", d AS (SELECT *, {PIECE} AS is_date FROM (SELECT *, lower(trim(text)) AS lt FROM br)),
 r AS (SELECT *, sum(CASE WHEN coalesce(NOT (is_date AND pd), true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block) AS merged FROM (SELECT *, lag(is_date) OVER (PARTITION BY doc_id ORDER BY block) AS pd FROM d))
 SELECT doc_id, merged, string_agg(text, ' ' ORDER BY block) AS text, min(is_date) AS is_date FROM r GROUP BY ALL"""))
 def merge_date_blocks(spark, sf_dir):
@@ -85,6 +92,18 @@ def score_segments(spark, sf_dir):
     return fd.score_segments(line_vector(lines(spark, sf_dir)), F.col("v"), WEIGHTS, LABELS).select("doc_id", "page", "line_index", "label", "confidence")
 
 
+TEXT_DOTS = DOTS.replace("::DOUBLE[])", "::DOUBLE[]) + 0.1 * (length(text) - length(replace(text, ':', '')))", 1)
+
+
+@query(on_resumes(LINE_VECTORS + f""", sc AS (SELECT *, [{TEXT_DOTS}] AS s FROM lv JOIN l USING (doc_id, page, line_index)), ex AS (SELECT *, list_transform(s, lambda x: exp(x - list_max(s))) AS e FROM sc), pb AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS p FROM ex)
+SELECT doc_id, page, line_index, {LABELS}[list_position(p, list_max(p))] AS label, round(list_max(p), 4) AS confidence FROM pb"""))
+def score_protocol(spark, sf_dir):
+    """A user's scorer over the text and the vector of every line."""
+    rows = lines(spark, sf_dir)
+    both = line_vector(rows).join(rows.select("doc_id", "page", "line_index", "text"), ["doc_id", "page", "line_index"])
+    return score_with(both, "linear_text", partial(linear_text, WEIGHTS, 0.1), LABELS, ["doc_id", "page", "line_index"])
+
+
 @query("""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
 e AS (SELECT vec_id, list_transform(s, lambda x: exp(x - list_max(s))) AS e FROM v), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)
@@ -101,7 +120,8 @@ wt AS (SELECT tp.*, start, least(start + 250, tp.n) AS fin FROM tp JOIN wi ON wi
 ws AS (SELECT *, CASE WHEN (pos + start) % 3 = 0 THEN 'O' ELSE bio_label END AS lab, abs(pos - (start + fin) / 2) AS away FROM wt)"""
 
 
-@query(on_resumes(WINDOWED + " SELECT doc_id, page, line_index, token_index, arg_min(lab, (CAST(lab = 'O' AS INT), CASE WHEN lab = 'O' THEN away ELSE -start END, start)) AS label FROM ws GROUP BY ALL"))
+@query(on_resumes(WINDOWED + """, wl AS (SELECT doc_id, page, line_index, token_index, list(lab ORDER BY start) AS l, list(away ORDER BY start) AS a FROM ws GROUP BY ALL)
+SELECT doc_id, page, line_index, token_index, CASE WHEN len(l) = 1 OR (l[2] = 'O' AND a[2] >= a[1] - CASE WHEN l[1] = 'O' THEN 0 ELSE 100 END) THEN l[1] ELSE l[2] END AS label FROM wl"""))
 def overlap_windows(spark, sf_dir):
     """Labels scored window by window, here with every third one of a window lost, and merged token by token."""
     windowed = fd.overlap_windows(resume_tokens(spark, sf_dir))
@@ -126,8 +146,7 @@ def top_n_segments(spark, sf_dir):
 @query(on_resumes(BLOCKS + f""", k AS (SELECT doc_id, block, label, coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY block) = label AND NOT starts_with(text, '•'), false) AS same FROM br)
 SELECT doc_id, page, line_index, token_index, CASE WHEN label = 'O' THEN 'O' WHEN row_number() OVER (PARTITION BY doc_id, block ORDER BY page, line_index, token_index, x0) = 1 AND NOT same THEN 'B-' || label ELSE 'I-' || label END AS stamped FROM bl JOIN k USING (doc_id, block)"""))
 def stamp_bio(spark, sf_dir):
-    b = blocks(spark, sf_dir)
-    return fd.stamp_bio(b, fd.block_rows(b).drop("at")).select(*TK, "stamped")
+    return fd.stamp_bio(blocks(spark, sf_dir)).select(*TK, "stamped")
 
 
 NOISY = """, z AS (SELECT * REPLACE (CASE WHEN token_index % 4 = 1 AND bio_label LIKE 'I-%' THEN 'B-' || regexp_replace(bio_label, '^[BI]-', '') WHEN token_index % 5 = 2 AND bio_label <> 'O' THEN 'I-' || regexp_replace(bio_label, '^[BI]-', '') ELSE bio_label END AS bio_label) FROM t)"""
@@ -182,22 +201,58 @@ def skills_region(spark, sf_dir):
 E_ = ENT.format("bio_label")
 
 
-@query(on_resumes(f""", n AS (SELECT *, coalesce(lead(bio_label) OVER ({DOC}) = 'I-' || {E_}, false) AS g FROM t)
-SELECT doc_id, page, line_index, token_index, CASE WHEN bio_label = 'O' THEN 'O' WHEN bio_label LIKE 'B-%' THEN CASE WHEN g THEN 'B-' ELSE 'U-' END || {E_} WHEN g THEN 'I-' || {E_} ELSE 'L-' || {E_} END AS bilou FROM n"""))
-def map_labels(spark, sf_dir):
-    return fd.to_bilou(resume_tokens(spark, sf_dir)).select(*TK, "bilou")
+#: Tokens with the labels of the sources: projects and dates have other names there.
+SOURCE_LABELS = f""", sl AS (SELECT * REPLACE (replace(CASE WHEN bio_label LIKE '%-DATE' THEN left(bio_label, 2) || CASE WHEN token_index % 2 = 0 THEN 'SDATE' ELSE 'EDATE' END ELSE bio_label END, 'PROJECT_NAME', 'PROJ_NAME') AS bio_label) FROM t),
+n AS (SELECT *, {E_} AS e, coalesce(lead(bio_label) OVER ({DOC}) = 'I-' || {E_}, false) AS g FROM sl),
+nb AS (SELECT *, CASE WHEN bio_label LIKE 'B-%' THEN CASE WHEN g THEN 'B-' ELSE 'U-' END || e WHEN bio_label LIKE 'I-%' THEN CASE WHEN g THEN 'I-' ELSE 'L-' END || e ELSE bio_label END AS bilou FROM n)"""
 
 
-@query(on_resumes(BLOCKS + """ SELECT doc_id, block, CASE WHEN NOT regexp_matches(text, '[A-Za-z0-9]') AND coalesce(lag(label) OVER v = lead(label) OVER v, false) THEN lag(label) OVER v ELSE label END AS label FROM br WINDOW v AS (PARTITION BY doc_id ORDER BY block)"""))
+def source_labels(spark, sf_dir):
+    dated = F.concat(F.substring("bio_label", 1, 2), F.when(F.col("token_index") % 2 == 0, "SDATE").otherwise("EDATE"))
+    label = F.when(F.col("bio_label").endswith("-DATE"), dated).otherwise(F.col("bio_label"))
+    return resume_tokens(spark, sf_dir).withColumn("bio_label", F.replace(label, F.lit("PROJECT_NAME"), F.lit("PROJ_NAME")))
+
+
+def mapped(task: str, value: str = "e") -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fd.LABEL_MAPS[task].items()) + " END"
+
+
+KEPT = "CASE WHEN {0} = 'O' THEN 'O' WHEN {0} IS NOT NULL THEN left(bio_label, 2) || {0} ELSE bio_label END"
+
+
+@query(on_resumes(SOURCE_LABELS + f""" SELECT doc_id, page, line_index, token_index, bilou, CASE WHEN {mapped('skills')} IS NULL THEN 'O' ELSE CASE WHEN left(bilou, 1) IN ('B', 'U') THEN 'B-' ELSE 'I-' END || {mapped('skills')} END AS skills,
+ {KEPT.format(mapped('project'))} AS project, {KEPT.format(mapped('education'))} AS education, CASE WHEN bio_label <> 'O' THEN {mapped('experience')} END AS experience FROM nb"""))
+def map_labels(spark, sf_dir):
+    """BIO as BILOU, and every task's form of the label by a join with the vocabulary."""
+    out = fd.to_bilou(source_labels(spark, sf_dir))
+    out = fd.map_label(out, "skills", "bilou", "skills")
+    for task in ("project", "education", "experience"):
+        out = fd.map_label(out, task, out=task)
+    return out.select(*TK, "bilou", "skills", "project", "education", "experience")
+
+
+@query(on_resumes(BLOCKS + """, mk AS (SELECT doc_id, block, label, NOT regexp_matches(text, '[A-Za-z0-9]') AS mark, lead(label) OVER v AS nx, sum(CASE WHEN regexp_matches(text, '[A-Za-z0-9]') THEN 1 ELSE 0 END) OVER v AS run FROM br WINDOW v AS (PARTITION BY doc_id ORDER BY block)),
+mp AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY block) AS pos FROM mk),
+fo AS (SELECT doc_id, block, run, pos, label FROM mp WHERE pos = 1
+  UNION ALL SELECT k.doc_id, k.block, k.run, k.pos, CASE WHEN k.mark AND coalesce(f.label = k.nx, false) THEN f.label ELSE k.label END FROM fo f JOIN mp k ON k.doc_id = f.doc_id AND k.run = f.run AND k.pos = f.pos + 1)
+SELECT doc_id, block, label FROM fo"""))
 def bridge_punct(spark, sf_dir):
     return fd.bridge_punct(fd.block_rows(blocks(spark, sf_dir)).drop("at")).select("doc_id", "block", "label")
 
 
-@query(on_resumes(f""", p AS (SELECT *, row_number() OVER ({DOC}) AS pos, {E_} AS own FROM t), f AS (SELECT doc_id, page, line_index, arg_min(own, pos) FILTER (bio_label LIKE 'B-%') AS f FROM p GROUP BY ALL),
-c AS (SELECT doc_id, page, line_index, own, count(*) AS n, min(pos) AS q FROM p GROUP BY ALL), u AS (SELECT doc_id, page, line_index, arg_max(own, (n, -q)) AS u FROM c GROUP BY ALL)
-SELECT doc_id, page, line_index, coalesce(f, u) AS label FROM f JOIN u USING (doc_id, page, line_index)"""))
+PRIORITY = "CASE c " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(dict.fromkeys(fd.LABEL_MAPS["experience"].values()))) + " END"
+
+
+@query(on_resumes(SOURCE_LABELS + f""", p AS (SELECT *, row_number() OVER ({DOC}) AS pos, CASE WHEN bio_label <> 'O' THEN {mapped('experience')} END AS c, CASE WHEN e IN ('PROJ_NAME', 'PROJ') THEN 'PROJECT_NAME' ELSE 'DESC' END AS v FROM nb),
+f AS (SELECT doc_id, page, line_index, arg_min(c, pos) FILTER (bio_label LIKE 'B-%' AND c IS NOT NULL) AS f, max(e IN ('SDATE', 'EDATE')) AS dated, lower(string_agg(token, ' ' ORDER BY pos)) AS text FROM p GROUP BY ALL),
+u AS (SELECT doc_id, page, line_index, arg_max(c, (n, -{PRIORITY})) AS u FROM (SELECT doc_id, page, line_index, c, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT doc_id, page, line_index, arg_max(v, (n, -q)) AS s FROM (SELECT doc_id, page, line_index, v, count(*) AS n, min(pos) AS q FROM p GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, page, line_index, coalesce(f, u) AS label, CASE WHEN dated OR regexp_matches(text, '{DATED}') THEN 'DATE' ELSE s END AS segment FROM f JOIN s USING (doc_id, page, line_index) LEFT JOIN u USING (doc_id, page, line_index)"""))
 def label_vote(spark, sf_dir):
-    return fd.label_vote(resume_tokens(spark, sf_dir), ("doc_id", "page", "line_index"))
+    """The class of each line as a block of work experience, and as a segment of a project."""
+    t, keys = source_labels(spark, sf_dir), ("doc_id", "page", "line_index")
+    segment = fd.segment_vote(t, keys, {"PROJ_NAME": "PROJECT_NAME", "PROJ": "PROJECT_NAME"}, "DESC").withColumnRenamed("label", "segment")
+    return fd.class_vote(t, keys).join(segment, list(keys))
 
 
 @query(on_resumes(f""" SELECT doc_id, page, line_index, token_index, CASE WHEN coalesce((line_index <> lag(line_index) OVER v OR page <> lag(page) OVER v) AND {ENT.format('lag(bio_label) OVER v')} = {E_} AND bio_label LIKE 'B-%' AND NOT regexp_matches(token, '^[•*-]') AND NOT ends_with(lag(token) OVER v, ':'), false) THEN 'I-' || {E_} ELSE bio_label END AS bio_label FROM t WINDOW v AS ({DOC})"""))

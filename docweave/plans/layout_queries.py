@@ -18,18 +18,41 @@ def order_simple(spark, sf_dir):
     return lo.order_simple(resume_tokens(spark, sf_dir)).select(*TK, "read_pos")
 
 
-@query(on_resumes(""", g AS (SELECT *, round(avg(y0) OVER (PARTITION BY doc_id, page, section), 6) AS sy FROM t)
-SELECT doc_id, page, line_index, token_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, sy, section, y0, x0, token_index) AS INT) AS read_pos FROM g"""))
+#: Tokens tc whose education and skills are sections of no known kind, the education in two columns.
+COLUMNS = """, tc AS (SELECT * REPLACE (x0 + CASE WHEN section = 'EDUCATION' AND token_index > 0 THEN 60 ELSE 0 END AS x0, x1 + CASE WHEN section = 'EDUCATION' AND token_index > 0 THEN 60 ELSE 0 END AS x1,
+  CASE section WHEN 'EDUCATION' THEN 'STUDIES' WHEN 'SKILLS' THEN CASE WHEN doc_id % 2 = 0 THEN 'TOOLS' ELSE 'SKILLS' END ELSE section END AS section) FROM t)"""
+GUTTERS = COLUMNS + """, ex AS (SELECT doc_id, page, section, min(x0) AS low, max(x1) - min(x0) AS width, count(*) AS n FROM tc GROUP BY ALL),
+sc AS (SELECT *, CAST(trunc(low + 0.05 * width) AS INT) AS s, CAST(trunc(low + 0.55 * width) AS INT) AS e FROM ex),
+ca AS (SELECT DISTINCT tc.doc_id, tc.page, tc.section, unnest([s, CAST(ceil(x1) AS INT)]) AS x FROM tc JOIN sc USING (doc_id, page, section) WHERE e > s),
+cn AS (SELECT ca.doc_id, ca.page, ca.section, ca.x, count(tc.x0) AS n FROM ca JOIN sc ON sc.doc_id = ca.doc_id AND sc.page = ca.page AND sc.section = ca.section AND ca.x BETWEEN s AND e
+  LEFT JOIN tc ON tc.doc_id = ca.doc_id AND tc.page = ca.page AND tc.section = ca.section AND tc.x0 < ca.x AND ca.x < tc.x1 AND regexp_matches(tc.token, '[A-Za-z0-9]') GROUP BY ALL),
+be AS (SELECT doc_id, page, section, arg_min(x, (n, x)) AS gutter_x, min(n) AS "overlaps" FROM cn GROUP BY ALL),
+fr AS (SELECT doc_id, page, section, line_index, min(CASE WHEN x0 >= gutter_x THEN x0 END) - max(CASE WHEN x1 <= gutter_x THEN x1 END) AS gap FROM tc JOIN be USING (doc_id, page, section) GROUP BY ALL HAVING NOT max(x0 < gutter_x AND gutter_x < x1)),
+fl AS (SELECT doc_id, page, section, count(*) AS free FROM fr WHERE gap BETWEEN 10 AND 150 GROUP BY ALL),
+gu AS (SELECT doc_id, page, section, gutter_x, CAST("overlaps" AS BIGINT) AS "overlaps", ("overlaps" <= 3 OR "overlaps" < 0.08 * n) AND coalesce(free, 0) >= 2 AS has_gutter FROM be JOIN ex USING (doc_id, page, section) LEFT JOIN fl USING (doc_id, page, section))"""
+
+
+def two_columns(spark, sf_dir):
+    apart = F.when((F.col("section") == "EDUCATION") & (F.col("token_index") > 0), 60).otherwise(0)
+    section = F.when(F.col("section") == "EDUCATION", "STUDIES").when((F.col("section") == "SKILLS") & (F.col("doc_id") % 2 == 0), "TOOLS").otherwise(F.col("section"))
+    return resume_tokens(spark, sf_dir).withColumn("x0", F.col("x0") + apart).withColumn("x1", F.col("x1") + apart).withColumn("section", section)
+
+
+@query(on_resumes(GUTTERS + """, nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index, token_index, x0) AS ath, round(avg(y0) OVER (PARTITION BY doc_id, page, section), 6) AS sy FROM tc),
+se AS (SELECT *, min(ath) OVER (PARTITION BY doc_id, page, section) AS seen FROM nu),
+kr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, section ORDER BY y0, line_index, token_index) AS pos FROM se WHERE section IN ('PERSONAL', 'SKILLS')),
+fo AS (SELECT doc_id, page, section, ath, pos, y0 AS high, y1 - y0 AS tall, 1 AS n, 0 AS row FROM kr WHERE pos = 1
+  UNION ALL SELECT k.doc_id, k.page, k.section, k.ath, k.pos, CASE WHEN abs(k.y0 - high / n) < greatest(4.0, 0.4 * tall / n) THEN high + k.y0 ELSE k.y0 END, CASE WHEN abs(k.y0 - high / n) < greatest(4.0, 0.4 * tall / n) THEN tall + k.y1 - k.y0 ELSE k.y1 - k.y0 END,
+  CASE WHEN abs(k.y0 - high / n) < greatest(4.0, 0.4 * tall / n) THEN n + 1 ELSE 1 END, CASE WHEN abs(k.y0 - high / n) < greatest(4.0, 0.4 * tall / n) THEN row ELSE row + 1 END FROM fo f JOIN kr k ON k.doc_id = f.doc_id AND k.page = f.page AND k.section = f.section AND k.pos = f.pos + 1),
+ke AS (SELECT se.*, fo.row, CASE WHEN has_gutter AND se.section NOT IN ('PERSONAL', 'SKILLS', 'EXPERIENCE', 'EDUCATION', 'PROJECT') THEN gutter_x END AS g FROM se LEFT JOIN fo ON fo.doc_id = se.doc_id AND fo.ath = se.ath LEFT JOIN gu ON gu.doc_id = se.doc_id AND gu.page = se.page AND gu.section = se.section)
+SELECT doc_id, page, line_index, token_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, sy, seen, CASE WHEN (x0 + x1) / 2 >= g THEN 1 ELSE 0 END, CASE WHEN row IS NOT NULL THEN row WHEN g IS NOT NULL THEN y0 ELSE line_index END, x0, ath) AS INT) AS read_pos FROM ke"""))
 def order_reading(spark, sf_dir):
-    return lo.order_reading(resume_tokens(spark, sf_dir)).select(*TK, "read_pos")
+    return lo.order_reading(two_columns(spark, sf_dir)).select(*TK, "read_pos")
 
 
-@query(on_resumes(""", pg AS (SELECT doc_id, page, max(x1) AS width FROM t GROUP BY ALL),
-c AS (SELECT doc_id, page, unnest(range(CAST(ceil(width * 0.05 / 10) AS INT), CAST(floor(width * 0.55 / 10) AS INT) + 1)) AS c FROM pg),
-n AS (SELECT c.doc_id, c.page, c.c, count(t.x0) AS n FROM c LEFT JOIN t ON t.doc_id = c.doc_id AND t.page = c.page AND c.c * 10 BETWEEN t.x0 AND t.x1 GROUP BY ALL)
-SELECT doc_id, page, CAST(arg_min(c, (n, c)) * 10 AS INT) AS gutter_x, min(n) AS overlaps FROM n GROUP BY ALL"""))
+@query(on_resumes(GUTTERS + " SELECT * FROM gu"))
 def detect_gutter(spark, sf_dir):
-    return lo.detect_gutter(resume_tokens(spark, sf_dir))
+    return lo.detect_gutter(two_columns(spark, sf_dir))
 
 
 @query(on_resumes(""", s AS (SELECT *, coalesce(line_index <> lag(line_index) OVER v OR section <> lag(section) OVER v OR x0 - lag(x1) OVER v > 30, false) AS st FROM t WINDOW v AS (PARTITION BY doc_id, page ORDER BY line_index, token_index))
@@ -107,6 +130,14 @@ def font_stats(spark, sf_dir):
     return lo.font_stats(resume_tokens(spark, sf_dir))
 
 
-@query(on_resumes(L + f" SELECT doc_id, page, line_index, CASE WHEN regexp_matches(text, '{lo.NO_TITLE_RX}') THEN 0.0 ELSE round(least(1.0, " + " + ".join(f"CASE WHEN regexp_matches(text, '{rx}') THEN {w} ELSE 0.0 END" for w, rx in lo.TITLE_RULES) + "), 6)::DOUBLE END AS likeness FROM l"))
+def shown(value: str, weight: float, rx: str, most: int | None) -> str:
+    few = "" if most is None else f" AND len(string_split_regex(c, ' +')) <= {most}"
+    return f"CASE WHEN regexp_matches({value}, '{rx}'){few} THEN {weight} ELSE 0.0 END"
+
+
+LIKENESS = " + ".join([*(shown("lower(c)", *rule) for rule in lo.TITLE_RULES), shown("c", *lo.COLON_TITLE)])
+
+
+@query(on_resumes(L + f", cl AS (SELECT *, trim(regexp_replace(trim(text), '^[•*●·▪■◦✓✔ -]+', '')) AS c FROM l) SELECT doc_id, page, line_index, CASE WHEN c = '' THEN 0.0 ELSE round(CAST(least(1.0, {LIKENESS}) AS DOUBLE), 6) END::DOUBLE AS likeness FROM cl"))
 def title_likeness(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "page", "line_index", lo.title_likeness(F.col("text")).alias("likeness"))

@@ -69,13 +69,17 @@ def proj_style_heads(spark, sf_dir):
     return pj.proj_style_heads(k).select(*K, "is_head")
 
 
-@query(on_resumes(LK + PROJ + """, kp AS (SELECT doc_id, page, line_index, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index) AS pos, is_head AS h, is_link_title AS x FROM lk JOIN pr3 USING (doc_id, page, line_index) WHERE section = 'PROJECT'),
-fo AS (SELECT doc_id, page, line_index, pos, h OR x AS is_head, CASE WHEN h OR x THEN pos ELSE -1000000000 END AS last FROM kp WHERE pos = 1
-  UNION ALL SELECT k.doc_id, k.page, k.line_index, k.pos, (k.h AND k.pos - f.last > 2) OR (k.x AND k.pos - f.last >= 3), CASE WHEN (k.h AND k.pos - f.last > 2) OR (k.x AND k.pos - f.last >= 3) THEN k.pos ELSE f.last END FROM fo f JOIN kp k ON k.doc_id = f.doc_id AND k.pos = f.pos + 1)
-SELECT doc_id, page, line_index, is_head FROM fo"""))
+@query(on_resumes(LK + PROJ + """, kp AS (SELECT lk.doc_id, lk.page, lk.line_index, row_number() OVER v AS pos, section = 'PROJECT' AS pj, is_head OR kind = 'bullet' AS b, is_bold AS rs, pr3.bul AS hb, pr3.counted AS ct, is_title, suppress, is_continuation, is_numbered OR is_link_title AS fo,
+  coalesce(lag(pr3.bul) OVER v, false) AND NOT pr3.bul AS tr FROM lk JOIN pr3 USING (doc_id, page, line_index) WINDOW v AS (PARTITION BY lk.doc_id ORDER BY lk.page, lk.line_index)),
+ka AS (SELECT *, hb OR ct OR rs OR tr AS may, NOT suppress AND NOT is_continuation AND NOT (hb AND NOT is_title) AS fits FROM kp),
+st AS (SELECT doc_id, page, line_index, pos, pj AND ((b AND fits) OR (NOT b AND is_title AND (may OR fo))) AS is_head, pj AND ((b AND fits) OR (NOT b AND is_title AND (may OR fo))) AS inside FROM ka WHERE pos = 1
+  UNION ALL SELECT k.doc_id, k.page, k.line_index, k.pos, k.pj AND CASE WHEN k.b THEN NOT (s.inside AND NOT k.may) AND k.fits ELSE k.is_title AND (k.may OR k.fo) AND (NOT s.inside OR k.hb OR k.tr OR k.fo) END,
+  k.pj AND (s.inside OR CASE WHEN k.b THEN k.fits ELSE k.is_title AND (k.may OR k.fo) END) FROM st s JOIN ka k ON k.doc_id = s.doc_id AND k.pos = s.pos + 1)
+SELECT doc_id, page, line_index, is_head FROM st"""))
 def proj_boundary_fix(spark, sf_dir):
-    k = known_lines(spark, sf_dir).filter("section = 'PROJECT'")
-    return pj.proj_boundary_fix(lr.proj_line_rules(k, "is_head"))
+    """Starts scored on every title and on bullets, over all lines of the documents."""
+    k = known_lines(spark, sf_dir).withColumn("in_project", F.col("section") == "PROJECT").withColumn("begins", F.col("is_head") | (F.col("kind") == "bullet")).withColumn("resets", F.col("is_bold"))
+    return pj.proj_boundary_fix(lr.proj_line_rules(k, "in_project", "begins", "resets"))
 
 
 @query(on_resumes(LK + PROJ + " SELECT lk.doc_id, lk.page, lk.line_index FROM lk JOIN pr3 USING (doc_id, page, line_index) WHERE is_head AND NOT is_metadata AND NOT regexp_matches(pr3.tx, '^[•*▪◦■–—·✓✔●❖‣⁃╋▸-]')"))

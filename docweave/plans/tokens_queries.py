@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docweave.operators import table_functions as tf
 from docweave.operators import tokenise as tk
 from docweave.plans.registry import query
 from docweave.plans.twins import on_documents, on_resumes
-from docweave.sources.tables import read, resume_tokens, text_tokens
+from docweave.sources.tables import read, resume_tokens, text_lines, text_tokens
 
 KEY = ("doc_id", "page", "line_index", "token_index")
 
@@ -34,6 +35,31 @@ def shown(rows, *more):
 PIPES = "list_filter(list_transform(string_split(token, '|'), lambda x: trim(x)), lambda x: x <> '')"
 
 
+LONG = f"CASE WHEN length(w) >= 25 AND contains(w, '|') AND len({PIPES.replace('token', 'w')}) > 0 THEN {PIPES.replace('token', 'w')} WHEN length(w) >= 20 AND regexp_matches(w, '[a-z][A-Z]') THEN regexp_extract_all(w, '([A-Z]?[^A-Z]+|[A-Z])') ELSE [w] END"
+STEPS = [
+    LONG,
+    f"CASE WHEN contains(w, '|') AND len({PIPES.replace('token', 'w')}) > 0 THEN {PIPES.replace('token', 'w')} ELSE [w] END",
+    "CASE WHEN contains(w, ',') AND w <> ',' THEN regexp_extract_all(w, '([^,]+|,)') ELSE [w] END",
+    "CASE WHEN contains(w, ':') AND w <> ':' AND NOT contains(w, '://') THEN regexp_extract_all(w, '([^:]+|:)') ELSE [w] END",
+    r"CASE WHEN regexp_matches(w, '[()\[\]{}]') AND NOT regexp_matches(w, 'https?://|www\.|@') AND NOT regexp_matches(w, '^[()\[\]{}]+$') THEN regexp_extract_all(w, '([^()\[\]{}]+|[()\[\]{}])') ELSE [w] END",
+    f"CASE WHEN regexp_matches(w, '{tk.DATE_RANGE}') THEN [regexp_extract(w, '{tk.DATE_RANGE}', 1), regexp_extract(w, '{tk.DATE_RANGE}', 2), regexp_extract(w, '{tk.DATE_RANGE}', 3)] ELSE [w] END",
+]
+SPLIT = "[token]"
+for _step in STEPS:
+    SPLIT = f"flatten(list_transform({SPLIT}, lambda w: {_step}))"
+
+
+@query(f"""WITH a AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+b AS (SELECT doc_id, line_no, unnest(range(len(string_split(line, ' ')))) AS token_index, unnest(string_split(line, ' ')) AS token FROM a),
+c AS (SELECT doc_id, line_no, token_index, {SPLIT} AS parts FROM b)
+SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(token_index AS INT) AS token_index, CAST(unnest(range(len(parts))) AS INT) AS part, unnest(parts) AS token FROM c""")
+def retokenise(spark, sf_dir):
+    """The registered table function over every line of the documents."""
+    tf.register(spark)
+    lines = text_lines(read(spark, sf_dir, "documents"))
+    return spark.sql("SELECT doc_id, line_no, r.* FROM {lines}, LATERAL retokenise(line) AS r", lines=lines)
+
+
 @query(twin(f"CASE WHEN length(token) >= 25 AND contains(token, '|') AND len({PIPES}) > 0 THEN {PIPES} WHEN length(token) >= 20 AND regexp_matches(token, '[a-z][A-Z]') THEN regexp_extract_all(token, '([A-Z]?[^A-Z]+|[A-Z])') ELSE [token] END", base="d"))
 def expand_long(spark, sf_dir):
     return shown(tk.split_into(text_tokens(read(spark, sf_dir, "documents")), tk.long_token_parts(F.col("token"))))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -121,7 +123,11 @@ def shared_folder(spark: SparkSession) -> str:
     if where is None:
         if not re.match(r"local(\[.*])?$", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="docweave-"))
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="docweave-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        where = _LOCAL[app]
     return where
 
 
@@ -131,17 +137,29 @@ _STAGED: dict[tuple[str, str, str], str] = {}
 
 def staged(spark: SparkSession, sf_dir: str, name: str, rows: Callable[[], DataFrame], key: str = "doc_id") -> DataFrame:
     """A table that several operators of a plan start from, written once in a session to the shared folder, in buckets
-    of ``key`` that are in order: windows and groups of a document need no shuffle of it."""
+    of ``key`` that are in order: windows and groups of a document need no shuffle of it. Its rows are counted, and plans
+    take sizes from that count: such tables repeat themselves, their files are far smaller than their rows, and a plan
+    that trusted the files would broadcast them."""
+    spark.conf.set("spark.sql.cbo.planStats.enabled", "true")
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _STAGED:
         table = f"docweave_{name}_{uuid.uuid4().hex}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         ready = rows().repartition(buckets, key)
         ready.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_folder(spark)}/{table}").format("parquet").saveAsTable(table)
+        spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
         _STAGED[at] = table
     return spark.table(_STAGED[at])
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, written once to the shared folder and read again: for rows that several branches of a plan start from, which
+    would each compute them. The file's size says little of its rows: joins with it name their strategy."""
+    at = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def resume_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "part", "nation")}
     return staged(spark, sf_dir, "resume_lines", lambda: spark.sql(RESUME_LINES, **tables))
