@@ -14,8 +14,7 @@ that finds fewer than ``k`` candidates is compared with every vector.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without
 id; shorter vectors count as filled up with zeros, which leaves their inner products as they are; rows that share an
-id but not the vector are rows of their own, as queries and as candidates, and rows equal in both count once; an
-empty table gives an empty result; other columns are ignored.
+id, or repeat as a whole, are rows of their own, as queries and as candidates; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,16 +76,18 @@ class Index:
             code ^= code >> np.uint64(29)
         return code.view(np.int64)
 
-    def visits(self, positions: np.ndarray, probes: int) -> np.ndarray:
-        """Numbers of the buckets that each query visits, most promising first: query x probe x function."""
-        home = np.floor(positions)
-        below = positions - home
+    def order(self, positions: np.ndarray) -> np.ndarray:
+        """Places in ``steps`` of each query's buckets, most promising first."""
+        below = positions - np.floor(positions)
         cost = np.stack([np.zeros_like(below), below**2, (1 - below) ** 2], axis=-1)  # by step 0, -1, 1
         total = np.zeros((len(positions), len(self.steps)))
         for k in range(FUNCTIONS):
             total += cost[:, k, :][:, np.where(self.steps[:, k] < 0, 1, 2 * self.steps[:, k])]
-        order = np.argsort(total, axis=1, kind="stable")[:, :probes]
-        return home[:, None, :].astype(np.int64) + self.steps[order]
+        return np.argsort(total, axis=1, kind="stable")
+
+    def visits(self, positions: np.ndarray, probes: int) -> np.ndarray:
+        """Numbers of the buckets that each query visits, most promising first: query x probe x function."""
+        return np.floor(positions)[:, None, :].astype(np.int64) + self.steps[self.order(positions)[:, :probes]]
 
     @cached_property
     def parts(self) -> dict[int, int]:
@@ -111,10 +112,14 @@ def fit_probes(index: Index, sample: np.ndarray, total: int, k: int) -> int:
     for t in range(TABLES):
         numbers = np.floor(index.positions(points, t)).astype(np.int64)
         position = index.positions(index.as_queries(sample[asked]), t)
+        home = np.floor(position).astype(np.int64)
         for q in range(len(asked)):
-            seen = index.visits(position[q : q + 1], len(index.steps))[0]
-            at = {tuple(s): i for i, s in enumerate(seen.tolist())}
-            first[q] = np.minimum(first[q], [at.get(tuple(v), len(index.steps)) for v in numbers[best[q]].tolist()])
+            step = numbers[best[q]] - home[q]
+            place = np.empty(len(index.steps), np.int64)  # of each step among the query's visits
+            place[index.order(position[q : q + 1])[0]] = np.arange(len(index.steps))
+            reached = (np.abs(step) <= 1).all(axis=1)
+            code = (np.where(step < 0, 1, 2 * step) @ 3 ** np.arange(FUNCTIONS)[::-1])[reached]
+            first[q, reached] = np.minimum(first[q, reached], place[code])
     return int(min(len(index.steps), np.quantile(first, TARGET, method="higher") + 1))
 
 
@@ -282,7 +287,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     filled = F.concat("v", F.array_repeat(F.lit(0.0), dim - F.size("v")))
     named = rows.select("id", "asked", filled.alias("v")).withColumn("digest", F.concat(F.hex(F.xxhash64("v")), F.lit(" "), F.hex(F.xxhash64(F.lit(1), "v"))))
-    rows = cut(named.dropDuplicates(["id", "digest"]))
+    rows = cut(named)
 
     # equal vectors: one number stands for all, in the order of their smallest ids, and k + 1 of them can be among the nearest
     classes = cut(rows.groupBy("digest").agg(F.min("id").alias("first")).orderBy("first", "digest").withColumn("rep", F.monotonically_increasing_id()))
@@ -290,7 +295,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     in_class = Window.partitionBy("rep").orderBy("id")
     copies = numbered.withColumn("place", F.row_number().over(in_class)).filter(F.col("place") <= k + 1).select(F.col("rep").alias("c"), "id")
     firsts = classes.select(F.col("first").alias("id"), "digest", "rep")
-    single = cut(rows.join(firsts, ["id", "digest"]).select(F.col("rep").alias("id"), "v").mapInPandas(_packed, "id long, vector binary"))
+    single = cut(rows.dropDuplicates(["id", "digest"]).join(firsts, ["id", "digest"]).select(F.col("rep").alias("id"), "v").mapInPandas(_packed, "id long, vector binary"))
     asked = cut(single.join(numbered.filter("asked").select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
     scale = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
@@ -308,6 +313,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     listed = found.join(copies, "c").withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k + 1)
     lists = cut(listed.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id", "c", "score"))).alias("near")))  # k + 1 entries
     wanted = cut(numbered.filter("asked").select(F.col("id").alias("query_id"), F.col("rep").alias("q")))
-    others = F.filter("near", lambda x: ~((x["id"] == F.col("query_id")) & (x["c"] == F.col("q"))))
+    # the query's own row goes, but no other row that repeats it
+    own = F.array_position(F.transform("near", lambda x: (x["id"] == F.col("query_id")) & (x["c"] == F.col("q"))), True).cast("int")
+    others = F.when(own > 0, F.concat(F.slice("near", F.lit(1), own - 1), F.slice("near", own + 1, F.size("near")))).otherwise(F.col("near"))
     ranked = join_hot(wanted, lists, "q", hot_keys(wanted, "q")).select("query_id", F.posexplode(F.slice(others, 1, k)).alias("place", "x"))
     return ranked.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

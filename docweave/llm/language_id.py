@@ -49,19 +49,20 @@ def fit(
     docs_per_language: int = 128,
     dict_bytes: int = 64_000,
     min_margin: float = 0.01,
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> LanguageModel:
     """Learn from the rows whose text and language are not null."""
     rows = labelled.select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(1)).alias("h"), F.col(text_col).alias("text")
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col), F.lit(1)).alias("h"), F.col(text_col).alias("text")
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
     shares = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     order = Window.partitionBy("lang").orderBy("h")
     chosen = rows.select("lang", "h").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= docs_per_language).groupBy("lang", "h").agg(F.min("rank").alias("rank"))
-    # docs_per_language rows for each language: small enough to broadcast, and to collect dict_bytes characters of each
+    # at most docs_per_language rows for each language, small enough to broadcast; of their texts only what fits a dictionary is collected
     picked = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "rank", F.substring(letters(F.col("text")), 1, dict_bytes).alias("text")).dropDuplicates(["lang", "rank"])
+    earlier = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    picked = picked.withColumn("earlier", F.coalesce(earlier, F.lit(0))).filter(F.col("earlier") < dict_bytes)
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in picked.collect():
         texts.setdefault(r.lang, []).append((r.rank, r.text))

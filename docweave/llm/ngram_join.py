@@ -13,8 +13,8 @@ document with at most E empty ranges needs no tile for its empty ones.
    one row for each member. For every node the partner with most common tiles is compared exactly.
 3. Tiles whose members are not yet in one component are searched for more links. Those with the same smallest
    member form one group. Bitmaps of hashed n-grams bound every remaining pair's overlap from above by bit counts,
-   and what the bound leaves is intersected as sorted arrays. A group of up to ``BLOCK`` members is searched in one
-   place; a larger one is dealt into blocks of that size by size band and component, and two blocks meet if their
+   and what the bound leaves is intersected as sorted arrays. A group of up to ``BLOCK`` members and
+   ``BLOCK_GRAMS`` n-grams is searched in one place; a larger one is dealt into blocks of that size by band and component, and two blocks meet if their
    bands touch and they are not of one component. A member is sent once for each block that it meets. No tile is
    skipped or sampled, so no component is missed.
 
@@ -42,7 +42,7 @@ from docweave.llm.components import connected_components
 from docweave.llm.shared import cut, hot_keys, join_hot
 
 BAND_RATIO = 1.5
-BLOCK = 1024
+BLOCK, BLOCK_GRAMS = 1024, 8_000_000  # members of a block, and n-grams of all of them: 32 to 64 MB, and as much for bitmaps
 KEYS_PER_TASK = 400_000
 REMEMBERED = 500_000
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
@@ -309,7 +309,8 @@ def _labelled(nodes: DataFrame, labels: DataFrame, node: str, out: str) -> DataF
 
 def _dealt(members: DataFrame, rule: Rule) -> DataFrame:
     """home, i, j, block, doc, label: members (home, doc, label, n) at the places where their blocks meet others."""
-    sizes = cut(members.groupBy("home").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK).select("home"))
+    filled = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)  # how many blocks the rows fill
+    sizes = cut(members.groupBy("home").agg(filled.alias("filled")).filter(F.col("filled") > 1).select("home"))
     if sizes.isEmpty():
         return _dealt_small(members)
     wide = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
@@ -317,14 +318,14 @@ def _dealt(members: DataFrame, rule: Rule) -> DataFrame:
     band = F.floor(F.log("n") / (log(rule.den / rule.num) + 1e-9)).cast("int")
     large = members.join(wide, "home", "left_semi").withColumn("band", band)
     # members of a component of more than a block stand in blocks of their own, which need not meet each other
-    own = large.groupBy("home", "band", "label").agg(F.count("*").alias("k")).filter(F.col("k") > BLOCK).select("home", "band", "label", F.lit(True).alias("own"))
+    own = large.groupBy("home", "band", "label").agg(filled.alias("filled")).filter(F.col("filled") > 1).select("home", "band", "label", F.lit(True).alias("own"))
     grouped = cut(large.join(own, ["home", "band", "label"], "left").withColumn("lab", F.when(F.col("own"), F.col("label"))).drop("own"))
-    blocks = grouped.groupBy("home", "band", "lab").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = grouped.groupBy("home", "band", "lab").agg(F.ceil(filled).cast("int").alias("blocks"))
     sized = blocks.select(F.col("home").alias("home_"), F.col("band").alias("band_"), F.col("lab").alias("lab_"), "blocks")
     same = (F.col("home") == F.col("home_")) & (F.col("band") == F.col("band_")) & F.col("lab").eqNullSafe(F.col("lab_"))
     placed = grouped.join(sized, same).select("home", "band", "lab", "doc", "label", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")).cast("int").alias("at"))
     listed = blocks.select("home", F.col("band").alias("to"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("lab").alias("lab"), b.alias("at")))).alias("o"))
-    lists = cut(listed.groupBy("home", "to").agg(F.collect_list("o").alias("others")))  # one entry for BLOCK members
+    lists = cut(listed.groupBy("home", "to").agg(F.collect_list("o").alias("others")))  # one entry for a block
     facing = placed.select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("to"))
     met = facing.join(F.broadcast(lists) if lists.count() <= HOT_LISTS else lists, ["home", "to"]).select("*", F.explode("others").alias("o"))
     met = met.filter(~F.coalesce(F.col("lab") == F.col("o.lab"), F.lit(False)))

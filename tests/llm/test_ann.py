@@ -47,16 +47,16 @@ def test_few_vectors_are_all_returned(spark):
 
 
 def test_repeated_ids_and_short_vectors(spark):
-    """Rows that share an id but not the vector are rows of their own; shorter vectors count as filled up with zeros."""
+    """Rows that share an id, or repeat as a whole, are rows of their own; shorter vectors count as filled up with zeros."""
     rng = np.random.default_rng(4)
     data = [(int(i), rng.standard_normal(d).round(2).tolist()) for i, d in zip(rng.integers(0, 60, 120), rng.choice([3, 4], 120), strict=True)]
     data += [data[0], data[1]] + [(20, [1.0, 0.0, 0.0, 0.0]), (20, [1.0]), (21, [1.0, 0.0]), (22, [2.0])]
     found = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(frame(spark, data), F.col("vec_id") % 20 == 0).collect()]
-    rows = sorted({(i, tuple(np.array([*v, *[0.0] * (4 - len(v))], np.float32).astype(float))) for i, v in data})
+    rows = [(i, np.array([*v, *[0.0] * (4 - len(v))], np.float32).astype(float)) for i, v in data]
     expected = []
-    for q, x in rows:
+    for a, (q, x) in enumerate(rows):
         if q % 20 == 0:
-            near = sorted((-float(np.dot(x, y)), i) for i, y in rows if (i, y) != (q, x))[:20]
+            near = sorted((-float(np.dot(x, y)), i) for b, (i, y) in enumerate(rows) if a != b)[:20]
             expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
     assert len(found) == len(expected)
     for a, b in zip(sorted(found), sorted(expected), strict=True):

@@ -57,6 +57,22 @@ def test_components_equal_brute_force(spark, n, num, den, monkeypatch):
     assert found == brute(rows, n, num, den)
 
 
+def test_blocks_are_bounded_by_their_grams(spark, monkeypatch):
+    """A group of few but long texts is dealt into several blocks too."""
+    monkeypatch.setattr(nj, "BLOCK_GRAMS", 500)
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(rnd.choice([0, 3, 8, 20])):
+            words[rnd.randrange(300)] = f"x{rnd.randrange(5000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, t) for i, t in corpus(5, 40)]
+    docs = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], SCHEMA).repartition(5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in nj.ngram_components(docs, 3, 90, 100).collect()} == brute(rows, 3, 90, 100)
+
+
 def test_empty_nulls_and_repeated_rows(spark):
     assert nj.ngram_components(spark.createDataFrame([], SCHEMA), 3, 90, 100).count() == 0
     docs = spark.createDataFrame([(1, "a b c d", "", 0, 0), (1, "a b c d", "", 0, 0), (None, "a b c d", "", 0, 0), (2, "A b c d", "", 0, 0)], SCHEMA)
