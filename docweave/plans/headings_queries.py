@@ -16,16 +16,52 @@ NORM = rf"""CASE WHEN len(string_split_regex({BARE}, ' +')) > 3 AND len(list_fil
 NORM = f"replace(replace(replace(upper({NORM}), 'EXPERIANCE', 'EXPERIENCE'), 'EDUCTION', 'EDUCATION'), 'SKILSS', 'SKILLS')"
 KEYS = ", ".join(f"('{k}', '{v}')" for k, v in hd.HEADINGS.items())
 ALONE, NOT_AT_END = (", ".join(f"'{k}'" for k in words) for words in (hd.ALONE, hd.NOT_AT_END))
-FALSE = " OR ".join(f"regexp_matches(text, '{rx}')" for rx in hd.FALSE_HEADINGS)
-DECIDED = L + f""", n AS (SELECT *, {NORM} AS norm FROM l), hk(key, heading_section) AS (VALUES {KEYS}),
-hm AS (SELECT doc_id, page, line_index, key, heading_section FROM n JOIN hk ON (norm = key OR (key NOT IN ({ALONE}) AND (starts_with(norm, key || ' ') OR (ends_with(norm, ' ' || key) AND key NOT IN ({NOT_AT_END}))))) AND length(norm) <= length(key) + 15
-  QUALIFY row_number() OVER (PARTITION BY doc_id, page, line_index ORDER BY length(key) DESC, key) = 1),
-dk AS (SELECT n.*, key, heading_section FROM n LEFT JOIN hm USING (doc_id, page, line_index)),
-df AS (SELECT doc_id, quantile_disc(-font_median, 0.5) * -1 AS doc_font FROM l GROUP BY ALL),
-sy AS (SELECT *, is_bold OR font_median >= 1.03 * doc_font OR (is_caps AND n_tokens <= 4) OR ends_with(text, ':') AS looks_heading, {FALSE} AS is_false FROM dk JOIN df USING (doc_id)),
-hc AS (SELECT *, CAST(CASE WHEN is_false THEN 0.05 WHEN norm = key AND looks_heading THEN 0.98 WHEN norm = key THEN 0.85 WHEN key IS NOT NULL AND looks_heading THEN 0.75
-  WHEN looks_heading AND is_caps AND n_tokens <= 3 THEN 0.6 ELSE 0.2 END AS DOUBLE) AS heading_confidence FROM sy),
-de AS (SELECT *, heading_confidence >= 0.72 AS is_heading FROM hc)"""
+DICTIONARY = L + f""", n AS (SELECT *, {NORM} AS norm FROM l), hk(key, heading_section) AS (VALUES {KEYS}), u AS (SELECT DISTINCT norm FROM n WHERE length(norm) <= 46),
+hm AS (SELECT norm, key, heading_section FROM u JOIN hk ON (norm = key OR (key NOT IN ({ALONE}) AND (starts_with(norm, key || ' ') OR (ends_with(norm, ' ' || key) AND key NOT IN ({NOT_AT_END}))))) AND length(norm) <= length(key) + 15
+  QUALIFY row_number() OVER (PARTITION BY norm ORDER BY length(key) DESC, key) = 1),
+dk AS (SELECT n.*, key, heading_section FROM n LEFT JOIN hm USING (norm))"""
+
+
+def rx(value: str, pattern: str) -> str:
+    return f"regexp_matches({value}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+def names(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+UPPER = "({0} = upper({0}) AND {0} <> lower({0}))"
+SPELT = "lower(CASE WHEN len(string_split(plain, ' ')) >= 4 AND len(list_filter(string_split(plain, ' '), lambda w: regexp_matches(w, '^\\p{L}$'))) >= 0.75 * len(string_split(plain, ' ')) THEN replace(plain, ' ', '') ELSE plain END)"
+for _wrong, _right in hd.SPELLING.items():
+    SPELT = f"replace({SPELT}, '{_wrong}', '{_right}')"
+HITS = (
+    f"list_filter([{names(k for k in hd.SECTION_BY_TEXT if k != 'project')}], lambda k: form = k OR starts_with(form, k || ' ') OR starts_with(form, k || ':')"
+    f" OR (k IN ({names(hd.ENDINGS)}) AND (ends_with(form, ' ' || k) OR (length(k) > 4 AND ends_with(form, k) AND form <> k))))"
+)
+OTHER = "opens = 'OTHER'"
+NEVER = f"plain = '' OR length(plain) > {hd.MOST_CHARS} OR {rx('low', hd.FIELD_RX)} OR {rx('low', hd.PART_RX)} OR {rx('low', hd.DATE_ONLY_RX)} OR ({rx('low', '^[-—–]')} AND {OTHER})"
+BARS = f"(contains(plain, '|') AND NOT contains(low, 'linkedin') AND {OTHER})"
+WEAK = f"(low = 'contact' AND NOT {UPPER.format('trim(text)')}) OR ({rx('low', '^[0-9]')} AND {OTHER}) OR {rx('low', hd._word(['languages? known', 'fresher']))} OR low IN ({names(hd.NO_HEADINGS)})"
+FALSE = (
+    f"(({NEVER}) OR (NOT ({rx('low', hd.ENTRY_RX)} OR {rx('low', hd.DEGREE_RX)}) AND (({OTHER} AND {rx('low', hd._word(hd.JOB_WORDS))} AND NOT {UPPER.format('plain')})"
+    f" OR ({BARS} AND NOT ({rx('plain', hd.SKILL_LABEL_RX)} AND length(plain) < 28)) OR (NOT {BARS} AND ({WEAK})))))"
+)
+FORMS = L + f""", pl AS (SELECT *, trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(text), '^#{{1,6}}\\s+', ''), '[*#_`]+', ' ', 'g'), '{hd.BULLET_RX}', ''), '\\s+', ' ', 'g')), '^[0-9]+% *', '')) AS plain FROM l),
+fm AS (SELECT *, lower(plain) AS low, regexp_replace({SPELT}, '[:;. -]+$', '') AS form FROM pl),
+uf AS (SELECT DISTINCT form FROM fm), uh AS (SELECT form, list_sort({HITS}) AS hits FROM uf),
+ub AS (SELECT form, list_filter(hits, lambda k: length(k) = list_max(list_transform(hits, lambda x: length(x))))[1] AS key, regexp_replace(form, '[^a-z0-9]', '', 'g') AS joined FROM uh),
+sk(key, section) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in hd.SECTION_BY_TEXT.items())}),
+se AS (SELECT fm.*, CASE WHEN section IS NOT NULL THEN section WHEN form = 'project' AND {UPPER.format('plain')} THEN 'PROJECT' WHEN {rx('joined', hd.JOINED_EXPERIENCE_RX)} THEN 'EXPERIENCE' WHEN {rx('joined', hd.JOINED_DESIGN_RX)} THEN 'PROJECT' ELSE 'OTHER' END AS opens
+  FROM fm JOIN ub USING (form) LEFT JOIN sk USING (key))"""
+LABEL = f"CASE WHEN ends_with(plain, '|') THEN {rx('plain', hd.SKILL_LABEL_RX)} ELSE len(string_split(plain, ' ')) <= 4 AND regexp_matches(plain, '^\\p{{Lu}}') END"
+KNOWN = f"({OTHER.replace('=', '<>')} OR {rx('form', hd.OTHER_RX)})"
+DECIDED = FORMS + f""", df AS (SELECT doc_id, quantile_disc(-font_median, 0.5) * -1 AS doc_font FROM l GROUP BY ALL),
+sy AS (SELECT *, coalesce(is_bold OR font_median >= 1.03 * doc_font OR ({UPPER.format('plain')} AND (len(string_split(plain, ' ')) BETWEEN 2 AND 6 OR form IN ({names(hd.ONE_WORD)}))) OR (ends_with(plain, ':') AND length(plain) < 55 AND opens <> 'OTHER'), false) AS looks_heading,
+  {FALSE} OR length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) > {hd.MOST_LETTERS} AS is_false, {rx('form', '|'.join(hd.SKILL_ANCHORS))} AS sa, {rx('form', '|'.join(hd.WORK_ANCHORS))} AS wa FROM se JOIN df USING (doc_id)),
+nr AS (SELECT *, coalesce(bool_or(sa) OVER v, false) AS near_skills, coalesce(bool_or(wa) OVER v, false) AS near_work FROM sy WINDOW v AS (PARTITION BY doc_id ORDER BY page, line_index ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)),
+hc AS (SELECT *, CAST(CASE WHEN is_false THEN 0.95 WHEN near_skills AND {rx('trim(text)', hd.BULLET_RX)} AND length(plain) <= 28 AND NOT {rx('low', hd._word(hd.SENTENCE_WORDS))} AND {LABEL} THEN 0.78 WHEN {KNOWN} AND looks_heading THEN 0.92 WHEN {KNOWN} AND {UPPER.format('plain')} THEN 0.75
+  WHEN near_work AND {rx('low', hd.ENTRY_RX)} AND is_bold THEN 0.82 WHEN {KNOWN} THEN 0.6 ELSE 0.3 END AS DOUBLE) AS heading_confidence FROM nr),
+de AS (SELECT *, heading_confidence BETWEEN 0.7 AND 0.93 AS is_heading FROM hc)"""
 STAMPED = DECIDED + """, sm AS (SELECT t.*, CASE WHEN de.doc_id IS NULL THEN 'O' WHEN row_number() OVER (PARTITION BY t.doc_id, t.page, t.line_index ORDER BY token_index) = 1 THEN 'B-HEADING' ELSE 'I-HEADING' END AS heading_bio
   FROM t LEFT JOIN (SELECT * FROM de WHERE is_heading) de ON t.doc_id = de.doc_id AND t.page = de.page AND t.line_index = de.line_index),
 ch AS (SELECT *, CAST(sum(CASE WHEN heading_bio = 'B-HEADING' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page, line_index, token_index, x0) AS BIGINT) AS chunk_id FROM sm),
@@ -48,19 +84,19 @@ def heading_normalise(spark, sf_dir):
     return lines(spark, sf_dir).select(*KEY, hd.normalise(F.col("text")).alias("norm"))
 
 
-@query(on_resumes(DECIDED + " SELECT doc_id, page, line_index, norm, key, heading_section FROM dk"))
+@query(on_resumes(DICTIONARY + " SELECT doc_id, page, line_index, norm, key, heading_section FROM dk"))
 def heading_dictionary(spark, sf_dir):
     return hd.match_dictionary(lines(spark, sf_dir)).select(*KEY, "norm", "key", "heading_section")
 
 
-@query(on_resumes(L + f" SELECT doc_id, page, line_index, {FALSE} AS is_false FROM l"))
+@query(on_resumes(FORMS + f" SELECT doc_id, page, line_index, {FALSE} AS is_false FROM se"))
 def false_heading(spark, sf_dir):
-    return lines(spark, sf_dir).select(*KEY, hd.is_false_heading(F.col("text")).alias("is_false"))
+    return hd.with_sections(lines(spark, sf_dir)).select(*KEY, hd.false_heading().alias("is_false"))
 
 
 @query(on_resumes(DECIDED + " SELECT doc_id, page, line_index, looks_heading FROM sy"))
 def style_is_heading(spark, sf_dir):
-    return hd.with_style(lines(spark, sf_dir)).select(*KEY, "looks_heading")
+    return hd.with_style(hd.with_sections(lines(spark, sf_dir))).select(*KEY, "looks_heading")
 
 
 @query(on_resumes(L + """, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index) AS pos FROM l)
@@ -74,13 +110,13 @@ def heading_decide(spark, sf_dir):
     return decided(spark, sf_dir).select(*KEY, "heading_confidence", "is_heading")
 
 
-@query(on_resumes(DECIDED + """, sc AS (SELECT *, CASE WHEN heading_confidence < 0.1 THEN 'rejected' WHEN is_heading THEN 'rule' WHEN 1 / (1 + exp(-(0.9 * CAST(is_bold AS INT) + 0.8 * CAST(is_caps AS INT) - 0.4 * n_tokens))) >= 0.5 THEN 'scorer' ELSE 'none' END AS source FROM de)
+@query(on_resumes(DECIDED + """, sc AS (SELECT *, CASE WHEN is_false THEN 'rejected' WHEN is_heading THEN 'rule' WHEN 1 / (1 + exp(-(0.9 * CAST(is_bold AS INT) + 0.8 * CAST(is_caps AS INT) - 0.4 * n_tokens))) >= 0.5 THEN 'scorer' ELSE 'none' END AS source FROM de)
 SELECT doc_id, page, line_index, source, source IN ('rule', 'scorer') AS is_heading FROM sc"""))
 def heading_hybrid(spark, sf_dir):
     """Sure lines by rule; only uncertain ones reach the scorer."""
     d = decided(spark, sf_dir)
-    sure = d.filter("is_heading OR heading_confidence < 0.1").withColumn("source", F.when(F.col("is_heading"), "rule").otherwise("rejected"))
-    open_ = d.filter("NOT is_heading AND heading_confidence >= 0.1")
+    sure = d.filter("is_heading OR is_false").withColumn("source", F.when(F.col("is_heading"), "rule").otherwise("rejected"))
+    open_ = d.filter("NOT is_heading AND NOT is_false")
     score = 1 / (1 + F.exp(-(0.9 * F.col("is_bold").cast("int") + 0.8 * F.col("is_caps").cast("int") - 0.4 * F.col("n_tokens"))))
     both = sure.unionByName(open_.withColumn("source", F.when(score >= 0.5, "scorer").otherwise("none")))
     return both.select(*KEY, "source", F.col("source").isin("rule", "scorer").alias("is_heading"))
@@ -132,10 +168,20 @@ def section_chunks(spark, sf_dir):
     return hd.chunk_rows(hd.chunks(stamped(spark, sf_dir)))
 
 
-@query(on_resumes(SECTIONS + " SELECT doc_id, chunk_id, heading, chunk_section FROM cs"))
+def mended(label: str) -> str:
+    out = ""
+    for section, roots, only, never in hd.LABEL_ROOTS:
+        may = f" AND {label} = '{only}'" if only else f" AND {label} <> '{never}'" if never else ""
+        out += f" WHEN regexp_matches(lower(trim(heading)), '{'|'.join(roots)}'){may} THEN '{section}'"
+    return f"CASE{out} ELSE {label} END"
+
+
+@query(on_resumes(SECTIONS + f", la AS (SELECT *, ['EDUCATION', 'OTHER', 'PERSONAL', 'EXPERIENCE'][1 + chunk_id % 4] AS label FROM cs) SELECT doc_id, chunk_id, heading, chunk_section, {mended('label')} AS label FROM la"))
 def section_label_normalise(spark, sf_dir):
+    """The section that a chunk's heading says, and what becomes of labels that a model may have given."""
     rows = hd.chunk_rows(hd.chunks(stamped(spark, sf_dir)))
-    return rows.select("doc_id", "chunk_id", "heading", hd.section_of(F.col("heading"), F.col("virtual")).alias("chunk_section"))
+    label = F.element_at(F.array(*[F.lit(x) for x in ("EDUCATION", "OTHER", "PERSONAL", "EXPERIENCE")]), (F.col("chunk_id") % 4).cast("int") + 1)
+    return rows.select("doc_id", "chunk_id", "heading", hd.section_of(F.col("heading"), F.col("virtual")).alias("chunk_section"), hd.normalise_label(F.col("heading"), label).alias("label"))
 
 
 @query(on_resumes(STAMPED + f", w AS (SELECT doc_id, chunk_id, heading, 0.5 + 0.1 * (doc_id % 5) AS confidence FROM ck) SELECT doc_id, chunk_id, CASE WHEN confidence < 0.7 AND {RULED} <> 'OTHER' THEN {RULED} ELSE 'OTHER' END AS section FROM w"))

@@ -19,19 +19,22 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """Last event of each run; update or complete mode."""
+    """Last event of each run. In update mode each batch gives the runs that changed, for ``upserted``; the state holds one
+    row for each run."""
     return events.groupBy(F.col("user_id").alias("run_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("updated_at"), F.count("*").alias("events"))
 
 
 def stage_latency(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "30 minutes") -> DataFrame:
-    """Event counts and mean values by window and type; rows later than the watermark are dropped."""
+    """Event counts and sums by window and type. In append mode a window is given once, when the watermark has passed its
+    end; its state goes then, and rows that come later than the watermark are dropped."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     by = events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return by.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def sessions(events: DataFrame, gap: str = "2 hours", late: str = "30 minutes") -> DataFrame:
-    """Activity sessions of each user: ended by a pause."""
+    """Activity sessions of each user: ended by a pause. In append mode a session is given once, when the watermark has
+    passed its end, and its state goes then."""
     by = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return by.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -87,9 +90,39 @@ def ingest(stream: DataFrame, structure: Callable[[DataFrame], DataFrame], out:
     return _batches(stream, structure, out)
 
 
+def upserted(stream: DataFrame, keys: list[str], out: str):
+    """Runs an update-mode stream into a table of one row for each key: every batch writes a new version, the last one's
+    rows with the batch's rows in the place of those that share their keys. A batch that runs again after a restart
+    replaces its version; the version before the last one is kept for that, older ones go."""
+    spark, schema = stream.sparkSession, stream.schema
+    root = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df.persist()
+        rows = df
+        if batch_id:
+            last = spark.read.schema(schema).parquet(f"{out}/version-{batch_id - 1}")
+            rows = df.unionByName(last.join(df.select(*keys), keys, "left_anti"))
+        rows.write.mode("overwrite").parquet(f"{out}/version-{batch_id}")
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/version-{batch_id - 2}"), True)
+        df.unpersist()
+
+    return stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+
+
+def upserted_rows(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """The table of ``upserted`` after all that is there."""
+    spark, out = stream.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+    query = upserted(stream, keys, out)
+    query.awaitTermination()
+    done = [p["batchId"] for p in query.recentProgress if p["batchId"] >= 0]
+    return spark.read.schema(stream.schema).parquet(f"{out}/version-{done[-1]}") if done else spark.createDataFrame([], stream.schema)
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there into Parquet files of ``folder`` and reads them: all batches in append mode,
-    the last one in complete mode."""
+    the last one in complete mode, which keeps all state and suits small results only."""
     spark, out = stream.sparkSession, f"{folder}/{uuid.uuid4().hex}"
     query = _batches(stream, lambda df: df, out, mode)
     query.awaitTermination()
