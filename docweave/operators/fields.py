@@ -204,12 +204,13 @@ def contact_refine(tokens: DataFrame) -> DataFrame:
 
 
 def skills_promote(tokens: DataFrame) -> DataFrame:
-    """An unlabelled word after a skill on its line is a skill."""
+    """An unlabelled word after a skill on its line is a skill; ``hub`` after ``git`` goes on with it."""
     w = ordered(LINE_KEY, ("token_index",))
-    skill = F.col("bio_label").endswith("-SKILL")
+    skill, word = F.col("bio_label").endswith("-SKILL"), F.col("token").rlike("[A-Za-z0-9]")
     later = F.max(skill.cast("int")).over(before(w)) == 1
-    promoted = (F.col("bio_label") == "O") & F.col("token").rlike("[A-Za-z0-9]") & F.coalesce(later, F.lit(False))
-    return tokens.withColumn("bio_label", F.when(promoted, "B-SKILL").otherwise(F.col("bio_label")))
+    promoted = (F.col("bio_label") == "O") & word & F.coalesce(later, F.lit(False))
+    hub = (F.lower(F.trim("token")) == "hub") & (F.lower(F.trim(F.last(F.when(word, F.col("token")), ignorenulls=True).over(before(w)))) == "git")
+    return tokens.withColumn("bio_label", F.when(promoted, F.when(F.coalesce(hub, F.lit(False)), "I-SKILL").otherwise("B-SKILL")).otherwise(F.col("bio_label")))
 
 
 def skills_merge(tokens: DataFrame) -> DataFrame:
@@ -219,10 +220,22 @@ def skills_merge(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("bio_label", F.when(F.coalesce(joined, F.lit(False)), "I-SKILL").otherwise(F.col("bio_label")))
 
 
-def skills_region(lines: DataFrame) -> DataFrame:
-    """Lines between a skills heading and the next other heading."""
+#: Headings (letters and blanks only, lower case) that open the skills, and those that close them.
+SKILL_HEADINGS = ["skills", "technical skills", "skill summary", "technologies", "technology", "core competencies", "technicalskills", "competencies"]
+OTHER_SECTIONS = [
+    "experience", "work experience", "professional experience", "employment history", "education", "academic background", "academics", "projects", "academic projects", "key projects",
+    "personal projects", "summary", "professional summary", "career objective", "objective", "profile", "personal details", "personal info", "personal information", "interests",
+    "certifications", "hobbies", "declarations", "declaration", "languages",
+]
+
+
+def skills_region(lines: DataFrame, shown: Column | None = None) -> DataFrame:
+    """``in_skills`` of lines: a heading of skills, or a line that ``shown`` holds for, opens the region, another section's
+    heading without a colon closes it."""
     w = ordered(("doc_id",), ("page", "line_index"))
-    event = F.when(F.col("kind") == "heading", F.when(F.col("text").rlike("SKILL"), 1).otherwise(0))
+    clean = F.trim(F.regexp_replace(F.lower("text"), r"[^a-z\s]", ""))
+    opens = clean.isin(SKILL_HEADINGS) if shown is None else clean.isin(SKILL_HEADINGS) | F.coalesce(shown, F.lit(False))
+    event = F.when(clean.isin(OTHER_SECTIONS) & ~F.col("text").contains(":"), 0).when(opens, 1)
     return lines.withColumn("in_skills", F.coalesce(carry_last(event, w), F.lit(0)) == 1)
 
 

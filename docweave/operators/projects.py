@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from docweave.functions.islands import before, carry_last, folded, next_known, ordered, ordered_text, running
 from docweave.operators.fields import entity
-from docweave.operators.rulepacks import DEGREE_RX, HONOURS_RX, LEAD_RX, MARKS_LINE_RX, PLACE_LINE_RX, institution_score
+from docweave.operators.layout import title_likeness
+from docweave.operators.rulepacks import DEGREE_RX, EMAIL_RX, HONOURS_RX, LEAD_RX, MARKS_LINE_RX, PHONE_RX, PLACE_LINE_RX, institution_score
 from docweave.schema import LINE_KEY
 
 
@@ -33,8 +34,21 @@ def block_context(lines: DataFrame, head: Column) -> DataFrame:
     return placed.withColumn("since_head", since).withColumn("blended", blended)
 
 
-def context_weight(label: Column, hard_negative: Column) -> Column:
-    return F.when(hard_negative & (label == "O"), 1.5).when(label.startswith("B-"), 2.0).when(label == "O", 0.5).otherwise(1.0)
+#: Verbs and words that tell a tale (lower case).
+NARRATIVE_RX = "(?:^|[^a-z0-9_])(?:designed|developed|built|implemented|using|through|we |i |created|based)"
+
+
+def hard_negative(text: Column) -> Column:
+    """A description that looks like a title: a likeness of a quarter, unless it is a tale of more than twelve words."""
+    clean = F.trim(F.regexp_replace(F.trim(text), LEAD_RX, ""))
+    tale = F.lower(clean).rlike(NARRATIVE_RX) & (F.size(F.split(clean, " +")) > 12)
+    return F.coalesce((F.char_length(clean) >= 3) & (title_likeness(text) >= 0.25) & ~tale, F.lit(False))
+
+
+def context_weight(label: Column, text: Column) -> Column:
+    """How much a segment counts in training or evaluation: descriptions more than others, those that look like titles most;
+    a segment without label not at all."""
+    return F.when(label.isNull(), 0.0).when((label == "DESC") & hard_negative(text), 5.0).when(label == "DESC", 1.5).when(label == "PROJECT_NAME", 1.2).otherwise(1.0)
 
 
 def decode_starts(tokens: DataFrame) -> DataFrame:
@@ -46,9 +60,15 @@ def decode_starts(tokens: DataFrame) -> DataFrame:
 
 
 def proj_style_heads(lines: DataFrame) -> DataFrame:
-    """The first title of a document sets size, boldness and place; lines within 0.5 and 10 points of it are heads."""
-    first = lines.filter("is_anchor").groupBy("doc_id").agg(F.min_by(F.struct("font_median", "is_bold", "x0"), F.struct("page", "line_index")).alias("a"))
-    joined = lines.join(first, "doc_id", "left")
+    """Lines with the columns of ``linerules.proj_line_rules`` and ``is_anchor`` (scored as a title). The first scored line
+    that may be one sets size, boldness and place (the first line that may be one, if none was scored); lines within 0.5
+    and 10 points of it are heads. Metadata, descriptions, lines that go on with a text and headings of sections may not."""
+    low = F.lower(F.regexp_replace(F.trim("text"), "[:.,;]+$", ""))
+    header = low.isin("projects", "project") | low.rlike("(?:^|[^a-z])(?:mini|academic|personal|key|selected|recent|course|minor|major) projects?(?:[^a-z]|$)|projects? client") | (low.startswith("projects") & (F.char_length(low) < 40) & ~F.col("has_bullet"))
+    valid = ~F.coalesce(F.col("suppress") | F.col("is_continuation") | header, F.lit(False))
+    style, place = F.struct("font_median", "is_bold", "x0"), F.struct("page", "line_index")
+    chosen = lines.groupBy("doc_id").agg(F.coalesce(F.min_by(style, F.when(valid & F.col("is_anchor"), place)), F.min_by(style, F.when(valid, place))).alias("a"))
+    joined = lines.join(chosen, "doc_id", "left")
     same = (F.abs(F.col("font_median") - F.col("a.font_median")) <= 0.5) & (F.col("is_bold") == F.col("a.is_bold")) & (F.abs(F.col("x0") - F.col("a.x0")) <= 10)
     return joined.withColumn("is_head", F.coalesce(same, F.lit(False))).drop("a")
 
@@ -102,30 +122,77 @@ def edu_boundary_pipeline(model: DataFrame, style: DataFrame) -> DataFrame:
     return model.union(style.join(model.select("doc_id").distinct(), "doc_id", "left_anti"))
 
 
-GENERIC_ROLES = ["engineer", "developer", "manager", "intern"]
-TECH = ["python", "sql", "spark", "git", "docker", "java"]
+#: Job titles without anything else; technologies, verbs and things that tell lists of technologies from
+#: other texts; keywords of roles and companies.
+GENERIC_ROLES = [
+    "software developer", "automation testing", "qa engineer", "software engineer", "web developer", "full stack developer", "frontend developer", "backend developer", "data scientist",
+    "machine learning engineer", "android developer", "ios developer", "devops engineer", "associate software engineer", "senior software engineer", "lead software engineer", "qa analyst",
+    "quality assurance engineer", "automation engineer", "java developer", "python developer", "net developer", "c# developer", "ui developer", "ux designer", "ui/ux designer", "frontend engineer",
+    "backend engineer", "full stack engineer", "senior java developer", "senior python developer", "database administrator", "system administrator", "network engineer", "security engineer",
+    "cloud architect", "solutions architect", "scrum master",
+]
+TECH = [
+    "quantization", "convolutions", "apis", "frameworks", "tools", "languages", "technologies", "libraries", "databases", "python", "pytorch", "java", "c++", "javascript", "react", "html", "css",
+    "sql", "git", "aws", "docker", "kubernetes", "tensorflow", "numpy", "pandas", "scikit", "rest", "graphql", "ci/cd", "agile", "scrum", "jira", "maven", "gradle", "jenkins", "terraform", "ansible", "linux",
+]
+ACTIVE_VERBS = [
+    "develop", "developed", "developing", "implement", "implemented", "implementing", "create", "created", "creating", "build", "built", "building", "design", "designed", "designing", "manage",
+    "managed", "managing", "lead", "led", "leading", "optimize", "optimized", "optimizing", "write", "wrote", "writing", "integrate", "integrated", "integrating", "program", "programmed",
+    "programming", "analyze", "analyzed", "analyzing",
+]
+THINGS = ["system", "application", "platform", "website", "portal", "dashboard", "project", "model", "tool"]
+ROLE_KEYWORDS = [
+    "developer", "engineer", "consultant", "analyst", "architect", "manager", "designer", "lead", "associate", "intern", "specialist", "director", "programmer", "administrator", "coordinator",
+    "executive", "officer", "head", "founder", "trainee", "apprentice", "graduate", "assistant", "researcher", "scientist", "technician", "operator", "supervisor", "contractor", "freelancer",
+    "vp", "president", "cto", "ceo", "coo", "tester", "expert",
+]
+COMPANY_KEYWORDS = [
+    "pvt", "ltd", "inc", "corp", "corporation", "limited", "solutions", "services", "technologies", "university", "college", "school", "bank", "systems", "labs", "consulting", "company",
+    "institutions", "association",
+]
+
+
+def _holds(text: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
 
 
 def noise(text: Column) -> Column:
-    """A role without anything else, or a line whose words are mostly technologies."""
-    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
-    tech = F.size(F.filter(words, lambda w: w.isin(TECH)))
-    return F.when(F.lower(F.trim(text)).isin(GENERIC_ROLES), "generic_role").when((F.size(words) >= 2) & (2 * tech >= F.size(words)), "tech_stack").otherwise("none")
+    """``generic_role``: a job title without anything else. ``tech_stack``: a list of technologies, most of its parts one
+    or short, that begins with no verb and names no thing that was made."""
+    low = F.lower(F.trim(text))
+    parts = F.filter(F.transform(F.split(low, "[,|]"), F.trim), lambda x: x != "")
+    tech = F.size(F.filter(parts, lambda x: _holds(x, TECH) | (F.char_length(x) < 15)))
+    first = F.regexp_replace(F.get(F.split(low, " +"), F.lit(0)), "[:,.-]+$", "")
+    leak = low.rlike("[,|]") & _holds(low, TECH) & (F.size(parts) > 0) & ~first.isin(ACTIVE_VERBS) & ~_holds(low, THINGS) & (tech >= 0.75 * F.size(parts))
+    return F.when(F.trim(F.regexp_replace(low, "[.:,;]+$", "")).isin(GENERIC_ROLES), "generic_role").when(leak, "tech_stack").otherwise("none")
+
+
+def _words(text: Column) -> Column:
+    """The words with a letter."""
+    return F.filter(F.split(F.trim(text), " +"), lambda w: w.rlike(r"\p{L}"))
 
 
 def exp_overrides(blocks: DataFrame) -> DataFrame:
-    """Long or lower-case texts and technology lists are descriptions, not roles or companies."""
-    long_or_plain = (F.size(F.split("text", " ")) > 12) | F.col("text").rlike("^[a-z]") | (noise(F.col("text")) == "tech_stack")
-    return blocks.withColumn("label", F.when(F.col("label").isin("ROLE", "COMP") & long_or_plain, "DESC").otherwise(F.col("label")))
+    """Blocks (doc_id, entry, block, text, label) of roles and companies become descriptions if they are in a list of
+    technologies, longer than ten words, or longer than four without a keyword or mostly capitals. A list begins at a
+    block that says so and ends at a description of more than six words."""
+    low, n = F.lower(F.trim("text")), F.size(F.split(F.trim("text"), " +"))
+    listed = low.contains("technology stack") | low.contains("tech stack") | low.startswith("technology :") | low.startswith("tech :")
+    event = F.when((n > 6) & (F.col("label") == "DESC"), False).when(listed, True)
+    inside = F.coalesce(carry_last(event, ordered(("doc_id", "entry"), ("block",))), F.lit(False))
+    words = _words(F.col("text"))
+    proper = (F.size(words) > 0) & (F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}"))) >= 0.7 * F.size(words))
+    plain = (n > 4) & ~(_holds(low, ROLE_KEYWORDS + COMPANY_KEYWORDS) | proper)
+    return blocks.withColumn("label", F.when(F.col("label").isin("ROLE", "COMP") & (listed | inside | (n > 10) | plain), "DESC").otherwise(F.col("label")))
 
 
 def exp_fill_company(blocks: DataFrame) -> DataFrame:
-    """In an entry without a company the description right after the role is it, if a dash ends the role or a capital
-    begins it."""
-    w = ordered(("doc_id", "entry"), ("block",))
-    none = F.max((F.col("label") == "COMP").cast("int")).over(Window.partitionBy("doc_id", "entry")) == 0
-    named = F.lag("text").over(w).rlike("[—–-] *$") | F.col("text").rlike("^[A-Z]")
-    filled = none & (F.col("label") == "DESC") & (F.lag("label").over(w) == "ROLE") & named
+    """In an entry without a company whose first block is a role that ends with a dash or bar, the second block is the
+    company if it is a description of one to six words."""
+    w, whole = ordered(("doc_id", "entry"), ("block",)), Window.partitionBy("doc_id", "entry")
+    none = F.max((F.col("label") == "COMP").cast("int")).over(whole) == 0
+    second = (F.row_number().over(w) == 2) & (F.lag("label").over(w) == "ROLE") & F.trim(F.lag("text").over(w)).rlike("(?:^| )[|–—-]$")
+    filled = none & second & (F.col("label") == "DESC") & F.size(_words(F.col("text"))).between(1, 6)
     return blocks.withColumn("label", F.when(F.coalesce(filled, F.lit(False)), "COMP").otherwise(F.col("label")))
 
 
@@ -168,9 +235,25 @@ def stitch_urls(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("url", url).filter("url IS NOT NULL")
 
 
+#: Field names that are no value, and names of portfolio sites.
+FIELD_NAMES = ["email", "e-mail", "mail", "mobile", "phone", "tel", "contact", "linkedin", "github", "website", "blog", "address"]
+LINK_NAMES = ["portfolio", "behance", "dribbble", "leetcode", "codepen", "medium"]
+SITE_RX = r"https?://|www\.|(?:^|[^a-z0-9_-])[a-z0-9_-]+\.(?:com|net|org|io|dev|me|co|in|ai|app|xyz|tech|info|biz|link|site|page|portfolio|cc|gg|sh)(?:[^a-z0-9_]|$)"
+
+
 def personal_by_text(text: Column, scored: Column) -> Column:
-    """What the text shows beyond doubt beats the score."""
-    return F.when(text.rlike("@"), "EMAIL").when(text.rlike(r"^\+?[0-9][0-9 -]{7,}$"), "PHONE").when(text.rlike("github"), "GITHUB").when(text.rlike("linkedin"), "LINKEDIN").otherwise(scored)
+    """The label of a personal segment: what its text shows beyond doubt beats the score. A site that is neither platform
+    is no profile of one; a scored label begins."""
+    raw = F.trim(F.coalesce(text, F.lit("")))
+    low = F.lower(raw)
+    mail, digits = low.rlike(EMAIL_RX), F.char_length(F.regexp_replace(raw, "[^0-9]", ""))
+    phone = (raw.rlike(PHONE_RX) & digits.between(7, 15)) | (raw.startswith("+") & (digits > 0))
+    begun = F.regexp_replace(F.coalesce(scored, F.lit("O")), "^I-", "B-")
+    other = begun.isin("B-LINKEDIN", "B-GITHUB") & low.rlike(SITE_RX) & ~mail & ~low.contains("linkedin.com") & ~low.contains("github.com")
+    return (
+        F.when((raw == "") | low.isin(FIELD_NAMES), "O").when(mail, "B-EMAIL").when(low.contains("linkedin.com"), "B-LINKEDIN").when(low.contains("github.com"), "B-GITHUB")
+        .when(phone, "B-PHONE").when(low.isin(LINK_NAMES) | other, "B-OTHER_LINK").otherwise(begun)
+    )
 
 
 def score_sequential(lines: DataFrame, labels: list[str], score: Callable[[Column, Column], list[Column]]) -> DataFrame:

@@ -183,9 +183,14 @@ def contact_refine(spark, sf_dir):
     return fd.contact_refine(t.withColumn("token", cut)).select(*TK, "kind")
 
 
-@query(on_resumes(f""" SELECT doc_id, page, line_index, token_index, CASE WHEN bio_label = 'O' AND regexp_matches(token, '[A-Za-z0-9]') AND coalesce(max(CASE WHEN bio_label LIKE '%-SKILL' THEN 1 ELSE 0 END) OVER ({LINE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'B-SKILL' ELSE bio_label END AS bio_label FROM t WHERE section = 'SKILLS'"""))
+@query(on_resumes(f""", gh AS (SELECT * REPLACE (CASE WHEN token LIKE 'Git|%' THEN 'Git' WHEN token = 'SQL' AND doc_id % 2 = 0 THEN 'hub' ELSE token END AS token) FROM t WHERE section = 'SKILLS'),
+pv AS (SELECT *, coalesce(max(CASE WHEN bio_label LIKE '%-SKILL' THEN 1 ELSE 0 END) OVER v, 0) = 1 AS later, last_value(CASE WHEN regexp_matches(token, '[A-Za-z0-9]') THEN lower(trim(token)) END IGNORE NULLS) OVER v AS prev FROM gh WINDOW v AS ({LINE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, page, line_index, token_index, CASE WHEN bio_label = 'O' AND regexp_matches(token, '[A-Za-z0-9]') AND later THEN CASE WHEN lower(token) = 'hub' AND coalesce(prev = 'git', false) THEN 'I-SKILL' ELSE 'B-SKILL' END ELSE bio_label END AS bio_label FROM pv"""))
 def skills_promote_gaps(spark, sf_dir):
-    return fd.skills_promote(resume_tokens(spark, sf_dir).filter("section = 'SKILLS'")).select(*TK, "bio_label")
+    """Skill lines in which some words are ``Git`` and ``hub``."""
+    t = resume_tokens(spark, sf_dir).filter("section = 'SKILLS'")
+    token = F.when(F.col("token").startswith("Git|"), "Git").when((F.col("token") == "SQL") & (F.col("doc_id") % 2 == 0), "hub").otherwise(F.col("token"))
+    return fd.skills_promote(t.withColumn("token", token)).select(*TK, "bio_label")
 
 
 @query(on_resumes(NOISY + f""" SELECT doc_id, page, line_index, token_index, CASE WHEN coalesce(bio_label = 'B-SKILL' AND lag(bio_label) OVER v LIKE '%-SKILL' AND NOT regexp_matches(lag(token) OVER v, '[,|]$'), false) THEN 'I-SKILL' ELSE bio_label END AS bio_label FROM z WHERE section = 'SKILLS' WINDOW v AS ({LINE})"""))
@@ -193,9 +198,16 @@ def skills_merge(spark, sf_dir):
     return fd.skills_merge(noisy(spark, sf_dir).filter("section = 'SKILLS'")).select(*TK, "bio_label")
 
 
-@query(on_resumes(LK + """ SELECT doc_id, page, line_index, coalesce(last_value(CASE WHEN kind = 'heading' THEN CASE WHEN regexp_matches(text, 'SKILL') THEN 1 ELSE 0 END END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS in_skills FROM lk"""))
+CLEAN = r"trim(regexp_replace(lower(text), '[^a-z\s]', '', 'g'))"
+
+
+def names(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@query(on_resumes(LK + f""" SELECT doc_id, page, line_index, coalesce(last_value(CASE WHEN {CLEAN} IN ({names(fd.OTHER_SECTIONS)}) AND NOT contains(text, ':') THEN 0 WHEN {CLEAN} IN ({names(fd.SKILL_HEADINGS)}) OR kind = 'skill' THEN 1 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS in_skills FROM lk"""))
 def skills_region(spark, sf_dir):
-    return fd.skills_region(known_lines(spark, sf_dir)).select("doc_id", "page", "line_index", "in_skills")
+    return fd.skills_region(known_lines(spark, sf_dir), F.col("kind") == "skill").select("doc_id", "page", "line_index", "in_skills")
 
 
 E_ = ENT.format("bio_label")

@@ -12,7 +12,9 @@ from docweave.operators import projects as pj
 from docweave.operators import rulepacks as rp
 from docweave.operators.lines import build_lines, group_by_line_run
 from docweave.plans.entries_queries import LK, known_lines
+from docweave.operators.rulepacks import EMAIL_RX, LEAD_RX, PHONE_RX
 from docweave.plans.fields_queries import BLOCKS, DOC, ENT, LINE, NOISY, blocks, noisy
+from docweave.plans.layout_queries import LIKENESS
 from docweave.plans.linerules_queries import PROJ
 from docweave.plans.lines_queries import SEGMENTS, L, segments
 from docweave.plans.registry import query
@@ -52,9 +54,17 @@ def block_context(spark, sf_dir):
     return pj.block_context(k, F.col("is_head")).select(*K, "rank", "since_head", "blended")
 
 
-@query(on_resumes(" SELECT doc_id, page, line_index, token_index, CAST(CASE WHEN regexp_matches(token, '[|@]') AND bio_label = 'O' THEN 1.5 WHEN bio_label LIKE 'B-%' THEN 2.0 WHEN bio_label = 'O' THEN 0.5 ELSE 1.0 END AS DOUBLE) AS weight FROM t"))
+CORE_TEXT = f"trim(regexp_replace(trim(text), '{LEAD_RX}', ''))"
+
+
+@query(on_resumes(L + f""", li AS (SELECT doc_id, page, line_index, text, {CORE_TEXT} AS core, trim(regexp_replace(trim(text), '^[•*●·▪■◦✓✔ -]+', '')) AS c, ks.kind FROM l JOIN (SELECT DISTINCT doc_id, page, line_index, kind FROM t) ks USING (doc_id, page, line_index)),
+la AS (SELECT *, CASE kind WHEN 'project' THEN 'PROJECT_NAME' WHEN 'job' THEN 'DATE' WHEN 'name' THEN NULL ELSE 'DESC' END AS label, CASE WHEN c = '' THEN 0.0 ELSE round(CAST(least(1.0, {LIKENESS}) AS DOUBLE), 6) END AS likeness FROM li)
+SELECT doc_id, page, line_index, CAST(CASE WHEN label IS NULL THEN 0.0 WHEN label = 'DESC' AND length(core) >= 3 AND likeness >= 0.25 AND NOT (regexp_matches(lower(core), '{pj.NARRATIVE_RX}') AND len(string_split_regex(core, ' +')) > 12) THEN 5.0
+  WHEN label = 'DESC' THEN 1.5 WHEN label = 'PROJECT_NAME' THEN 1.2 ELSE 1.0 END AS DOUBLE) AS weight FROM la"""))
 def context_weights(spark, sf_dir):
-    return resume_tokens(spark, sf_dir).select(*TK, pj.context_weight(F.col("bio_label"), F.col("token").rlike("[|@]")).cast("double").alias("weight"))
+    k = known_lines(spark, sf_dir)
+    label = F.when(F.col("kind") == "project", "PROJECT_NAME").when(F.col("kind") == "job", "DATE").when(F.col("kind") == "name", None).otherwise("DESC")
+    return k.select(*K, pj.context_weight(label, F.col("text")).cast("double").alias("weight"))
 
 
 @query(on_resumes(NOISY + f" SELECT doc_id, page, line_index, token_index, CASE WHEN bio_label LIKE 'B-%' AND sum(CASE WHEN bio_label LIKE 'B-%' THEN 1 ELSE 0 END) OVER ({LINE}) = 1 THEN 'B-PROJ_START' WHEN bio_label LIKE 'B-%' THEN 'I-PROJ_START' ELSE 'O' END AS decoded FROM z WHERE section = 'PROJECT'"))
@@ -62,11 +72,19 @@ def proj_decode(spark, sf_dir):
     return pj.decode_starts(noisy(spark, sf_dir).filter("section = 'PROJECT'")).select(*TK, "decoded")
 
 
-@query(on_resumes(LK + """, p AS (SELECT * FROM lk WHERE section = 'PROJECT'), a AS (SELECT doc_id, arg_min({'f': font_median, 'b': is_bold, 'x': x0}, (page, line_index)) AS a FROM p WHERE kind = 'project' GROUP BY ALL)
-SELECT doc_id, page, line_index, coalesce(abs(font_median - a.f) <= 0.5 AND is_bold = a.b AND abs(x0 - a.x) <= 10, false) AS is_head FROM p LEFT JOIN a USING (doc_id)"""))
+HEADER = (
+    "(low IN ('projects', 'project') OR regexp_matches(low, '(?:^|[^a-z])(?:mini|academic|personal|key|selected|recent|course|minor|major) projects?(?:[^a-z]|$)|projects? client') OR (starts_with(low, 'projects') AND length(low) < 40 AND NOT bul))"
+)
+
+
+@query(on_resumes(LK + PROJ + f""", ps AS (SELECT lk.doc_id, lk.page, lk.line_index, lk.font_median, lk.is_bold, lk.x0, kind = 'project' AND lk.line_index % 2 = 0 AS anchor, NOT (suppress OR is_continuation OR {HEADER.replace('low', "lower(regexp_replace(trim(lk.text), '[:.,;]+$', ''))")}) AS valid FROM lk JOIN pr3 USING (doc_id, page, line_index) WHERE section = 'PROJECT'),
+a AS (SELECT doc_id, arg_min({{'f': font_median, 'b': is_bold, 'x': x0}}, (page, line_index)) FILTER (anchor AND valid) AS s, arg_min({{'f': font_median, 'b': is_bold, 'x': x0}}, (page, line_index)) FILTER (valid) AS r FROM ps GROUP BY ALL),
+b AS (SELECT doc_id, coalesce(s, r) AS a FROM a)
+SELECT doc_id, page, line_index, coalesce(abs(font_median - a.f) <= 0.5 AND is_bold = a.b AND abs(x0 - a.x) <= 10, false) AS is_head FROM ps LEFT JOIN b USING (doc_id)"""))
 def proj_style_heads(spark, sf_dir):
-    k = known_lines(spark, sf_dir).filter("section = 'PROJECT'").withColumn("is_anchor", F.col("kind") == "project")
-    return pj.proj_style_heads(k).select(*K, "is_head")
+    """Titles scored on every second line only."""
+    k = known_lines(spark, sf_dir).filter("section = 'PROJECT'").withColumn("is_anchor", (F.col("kind") == "project") & (F.col("line_index") % 2 == 0))
+    return pj.proj_style_heads(lr.proj_line_rules(k, "is_anchor", "font_median", "is_bold", "x0")).select(*K, "is_head")
 
 
 @query(on_resumes(LK + PROJ + """, kp AS (SELECT lk.doc_id, lk.page, lk.line_index, row_number() OVER v AS pos, section = 'PROJECT' AS pj, is_head OR kind = 'bullet' AS b, is_bold AS rs, pr3.bul AS hb, pr3.counted AS ct, is_title, suppress, is_continuation, is_numbered OR is_link_title AS fo,
@@ -105,9 +123,18 @@ def edu_boundary_pipeline(spark, sf_dir):
     return pj.edu_boundary_pipeline(k.filter("kind = 'school' AND doc_id % 4 = 0").select(*K), k.filter("section = 'EDUCATION' AND is_bold AND kind <> 'heading'").select(*K))
 
 
-TECHS = ", ".join(f"'{t}'" for t in pj.TECH)
-WORDS = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '')"
-NOISE = f"CASE WHEN lower(trim(text)) IN ('engineer', 'developer', 'manager', 'intern') THEN 'generic_role' WHEN len({WORDS}) >= 2 AND 2 * len(list_filter({WORDS}, lambda w: w IN ({TECHS}))) >= len({WORDS}) THEN 'tech_stack' ELSE 'none' END"
+def any_of(column: str, words) -> str:
+    """Whether the text holds one of the words, as parts of its own words too."""
+    listed = ", ".join("'" + w + "'" for w in words)
+    return f"len(list_filter([{listed}], lambda k: contains({column}, k))) > 0"
+
+
+PARTS = "list_filter(list_transform(regexp_split_to_array(lower(trim(text)), '[,|]'), lambda x: trim(x)), lambda x: x <> '')"
+NOISE = (
+    f"CASE WHEN trim(regexp_replace(lower(trim(text)), '[.:,;]+$', '')) IN {tuple(pj.GENERIC_ROLES)} THEN 'generic_role' WHEN regexp_matches(text, '[,|]') AND {any_of('lower(text)', pj.TECH)} AND len({PARTS}) > 0"
+    f" AND NOT regexp_replace(string_split_regex(lower(trim(text)), ' +')[1], '[:,.-]+$', '') IN {tuple(pj.ACTIVE_VERBS)} AND NOT {any_of('lower(text)', pj.THINGS)}"
+    f" AND len(list_filter({PARTS}, lambda p: length(p) < 15 OR {any_of('p', pj.TECH)})) >= 0.75 * len({PARTS}) THEN 'tech_stack' ELSE 'none' END"
+)
 
 
 @query(on_resumes(BLOCKS + f" SELECT doc_id, block, {NOISE} AS noise FROM br"))
@@ -117,27 +144,33 @@ def noise_filters(spark, sf_dir):
     return block_rows(blocks(spark, sf_dir)).select("doc_id", "block", pj.noise(F.col("text")).alias("noise"))
 
 
-OVER = f"CASE WHEN label IN ('ROLE', 'COMP') AND (len(string_split(text, ' ')) > 12 OR regexp_matches(text, '^[a-z]') OR {NOISE} = 'tech_stack') THEN 'DESC' ELSE label END"
+#: Blocks eb of five, as if each five were an entry, with roles and technologies among them.
+ENTRY_BLOCKS = BLOCKS + r""", eb AS (SELECT doc_id, block, CAST(floor(block / 5) AS BIGINT) AS entry, CASE WHEN block % 11 = 3 THEN 'Tech Stack : ' || text WHEN block % 5 = 0 AND block % 3 = 0 THEN text || ' –' ELSE text END AS text,
+  CASE WHEN label IN ('PROJECT_NAME', 'SKILL') OR block % 5 = 0 THEN 'ROLE' WHEN label IN ('DATE', 'INSTITUTION') THEN 'DESC' ELSE label END AS label FROM br)"""
+LETTERED = "list_filter(string_split_regex(trim(text), ' +'), lambda w: regexp_matches(w, '\\p{L}'))"
 
 
-def role_rows(spark, sf_dir):
+def entry_blocks(spark, sf_dir):
     from docweave.operators.fields import block_rows
 
-    rows = block_rows(blocks(spark, sf_dir)).drop("at")
-    return rows.withColumn("label", F.when(F.col("label").isin("PROJECT_NAME", "SKILL"), "ROLE").otherwise(F.col("label")))
+    rows, n = block_rows(blocks(spark, sf_dir)).drop("at").withColumn("entry", F.floor(F.col("block") / 5)), F.col("block")
+    text = F.when(n % 11 == 3, F.concat(F.lit("Tech Stack : "), "text")).when((n % 5 == 0) & (n % 3 == 0), F.concat("text", F.lit(" –"))).otherwise(F.col("text"))
+    label = F.when(F.col("label").isin("PROJECT_NAME", "SKILL") | (n % 5 == 0), "ROLE").when(F.col("label").isin("DATE", "INSTITUTION"), "DESC").otherwise(F.col("label"))
+    return rows.withColumn("label", label).withColumn("text", text)
 
 
-@query(on_resumes(BLOCKS + f", b2 AS (SELECT doc_id, block, text, CASE WHEN label IN ('PROJECT_NAME', 'SKILL') THEN 'ROLE' ELSE label END AS label FROM br) SELECT doc_id, block, {OVER} AS label FROM b2"))
+@query(on_resumes(ENTRY_BLOCKS + f""", ev AS (SELECT *, lower(trim(text)) AS low, len(string_split_regex(trim(text), ' +')) AS n, contains(lower(text), 'technology stack') OR contains(lower(text), 'tech stack') OR starts_with(lower(trim(text)), 'technology :') OR starts_with(lower(trim(text)), 'tech :') AS li, {LETTERED} AS w FROM eb),
+cx AS (SELECT *, coalesce(last_value(CASE WHEN n > 6 AND label = 'DESC' THEN false WHEN li THEN true END IGNORE NULLS) OVER (PARTITION BY doc_id, entry ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside,
+  len(w) > 0 AND len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) >= 0.7 * len(w) AS proper FROM ev)
+SELECT doc_id, block, CASE WHEN label IN ('ROLE', 'COMP') AND (li OR inside OR n > 10 OR (n > 4 AND NOT ({any_of('low', pj.ROLE_KEYWORDS + pj.COMPANY_KEYWORDS)} OR proper))) THEN 'DESC' ELSE label END AS label FROM cx"""))
 def exp_overrides(spark, sf_dir):
-    return pj.exp_overrides(role_rows(spark, sf_dir)).select("doc_id", "block", "label")
+    return pj.exp_overrides(entry_blocks(spark, sf_dir)).select("doc_id", "block", "label")
 
 
-@query(on_resumes(BLOCKS + ", b2 AS (SELECT doc_id, block, text, CAST(floor(block / 5) AS BIGINT) AS entry, CASE WHEN label IN ('DATE', 'INSTITUTION') THEN 'DESC' ELSE label END AS label FROM br) SELECT doc_id, block, CASE WHEN coalesce(max(CASE WHEN label = 'COMP' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, entry) = 0 AND label = 'DESC' AND lag(label) OVER (PARTITION BY doc_id, entry ORDER BY block) = 'ROLE' AND (regexp_matches(lag(text) OVER (PARTITION BY doc_id, entry ORDER BY block), '[—–-] *$') OR regexp_matches(text, '^[A-Z]')), false) THEN 'COMP' ELSE label END AS label FROM b2"))
+@query(on_resumes(ENTRY_BLOCKS + f""", rk AS (SELECT *, row_number() OVER e AS rk, lag(label) OVER e AS pl, lag(text) OVER e AS pt, max(CASE WHEN label = 'COMP' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, entry) AS comp FROM eb WINDOW e AS (PARTITION BY doc_id, entry ORDER BY block))
+SELECT doc_id, block, CASE WHEN comp = 0 AND rk = 2 AND pl = 'ROLE' AND regexp_matches(trim(pt), '(?:^| )[|–—-]$') AND label = 'DESC' AND len({LETTERED}) BETWEEN 1 AND 6 THEN 'COMP' ELSE label END AS label FROM rk"""))
 def exp_fill_company(spark, sf_dir):
-    from docweave.operators.fields import block_rows
-
-    rows = block_rows(blocks(spark, sf_dir)).drop("at").withColumn("entry", F.floor(F.col("block") / 5)).withColumn("label", F.when(F.col("label").isin("DATE", "INSTITUTION"), "DESC").otherwise(F.col("label")))
-    return pj.exp_fill_company(rows).select("doc_id", "block", "label")
+    return pj.exp_fill_company(entry_blocks(spark, sf_dir)).select("doc_id", "block", "label")
 
 
 OWN = ENT.format("bio_label")
@@ -184,7 +217,12 @@ def stitch_urls(spark, sf_dir):
     return pj.stitch_urls(resume_tokens(spark, sf_dir).filter("section = 'PERSONAL'").withColumn("token", cut)).select(*TK, "url")
 
 
-@query(on_resumes(r" SELECT doc_id, page, line_index, token_index, CASE WHEN regexp_matches(token, '@') THEN 'EMAIL' WHEN regexp_matches(token, '^\+?[0-9][0-9 -]{7,}$') THEN 'PHONE' WHEN regexp_matches(token, 'github') THEN 'GITHUB' WHEN regexp_matches(token, 'linkedin') THEN 'LINKEDIN' ELSE bio_label END AS label FROM t"))
+DIGITS = "length(regexp_replace(raw, '[^0-9]', '', 'g'))"
+
+
+@query(on_resumes(f""", pe AS (SELECT doc_id, page, line_index, token_index, trim(token) AS raw, lower(trim(token)) AS low, regexp_replace(bio_label, '^I-', 'B-') AS lb FROM t)
+SELECT doc_id, page, line_index, token_index, CASE WHEN raw = '' OR low IN {tuple(pj.FIELD_NAMES)} THEN 'O' WHEN regexp_matches(low, '{EMAIL_RX}') THEN 'B-EMAIL' WHEN contains(low, 'linkedin.com') THEN 'B-LINKEDIN' WHEN contains(low, 'github.com') THEN 'B-GITHUB'
+  WHEN (regexp_matches(raw, '{PHONE_RX}') AND {DIGITS} BETWEEN 7 AND 15) OR (starts_with(raw, '+') AND {DIGITS} > 0) THEN 'B-PHONE' WHEN low IN {tuple(pj.LINK_NAMES)} OR (lb IN ('B-LINKEDIN', 'B-GITHUB') AND regexp_matches(low, '{pj.SITE_RX}')) THEN 'B-OTHER_LINK' ELSE lb END AS label FROM pe"""))
 def personal_text_rules(spark, sf_dir):
     return resume_tokens(spark, sf_dir).select(*TK, pj.personal_by_text(F.col("token"), F.col("bio_label")).alias("label"))
 
