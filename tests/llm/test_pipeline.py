@@ -79,3 +79,67 @@ def test_rows_without_an_id_of_their_own(spark):
     docs = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in rows], SCHEMA)
     kept = cp.near_duplicate_stage(spark, docs, "").collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, a), (3, near), (7, d), (8, None), (8, None)], key=str)
+
+
+def grouped(names, linked):
+    """The smallest name that links reach from each."""
+    root = {n: n for n in names}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in names:
+        for b in names:
+            if a < b and find(a) != find(b) and linked(a, b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in names}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rnd = random.Random(8)
+    base = [prose(rnd, "aa", n).split(" ") for n in (6, 30, 60, 120)]
+    texts = {}
+    for i in range(60):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 0, 1, 2, 4])):
+            words[rnd.randrange(len(words))] = f"other{rnd.randrange(9)}"
+        texts[i] = " ".join(words)
+    texts |= {70: None, 71: "", 72: " \n", 73: "one two", 74: "ONE two", 75: "three"}
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    group = grouped(sorted(texts), lambda a, b: bool(sets[a] and sets[b]) and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in texts.items()], SCHEMA).repartition(6)
+    kept = {(r.doc_id, r.text) for r in cp.near_duplicate_stage(spark, docs, "").collect()}
+    assert kept == {(i, t) for i, t in texts.items() if group[i] == i}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    from test_line_dedup import distance, edited
+
+    rnd = random.Random(9)
+    lines = [prose(rnd, "aa", n).replace("\n", " ") for n in (2, 3, 6, 8, 12)]
+    texts = {}
+    for i in range(50):
+        texts[i] = "\n".join(rnd.choice([rnd.choice(lines), edited(rnd, rnd.choice(lines), rnd.choice([1, 2, 3])), prose(rnd, "bb", 7).replace("\n", " "), "", " "]) for _ in range(rnd.randint(1, 4)))
+    texts |= {60: None, 61: ""}
+    places = [(i, n, raw.strip()) for i, t in texts.items() for n, raw in enumerate((t or "").split("\n")) if raw.strip()]
+    alike = lambda a, b: len(a) >= 24 and len(b) >= 24 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2
+    group = grouped(sorted({x for *_, x in places}), alike)
+    first = {}
+    for i, n, x in places:
+        first[group[x]] = min(first.get(group[x], (i, n)), (i, n))
+    gone = {(i, n) for i, n, x in places if first[group[x]] != (i, n)}
+    want = set()
+    for i, t in texts.items():
+        own = [n for j, n, _ in places if j == i]
+        if own and all((i, n) in gone for n in own):
+            continue
+        want.add((i, t if not any((i, n) in gone for n in own) else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)))
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in texts.items()], SCHEMA).repartition(6)
+    assert {(r.doc_id, r.text) for r in cp.line_dedup_stage(spark, docs, "").collect()} == want
