@@ -61,6 +61,29 @@ def heads(lines: DataFrame, is_head: Column, section: str) -> DataFrame:
     return lines.filter(is_head & (F.col("section") == section)).select(*LINE_KEY).distinct()
 
 
+#: Bullets of entries and of what lies inside them, marks that are passed over at the start of a line, legal
+#: forms of firms, and the titles of the section.
+MAIN_BULLETS, SUB_BULLETS = ["•", "●", "▪"], ["◦", "∗", "*", "·"]
+LINE_MARKS = ["", '"', "'", ",", "|"]
+FIRM_FORMS = ["pvt", "ltd", "inc", "llc", "limited"]
+WORK_TITLES = ["experience", "work experience", "professional experience", "employment"]
+
+
+def slice_heads(lines: DataFrame) -> DataFrame:
+    """Lines (text, ``begins``: their first token was scored as a start) at which entries are cut: without those that only
+    date, those of bullets inside an entry, those that go on with one (a bracket or bar, a date, a firm's form, unless a
+    main bullet begins them) and the section's title."""
+    low, words = F.lower(F.trim("text")), F.split(F.trim("text"), " +")
+    first = F.get(F.filter(words, lambda x: ~x.isin(LINE_MARKS)), F.lit(0))
+    dated = low.rlike(DATED_RX)
+    date_word = lambda x: F.lower(x).rlike(DATE_WORD_RX) | F.lower(x).rlike(DATED_RX)
+    other = F.exists(words, lambda x: (F.char_length(x) > 3) & ~date_word(x) & ~x.isin(MAIN_BULLETS + SUB_BULLETS))
+    date_only = dated & (first.isin("(", "|") | ~other)
+    goes_on = ~first.isin(MAIN_BULLETS) & (first.isin("(", "|") | dated | low.rlike("|".join(FIRM_FORMS)))
+    head = F.col("begins") & first.isNotNull() & ~date_only & ~first.isin(SUB_BULLETS) & ~goes_on & ~low.isin(WORK_TITLES)
+    return lines.filter(F.coalesce(head, F.lit(False))).select(*LINE_KEY)
+
+
 def exp_style_heads(lines: DataFrame) -> DataFrame:
     """The most frequent bold style (size, rounded x; ties: the first seen) of a document's experience makes its heads."""
     w = ordered(("doc_id",), ("page", "line_index"))

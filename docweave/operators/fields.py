@@ -57,12 +57,18 @@ def seg_repair(tokens: DataFrame) -> DataFrame:
 
 
 def split_blocks(tokens: DataFrame, gap: float = 40.0) -> DataFrame:
-    """Phrase blocks of a document: apart at B- labels, a bracket before a date, delimiters, new lines and wide gaps."""
+    """Phrase blocks of a document: apart at a bracket before a date, delimiters, new lines and wide gaps, and where a B-
+    label is of another class than the block's first one. Between the other bounds all B- labels of a block are of one
+    class, so that the last one before tells it."""
     w = ordered()
     new_line = (F.col("page") != F.lag("page").over(w)) | (F.col("line_index") != F.lag("line_index").over(w))
     bracket = (F.col("token") == "(") & F.coalesce(F.lead("bio_label").over(w), F.lit("O")).endswith("-DATE")
-    starts = F.col("bio_label").startswith("B-") | bracket | F.col("token").isin("|", "•") | F.lag("token").over(w).isin("|", "•") | new_line | (F.col("x0") - F.lag("x1").over(w) > gap)
-    return island(tokens, F.coalesce(starts, F.lit(True)), w, "block")
+    bound = bracket | F.col("token").isin("|", "•") | F.lag("token").over(w).isin("|", "•") | new_line | (F.col("x0") - F.lag("x1").over(w) > gap)
+    bounded = island(tokens.withColumn("_bound", F.coalesce(bound, F.lit(True))), F.col("_bound"), w, "_run")
+    opens = F.when(F.col("bio_label").startswith("B-"), entity(F.col("bio_label")))
+    last = F.last(opens, ignorenulls=True).over(before(ordered(("doc_id", "_run"))))
+    switch = F.coalesce(opens != last, F.lit(False))
+    return island(bounded.withColumn("_switch", switch), F.col("_bound") | F.col("_switch"), w, "block").drop("_bound", "_run", "_switch")
 
 
 def block_rows(blocks: DataFrame) -> DataFrame:

@@ -62,10 +62,27 @@ def _heads(section):
     return run
 
 
-for _name, _section in (("exp_heads", "EXPERIENCE"), ("edu_heads", "EDUCATION"), ("proj_heads", "PROJECT")):
+for _name, _section in (("edu_heads", "EDUCATION"), ("proj_heads", "PROJECT")):
     query(on_resumes(LK + f" SELECT doc_id, page, line_index FROM lk WHERE is_head AND section = '{_section}'"), _name)(_heads(_section))
 
 
+#: Experience lines whose jobs have a bullet on every second line, and whose bullets are those of sub-entries on every third.
+SLICED = """, sx AS (SELECT *, CASE WHEN is_head AND line_index % 2 = 0 THEN '• ' || text WHEN kind = 'bullet' AND line_index % 3 = 0 THEN replace(text, '•', '◦') WHEN kind = 'bullet' AND line_index % 7 = 1 THEN '( 2019 - 2020 )' ELSE text END AS tx,
+  is_head OR line_index % 2 = 1 AS bg FROM lk WHERE section = 'EXPERIENCE')"""
+_words = lambda x: ", ".join(f"'{w}'" for w in x)
+
+
+@query(on_resumes(LK + SLICED + f""", sf AS (SELECT *, lower(trim(tx)) AS low, string_split_regex(trim(tx), ' +') AS ws, list_filter(string_split_regex(trim(tx), ' +'), lambda w: NOT list_contains({sql_list(en.LINE_MARKS)}, w))[1] AS fst FROM sx),
+sd AS (SELECT *, regexp_matches(low, '{DATED}') AS dt, len(list_filter(ws, lambda w: length(w) > 3 AND NOT regexp_matches(lower(w), '{quoted(en.DATE_WORD_RX)}') AND NOT regexp_matches(lower(w), '{DATED}') AND w NOT IN ({_words(en.MAIN_BULLETS + en.SUB_BULLETS)}))) > 0 AS oth FROM sf)
+SELECT doc_id, page, line_index FROM sd WHERE bg AND fst IS NOT NULL AND NOT (dt AND (fst IN ('(', '|') OR NOT oth)) AND fst NOT IN ({_words(en.SUB_BULLETS)}) AND NOT (fst NOT IN ({_words(en.MAIN_BULLETS)}) AND (fst IN ('(', '|') OR dt OR regexp_matches(low, '{'|'.join(en.FIRM_FORMS)}')))
+  AND low NOT IN ({_words(en.WORK_TITLES)})"""))
+def exp_heads(spark, sf_dir):
+    k, i = known_lines(spark, sf_dir).filter("section = 'EXPERIENCE'"), F.col("line_index")
+    bullet = F.col("kind") == "bullet"
+    text = F.when(F.col("is_head") & (i % 2 == 0), F.concat(F.lit("• "), "text")).when(bullet & (i % 3 == 0), F.replace("text", F.lit("•"), F.lit("◦"))).when(bullet & (i % 7 == 1), "( 2019 - 2020 )").otherwise(F.col("text"))
+    return en.slice_heads(k.withColumn("text", text).withColumn("begins", F.col("is_head") | (i % 2 == 1)))
+
+
 @query(on_resumes(LK + """, e AS (SELECT * FROM lk WHERE section = 'EXPERIENCE'), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_index) AS pos FROM e WHERE is_bold AND kind <> 'heading'),
 st AS (SELECT doc_id, font_median, round(x0) AS ind, count(*) AS n, min(pos) AS f FROM b GROUP BY ALL), be AS (SELECT doc_id, arg_max({'f': font_median, 'i': ind}, (n, -f)) AS z FROM st GROUP BY ALL)
 SELECT doc_id, page, line_index, coalesce(is_bold AND kind <> 'heading' AND font_median = z.f AND round(x0) = z.i, false) AS is_head FROM e LEFT JOIN be USING (doc_id)"""))

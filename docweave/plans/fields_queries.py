@@ -55,8 +55,10 @@ def seg_repair(spark, sf_dir):
     return fd.seg_repair(fd.seg_style(shifted(spark, sf_dir))).select(*TK, "seg")
 
 
-BLOCKS = f""", bs AS (SELECT *, bio_label LIKE 'B-%' OR (token = '(' AND coalesce(lead(bio_label) OVER v, 'O') LIKE '%-DATE') OR token IN ('|', '•') OR lag(token) OVER v IN ('|', '•') OR page <> lag(page) OVER v OR line_index <> lag(line_index) OVER v OR x0 - lag(x1) OVER v > 40 AS st FROM t WINDOW v AS ({DOC})),
-bl AS (SELECT *, sum(CASE WHEN coalesce(st, true) THEN 1 ELSE 0 END) OVER ({DOC}) AS block FROM bs),
+BLOCKS = f""", bs AS (SELECT *, (token = '(' AND coalesce(lead(bio_label) OVER v, 'O') LIKE '%-DATE') OR token IN ('|', '•') OR lag(token) OVER v IN ('|', '•') OR page <> lag(page) OVER v OR line_index <> lag(line_index) OVER v OR x0 - lag(x1) OVER v > 40 AS st FROM t WINDOW v AS ({DOC})),
+bn AS (SELECT *, sum(CASE WHEN coalesce(st, true) THEN 1 ELSE 0 END) OVER ({DOC}) AS run FROM bs),
+bw AS (SELECT *, last_value(CASE WHEN bio_label LIKE 'B-%' THEN substr(bio_label, 3) END IGNORE NULLS) OVER (PARTITION BY doc_id, run ORDER BY page, line_index, token_index, x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lb FROM bn),
+bl AS (SELECT * EXCLUDE (run, lb), sum(CASE WHEN coalesce(st, true) OR coalesce(bio_label LIKE 'B-%' AND substr(bio_label, 3) <> lb, false) THEN 1 ELSE 0 END) OVER ({DOC}) AS block FROM bw),
 br AS (SELECT doc_id, block, string_agg(token, ' ' ORDER BY page, line_index, token_index, x0) AS text, coalesce(arg_min(regexp_replace(bio_label, '^[BI]-', ''), (page, line_index, token_index)) FILTER (bio_label LIKE 'B-%'), 'O') AS label FROM bl GROUP BY ALL)"""
 
 

@@ -8,7 +8,7 @@ from docweave.functions.islands import ordered
 from docweave.plans.registry import query
 from docweave.plans.twins import on_documents, on_resumes
 from docweave.sources import tables
-from docweave.sources.tables import read, resume_tokens
+from docweave.sources.tables import first_artifact, read, resume_tokens
 
 
 @query(on_documents("SELECT doc_id, page, line_index, token_index, token, x0, y0, x1, y1 FROM d"))
@@ -67,13 +67,18 @@ def clean_labelled(tokens):
 
 @query("""
 WITH a AS (SELECT doc_id, 0 AS prio, 'labels' AS artifact, quality AS value FROM labels
-  UNION ALL SELECT doc_id, 1, 'documents', CASE WHEN n_chars >= 200 THEN 1 ELSE 0 END FROM documents)
-SELECT doc_id, artifact, value FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY prio) = 1""")
+  UNION ALL SELECT doc_id, 1, 'long_documents', 1 FROM documents WHERE n_chars >= 200
+  UNION ALL SELECT doc_id, 2, 'documents', 0 FROM documents)
+SELECT doc_id, artifact, value FROM a QUALIFY rank() OVER (PARTITION BY doc_id ORDER BY prio) = 1""")
 def src_artifact_fallback(spark, sf_dir):
-    """The newest artifact of each document: its label row, else a value derived from its text."""
-    new = read(spark, sf_dir, "labels").select("doc_id", F.lit(0).alias("prio"), F.lit("labels").alias("artifact"), F.col("quality").alias("value"))
-    old = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("prio"), F.lit("documents").alias("artifact"), (F.col("n_chars") >= 200).cast("int").alias("value"))
-    return new.unionByName(old).withColumn("r", F.row_number().over(ordered(order=("prio",)))).filter("r = 1").select("doc_id", "artifact", "value")
+    """The newest artifact of each document: its label, else a value of its text; one of the names was never written."""
+    docs = read(spark, sf_dir, "documents")
+    artifacts = {
+        "documents": docs.select("doc_id", F.lit(0).alias("value")),
+        "long_documents": docs.filter("n_chars >= 200").select("doc_id", F.lit(1).alias("value")),
+        "labels": read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("value")),
+    }
+    return first_artifact(artifacts, ["scores", "labels", "long_documents", "documents"], "doc_id").select("doc_id", "artifact", "value")
 
 
 RUNS_SQL = """

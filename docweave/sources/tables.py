@@ -8,8 +8,9 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.islands import before, ordered
@@ -44,6 +45,16 @@ def text_tokens(documents: DataFrame) -> DataFrame:
     )
 
 
+def first_artifact(artifacts: dict[str, DataFrame], names: list[str], key: str) -> DataFrame:
+    """For each key the rows of the first artifact that has it, with its name: ``names`` in their order, the newest first;
+    names without an artifact are passed over. All artifacts have the same columns."""
+    found = [artifacts[n].withColumn("artifact", F.lit(n)).withColumn("_rank", F.lit(i)) for i, n in enumerate(names) if n in artifacts]
+    if not found:
+        raise FileNotFoundError(names[0])
+    every = reduce(DataFrame.unionByName, found)
+    return every.withColumn("_best", F.min("_rank").over(Window.partitionBy(key))).filter("_rank = _best").drop("_rank", "_best")
+
+
 #: Tags that open a block, and the size of their text.
 BLOCKS = {"h1": 20.0, "h2": 16.0, "p": 10.0, "li": 10.0}
 
