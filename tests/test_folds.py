@@ -30,16 +30,24 @@ def test_bio_sanitise_equals_the_loop(spark):
 
 
 def test_exp_boundary_fix_equals_the_loop(spark):
-    data = rows(2, 40, lambda r, d, k: (d, 0, k, *(r.random() < p for p in (0.3, 0.3, 0.4, 0.1))))
-    df = spark.createDataFrame(data, "doc_id long, page int, line_index int, is_head boolean, is_bullet boolean, is_role_with_date boolean, is_open_end boolean")
+    flags = ("begins", "inside", "hinted", *en.EXP_RULES)
+    data = rows(2, 60, lambda r, d, k: (d, k // 9, k % 9, *(r.random() < p for p in (0.2, 0.8, 0.1, 0.1, 0.15, 0.8, 0.05, 0.1, 0.05, 0.7, 0.1))))
+    df = spark.createDataFrame(data, "doc_id long, page int, line_index int, " + ", ".join(f"{f} boolean" for f in flags))
     expected, last = {}, {}
-    for d, _, k, head, bullet, role, open_end in data:
-        now = head and not bullet and not open_end
-        now = now or (role and k - last.get(d, -(10**9)) > 5)
+    for d, page, line, *values in data:
+        x = dict(zip(flags, values, strict=True))
+        if x["begins"]:
+            now = x["hinted"] or not (x["is_description"] or not x["has_date"] or x["is_continuation"])
+        elif x["hinted"] and (x["has_date"] or x["is_internship"] or x["is_sub_entry"] or (x["is_bullet"] and x["inside"])):
+            now = True
+        else:
+            near = last.get(d, (None, 0))
+            recent = near[0] == page and 1 <= line - near[1] <= 5
+            now = x["inside"] and x["has_date"] and x["has_role"] and not (x["is_description"] or x["has_bar"] or recent)
         if now:
-            last[d] = k
-        expected[d, k] = now
-    assert {(r.doc_id, r.line_index): r.is_head for r in en.exp_boundary_fix(df).collect()} == expected
+            last[d] = (page, line)
+        expected[d, page, line] = now
+    assert {(r.doc_id, r.page, r.line_index): r.is_head for r in en.exp_boundary_fix(df).collect()} == expected
 
 
 def test_decode_never_leaves_an_orphan(spark):
