@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,18 +25,24 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("user_id").alias("run_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("updated_at"), F.count("*").alias("events"))
 
 
-def stage_latency(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "30 minutes") -> DataFrame:
+def marked(events: DataFrame, late: str | None) -> DataFrame:
+    return events if late is None else events.withWatermark("ts", late)
+
+
+def stage_latency(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str | None = "30 minutes") -> DataFrame:
     """Event counts and sums by window and type. In append mode a window is given once, when the watermark has passed its
-    end; its state goes then, and rows that come later than the watermark are dropped."""
+    end; its state goes then, and rows that come later than the watermark are dropped. Without a watermark (``late`` None)
+    every row counts, in update or complete mode; the state holds one row for each window and type."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    by = events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    by = marked(events, late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return by.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def sessions(events: DataFrame, gap: str = "2 hours", late: str = "30 minutes") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "2 hours", late: str | None = "30 minutes") -> DataFrame:
     """Activity sessions of each user: ended by a pause. In append mode a session is given once, when the watermark has
-    passed its end, and its state goes then."""
-    by = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    passed its end, and its state goes then. Without a watermark (``late`` None) every row counts, in complete mode; the
+    state holds every session."""
+    by = marked(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return by.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
@@ -103,7 +110,9 @@ def upserted(stream: DataFrame, keys: list[str], out: str):
         rows = df
         if batch_id:
             last = spark.read.schema(schema).parquet(f"{out}/version-{batch_id - 1}")
-            rows = df.unionByName(last.join(df.select(*keys), keys, "left_anti"))
+            new = df.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])  # a null key is a key
+            rows = df.unionByName(last.join(new, same, "left_anti"))
         rows.write.mode("overwrite").parquet(f"{out}/version-{batch_id}")
         files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/version-{batch_id - 2}"), True)
         df.unpersist()
