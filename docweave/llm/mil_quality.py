@@ -6,9 +6,9 @@ numbers. A gate gives every passage a weight, softmax(w . (tanh(V h) * sigmoid(U
 text's passages is scored by a logistic unit. Only texts have labels: passages' encodings, the gate and the last unit are
 learned together from them by gradient descent (Adam).
 
-The model is fitted on a bounded sample of labelled rows, chosen by the hash of their text (``SAMPLE`` rows at most, and
-of each its first ``LEARN_WORDS`` words at most, so that the driver's memory is bounded); it is applied to whole
-texts, read in slices of ``SLICE`` characters.
+The model is fitted on the whole texts of a bounded sample of labelled rows, chosen by the hash of their text (``SAMPLE``
+rows or so); the driver takes them one at a time and keeps four bytes of each word. It is applied to whole texts, read in
+slices of ``SLICE`` characters.
 
 Defined results: a null or empty text is one passage without words; without labelled rows every score is the prior 0.5,
 and where all labels agree it leans to them; rows whose label is null are not learned from; repeated rows get equal
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.shared import fresh
 
-SAMPLE, LEARN_WORDS = 6000, 4096
+SAMPLE = 6000
 WORDS = 64
 BUCKETS, EMBED, WIDTH, GATE = 1 << 13, 8, 16, 8
 SHARES = 12
@@ -227,12 +227,12 @@ def fit(labelled: DataFrame, label_col: str = "quality", text_col: str = "text",
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(11)).alias("h"), F.col(label_col).cast("double").alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = rows.count()
     part = rows if n <= sample else rows.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    words = F.slice(F.split("text", r"[\x20\x09-\x0D]+", LEARN_WORDS + 1), 1, LEARN_WORDS)
-    one = part.select("h", "y", F.array_join(words, " ").alias("text")).groupBy("h", "y").agg(F.min("text").alias("text"))  # of equal texts one
-    got = one.sort("h", "y").limit(2 * sample).collect()
-    known = Words()
-    numbers = [known.numbers(r.text) for r in got]
-    return train(known, numbers, np.array([r.y for r in got]))
+    one = part.groupBy("h", "y").agg(F.min("text").alias("text"))  # of equal texts one
+    known, numbers, y = Words(), [], []
+    for r in one.sort("h", "y").limit(2 * sample).toLocalIterator():
+        numbers.append(known.numbers(r.text))
+        y.append(r.y)
+    return train(known, numbers, np.array(y))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "_quality") -> DataFrame:
