@@ -1,5 +1,7 @@
 """A checkpoint leaves no shuffle files behind."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from docweave.llm.shared import cut
@@ -18,6 +20,9 @@ def shuffle_files(spark):
 def test_shuffle_files_go_with_the_checkpoint(spark):
     before = shuffle_files(spark)
     counted = cut(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n")))
+    until = time.time() + 10  # Spark removes them behind the query's back
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
     assert not shuffle_files(spark) - before
     assert counted.agg(F.sum("n")).first()[0] == 10_000 and counted.filter("n = 100").count() == 100
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
