@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import cut, hot_keys, join_hot
+from docweave.llm.shared import cut, hot_keys, join_hot, tidied
 
 
+@tidied
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b); label is the smallest node of its component.
 

@@ -21,6 +21,7 @@ ignored (``line_classes``) or kept (``dedup_lines``).
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
 from math import floor
 from operator import or_
@@ -29,12 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.components import connected_components
-from docweave.llm.shared import SPACES, broadcast_if_few, cut, hot_keys, join_hot, one_of_each, row_named, text_key
+from docweave.llm.shared import SPACES, broadcast_if_few, cut, hot_keys, join_hot, one_of_each, row_named, text_key, tidied
 
 #: The least length from which lines may differ, and by how many edits; further pairs let longer lines differ more.
 THRESHOLDS = ((24, 2),)
 CLASS_RATIO = 1.2
 LONGEST = 1 << 31
+LISTED = 1024  # lengths below are looked up in a list of their classes
 BLOCK = 1024
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 
@@ -86,14 +88,16 @@ def segment_keys(lines: DataFrame, thresholds: tuple[tuple[int, int], ...]) -> D
     class's least length, so that they are disjoint in every line of it. The first half of them is placed from the
     line's start and the rest from its end. A line also stands in the class of lines t shorter."""
     classes = length_classes(thresholds)
-    lows = F.array(*[F.lit(low) for low, _ in classes])
+    lows = [low for low, _ in classes]
     struct = F.struct
 
     def placed(t: int, low: bool) -> Column:
         return F.array(*[struct(F.lit(i).alias("i"), F.lit(left).alias("left"), F.lit(n).alias("n"), F.lit(d).alias("d"), F.lit(low).alias("low")) for i, left, n, d in _places(t)])
 
+    known = F.expr(f"array({', '.join(str(bisect_right(lows, length) - 1) for length in range(LISTED))})")
+
     def class_of(n: Column) -> Column:
-        return F.size(F.filter(lows, lambda x: x <= n)) - 1
+        return F.when(n < LISTED, F.get(known, n)).otherwise(F.size(F.filter(F.array(*[F.lit(low) for low in lows]), lambda x: x <= n)) - 1)
 
     n = F.col("n_chars")
     nearest = F.greatest(F.lit(classes[0][0]), n - threshold_of(n, thresholds))
@@ -118,10 +122,10 @@ def segment_keys(lines: DataFrame, thresholds: tuple[tuple[int, int], ...]) -> D
 def parity_signatures(line: Column) -> tuple[Column, Column]:
     """One bit for each character code, and for each pair of neighbouring ones, modulo 64: whether it occurs an odd
     number of times. An edit flips two bits of the first at most, and four of the second."""
-    none, chars = F.lit(0).cast("long"), F.split(line, "(?!^)", -1)
+    none, chars = F.lit(0).cast("long"), F.split(line, "", -1)
 
     def flipped(bits: Column, code: Column) -> Column:
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(code, F.lit(64)).cast("int")))
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), code))  # a shift is taken modulo 64
 
     codes = F.transform(chars, lambda c: F.ascii(c))
     pairs = F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: a * 131 + F.coalesce(b, F.lit(0)))
@@ -181,7 +185,7 @@ def edit_distance(a: str, b: str, t: int) -> Column:
         )
         return F.aggregate(matches, start, step, lambda s: s["d"])
 
-    chars = F.struct(F.split(x, "(?!^)", -1).alias("p"), F.split(y, "(?!^)", -1).alias("q"))
+    chars = F.struct(F.split(x, "", -1).alias("p"), F.split(y, "", -1).alias("q"))
     return F.when((m - n > t) | (n <= t), F.lit(t + 1)).otherwise(_let(chars, compare))
 
 
@@ -235,6 +239,7 @@ def _facing(rest: DataFrame, widest: int, thresholds: tuple[tuple[int, int], ...
     return x.join(y, same_place & other & close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+@tidied
 def line_classes(docs: DataFrame, thresholds: tuple[tuple[int, int], ...] = THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, line_no, n_chars, line_id, class_id, first_doc_id, first_text_key, first_line_no, keep for every line with a word."""
     lines = _lines(docs, id_col, text_col)

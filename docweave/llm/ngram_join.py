@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.components import connected_components
-from docweave.llm.shared import cut, hot_keys, join_hot
+from docweave.llm.shared import cut, hot_keys, join_hot, tidied
 
 BAND_RATIO = 1.5
 BLOCK, BLOCK_GRAMS = 1024, 8_000_000  # members of a block, and n-grams of all of them: 32 to 64 MB, and as much for bitmaps
@@ -372,6 +372,7 @@ def text_digest(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+@tidied
 def ngram_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two checkpointed tables: doc_id, digest of every row; and for every text digest, first_doc (its smallest id),
     n_shingles, component (a number for each group of linked texts) and component_id (the component's smallest id)."""
