@@ -13,15 +13,16 @@ from docweave.operators.fields import entity
 LINKS = ["LINKEDIN", "GITHUB", "OTHER_LINK", "EMAIL"]
 
 
-def extract_entities(tokens: DataFrame, label: str = "bio_label") -> DataFrame:
-    """(doc_id, entity_id, label, value) of every labelled run, without spaces in links and before punctuation."""
+def extract_entities(tokens: DataFrame, label: str = "bio_label", *least: str) -> DataFrame:
+    """(doc_id, entity_id, label, value) of every labelled run, without spaces in links and before punctuation; and the
+    least value of each column of ``least`` among its tokens."""
     w = ordered()
     own = F.when(F.col(label) != "O", entity(F.col(label)))
     starts = F.col(label).startswith("B-") | ((F.col(label) != "O") & F.coalesce(entity(F.lag(label).over(w)) != own, F.lit(True)))
     runs = island(tokens.withColumn("own", own), starts, w, "entity_id").filter("own IS NOT NULL")
-    rows = runs.groupBy("doc_id", "entity_id").agg(F.min("own").alias("label"), ordered_text().alias("raw"))
+    rows = runs.groupBy("doc_id", "entity_id").agg(F.min("own").alias("label"), ordered_text().alias("raw"), *[F.min(c).alias(c) for c in least])
     value = F.when(F.col("label").isin(LINKS), F.regexp_replace("raw", " ", "")).otherwise(F.regexp_replace("raw", " ([,.;:!?])", "$1"))
-    return rows.select("doc_id", "entity_id", "label", F.regexp_replace(value, "(https?) ?: ?// ?", "$1://").alias("value"))
+    return rows.select("doc_id", "entity_id", "label", F.regexp_replace(value, "(https?) ?: ?// ?", "$1://").alias("value"), *least)
 
 
 def heading_list(entities: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def skill_groups(entities: DataFrame) -> DataFrame:
 
 def fold_fields(flat: DataFrame) -> DataFrame:
     """Entries as rows with one column for each field; start and end of a date joined."""
-    wide = flat.groupBy("doc_id", "entry").pivot("label", ["ROLE", "DATE", "DESC"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda r: r["value"]), " "))
+    wide = flat.groupBy("doc_id", "entry").pivot("label", ["ROLE", "DATE", "DESC"]).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "value")))["value"], " "))
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
     return wide.select("doc_id", "entry", blank("ROLE").alias("role"), F.regexp_replace(blank("DATE"), " ?[-–] ?", " - ").alias("dates"), blank("DESC").alias("description"))
 

@@ -69,15 +69,8 @@ JOBS = ENTRIES + entity_sql("ge", "en", ", min(entry_id) AS entry") + """, fl AS
 
 
 def jobs(spark, sf_dir):
-    tokens = entries(spark, sf_dir)
-    found = rc.extract_entities(tokens)
     # the entry of an entity is that of its tokens
-    from docweave.functions.islands import island, ordered
-
-    w, own = ordered(), F.when(F.col("bio_label") != "O", fd.entity(F.col("bio_label")))
-    starts = F.col("bio_label").startswith("B-") | ((F.col("bio_label") != "O") & F.coalesce(fd.entity(F.lag("bio_label").over(w)) != own, F.lit(True)))
-    where = island(tokens.withColumn("own", own), starts, w, "entity_id").filter("own IS NOT NULL").groupBy("doc_id", "entity_id").agg(F.min("entry_id").alias("entry"))
-    return rc.entries_flat(found.join(where, ["doc_id", "entity_id"]))
+    return rc.entries_flat(rc.extract_entities(entries(spark, sf_dir), "bio_label", "entry_id").withColumnRenamed("entry_id", "entry"))
 
 
 @query(on_resumes(JOBS + " SELECT * FROM fl"))
